@@ -126,7 +126,7 @@ def wildcard_terms(patterns: DataFrame, dictionary: DataFrame, spread: int = 16)
     offered = dictionary.select("field", "term", F.explode(stems).alias("prefix")).withColumn(
         "salt", F.when(F.col("prefix") == "", F.pmod(F.xxhash64("term"), F.lit(spread)).cast("int")).otherwise(0))
     met = asked.join(offered, ["field", "prefix", "salt"])
-    hit = met.filter(F.col("term").rlike(wildcard_regex(F.col("pattern"))))
+    hit = met.filter(F.rlike("term", wildcard_regex(F.col("pattern"))))
     return hit.select("query_id", F.lit("should").alias("occur"), "field", "term").distinct()
 
 
