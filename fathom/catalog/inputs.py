@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fathom.functions import html, urls
 from fathom.functions import text as tx
 
 START = "2024-01-01 00:00:00"
@@ -113,3 +114,101 @@ sc0 AS (SELECT query_id, doc, count(*) AS matched, round(sum(
 tot AS (SELECT query_id, count(*) AS total FROM qt GROUP BY query_id),
 sc AS (SELECT query_id, doc, matched, round(score * (0.1 + 0.9 * matched / total), 6) AS score
   FROM sc0 JOIN tot USING (query_id))"""
+
+
+# ---- URLs in SQL -------------------------------------------------------------------------------------------------------
+
+def sql_part(u: str, group: int) -> str:
+    return f"regexp_extract({u}, {q(urls.URL)}, {group})"
+
+
+def sql_site(u: str) -> str:
+    return f"regexp_extract({u}, {q(urls.SITE)})"
+
+
+def sql_escape(u: str) -> str:
+    runs = "regexp_extract_all(" + u + r", '[\x21-\x7E]+|[^\x21-\x7E]+')"
+    return (f"list_aggregate(list_transform({runs}, lambda r: CASE WHEN regexp_matches(r, '^[\\x21-\\x7E]') THEN r "
+            f"ELSE replace(url_encode(r), '+', '%20') END), 'string_agg', '')")
+
+
+def sql_canonical(u: str) -> str:
+    e = sql_escape(u)
+    query = sql_part(e, 4)
+    pairs = (f"list_sort(list_transform(list_filter(string_split({query}, '&'), lambda a: a <> ''), lambda a: "
+             "{'k': split_part(a, '=', 1), 'v': CASE WHEN contains(a, '=') THEN substring(a, instr(a, '=') + 1) ELSE '' END}))")
+    joined = f"list_aggregate(list_transform({pairs}, lambda p: p.k || '=' || p.v), 'string_agg', '&')"
+    return (f"(lower({sql_part(e, 1)}) || '://' || lower({sql_part(e, 2)}) || CASE {sql_part(e, 3)} WHEN '' THEN '/' ELSE "
+            f"{sql_part(e, 3)} END || CASE {query} WHEN '' THEN '' ELSE '?' || coalesce({joined}, '') END)")
+
+
+def sql_label(u: str) -> str:
+    return f"lower(regexp_extract({sql_part(u, 2)}, '\\.([^.:@]+)(?::[0-9]*)?$', 1))"
+
+
+def sql_list(items: list[str]) -> str:
+    return "(" + ", ".join(q(i) for i in items) + ")"
+
+
+# ---- pages as fetches --------------------------------------------------------------------------------------------------
+
+def fetches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pages`` with a status, a time and a referrer, and a description tag on every second page."""
+    p = table(spark, sf_dir, "pages")
+    tag = F.concat(F.lit("<meta name=\"description\" content=\" about "), F.col("page_id").cast("string"),
+                   F.lit(" &amp; more \"><title>"))
+    return p.select(
+        "page_id", "url",
+        F.when(F.col("page_id") % 10 == 0, 404).when(F.col("page_id") % 17 == 0, 503).otherwise(200).alias("status"),
+        F.when(F.col("page_id") % 2 == 0, F.replace("html", F.lit("<title>"), tag)).otherwise(F.col("html"))
+        .alias("body"),
+        (F.col("page_id") % 6).cast("int").alias("depth"),
+        hours_after(F.col("page_id")).alias("fetched_at"))
+
+
+def hours_after(n: Column) -> Column:
+    return F.timestamp_seconds(F.unix_timestamp(F.lit(START)) + n * 3600)
+
+
+FETCHES_SQL = """(SELECT page_id, url, CASE WHEN page_id % 10 = 0 THEN 404 WHEN page_id % 17 = 0 THEN 503 ELSE 200 END
+  AS status, CASE WHEN page_id % 2 = 0 THEN replace(html, '<title>', '<meta name="description" content=" about '
+  || CAST(page_id AS VARCHAR) || ' &amp; more "><title>') ELSE html END AS body, CAST(page_id % 6 AS INTEGER) AS depth,
+  TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * page_id AS fetched_at FROM pages)"""
+
+
+def sql_decode(x: str) -> str:
+    for entity, char in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"),
+                         ("&amp;", "&")):
+        x = f"replace({x}, '{entity}', '{char}')"
+    return x
+
+
+def _sql_clean(body: str) -> str:
+    for pattern in (html.COMMENT, html.SCRIPT, html.STYLE):
+        body = f"regexp_replace({body}, {q(pattern)}, '', 'g')"
+    return body
+
+
+def _sql_first(pattern: str) -> str:
+    return sql_decode(f"nullif(regexp_extract(clean, {q(pattern)}, 1), '')")
+
+
+def extract_ctes(source: str = FETCHES_SQL) -> str:
+    """CTE ex: page_id, url, status, depth, fetched_at, clean, title, content, description."""
+    blanks = q(html.BLANKS)
+    pieces = (f"list_filter(list_transform(string_split(regexp_replace(clean, {q(html.TAG)}, chr(1), 'g'), chr(1)), "
+              f"lambda p: trim({sql_decode('p')}, {blanks})), lambda p: p <> '')")
+    meta = (f"list_filter(regexp_extract_all(clean, {q(html.META)}), lambda t: regexp_matches(t, {q(html.META_NAME)}))[1]")
+    return f"""c0 AS (SELECT *, {_sql_clean('body')} AS clean FROM {source} AS f),
+c1 AS (SELECT *, coalesce({_sql_first(html.TITLE)}, {_sql_first(html.HEADING)}, url) AS title,
+  list_aggregate({pieces}, 'string_agg', ' ') AS body_text,
+  regexp_extract({meta}, {q(html.META_CONTENT)}, 1) AS meta FROM c0),
+ex AS (SELECT * EXCLUDE (body_text, meta), ltrim(CASE WHEN starts_with(body_text, title)
+    THEN substring(body_text, length(title) + 1) ELSE body_text END, {blanks}) AS content,
+  coalesce(trim({sql_decode("trim(meta, '\"''')")}, {blanks}), '') AS description FROM c1)"""
+
+
+LINKS_CTES = f"""lh AS (SELECT url AS referrer, unnest(regexp_extract_all(clean, {q(html.HREF)}, 1)) AS href,
+  generate_subscripts(regexp_extract_all(clean, {q(html.HREF)}, 1), 1) - 1 AS n FROM ex),
+lk AS (SELECT referrer, CAST(n AS INTEGER) AS n, {sql_site('referrer')} || {sql_decode("trim(href, '\"''')")} AS url
+  FROM lh)"""
