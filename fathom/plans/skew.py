@@ -16,22 +16,32 @@ def hot_keys(df: DataFrame, keys: list[str], at_least: int = HOT_ROWS, most: int
     return counts.orderBy(F.desc("n_rows")).limit(most).select(*keys)
 
 
+def salt_big(big: DataFrame, keys: list[str], hot: DataFrame, salts: int = SALTS) -> DataFrame:
+    """Adds ``__salt``: a hash of the row for hot keys, 0 for others."""
+    spread = F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int")
+    marked = big.join(F.broadcast(hot.withColumn("__hot", F.lit(True))), keys, "left")
+    return marked.withColumn("__salt", F.when(F.col("__hot"), spread).otherwise(0)).drop("__hot")
+
+
+def salt_small(small: DataFrame, keys: list[str], hot: DataFrame, salts: int = SALTS) -> DataFrame:
+    """Repeats the rows of hot keys once per salt."""
+    every = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    marked = small.join(F.broadcast(hot.withColumn("__hot", F.lit(True))), keys, "left")
+    return marked.withColumn("__salt", F.explode(every)).drop("__hot")
+
+
 def skew_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", at_least: int = HOT_ROWS,
               salts: int = SALTS) -> DataFrame:
     """Equi-join whose left side may hold most of its rows under a few keys.
 
-    Rows of hot keys are spread over ``salts`` tasks by a hash of the row, and the matching rows of ``small`` are
-    repeated once per salt. ``small`` must hold few rows per key (it is a lookup side). Left, inner and semi joins keep
-    their meaning, as each row of ``big`` gets exactly one salt.
+    Rows of hot keys are spread over ``salts`` tasks, and the matching rows of ``small`` are repeated once per salt.
+    ``small`` must hold few rows per key (it is a lookup side). Each row of ``big`` gets exactly one salt, so inner,
+    left, semi and anti joins keep their meaning.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"not a join type that keeps the left side: {how}")
-    hot = F.broadcast(hot_keys(big, keys, at_least).withColumn("__hot", F.lit(True)))
-    spread = F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int")
-    left = big.join(hot, keys, "left").withColumn(
-        "__salt", F.when(F.col("__hot"), spread).otherwise(0)).drop("__hot")
-    every = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    right = small.join(hot, keys, "left").withColumn("__salt", F.explode(every)).drop("__hot")
+    hot = hot_keys(big, keys, at_least)
+    left, right = salt_big(big, keys, hot, salts), salt_small(small, keys, hot, salts)
     return left.join(right, [*keys, "__salt"], how).drop("__salt")
 
 
