@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("text_queries", "search_queries", "url_queries", "crawl_queries")
+_MODULES = ("text_queries", "search_queries", "url_queries", "crawl_queries", "stream_queries")
 
 
 def _merged(attribute: str) -> dict:

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from fathom.catalog import inputs as inp
 from fathom.catalog.inputs import FETCHES_SQL, NOW, START, q
 from fathom.functions import urls
-from fathom.operators import accounting, extract, graph, pages as pg, robots, submissions, url_filters
+from fathom.operators import pages as pg
+from fathom.operators import accounting, extract, graph, robots, search, submissions
+from fathom.operators.index import build_postings
 from fathom.plans.lineage import checkpoint_folder
 from fathom.sources import page_store, tables
 
@@ -212,8 +214,6 @@ def _folder(spark):
 
 def s6(spark, sf):
     """Write the index of the documents and read its dictionary back."""
-    from fathom.operators.index import build_postings
-
     path = tempfile.mktemp(prefix="index-", dir=_folder(spark))
     page_store.write_index(build_postings(inp.doc_pages(spark, sf), fields=("title", "content")), path, buckets=8)
     return page_store.read_index(spark, path).dictionary.select("field", "term", "df", "total_tf")
@@ -304,9 +304,8 @@ def a3(spark, sf):
 
 def q12(spark, sf):
     """Pages under a batch of site prefixes."""
-    pages = inp.table(spark, sf, "pages").withColumn("site", urls.site(F.col("url")))
-    wanted = pages.filter("page_id % 10 = 0").select("site").distinct()
-    return pages.join(wanted, "site", "left_semi").select("page_id", "url")
+    pages = inp.table(spark, sf, "pages")
+    return search.url_prefix(pages.filter("page_id % 10 = 0"), pages).select("page_id", "url")
 
 
 QUERIES = {

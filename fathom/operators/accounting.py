@@ -43,20 +43,20 @@ def bandwidth_running(log: DataFrame, start: Column, limit: int = config.BANDWID
         "seconds_left", F.floor(left / F.lit(1_000_000)))
 
 
-def _change() -> Column:
+def queue_change() -> Column:
     return F.when(F.col("kind") == "scheduled", 1).when(F.col("kind") == "dropped", -1).otherwise(0)
 
 
 def queue_totals(log: DataFrame) -> DataFrame:
     """Requests in the queue per host: scheduled minus dropped."""
-    return log.filter(F.col("kind").isin("scheduled", "dropped")).groupBy("netloc").agg(F.sum(_change()).alias("total"))
+    return log.filter(F.col("kind").isin("scheduled", "dropped")).groupBy("netloc").agg(F.sum(queue_change()).alias("total"))
 
 
 def queue_running(log: DataFrame, slot_s: int = SLOT_S) -> DataFrame:
     """The same after each event."""
     slot = F.floor(F.unix_seconds("ts") / F.lit(slot_s))
     events = log.filter(F.col("kind").isin("scheduled", "dropped"))
-    return running_sum(events, ["netloc"], slot, [F.col("ts"), F.col("id")], _change(), "total")
+    return running_sum(events, ["netloc"], slot, [F.col("ts"), F.col("id")], queue_change(), "total")
 
 
 def crawl_counts(pages: DataFrame, log: DataFrame) -> DataFrame:

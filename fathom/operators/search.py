@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.functions import text as tx
+from fathom.functions import urls
 from fathom.operators.index import BOOSTS, Index, make_index
 from fathom.operators.snippets import snippet_or_fallback, with_snippet
 
@@ -139,6 +140,12 @@ def exact_url(urls: DataFrame, pages: DataFrame) -> DataFrame:
     return pages.join(urls.select("url").distinct(), "url", "left_semi")
 
 
+def url_prefix(prefixes: DataFrame, pages: DataFrame) -> DataFrame:
+    """Pages of whole sites (scheme and authority); an equi-join instead of prefix tests."""
+    sites = prefixes.select(urls.site(F.col("url")).alias("__site")).distinct()
+    return pages.withColumn("__site", urls.site(F.col("url"))).join(sites, "__site", "left_semi").drop("__site")
+
+
 def phrase(terms: DataFrame, postings: DataFrame, field: str = "content") -> DataFrame:
     """Documents where the terms stand at consecutive positions, with the number of such places.
 

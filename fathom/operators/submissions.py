@@ -60,7 +60,7 @@ def _accepted_udf(limit: int):
     return accepted
 
 
-def _starts(chunks: Column, span: int) -> Column:
+def _starts(chunks: Column, first: Column, span: int) -> Column:
     """Fold over one client's stretches in time order: when each may accept. Stretches are few and carry only steps."""
     def follow(acc: Column, c: Column) -> Column:
         begin = c["chunk"] * span
@@ -69,14 +69,15 @@ def _starts(chunks: Column, span: int) -> Column:
         return F.struct(step["leave"].alias("may"), F.concat(
             acc["out"], F.array(F.struct(c["chunk"].alias("chunk"), may.alias("start")))).alias("out"))
 
-    zero = F.struct(F.lit(0).cast("bigint").alias("may"),
+    zero = F.struct(first.cast("bigint").alias("may"),
                     F.array().cast("array<struct<chunk:bigint,start:bigint>>").alias("out"))
     return F.aggregate(chunks, zero, follow, lambda acc: acc["out"])
 
 
-def rate_limit(subs: DataFrame, limit_s: int = config.RATE_LIMIT_S, drain_every_s: int | None = None) -> DataFrame:
+def rate_limit(subs: DataFrame, limit_s: int = config.RATE_LIMIT_S, drain_every_s: int | None = None,
+               last: DataFrame | None = None) -> DataFrame:
     """Adds ``accepted`` and ``wait_s``. Per client in time order, a row is rejected within ``limit_s`` of the last
-    accepted one; rejected rows do not count.
+    accepted one; rejected rows do not count. ``last`` (ip, last_timestamp) holds what was accepted before ``subs``.
 
     The rule is sequential, and one client may send most of the rows. So its time line is cut into stretches of a day;
     each stretch is summarised, in parallel, as a step function from "may accept from" to the same for the next. Only
@@ -84,6 +85,8 @@ def rate_limit(subs: DataFrame, limit_s: int = config.RATE_LIMIT_S, drain_every_
     most one per ``limit_s``), and rows join those by time slot.
     """
     epoch = F.lit(0) if drain_every_s is None else F.floor(F.col("timestamp") / F.lit(drain_every_s))
+    if last is not None and drain_every_s is not None:
+        raise ValueError("earlier rows and periodic drains exclude each other")
     if limit_s <= 0:
         return subs.withColumn("accepted", F.lit(True)).withColumn("wait_s", F.lit(0).cast("bigint"))
     span = limit_s * CHUNK_LIMITS
@@ -94,12 +97,18 @@ def rate_limit(subs: DataFrame, limit_s: int = config.RATE_LIMIT_S, drain_every_
     chunks = rows.groupBy(*who, F.floor(F.col("timestamp") / F.lit(span)).alias("chunk")).agg(
         F.sort_array(F.collect_set("timestamp")).alias("secs"))
     steps = chunks.select(*who, "chunk", _steps_udf(limit_s, span)("chunk", "secs").alias("steps"))
-    starts = steps.groupBy(*who).agg(F.sort_array(F.collect_list(F.struct("chunk", "steps"))).alias("c")).select(
-        *who, F.inline(_starts(F.col("c"), span)))
+    clients = steps.groupBy(*who).agg(F.sort_array(F.collect_list(F.struct("chunk", "steps"))).alias("c"))
+    if last is None:
+        clients = clients.withColumn("may", F.lit(0))
+    else:
+        clients = clients.join(last.select("ip", (F.col("last_timestamp") + limit_s).alias("may")), "ip", "left")
+    starts = clients.select(*who, F.inline(_starts(F.col("c"), F.coalesce("may", F.lit(0)), span)))
     accepted = chunks.join(starts, [*who, "chunk"]).select(
         *who, F.explode(_accepted_udf(limit_s)("start", "secs")).alias("at"))
     here = F.floor(F.col("at") / F.lit(limit_s))
-    slots = accepted.select(*who, "at", F.explode(F.array(here, here + 1)).alias("__slot"), here.alias("own")).groupBy(
+    known = accepted if last is None else accepted.unionByName(
+        last.select("ip", F.lit(0).cast("bigint").alias("__epoch"), F.col("last_timestamp").alias("at")))
+    slots = known.select(*who, "at", F.explode(F.array(here, here + 1)).alias("__slot"), here.alias("own")).groupBy(
         *who, "__slot").agg(F.max(F.when(F.col("__slot") == F.col("own"), F.col("at"))).alias("__cur"),
                             F.max(F.when(F.col("__slot") > F.col("own"), F.col("at"))).alias("__prev"))
     # The first row of each accepted second is the accepted one; it is found by its id, which spreads evenly.

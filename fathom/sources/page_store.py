@@ -104,10 +104,25 @@ def read_postings_of(spark: SparkSession, path: str, terms: DataFrame, buckets:
     return spark.read.parquet(f"{path}/postings").filter(F.col("term_bucket").isin(wanted)).drop("term_bucket")
 
 
-def merge_into_index(new: DataFrame, touched: DataFrame, path: str, version: str, buckets: int = BUCKETS) -> str:
-    """Write the index with the postings of changed pages replaced to a new folder, and return that folder."""
+def latest_index(spark: SparkSession, base: str) -> str | None:
+    """Newest finished index folder under ``base``."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(base)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return None
+    names = [s.getPath().getName() for s in fs.listStatus(folder)]
+    versions = sorted(int(n.removeprefix("version=")) for n in names if n.startswith("version="))
+    done = [f"{base}/version={v}" for v in versions if _exists(spark, f"{base}/version={v}/fields/_SUCCESS")]
+    return done[-1] if done else None
+
+
+def update_index(new: DataFrame, touched: DataFrame, base: str, version: int, buckets: int = BUCKETS) -> str:
+    """Write the index with the postings of changed pages replaced to a folder of its own; the old one stays whole."""
     spark = new.sparkSession
-    out = f"{path}__{version}"
-    merged = merge_postings(spark.read.parquet(f"{path}/postings").drop("term_bucket"), touched, new)
-    write_index(merged, out, buckets=buckets)
+    out, latest = f"{base}/version={version}", latest_index(spark, base)
+    if latest == out:
+        return out
+    if latest is not None:
+        new = merge_postings(spark.read.parquet(f"{latest}/postings").drop("term_bucket"), touched, new)
+    write_index(new, out, buckets=buckets)
     return out
