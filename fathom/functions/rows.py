@@ -42,15 +42,16 @@ def _running_in_blocks(arr: Column) -> Column:
     return let(in_groups(arr), over_groups)
 
 
-def prefix_sums(lens: Column, level: int = 0) -> Column:
-    """Sum of all earlier elements, for each element of ``array<int>``.
+def prefix_sums(lens: Column, first: Column | int = 0, level: int = 0) -> Column:
+    """``first`` plus the sum of all earlier elements, for each element of ``array<int>``.
 
     Appending to an accumulator copies it at each step, which is quadratic in the text length. Here sums run inside
     blocks of 16, then over blocks, so the work per element is constant.
     """
+    base = F.lit(first) if isinstance(first, int) else first
     if level == 2:
-        return let(lens, lambda a: F.transform(
-            a, lambda _, i: F.aggregate(F.slice(a, F.lit(1), i), F.lit(0), lambda x, y: x + y)))
+        return let(lens, lambda a: let(base, lambda b: F.transform(
+            a, lambda _, i: F.aggregate(F.slice(a, F.lit(1), i), b, lambda x, y: x + y))))
 
     def totals(running: Column) -> Column:
         n = F.size(running)
@@ -58,7 +59,7 @@ def prefix_sums(lens: Column, level: int = 0) -> Column:
         return F.transform(blocks, lambda b: F.get(running, F.least(b * 16 + 15, n - 1)))
 
     return let(lens, lambda a: let(_running_in_blocks(a), lambda running: let(
-        prefix_sums(totals(running), level + 1), lambda block_at: F.transform(
+        prefix_sums(totals(running), base, level + 1), lambda block_at: F.transform(
             a, lambda x, i: F.get(block_at, F.shiftright(i, 4)) + F.get(running, i) - x))))
 
 

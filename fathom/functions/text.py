@@ -6,6 +6,7 @@ Every step stays inside the row, so analysing a table needs no shuffle.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,18 +46,23 @@ def _fold_table() -> tuple[str, str]:
 FOLD_FROM, FOLD_TO = _fold_table()
 
 
-def _spans(text: Column, pattern: str, leading: str) -> Column:
-    """Matches of group 1 with their character offsets; ``pattern`` must tile the text after ``leading``."""
+def _with_starts(text: Column, pattern: str, leading: str, body: Callable[[Column, Column], Column]) -> Column:
+    """``body`` over the matches of group 1 and their start offsets; ``pattern`` must tile the text after ``leading``."""
     whole, wanted = (F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in (0, 1))
     lead = F.length(F.regexp_extract(text, leading, 0))
-    return let(wanted, lambda words: let(lead, lambda first: let(
-        prefix_sums(F.transform(whole, F.length)), lambda before: F.transform(
-            words, lambda w, i: F.struct(
-                i.alias("pos"),
-                (first + F.get(before, i)).alias("start"),
-                (first + F.get(before, i) + F.length(w)).alias("end"),
-                w.alias("text"),
-            )))))
+    return let(wanted, lambda words: let(
+        prefix_sums(F.transform(whole, F.length), lead), lambda starts: body(words, starts)))
+
+
+def _spans(text: Column, pattern: str, leading: str) -> Column:
+    """Matches of group 1 with position and character offsets."""
+    return _with_starts(text, pattern, leading, lambda words, starts: F.transform(
+        words, lambda w, i: _plain_token(i, F.get(starts, i), w)))
+
+
+def _plain_token(pos: Column, start: Column, text: Column) -> Column:
+    return F.struct(
+        pos.alias("pos"), start.alias("start"), (start + F.length(text)).alias("end"), text.alias("text"))
 
 
 def tokens(text: Column) -> Column:
@@ -119,44 +125,49 @@ def dedupe(toks: Column, offsets: bool = True) -> Column:
         lambda x: x["t"]))
 
 
-def distinct_variants(toks: Column, offsets: bool = True) -> Column:
-    """Same as :func:`dedupe` after :func:`with_variants`, with a short way for tokens that are a single part.
+def _new_variants(t: Column) -> Column:
+    """Variants of one token without repeats: only the joined form or a single part can repeat the token itself."""
+    return F.filter(variants(t), lambda v, i: (i == 0) | (v["text"] != t["text"]) | (v["start"] != t["start"])
+                    | (v["end"] != t["end"]))
 
-    With offsets, only the joined form or a single part can repeat the token; parts differ from each other.
-    """
-    def itself(t: Column) -> Column:
-        return F.array(_token(t["pos"], t["start"], t["end"], t["text"], "original"))
 
-    def new_ones(t: Column) -> Column:
-        if not offsets:
-            return variants(t, offsets)
-        return F.filter(variants(t), lambda v, i: (i == 0) | (v["text"] != t["text"]) | (v["start"] != t["start"])
-                        | (v["end"] != t["end"]))
+def fold_accents(term: Column) -> Column:
+    return F.translate(term, FOLD_FROM, FOLD_TO)
 
-    toks = F.flatten(F.transform(toks, lambda t: F.when(
-        t["text"].rlike(ONE_PART), itself(t)).otherwise(new_ones(t))))
-    return toks if offsets else dedupe(toks, offsets=False)
 
+def normal_term(text: Column) -> Column:
+    """Lower case without accents; pure ASCII (as many bytes as characters) needs no folding."""
+    lower = F.lower(text)
+    return F.when(F.octet_length(text) == F.length(text), lower).otherwise(fold_accents(lower))
 
-def fold_accents(term: Column) -> Column:
-    return F.translate(term, FOLD_FROM, FOLD_TO)
+
+def _normal(pos: Column, start: Column, end: Column, text: Column, kind: Column) -> Column:
+    return F.struct(pos.alias("pos"), start.alias("start"), end.alias("end"), normal_term(text).alias("term"),
+                    kind.alias("kind"))
 
 
 def normal_terms(toks: Column) -> Column:
-    """Lower-case and fold accents; both keep the length, so offsets stay true."""
-    return F.transform(toks, lambda t: F.struct(
-        t["pos"].alias("pos"), t["start"].alias("start"), t["end"].alias("end"),
-        fold_accents(F.lower(t["text"])).alias("term"), t["kind"].alias("kind")))
+    """The last steps for a whole token array; offsets stay those of the text."""
+    return F.transform(toks, lambda t: _normal(t["pos"], t["start"], t["end"], t["text"], t["kind"]))
 
 
-def analyzed(df: DataFrame, col: str, out: str, offsets: bool = True) -> DataFrame:
-    """Add ``out``: the analysed tokens of ``col``. ``offsets=False`` is for fields indexed without (titles).
+def _analysed(words: Column, starts: Column) -> Column:
+    """All steps in one pass. A token that is a single part, the common case, has no variant but itself."""
+    def one(w: Column, i: Column) -> Column:
+        start = F.get(starts, i)
+        itself = F.array(_normal(i, start, start + F.length(w), w, F.lit("original")))
+        return F.when(w.rlike(ONE_PART), itself).otherwise(
+            normal_terms(let(_plain_token(i, start, w), _new_variants)))
 
-    One step per projection keeps each expression small; Spark joins the projections again.
-    """
+    return F.flatten(F.transform(words, one))
+
+
+def analyzed(df: DataFrame, col: str, out: str, offsets: bool = True) -> DataFrame:
+    """Add ``out``: the analysed tokens of ``col``. ``offsets=False`` is for fields indexed without (titles)."""
     text = F.coalesce(F.col(col), F.lit(""))
-    df = df.withColumn(out, tokens(text) if offsets else tokens_without_offsets(text))
-    df = df.withColumn(out, distinct_variants(F.col(out), offsets))
+    if offsets:
+        return df.withColumn(out, _with_starts(text, TOKEN_AND_GAP, LEADING_GAP, _analysed))
+    df = df.withColumn(out, dedupe(with_variants(tokens_without_offsets(text), offsets), offsets))
     return df.withColumn(out, normal_terms(F.col(out)))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathom.functions import text as tx
+from fathom.plans.layout import spread
 
 
 def _rows(df: DataFrame, keep: list[str], toks: Column) -> DataFrame:
@@ -13,19 +14,19 @@ def _rows(df: DataFrame, keep: list[str], toks: Column) -> DataFrame:
 
 
 def tokenize(df: DataFrame, col: str, keep: list[str]) -> DataFrame:
-    return _rows(df, keep, tx.tokens(F.col(col)))
+    return _rows(spread(df), keep, tx.tokens(F.col(col)))
 
 
 def with_variants(df: DataFrame, col: str, keep: list[str]) -> DataFrame:
     """Every token with all its variants, repeats included."""
-    return _rows(df, keep, tx.with_variants(tx.tokens(F.col(col))))
+    return _rows(spread(df), keep, tx.with_variants(tx.tokens(F.col(col))))
 
 
 def dedupe_tokens(df: DataFrame, col: str, keep: list[str], offsets: bool = True) -> DataFrame:
     toks = tx.tokens(F.col(col)) if offsets else tx.tokens_without_offsets(F.col(col))
-    return _rows(df, keep, tx.dedupe(tx.with_variants(toks, offsets), offsets))
+    return _rows(spread(df), keep, tx.dedupe(tx.with_variants(toks, offsets), offsets))
 
 
 def analyze(df: DataFrame, col: str, keep: list[str], offsets: bool = True) -> DataFrame:
     """Analysed tokens; a text without words gives no rows."""
-    return _rows(tx.analyzed(df, col, "__toks", offsets), keep, F.col("__toks"))
+    return _rows(tx.analyzed(spread(df), col, "__toks", offsets), keep, F.col("__toks"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathom.functions import text as tx
+from fathom.plans.layout import spread
 from fathom.plans.lineage import cut_lineage
 from fathom.schemas import SHADOW_PREFIX
 
@@ -28,7 +29,7 @@ def build_postings(pages: DataFrame, key: str = "url",
     Terms are grouped inside the page's row, so nothing is shuffled. The field length rides along: scoring then needs
     no join with a table as large as the collection.
     """
-    df = pages.select(F.col(key).alias("doc"), *[F.col(f) for f in dict.fromkeys(fields)])
+    df = spread(pages.select(F.col(key).alias("doc"), *[F.col(f) for f in dict.fromkeys(fields)]))
     for f in fields:
         df = tx.analyzed(df, f, f, f.removeprefix(SHADOW_PREFIX) in WITH_OFFSETS)
         df = df.withColumn(f"{f}__len", F.size(f)).withColumn(f, tx.occurrences(F.col(f)))
