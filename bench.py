@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 import tempfile
 import time
 
@@ -42,6 +43,7 @@ def main() -> None:
     for name in NAMES:
         if not only or name in only:
             seconds[name] = timed(lambda: run(queries[name](spark, SF_DIR)))
+            print(name, seconds[name], file=sys.stderr, flush=True)
     if not only:
         # A stored index, built once and searched twice.
         pages, path = inputs.doc_pages(spark, SF_DIR), tempfile.mkdtemp(prefix="bench-index-")

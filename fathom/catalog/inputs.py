@@ -105,14 +105,14 @@ SCORES_CTES = """
 st AS (SELECT field, count(*) AS n_docs, avg(field_len) AS avg_len
   FROM (SELECT DISTINCT field, doc, field_len FROM po) GROUP BY field),
 dc AS (SELECT field, term, count(*) AS df FROM po GROUP BY field, term),
-sc0 AS (SELECT query_id, doc, count(*) AS matched, round(sum(
+sc0 AS (SELECT query_id, doc, count(*) AS matched, (sum(
     (CASE po.field WHEN 'title' THEN 1.5 WHEN 'url' THEN 0.5 ELSE 1.0 END)
     * ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2
-    / (tf + 1.2 * (0.25 + 0.75 * field_len / avg_len))), 6) AS score
+    / (tf + 1.2 * (0.25 + 0.75 * field_len / avg_len)))) AS score
   FROM qt JOIN po ON qt.term = po.term AND po.field = 'content' JOIN dc ON dc.term = po.term AND dc.field = po.field
   JOIN st ON st.field = po.field GROUP BY query_id, doc),
 tot AS (SELECT query_id, count(*) AS total FROM qt GROUP BY query_id),
-sc AS (SELECT query_id, doc, matched, round(score * (0.1 + 0.9 * matched / total), 6) AS score
+sc AS (SELECT query_id, doc, matched, round(score * (0.1::DOUBLE + 0.9::DOUBLE * matched / total), 6) AS score
   FROM sc0 JOIN tot USING (query_id))"""
 
 

@@ -17,7 +17,7 @@ PHRASES = [(1, "The the"), (2, "de la"), (3, "of the"), (4, "und"), (5, "in of t
 
 
 def _postings(spark, sf, fields=("content",)):
-    return index.build_postings(inp.doc_pages(spark, sf), fields=fields)
+    return index.build_frequencies(inp.doc_pages(spark, sf), fields=fields)
 
 
 def _index(spark, sf, fields=("content",)):
@@ -102,7 +102,7 @@ def q11(spark, sf):
 
 def q13(spark, sf):
     terms = search.phrase_terms(inp.queries_table(spark, PHRASES))
-    return search.phrase(terms, _postings(spark, sf))
+    return search.phrase(terms, index.build_postings(inp.doc_pages(spark, sf), fields=("content",)))
 
 
 def q14(spark, sf):
@@ -117,7 +117,8 @@ def q15(spark, sf):
     ix = _index(spark, sf, ("title", "content"))
     both = _terms(spark).select("query_id", "occur", F.explode(F.array(F.lit("title"), F.lit("content"))).alias("field"),
                                 "term")
-    return search.score_bm25f(search.match_any(both, ix.postings), ix.dictionary, ix.stats)
+    scores = search.score_bm25f(search.match_any(both, ix.postings), ix.dictionary, ix.stats)
+    return scores.withColumn("score", F.round("score", 6))
 
 
 def q16(spark, sf):
@@ -297,7 +298,7 @@ ORACLE = {
     "q14_valid_queries": """SELECT CAST(doc_id AS INTEGER) AS query_id, doc_id % 3 <> 0
         AND regexp_matches(text, '[\\p{L}\\p{N}_]') AS valid FROM documents""",
     "q15_score_bm25f": "WITH " + inp.postings_ctes(fields=("title", "content")) + f""",{_QT},{inp.SCORES_CTES.replace(
-        "AND po.field = 'content'", "")} SELECT query_id, doc, matched, score FROM sc0""",
+        "AND po.field = 'content'", "")} SELECT query_id, doc, matched, round(score, 6) AS score FROM sc0""",
     "q16_coord_bonus": f"{_RANKED} SELECT query_id, doc, matched, score FROM sc",
     "q17_search_page": f"{_RANKED}, {_page(2)} SELECT query_id, rn, doc, score FROM pg",
     "q17_page_past_end": f"{_RANKED}, {_page(60)} SELECT query_id, rn, doc, score FROM pg",

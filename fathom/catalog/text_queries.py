@@ -69,6 +69,10 @@ def i1(spark, sf):
     return _joined(index.build_postings(inp.doc_pages(spark, sf)))
 
 
+def i1_counts(spark, sf):
+    return index.build_frequencies(inp.doc_pages(spark, sf), fields=("title", "content", "description"))
+
+
 def i2(spark, sf):
     urls = index.exact_terms(inp.table(spark, sf, "pages"))
     return _joined(urls)
@@ -111,7 +115,8 @@ def i6(spark, sf):
 QUERIES = {
     "t1_tokenize": t1, "t2_strip_punct": t2, "t3_intraword": t3, "t4_with_variants": t4, "t5_dedupe_tokens": t5,
     "t5_dedupe_tokens_title": t5_title, "t6_lower": t6, "t7_fold_accents": t7, "t8_analyze": t8,
-    "i1_build_postings": i1, "i2_exact_terms": i2, "i3_doc_lengths": i3, "i3_field_stats": i3_fields,
+    "i1_build_postings": i1, "i1_build_frequencies": i1_counts,
+    "i2_exact_terms": i2, "i3_doc_lengths": i3, "i3_field_stats": i3_fields,
     "i4_term_stats": i4, "i5_merge_postings": i5, "i6_shadow_field": i6,
 }
 
@@ -143,6 +148,7 @@ ORACLE = {
     "t8_analyze": f"WITH {_DOC} SELECT doc AS doc_id, pos, start_char, end_char, term, kind FROM an",
     "i1_build_postings": f"WITH {_ALL} " + " UNION ALL ".join(
         f"({_postings_sql(f)})" for f in ("title", "content", "description")),
+    "i1_build_frequencies": f"WITH {_ALL} SELECT doc, field, term, tf, field_len FROM po",
     "i2_exact_terms": """SELECT url AS doc, 'url' AS field, url AS term, 1 AS tf, 1 AS field_len, '0' AS positions,
         '0-' || length(url) AS offsets FROM pages""",
     "i3_doc_lengths": f"WITH {_CONTENT} SELECT field, doc, sum(tf)::BIGINT AS field_len FROM po GROUP BY field, doc",

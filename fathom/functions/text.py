@@ -171,6 +171,21 @@ def analyzed(df: DataFrame, col: str, out: str, offsets: bool = True) -> DataFra
     return df.withColumn(out, normal_terms(F.col(out)))
 
 
+def term_list(df: DataFrame, col: str, out: str, offsets: bool = True) -> DataFrame:
+    """Add ``out``: only the terms of :func:`analyzed`, repeats included, where positions are not needed."""
+    if not offsets:
+        return analyzed(df, col, out, offsets).withColumn(out, F.transform(out, lambda t: t["term"]))
+
+    def one(w: Column) -> Column:
+        # Offsets inside the token tell its variants apart as well as offsets in the text.
+        several = let(_plain_token(F.lit(0), F.lit(0), w), _new_variants)
+        return F.when(w.rlike(ONE_PART), F.array(normal_term(w))).otherwise(
+            F.transform(several, lambda v: normal_term(v["text"])))
+
+    words = F.regexp_extract_all(F.coalesce(F.col(col), F.lit("")), F.lit(TOKEN_AND_GAP), F.lit(1))
+    return df.withColumn(out, F.flatten(F.transform(words, one)))
+
+
 def occurrences(toks: Column) -> Column:
     """Group one text's analysed tokens by term: ``array<struct<term,tf,positions,offsets>>``.
 

@@ -171,7 +171,7 @@ def score_bm25f(matches: DataFrame, dictionary: DataFrame, stats: DataFrame,
     # One row per index field: a fixed handful.
     matches = matches.join(F.broadcast(stats), "field")
     return matches.withColumn("weight", bm25_weight(boosts or BOOSTS)).groupBy(*KEYS).agg(
-        F.round(F.sum("weight"), 6).alias("score"), F.count("*").alias("matched"))
+        F.sum("weight").alias("score"), F.count("*").alias("matched"))
 
 
 def bm25_weight(boosts: dict[str, float]) -> Column:
@@ -187,7 +187,8 @@ def bm25_weight(boosts: dict[str, float]) -> Column:
 def coord_bonus(scores: DataFrame, terms: DataFrame, c: float = COORD) -> DataFrame:
     """Documents that match more of the query's terms rank higher; ``c = 0`` switches this off."""
     total = terms.filter("occur <> 'must_not'").groupBy("query_id").agg(F.count("*").alias("total"))
-    factor = (1 - c) + c * F.col("matched") / F.col("total")
+    factor = F.lit(round(1 - c, 9)) + c * F.col("matched") / F.col("total")
+    # Rounded once, so that equal texts tie whatever the order of their sums.
     return scores.join(total, "query_id").withColumn("score", F.round(F.col("score") * factor, 6)).drop("total")
 
 

@@ -26,26 +26,29 @@ def _accepted_from(secs: np.ndarray, start: int, limit: int) -> list[int]:
     return out
 
 
-def _steps(secs: np.ndarray, begin: int, end: int, limit: int) -> tuple[list[int], list[int]]:
+def _steps(secs: np.ndarray, begin: int, end: int, limit: int, anywhere: bool) -> tuple[list[int], list[int]]:
     """When the next stretch may accept, as a step function of when this one may.
 
-    ``leave[k]`` holds for a start in ``(upto[k-1], upto[k]]``. Starts after ``begin + limit`` do not occur.
+    ``leave[k]`` holds for a start in ``(upto[k-1], upto[k]]``. A start lies in the first ``limit`` seconds, unless it
+    comes from earlier data and may lie ``anywhere``; after the last ``upto`` nothing is accepted.
     """
     nxt = np.searchsorted(secs, secs + limit)
     leave = np.empty(len(secs), dtype=np.int64)
     for i in range(len(secs) - 1, -1, -1):
         leave[i] = leave[nxt[i]] if nxt[i] < len(secs) else max(secs[i] + limit, end)
-    head = int(np.searchsorted(secs, begin + limit))
-    upto = np.append(secs[:head], begin + limit)
-    leave = np.append(leave[:head], leave[head] if head < len(secs) else end)
+    upto = secs
+    if not anywhere:
+        head = int(np.searchsorted(secs, begin + limit))
+        upto = np.append(secs[:head], begin + limit)
+        leave = np.append(leave[:head], leave[head] if head < len(secs) else end)
     last = np.append(leave[1:] != leave[:-1], True)
     return upto[last].tolist(), leave[last].tolist()
 
 
-def _steps_udf(limit: int, span: int):
+def _steps_udf(limit: int, span: int, anywhere: bool):
     @F.pandas_udf(STEPS_TYPE)
     def steps(chunk: pd.Series, secs: pd.Series) -> pd.DataFrame:
-        rows = [_steps(np.asarray(s), c * span, (c + 1) * span, limit) for c, s in zip(chunk, secs)]
+        rows = [_steps(np.asarray(s), c * span, (c + 1) * span, limit, anywhere) for c, s in zip(chunk, secs)]
         return pd.DataFrame(rows, columns=["upto", "leave"])
 
     return steps
@@ -65,8 +68,8 @@ def _starts(chunks: Column, first: Column, span: int) -> Column:
     def follow(acc: Column, c: Column) -> Column:
         begin = c["chunk"] * span
         may = F.greatest(acc["may"], begin)
-        step = F.element_at(F.filter(F.arrays_zip(c["steps"]["upto"], c["steps"]["leave"]), lambda s: s["upto"] >= may), 1)
-        return F.struct(step["leave"].alias("may"), F.concat(
+        step = F.get(F.filter(F.arrays_zip(c["steps"]["upto"], c["steps"]["leave"]), lambda s: s["upto"] >= may), F.lit(0))
+        return F.struct(F.coalesce(step["leave"], may).alias("may"), F.concat(
             acc["out"], F.array(F.struct(c["chunk"].alias("chunk"), may.alias("start")))).alias("out"))
 
     zero = F.struct(first.cast("bigint").alias("may"),
@@ -96,7 +99,7 @@ def rate_limit(subs: DataFrame, limit_s: int = config.RATE_LIMIT_S, drain_every_
     # A second counts once per client, whatever the number of rows: at most ``span`` values per stretch.
     chunks = rows.groupBy(*who, F.floor(F.col("timestamp") / F.lit(span)).alias("chunk")).agg(
         F.sort_array(F.collect_set("timestamp")).alias("secs"))
-    steps = chunks.select(*who, "chunk", _steps_udf(limit_s, span)("chunk", "secs").alias("steps"))
+    steps = chunks.select(*who, "chunk", _steps_udf(limit_s, span, last is not None)("chunk", "secs").alias("steps"))
     clients = steps.groupBy(*who).agg(F.sort_array(F.collect_list(F.struct("chunk", "steps"))).alias("c"))
     if last is None:
         clients = clients.withColumn("may", F.lit(0))
@@ -115,10 +118,12 @@ def rate_limit(subs: DataFrame, limit_s: int = config.RATE_LIMIT_S, drain_every_
     firsts = rows.groupBy(*who, "timestamp").agg(F.min("id").alias("id")).join(
         accepted.withColumnRenamed("at", "timestamp"), [*who, "timestamp"]).select("id", F.lit(True).alias("__first"))
     seen = rows.join(slots, [*who, "__slot"], "left").join(firsts, "id", "left")
-    last = F.when(F.col("__cur") <= F.col("timestamp"), F.col("__cur")).otherwise(F.col("__prev"))
+    before = F.when(F.col("__cur") <= F.col("timestamp"), F.col("__cur")).otherwise(F.col("__prev"))
+    # A row older than what was accepted before has no predecessor here; it waits the full time.
+    since = F.coalesce(F.col("timestamp") - before, F.lit(0))
     ok = F.coalesce("__first", F.lit(False))
     return seen.select(*subs.columns, ok.alias("accepted"),
-                       F.when(ok, 0).otherwise(F.lit(limit_s) - (F.col("timestamp") - last)).cast("bigint").alias("wait_s"))
+                       F.when(ok, 0).otherwise(F.lit(limit_s) - since).cast("bigint").alias("wait_s"))
 
 
 def unique_pending(subs: DataFrame, col: str = "url", drain_every_s: int | None = None) -> DataFrame:
