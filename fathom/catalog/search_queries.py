@@ -315,8 +315,9 @@ ORACLE = {
         FROM fr GROUP BY doc""",
     "q21_snippets": f"""WITH {_PO}, {_DP}, {_MATCH}, {_SNIPPET}
         SELECT url, coalesce(snippet, '') AS snippet FROM dp LEFT JOIN sn ON sn.doc = dp.url""",
-    "q22_mark_and_escape": f"""SELECT url, '&lt;b&gt;<strong>' || {_esc("substring(content, 1, 6)")} || '</strong>' ||
-        {_esc("substring(content || '</b> & \"it''s\"', 7)")} AS marked FROM {inp.DOC_PAGES_SQL}""",
+    "q22_mark_and_escape": f"""SELECT url, '&lt;b&gt;<strong>' || {_esc("substring(body, 4, 6)")} || '</strong>' ||
+        {_esc("substring(body, 10)")} AS marked
+        FROM (SELECT url, '<b>' || content || '</b> & "it''s"' AS body FROM {inp.DOC_PAGES_SQL})""",
     "q23_snippet_or_fallback": f"""SELECT url, coalesce(nullif(CASE WHEN depth = 1 THEN title ELSE '' END, ''),
         nullif(description, ''), substring(content, 1, 170)) AS snippet FROM {inp.DOC_PAGES_SQL}""",
     "q24_search": f"""{_RANKED}, {_DP}, {_page(1)}, {_HIT_MATCH}, {_SNIPPET}

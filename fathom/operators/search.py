@@ -1,8 +1,8 @@
 """Ranked search for a whole table of queries.
 
 Shapes: ``terms`` (query_id, occur, field, term); ``matches`` (query_id, doc, field, term, tf, field_len);
-``scores`` (query_id, doc, score). No side is broadcast by hint: Spark turns a join into a broadcast join where the
-measured size of a side is small.
+``scores`` (query_id, doc, score). A side is broadcast by hint only after its rows were counted; else Spark turns a join
+into a broadcast join where it measures a small side.
 """
 
 from __future__ import annotations
@@ -14,9 +14,12 @@ from fathom.functions import text as tx
 from fathom.functions import urls
 from fathom.operators.index import BOOSTS, Index, make_index
 from fathom.operators.snippets import snippet_or_fallback, with_snippet
+from fathom.plans.skew import HOT_KEYS, HOT_ROWS, salt_big, salt_small
 
 K1, B, COORD = 1.2, 0.75, 0.9
 PAGE_LEN = 10
+# Most rows of a table of hits or terms that is broadcast; larger ones are shuffled.
+SMALL_ROWS = 100_000
 KEYS = ["query_id", "doc"]
 
 
@@ -151,9 +154,9 @@ def phrase(terms: DataFrame, postings: DataFrame, field: str = "content") -> Dat
 
     Each occurrence votes for the position where its phrase would start; no pairs of positions are formed.
     """
-    places = postings.filter(F.col("field") == field).select(
-        "term", "doc", F.explode(F.array_distinct("positions")).alias("pos"))
-    votes = terms.join(places, "term").groupBy("query_id", "doc", (F.col("pos") - F.col("i")).alias("at")).agg(
+    found = terms.join(postings.filter(F.col("field") == field).select("term", "doc", "positions"), "term")
+    places = found.select("query_id", "doc", "i", "n", F.explode(F.array_distinct("positions")).alias("pos"))
+    votes = places.groupBy("query_id", "doc", (F.col("pos") - F.col("i")).alias("at")).agg(
         F.count("*").alias("votes"), F.max("n").alias("n"))
     return votes.filter("votes = n").groupBy(*KEYS).agg(F.count("*").alias("places"))
 
@@ -236,11 +239,22 @@ def find_unscored(pages: DataFrame, where: Column, limit: int | None = None) ->
 
 # ---- whole search ---------------------------------------------------------------------------------------------------
 
-def rank(terms: DataFrame, postings: DataFrame, dictionary: DataFrame, stats: DataFrame, c: float = COORD) -> DataFrame:
-    """Scores of all documents that satisfy the clauses."""
-    weighed = terms.join(dictionary.select("field", "term", "df"), ["field", "term"])
-    hits = weighed.filter("occur <> 'must_not'").join(
-        postings.select("field", "term", "doc", "tf", "field_len"), ["field", "term"])
+def rank(terms: DataFrame, postings: DataFrame, dictionary: DataFrame, stats: DataFrame, c: float = COORD,
+         small: bool = False) -> DataFrame:
+    """Scores of all documents that satisfy the clauses.
+
+    ``small`` says that the number of terms was counted and is low: they are then broadcast and the postings stay where
+    they are. Else both sides are shuffled by term, with the postings of very frequent terms (known from the
+    dictionary) spread over salts.
+    """
+    weighed = terms.filter("occur <> 'must_not'").join(dictionary.select("field", "term", "df"), ["field", "term"])
+    read = postings.select("field", "term", "doc", "tf", "field_len")
+    if small:
+        hits = F.broadcast(weighed).join(read, ["field", "term"])
+    else:
+        key = ["field", "term"]
+        hot = dictionary.filter(F.col("df") >= HOT_ROWS).orderBy(F.desc("df")).limit(HOT_KEYS).select(*key)
+        hits = salt_small(weighed, key, hot).join(salt_big(read, key, hot), [*key, "__salt"]).drop("__salt")
     return coord_bonus(score_bm25f(hits, dictionary, stats), terms, c)
 
 
@@ -254,7 +268,9 @@ def search(queries: DataFrame, pages: DataFrame, pagenum: int = 1, pagelen: int
     index = index or make_index(pages, key, ("content",))
     asked = valid_queries(queries, text).filter("valid").drop("valid")
     terms = query_terms(asked, text)
-    scores = rank(terms, index.postings, index.dictionary, index.stats, c)
+    # Each query with hits has a term, so there are at most ``pagelen`` hits per term.
+    small = terms.count() * pagelen <= SMALL_ROWS
+    scores = rank(terms, index.postings, index.dictionary, index.stats, c, small)
     if "occur" in queries.columns:
         scores = scores.join(match_clauses(terms, index.postings), KEYS, "left_semi")
     hits = search_page(scores, pagenum, pagelen)
@@ -264,7 +280,8 @@ def search(queries: DataFrame, pages: DataFrame, pagenum: int = 1, pagelen: int
     else:
         words = terms.filter("occur <> 'must_not'").groupBy("query_id").agg(F.collect_set("term").alias("terms"))
     text_of = pages.withColumnRenamed(key, "doc").select("doc", "title", "depth", "content", "description")
-    shown = hits.join(words, "query_id").join(text_of, "doc")
+    hits = hits.join(words, "query_id")
+    shown = (F.broadcast(hits) if small else hits).join(text_of, "doc")
     return with_snippet(shown, "content", "terms", "snippet", strict_phrase=strict_phrase).select(
         "query_id", "rn", F.col("doc").alias("url"), "title", "depth",
         snippet_or_fallback(F.col("snippet"), F.col("description"), F.col("content")).alias("snippet"), "score")
