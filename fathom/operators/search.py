@@ -240,7 +240,7 @@ def find_unscored(pages: DataFrame, where: Column, limit: int | None = None) ->
 # ---- whole search ---------------------------------------------------------------------------------------------------
 
 def rank(terms: DataFrame, postings: DataFrame, dictionary: DataFrame, stats: DataFrame, c: float = COORD,
-         small: bool = False) -> DataFrame:
+         small: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Scores of all documents that satisfy the clauses.
 
     ``small`` says that the number of terms was counted and is low: they are then broadcast and the postings stay where
@@ -253,7 +253,7 @@ def rank(terms: DataFrame, postings: DataFrame, dictionary: DataFrame, stats: Da
         hits = F.broadcast(weighed).join(read, ["field", "term"])
     else:
         key = ["field", "term"]
-        hot = dictionary.filter(F.col("df") >= HOT_ROWS).orderBy(F.desc("df")).limit(HOT_KEYS).select(*key)
+        hot = dictionary.filter(F.col("df") >= hot_rows).orderBy(F.desc("df")).limit(HOT_KEYS).select(*key)
         hits = salt_small(weighed, key, hot).join(salt_big(read, key, hot), [*key, "__salt"]).drop("__salt")
     return coord_bonus(score_bm25f(hits, dictionary, stats), terms, c)
 

@@ -9,6 +9,7 @@ from fathom.functions import html, urls
 from fathom.functions import text as tx
 from fathom.operators import analysis, extract, graph, robots, search, snippets, submissions, url_filters
 from fathom.operators import pages as pg
+from fathom.operators.index import make_index
 from fathom.plans import skew
 from fathom.schemas import PAGE, SchemaMismatch, check_schema
 from fathom.sources import page_store, tables
@@ -123,6 +124,30 @@ def test_totals(spark):
     assert [r.rn for r in search.search_page(scores, 9).orderBy("rn").collect()] == [21, 22, 23]
 
 
+def test_ranking_spreads_frequent_terms(spark):
+    """Broadcast terms, shuffled terms, and shuffled terms with every term salted give the same scores."""
+    rng = random.Random(7)
+    rows = [(f"d{i}", " ".join(rng.choices("the a cat dog wi-fi X1".split(), k=rng.randint(1, 30)))) for i in range(120)]
+    pages = spark.createDataFrame(rows, "url string, content string")
+    ix = make_index(pages, fields=("content",))
+    terms = search.query_terms(spark.createDataFrame([(1, "the wi-fi"), (2, "x1 dog nothing")], "query_id int, q string"))
+    ways = [search.rank(terms, ix.postings, ix.dictionary, ix.stats, **how).select("query_id", "doc", "score", "matched")
+            for how in ({"small": True}, {}, {"hot_rows": 1})]
+    results = [sorted(map(tuple, w.collect())) for w in ways]
+    assert len(results[0]) > 100 and results[0] == results[1] == results[2]
+
+
+def test_wildcards(spark):
+    dictionary = spark.createDataFrame([("content", t) for t in ("cat", "cart", "c.t", "act", "dog")], "field string, term string")
+    patterns = spark.createDataFrame([(1, "content", "c?t"), (2, "content", "*t"), (3, "content", "c.t"),
+                                      (4, "content", "*"), (5, "content", "car*")], "query_id int, field string, pattern string")
+    found = {}
+    for r in search.wildcard_terms(patterns, dictionary).collect():
+        found.setdefault(r.query_id, set()).add(r.term)
+    assert found == {1: {"cat", "c.t"}, 2: {"cat", "cart", "c.t", "act"}, 3: {"c.t"},
+                     4: {"cat", "cart", "c.t", "act", "dog"}, 5: {"cart"}}
+
+
 def test_snippet(spark):
     body = "x" * 40 + " the <cat> & wi-fi " + "y" * 300 + " the end"
     df = spark.createDataFrame([(body, ["the", "wi", "wi-fi"])], "content string, words array<string>")
