@@ -17,7 +17,7 @@ from fathom.sources import page_store
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-NAMES = ["t8_analyze", "i1_build_postings", "q24_search", "q13_phrase", "q9_wildcard_terms", "e8_extract_pages",
+NAMES = ["i1_build_postings", "q24_search", "q13_phrase", "q9_wildcard_terms", "e8_extract_pages",
          "g1_link_edges", "g2_intra_site_depth", "g8_robots_allowed", "g12_robots_as_of", "p1_upsert_pages",
          "p2_collapse_fetches", "b1_rate_limit", "b3_submit_urls", "a1_bandwidth_running", "a2_queue_running"]
 
