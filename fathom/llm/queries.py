@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.llm import bpe, decontam, linededup, neardup, quality
+from fathom.llm import bpe, decontam, linededup, lmscore, neardup, packing, quality
 from fathom.llm.shared import table
 
 
@@ -28,12 +28,20 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.scored(table(spark, sf_dir, "documents"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = linededup.without_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", F.col("__removed").alias("n_removed"), F.md5("__text").alias("text_md5"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_quality, op3_near_duplicates, op5_decontamination, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_quality, op3_near_duplicates, op5_decontamination, op8_lm_score, op9_packing, op10_line_dedup)}
 
 ORACLE = {
     "op10_line_dedup": """
