@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.llm import bpe, decontam, linededup, lmscore, neardup, packing, quality
+from fathom.llm import bpe, decontam, hamming, licenses, linededup, lmscore, neardup, packing, quality, secrets
 from fathom.llm.shared import table
 
 
@@ -24,10 +24,24 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest sign codes of every row whose id is divisible by 20, among all rows."""
+    codes = hamming.sign_codes(table(spark, sf_dir, "embeddings"))
+    return hamming.nearest(codes, codes.filter(F.col("id") % 20 == 0))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.scored(table(spark, sf_dir, "documents"))
 
@@ -41,9 +55,17 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.col("__removed").alias("n_removed"), F.md5("__text").alias("text_md5"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_quality, op3_near_duplicates, op5_decontamination, op8_lm_score, op9_packing, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_quality, op3_near_duplicates, op4_top_k, op5_decontamination, op6_licenses,
+                                op7_secrets, op8_lm_score, op9_packing, op10_line_dedup)}
 
 ORACLE = {
+    "op4_top_k": """
+        WITH codes AS (SELECT DISTINCT vec_id, [x > 0 FOR x IN embedding] AS bits FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) = 64),
+        pairs AS (SELECT q.vec_id AS query_id, v.vec_id AS neighbour_id,
+                         CAST(len(list_filter(range(1, 65), lambda i: coalesce(q.bits[i], false) <> coalesce(v.bits[i], false))) AS INTEGER) AS distance
+                  FROM codes q JOIN codes v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0),
+        ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbour_id) AS INTEGER) AS rank FROM pairs)
+        SELECT query_id, rank, neighbour_id, distance FROM ranked WHERE rank <= 10""",
     "op10_line_dedup": """
         WITH texts AS (SELECT doc_id, text, md5(text) AS of, string_split(text, chr(10)) AS lines FROM documents),
         starts AS (SELECT doc_id, of, [trim(x) FOR x IN lines] AS lines, unnest(range(greatest(len(lines) - 2, 1))) AS line
