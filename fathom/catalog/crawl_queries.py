@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -15,10 +15,12 @@ from fathom.operators.index import build_postings
 from fathom.plans.lineage import checkpoint_folder
 from fathom.sources import page_store, tables
 
+QUIET = "https://m.tionsh.example.net"  # its group for the crawler has a delay only, so the crawler may go anywhere
 SITES = ["http://ththin.example.com", "https://www.therwh.example.org", "https://blog.tionsh.example.net"]
 RULES = [(SITES[0], "*", False, "/en/"), (SITES[0], "*", True, "/en/9"), (SITES[0], "bot", True, "/"),
          (SITES[1], "crawler", False, "/*/2"), (SITES[1], "*", False, "/"), (SITES[2], "*", False, "/*e"),
-         (SITES[2], "*", False, "/de"), (SITES[2], "*", True, "/en/*1$"), (SITES[2], "*", False, "")]
+         (SITES[2], "*", False, "/de"), (SITES[2], "*", True, "/en/*1$"), (SITES[2], "*", False, ""),
+         (QUIET, "crawler", None, None), (QUIET, "*", False, "/")]
 AGENT = "My-Crawler/1.0"
 # What the rules above say for the agent, as one test per URL path.
 _RULES_SQL = f"""CASE {inp.sql_site('url')} WHEN {q(SITES[0])} THEN NOT (starts_with(path, '/en/')
@@ -84,7 +86,7 @@ def g6(spark, sf):
 
 ROBOTS_TEXT = """'User-agent: A' || chr(10) || 'user-agent: bot' || page_id % 3 || chr(10) || 'Disallow: /x' || page_id
   || ' # why' || chr(13) || chr(10) || 'Allow: /' || chr(10) || 'Sitemap: /s' || chr(10) || chr(10) || 'User-agent: *'
-  || chr(10) || 'Crawl-delay: 2.5' || chr(10) || 'Disallow:'"""
+  || chr(10) || 'Crawl-delay: 2.5' || chr(10) || 'Disallow:' || chr(10) || 'User-agent: slow' || chr(10) || 'Crawl-delay: 9'"""
 
 
 def g7(spark, sf):
@@ -146,12 +148,12 @@ _BATCH_SQL = f"""(SELECT CASE WHEN page_id % 5 = 0 THEN url || '#new' ELSE url E
   FROM pages WHERE page_id % 3 = 0)"""
 
 
-def _upsert_sql(known_dead: str = "n.at") -> str:
+def _upsert_sql(known_dead: str = "n.at", depth: str = "least(o.depth, n.depth)", title: str = "n.title") -> str:
     return f"""WITH {inp.extract_ctes()}, o AS (SELECT *, CASE WHEN status >= 400 THEN fetched_at END AS dead_since FROM ex),
         n AS {_BATCH_SQL}
         SELECT coalesce(o.url, n.url) AS url,
-          CASE WHEN n.url IS NULL OR (o.url IS NOT NULL AND dead) THEN o.depth ELSE least(o.depth, n.depth) END AS depth,
-          CASE WHEN n.url IS NULL OR (o.url IS NOT NULL AND dead) THEN o.title ELSE n.title END AS title,
+          CASE WHEN n.url IS NULL OR (o.url IS NOT NULL AND dead) THEN o.depth ELSE {depth} END AS depth,
+          CASE WHEN n.url IS NULL OR (o.url IS NOT NULL AND dead) THEN o.title ELSE {title} END AS title,
           CASE WHEN n.url IS NULL OR (o.url IS NOT NULL AND dead) THEN o.content ELSE n.content END AS content,
           CASE WHEN n.url IS NULL OR (o.url IS NOT NULL AND dead) THEN o.description ELSE n.description END AS description,
           coalesce(fetched_at, n.at) AS created_at, coalesce(n.at, fetched_at) AS last_updated,
@@ -171,7 +173,7 @@ def p4(spark, sf):
     """Other choices per field: the larger depth, the longer title."""
     longer = lambda a, b: F.when(F.length(a) >= F.length(b), a).otherwise(b)
     merged = pg.upsert_pages(_records(spark, sf), _batch(spark, sf), {"depth": F.greatest, "title": longer})
-    return merged.select("url", "depth", "title")
+    return merged
 
 
 def _event_fetches(spark, sf):
@@ -201,22 +203,24 @@ def s1(spark, sf):
 
 def s4(spark, sf):
     """Write the pages, upsert a batch into the stored table, read it back."""
-    path = tempfile.mktemp(prefix="pages-", dir=_folder(spark))
+    path = new_folder(spark, "pages")
     page_store.write_pages(_records(spark, sf), path, buckets=8)
-    page_store.upsert_into(_batch(spark, sf), path, 1, buckets=8)
+    page_store.upsert_into(_batch(spark, sf), path)
     return page_store.read_pages(spark, path)
 
 
-def _folder(spark):
-    """The checkpoint folder; Spark keeps it on storage that all executors share."""
-    return checkpoint_folder(spark).removeprefix("file:")
+def new_folder(spark, name):
+    """Name of a folder, not made yet, in the checkpoint folder, which all executors share."""
+    return f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def s6(spark, sf):
-    """Write the index of the documents and read its dictionary back."""
-    path = tempfile.mktemp(prefix="index-", dir=_folder(spark))
+    """Write the index of the documents; read postings and dictionary back."""
+    path = new_folder(spark, "index")
     page_store.write_index(build_postings(inp.doc_pages(spark, sf), fields=("title", "content")), path, buckets=8)
-    return page_store.read_index(spark, path).dictionary.select("field", "term", "df", "total_tf")
+    ix = page_store.read_index(spark, path)
+    return ix.postings.select("field", "term", "doc", "tf", "field_len").join(
+        ix.dictionary.select("field", "term", "df", "total_tf"), ["field", "term"])
 
 
 SUB_URL = "CASE WHEN event_id % 13 = 0 THEN 'no url' ELSE 'http://H' || (event_id % 50) || '.geek/x' END"
@@ -358,7 +362,7 @@ ORACLE = {
           SELECT url, unnest(['a', 'bot' || page_id % 3]) AS agent, page_id FROM pages) p,
           (VALUES (false, '/x'), (true, '/')) AS v(allow, pattern),
           LATERAL (SELECT v.allow, CASE WHEN v.allow THEN '/' ELSE '/x' || page_id END AS pattern) r
-        UNION ALL SELECT url, '*', false, '', 2.5 FROM pages""",
+        UNION ALL SELECT url, '*', false, '', 2.5 FROM pages UNION ALL SELECT url, 'slow', NULL, NULL, 9 FROM pages""",
     "g8_robots_allowed": f"SELECT page_id, url, {_RULES_SQL} AS allowed FROM {_PATHS}",
     "g9_purge_disallowed": f"""SELECT page_id, url FROM {_PATHS} WHERE {_RULES_SQL}
         OR {inp.sql_site('url')} = {q(SITES[0])}""",
@@ -382,17 +386,16 @@ ORACLE = {
           max(props) FILTER (pick = 1) AS content, max(event_type) FILTER (pick = 1) AS description,
           min(ts) AS created_at, max(ts) AS last_updated, CASE WHEN arg_max(alive, rn) THEN NULL ELSE max(ts) END AS dead_since,
           bool_or(alive) AS has_alive, min(depth) FILTER (alive) AS alive_depth FROM r GROUP BY url""",
-    "p4_policies": f"""WITH {inp.extract_ctes()}, n AS {_BATCH_SQL} SELECT coalesce(ex.url, n.url) AS url,
-        CASE WHEN n.url IS NULL OR (ex.url IS NOT NULL AND dead) THEN ex.depth ELSE greatest(ex.depth, n.depth) END AS depth,
-        CASE WHEN n.url IS NULL OR (ex.url IS NOT NULL AND (dead OR length(ex.title) >= length(n.title))) THEN ex.title
-          ELSE n.title END AS title FROM ex FULL JOIN n ON ex.url = n.url""",
+    "p4_policies": _upsert_sql(depth="greatest(o.depth, n.depth)", title="""CASE WHEN o.url IS NOT NULL
+          AND length(o.title) >= length(n.title) THEN o.title ELSE n.title END"""),
     "p5_delete_pages": "SELECT page_id, url FROM pages WHERE page_id % 4 <> 1",
     "s1_scan_pages": "SELECT page_id, url FROM pages WHERE starts_with(url, 'https://')",
     "s3_read_submissions": f"SELECT id, url, ip, t AS timestamp FROM {_SUBS_SQL}",
     "s4_write_pages": _upsert_sql(),
     "s5_drain_submissions": f"SELECT id, url FROM {_SUBS_SQL} WHERE t >= 1705000000",
-    "s6_write_index": f"""WITH {inp.postings_ctes(fields=('title', 'content'))} SELECT field, term, count(*) AS df,
-        sum(tf)::BIGINT AS total_tf FROM po GROUP BY field, term""",
+    "s6_write_index": f"""WITH {inp.postings_ctes(fields=('title', 'content'))} SELECT field, term, doc, tf,
+        CAST(field_len AS INTEGER) AS field_len, count(*) OVER (PARTITION BY field, term) AS df,
+        CAST(sum(tf) OVER (PARTITION BY field, term) AS BIGINT) AS total_tf FROM po""",
     "b1_rate_limit": f"WITH {_limit_sql(7200, _SUBS_SQL)} SELECT id, ip, accepted, wait_s FROM lim JOIN sub USING (id)",
     "b1_rate_limit_drained": f"WITH {_limit_sql(3600, _SUBS_SQL, 5400)} SELECT id, accepted, wait_s FROM lim",
     "b2_unique_pending": f"""SELECT id, url, row_number() OVER (PARTITION BY url ORDER BY t, id) > 1 AS duplicate

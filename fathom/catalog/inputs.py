@@ -42,6 +42,8 @@ QUERIES_SQL = values(QUERIES, "query_id, q")
 # ---- documents as page records ---------------------------------------------------------------------------------------
 
 def doc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page records from ``documents``. There is no title in the table: the field is derived as the text's first 60
+    characters; the content is the whole text."""
     d = table(spark, sf_dir, "documents")
     return d.select(
         F.concat(F.lit("http://"), "source", F.lit(".geek/"), F.col("doc_id").cast("string")).alias("url"),
@@ -138,8 +140,9 @@ def sql_canonical(u: str) -> str:
     pairs = (f"list_sort(list_transform(list_filter(string_split({query}, '&'), lambda a: a <> ''), lambda a: "
              "{'k': split_part(a, '=', 1), 'v': CASE WHEN contains(a, '=') THEN substring(a, instr(a, '=') + 1) ELSE '' END}))")
     joined = f"list_aggregate(list_transform({pairs}, lambda p: p.k || '=' || p.v), 'string_agg', '&')"
-    return (f"(lower({sql_part(e, 1)}) || '://' || lower({sql_part(e, 2)}) || CASE {sql_part(e, 3)} WHEN '' THEN '/' ELSE "
-            f"{sql_part(e, 3)} END || CASE {query} WHEN '' THEN '' ELSE '?' || coalesce({joined}, '') END)")
+    placed = f"regexp_matches({e}, '^[^:/?#]+://')"
+    return (f"(lower({sql_part(e, 1)}) || CASE WHEN {placed} THEN '://' WHEN {sql_part(e, 1)} = '' THEN '' ELSE ':' END "
+            f"|| lower({sql_part(e, 2)}) || CASE WHEN {placed} AND {sql_part(e, 3)} = '' THEN '/' ELSE {sql_part(e, 3)} END || CASE {query} WHEN '' THEN '' ELSE '?' || coalesce({joined}, '') END)")
 
 
 def sql_label(u: str) -> str:

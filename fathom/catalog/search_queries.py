@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fathom.catalog import inputs as inp
+from fathom.catalog.crawl_queries import new_folder
 from fathom.operators import index, search, snippets
+from fathom.sources import page_store
 
 CLAUSES = [(1, "must", "content", "the"), (1, "must_not", "content", "thion"), (1, "should", "content", "worthless"),
            (2, "should", "content", "la le"), (2, "must_not", "content", "qui"), (3, "must", "content", "und der"),
@@ -28,14 +30,9 @@ def _terms(spark, rows=None, schema="query_id int, q string"):
     return search.query_terms(inp.queries_table(spark, rows, schema))
 
 
-def _some(spark, ids):
-    """The terms of some of the queries, all asked as query 1 (operands of set operators)."""
-    terms = _terms(spark, [r for r in inp.QUERIES if r[0] in ids])
-    return terms.withColumn("query_id", F.lit(1)).distinct()
-
-
-def _scores(spark, sf, ids, ix):
-    return search.rank(_some(spark, ids), ix.postings, ix.dictionary, ix.stats)
+def _next(df, by):
+    """The rows of another query, as the second operand of a set operator."""
+    return df.withColumn("query_id", (F.col("query_id") + by) % 7 + 1)
 
 
 def _all_scores(spark, sf):
@@ -46,7 +43,7 @@ def _all_scores(spark, sf):
 def q1(spark, sf):
     clauses = _terms(spark, CLAUSES, CLAUSE_SCHEMA)
     docs = inp.table(spark, sf, "documents").select(
-        F.col("doc_id").cast("int").alias("query_id"), F.substring("text", 1, 80).alias("q"))
+        F.col("doc_id").cast("int").alias("query_id"), F.col("text").alias("q"))
     return clauses.unionByName(search.query_terms(docs).withColumn("query_id", F.col("query_id") + 1000))
 
 
@@ -63,19 +60,17 @@ def q4(spark, sf):
 
 
 def q4_sets(spark, sf):
-    postings = _index(spark, sf).postings
-    hits = search.match_any(_some(spark, (1,)), postings).select("query_id", "doc").distinct()
-    plus = search.match_all(_some(spark, (7,)), postings)
-    minus = search.match_any(_some(spark, (3,)), postings)
-    return search.require_prohibit(hits.unionByName(search.match_any(_some(spark, (2,)), postings).select(
-        "query_id", "doc")).distinct(), plus, minus)
+    postings, terms = _index(spark, sf).postings, _terms(spark)
+    hits = search.match_any(terms, postings).select("query_id", "doc").distinct()
+    plus, minus = search.match_any(_next(terms, 1), postings), search.match_all(_next(terms, 3), postings)
+    return search.require_prohibit(hits, plus, minus)
 
 
 def _pair(op):
     def run(spark, sf):
-        ix = _index(spark, sf)
-        out = op(_scores(spark, sf, (1,), ix), _scores(spark, sf, (6,), ix))
-        return out.select("query_id", "doc", F.round("score", 5).alias("score"))
+        scores = _all_scores(spark, sf)
+        out = op(scores, _next(scores, 1))
+        return out.select("query_id", "doc", F.round("score", 6).alias("score"))
     return run
 
 
@@ -181,6 +176,22 @@ def q24(spark, sf):
     return search.search(inp.queries_table(spark), inp.doc_pages(spark, sf))
 
 
+def stored_search(spark, sf, pagenum=1):
+    """Pages and index stored first; then only the partitions of the queries' terms and of the hits are read."""
+    pages, place = inp.doc_pages(spark, sf), new_folder(spark, "search")
+    at = F.lit(inp.NOW).cast("timestamp")
+    page_store.write_pages(pages.select("url", "depth", "title", "content", "description", at.alias("created_at"),
+                                        at.alias("last_updated"), F.lit(None).cast("timestamp").alias("dead_since")),
+                           f"{place}/pages", buckets=8)
+    page_store.write_index(index.build_postings(pages, fields=("content",)), f"{place}/index", buckets=16)
+    return search.search(inp.queries_table(spark), lambda keys: page_store.read_pages_of(spark, f"{place}/pages", keys),
+                         pagenum, index=page_store.read_index(spark, f"{place}/index"))
+
+
+def stored_page_2(spark, sf):
+    return stored_search(spark, sf, 2)
+
+
 QUERIES = {
     "q1_query_terms": q1, "q2_match_any": q2, "q3_match_all": q3, "q4_clauses": q4, "q4_require_prohibit": q4_sets,
     "q5_and_not": _pair(search.and_not), "q6_and_maybe": _pair(search.and_maybe), "q7_require": _pair(search.require),
@@ -189,6 +200,7 @@ QUERIES = {
     "q15_score_bm25f": q15, "q16_coord_bonus": q16, "q17_search_page": q17, "q17_page_past_end": q17_past,
     "q18_page_totals": q18, "q19_result_numbers": q19, "q20_find_unscored": q20, "q21_first_fragment": q21_first,
     "q21_snippets": q21, "q22_mark_and_escape": q22, "q23_snippet_or_fallback": q23, "q24_search": q24,
+    "q24_search_stored": stored_search, "q24_page_2": stored_page_2,
 }
 
 # ---- the same in SQL --------------------------------------------------------------------------------------------------
@@ -204,10 +216,9 @@ ct AS (SELECT DISTINCT CAST(split_part(doc, '|', 1) AS INTEGER) AS query_id, spl
 
 
 def _set_op(body: str) -> str:
-    """Scores of the queries 1 and 6 as operands a and b."""
-    def operand(name: str, query: int) -> str:
-        return f"{name} AS (SELECT 1 AS query_id, doc, score FROM sc WHERE query_id = {query})"
-    return f"{_RANKED}, {operand("a", 1)}, {operand("b", 6)} {body}"
+    """Scores of each query, and of another one, as operands a and b."""
+    return f"""{_RANKED}, a AS (SELECT query_id, doc, score FROM sc),
+        b AS (SELECT (query_id + 1) % 7 + 1 AS query_id, doc, score FROM sc) {body}"""
 
 
 _MATCH = """mt AS (SELECT doc, start_char, end_char, term, pos, kind FROM content_an
@@ -262,7 +273,7 @@ _HIT_MATCH = _MATCH.replace("""FROM content_an
 
 ORACLE = {
     "q1_query_terms": f"WITH {_CT}," + inp.tokens_ctes(
-        "(SELECT CAST(doc_id AS INTEGER) + 1000 AS id, substring(text, 1, 80) AS q FROM documents)", "id", "q") + """
+        "(SELECT CAST(doc_id AS INTEGER) + 1000 AS id, text AS q FROM documents)", "id", "q") + """
         SELECT query_id, occur, field, term FROM ct
         UNION ALL SELECT DISTINCT doc, 'should', 'content', term FROM an""",
     "q2_match_any": f"{_BASE} SELECT query_id, doc, po.term, tf FROM qt JOIN po ON qt.term = po.term",
@@ -272,15 +283,16 @@ ORACLE = {
         HAVING count(*) FILTER (occur = 'must_not') = 0
         AND count(*) FILTER (occur = 'must') = (SELECT count(*) FROM ct x WHERE x.query_id = ct.query_id
           AND x.occur = 'must') AND count(*) FILTER (occur <> 'must_not') > 0""",
-    "q4_require_prohibit": f"""{_BASE} SELECT DISTINCT 1 AS query_id, doc FROM qt JOIN po ON qt.term = po.term
-        WHERE query_id IN (1, 2) AND doc NOT IN (SELECT doc FROM qt x JOIN po y ON x.term = y.term WHERE x.query_id = 3)
-        AND doc IN (SELECT doc FROM qt x JOIN po y ON x.term = y.term WHERE x.query_id = 7 GROUP BY doc
-          HAVING count(*) = (SELECT count(*) FROM qt WHERE query_id = 7))""",
-    "q5_and_not": _set_op("SELECT query_id, doc, round(score, 5) AS score FROM a ANTI JOIN b USING (query_id, doc)"),
-    "q6_and_maybe": _set_op("""SELECT query_id, doc, round(a.score + coalesce(b.score, 0), 5) AS score
+    "q4_require_prohibit": f"""{_BASE}, h AS (SELECT query_id, doc, count(*) AS n FROM qt JOIN po ON qt.term = po.term
+          GROUP BY query_id, doc), w AS (SELECT query_id, count(*) AS n FROM qt GROUP BY query_id)
+        SELECT query_id, doc FROM h
+        SEMI JOIN (SELECT (query_id + 1) % 7 + 1 AS query_id, doc FROM h) plus USING (query_id, doc)
+        ANTI JOIN (SELECT (query_id + 3) % 7 + 1 AS query_id, doc FROM h JOIN w USING (query_id, n)) minus USING (query_id, doc)""",
+    "q5_and_not": _set_op("SELECT query_id, doc, score FROM a ANTI JOIN b USING (query_id, doc)"),
+    "q6_and_maybe": _set_op("""SELECT query_id, doc, round(a.score + coalesce(b.score, 0), 6) AS score
         FROM a LEFT JOIN b USING (query_id, doc)"""),
-    "q7_require": _set_op("SELECT query_id, doc, round(score, 5) AS score FROM a SEMI JOIN b USING (query_id, doc)"),
-    "q8_union_matches": _set_op("""SELECT query_id, doc, round(sum(score), 5) AS score
+    "q7_require": _set_op("SELECT query_id, doc, score FROM a SEMI JOIN b USING (query_id, doc)"),
+    "q8_union_matches": _set_op("""SELECT query_id, doc, round(sum(score), 6) AS score
         FROM (FROM a UNION ALL FROM b) GROUP BY query_id, doc"""),
     "q9_wildcard_terms": "WITH " + inp.postings_ctes(fields=("title", "content")) + f""" SELECT DISTINCT query_id,
         'should' AS occur, p.field, term FROM {inp.values(PATTERNS, 'query_id, field, pattern')} p
@@ -320,8 +332,9 @@ ORACLE = {
         FROM (SELECT url, '<b>' || content || '</b> & "it''s"' AS body FROM {inp.DOC_PAGES_SQL})""",
     "q23_snippet_or_fallback": f"""SELECT url, coalesce(nullif(CASE WHEN depth = 1 THEN title ELSE '' END, ''),
         nullif(description, ''), substring(content, 1, 170)) AS snippet FROM {inp.DOC_PAGES_SQL}""",
-    "q24_search": f"""{_RANKED}, {_DP}, {_page(1)}, {_HIT_MATCH}, {_SNIPPET}
+    **{name: f"""{_RANKED}, {_DP}, {_page(page)}, {_HIT_MATCH}, {_SNIPPET}
         SELECT pg.query_id, rn, dp.url, title, depth, coalesce(nullif(snippet, ''), nullif(description, ''),
           substring(content, 1, 170)) AS snippet, score FROM pg JOIN dp ON dp.url = pg.doc
-        LEFT JOIN sn ON sn.doc = pg.query_id || '#' || pg.doc""",
+        LEFT JOIN sn ON sn.doc = pg.query_id || '#' || pg.doc"""
+       for name, page in (("q24_search", 1), ("q24_search_stored", 1), ("q24_page_2", 2))},
 }

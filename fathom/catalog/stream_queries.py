@@ -2,23 +2,31 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fathom.catalog import crawl_queries as cq
 from fathom.catalog import inputs as inp
 from fathom.catalog import url_queries as uq
+from fathom.functions import urls
 from fathom.operators.accounting import with_interval
 from fathom.sources import page_store
 from fathom.streaming import jobs
 
 
+PARTS = 4
+
+
 def _source(spark, sf, name):
-    path = f"{sf}/{name}.parquet"
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parquet*")
+    """The table as a stream of ``PARTS`` micro-batches, in the order of time or key."""
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    key = {"events": F.col("ts").cast("timestamp").cast("double"), "pages": F.col("page_id").cast("double")}[name]
+    low, high = df.agg(F.min(key), F.max(key)).first()
+    part = F.least(F.floor((key - low) / ((high - low) / PARTS + 1e-9)), F.lit(PARTS - 1))
+    place = cq.new_folder(spark, "source")
+    for k in range(PARTS):
+        df.filter(part == k).coalesce(1).write.parquet(f"{place}/part={k}")
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/part=*")
 
 
 class _StreamTables:
@@ -38,16 +46,24 @@ def _derived(fn, *args):
 
 
 def _work(spark) -> str:
-    return tempfile.mkdtemp(prefix="stream-", dir=cq._folder(spark))
+    return cq.new_folder(spark, "stream")
 
 
-def _run(spark, stream, mode="append"):
+def _run(spark, stream):
     """Run over all that is there, into parquet, and read that back."""
     work = _work(spark)
-    jobs.start(stream, jobs.into_parquet(f"{work}/out"), f"{work}/checkpoint", mode).awaitTermination()
+    jobs.start(stream, jobs.into_parquet(f"{work}/out"), f"{work}/checkpoint").awaitTermination()
     return spark.read.schema(T.StructType(stream.schema.fields)).parquet(f"{work}/out/batch=*")
 
 
+def _latest(spark, stream, keys):
+    """The same in update mode: the last row of each key."""
+    work = _work(spark)
+    query = jobs.start(stream, jobs.latest_by_key(f"{work}/out", keys), f"{work}/checkpoint", "update")
+    query.awaitTermination()
+    return spark.read.schema(T.StructType(stream.schema.fields)).parquet(f"{work}/out/batch={query.lastProgress['batchId']}")
+
+
 def st1(spark, sf):
     work = _work(spark)
     stream = _derived(inp.fetches, spark, sf)
@@ -70,25 +86,26 @@ def st2(spark, sf):
 
 def st3(spark, sf):
     sums = jobs.stream_bandwidth(_derived(cq.crawl_log, spark, sf), cq.CRAWL_START, 3_000_000)
-    found = with_interval(_run(spark, sums, "update").withColumnRenamed("interval_start", "ts"), cq._start(), 604800)
+    found = with_interval(_latest(spark, sums, ["interval_start"]).withColumnRenamed("interval_start", "ts"), cq._start(), 604800)
     return found.drop("ts")
 
 
 def st4(spark, sf):
-    return _run(spark, jobs.stream_queue_totals(_derived(cq.crawl_log, spark, sf)), "update")
+    return _latest(spark, jobs.stream_queue_totals(_derived(cq.crawl_log, spark, sf)), ["netloc"])
 
 
 def st5(spark, sf):
-    work = _work(spark)
+    work, pending = _work(spark), _submissions(spark, sf)
     for _ in range(2):  # the second run finds nothing left
-        jobs.stream_drain(_submissions(spark, sf), f"{work}/out", f"{work}/checkpoint").awaitTermination()
+        jobs.stream_drain(pending, f"{work}/out", f"{work}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{work}/out/batch=*").select("id", "url", "priority", "dont_filter", "refresh_robots")
 
 
 def st6(spark, sf):
     asked = _derived(uq.requests, spark, sf).withColumn("at", F.lit(inp.NOW).cast("timestamp"))
     kept = _run(spark, jobs.stream_dedupe(asked, "at"))
-    return kept.groupBy("normalised", "dont_filter").agg(F.count("*").alias("n"))
+    # Which of several spellings in one batch stays is not fixed; their normal form is.
+    return kept.select(urls.canonical_url(F.col("url")).alias("url"), "normalised", "dont_filter")
 
 
 QUERIES = {"st1_stream_ingest": st1, "st2_stream_rate_limit": st2, "st3_stream_bandwidth": st3,
@@ -101,6 +118,6 @@ ORACLE = {
     "st4_stream_queue_totals": cq.ORACLE["a2_queue_totals"],
     "st5_stream_drain": f"""SELECT id, {cq._ORIGIN} AS url, 1 AS priority, true AS dont_filter, true AS refresh_robots
         FROM {cq._SUBS_SQL} WHERE url <> 'no url'""",
-    "st6_stream_dedupe": f"""SELECT normalised, dont_filter, count(*) AS n FROM ({uq.ORACLE['u9_dedupe_requests']})
-        GROUP BY normalised, dont_filter""",
+    "st6_stream_dedupe": f"""SELECT {inp.sql_canonical('url')} AS url, normalised, dont_filter
+        FROM ({uq.ORACLE['u9_dedupe_requests']}) AS kept""",
 }

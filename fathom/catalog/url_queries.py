@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from fathom.catalog import inputs as inp
 from fathom.catalog.inputs import q
+from fathom.config import TEMPLATE_RULES
 from fathom.functions import urls
 from fathom.operators import extract, url_filters
 from fathom.sources import tables
@@ -22,8 +23,8 @@ def _with(spark, sf, **cols):
 
 BROKEN = """CASE page_id % 6 WHEN 0 THEN url WHEN 1 THEN url || ' x' WHEN 2 THEN replace(url, '://', ':/')
   WHEN 3 THEN url || '%zz' WHEN 4 THEN url || '%4a[' ELSE '//' || url END"""
-MESSY = """CASE page_id % 5 WHEN 0 THEN replace(url, 'http', 'HTTP') WHEN 1 THEN url || '?b=2&a=1&&c&b=1'
-  WHEN 2 THEN replace(url, '/en/', '/é n/') WHEN 3 THEN regexp_extract(url, '^[a-z]+://[^/]*', 0) ELSE url END"""
+MESSY = """CASE WHEN page_id % 11 = 7 THEN 'MailTo:a' || page_id || '@b.geek' ELSE CASE page_id % 5 WHEN 0 THEN replace(url, 'http', 'HTTP') WHEN 1 THEN url || '?b=2&a=1&&c&b=1'
+  WHEN 2 THEN replace(url, '/en/', '/é n/') WHEN 3 THEN regexp_extract(url, '^[a-z]+://[^/]*', 0) ELSE url END END"""
 ORIGINS = """CASE page_id % 6 WHEN 0 THEN replace(url, '.com/', '.com:80/') WHEN 1 THEN 'mailto:a@b.geek'
   WHEN 2 THEN replace(url, '.example', '.Example') WHEN 3 THEN substring(url, 9) WHEN 4 THEN replace(url, '://', '://u:p@')
   ELSE replace(url, '.net/', '.net:8080/') END"""
@@ -150,6 +151,22 @@ def e6(spark, sf):
     return extract.template_action(pages, RULES, "html").select("page_id", "rule", "action")
 
 
+MARKUP = """CASE page_id % 8 WHEN 0 THEN '<span class=a id=''lib''>x <b>y</b></span> <span id="reddit">z</span>'
+  WHEN 1 THEN '<div class="x" id="page-header"><p class="menu apache">a</p></div>' WHEN 2 THEN '<div class=''main_page''><div
+  class="page_header floating_element"><img class="floating_element" src=a></div></div>' WHEN 3 THEN
+  '<div id=cgit><table id="header"><tbody><tr><td class="logo"><a href=b><img></a></td></tr></tbody></table></div>'
+  WHEN 4 THEN '<footer><div class="ui container"><div class="ui left"><a href=''http://gitea.io''>g</a></div></div></footer>'
+  WHEN 5 THEN '<footer><a href="http://gitea.io">g</a></footer>' WHEN 6 THEN '<div id="page-header"></div><p class="apaches">'
+  ELSE '' END"""
+
+
+def e6_shipped(spark, sf):
+    """The rules that the library brings, over pages with such markup added."""
+    pages = inp.table(spark, sf, "pages").select("page_id", F.concat("html", F.expr(MARKUP)).alias("html"), F.when(
+        F.col("page_id") % 3 == 0, F.concat(urls.site(F.col("url")), F.lit("/"))).otherwise(F.col("url")).alias("url"))
+    return extract.template_action(pages, body="html").select("page_id", "rule", "action")
+
+
 def e6_report(spark, sf):
     return extract.template_action(inp.table(spark, sf, "pages"), RULES, "html").groupBy("rule", "action").agg(
         F.count("*").alias("n"))
@@ -166,7 +183,7 @@ def e8(spark, sf):
 def s2(spark, sf):
     found = tables.read_fetches(spark, f"{sf}/pages.parquet", columns={
         "url": "url", "body": "html", "status": "CASE WHEN page_id % 10 = 0 THEN 404 ELSE 200 END"})
-    return found.select("url", "status", F.length("body").alias("n_chars"))
+    return found.select("url", "status", "body")
 
 
 QUERIES = {
@@ -174,7 +191,7 @@ QUERIES = {
     "u6_url_deny": u6_deny, "u6_url_allow": u6_allow, "u6_explain_url": u6_explain, "u7_filter_tlds": u7,
     "u8_guess_mimetype": u8, "u8_filter_mimetypes": u8_filter, "u9_dedupe_requests": u9, "u10_is_submittable": u10,
     "u11_ipv4_to_long": u11, "e1_title": e1, "e2_text": e2, "e3_description": e3, "e4_extract_links": e4,
-    "e5_dead_since": e5, "e6_template_action": e6, "e6_template_report": e6_report, "e7_text_responses": e7,
+    "e5_dead_since": e5, "e6_template_action": e6, "e6_template_report": e6_report, "e6_shipped_rules": e6_shipped, "e7_text_responses": e7,
     "e8_extract_pages": e8, "s2_read_fetches": s2,
 }
 
@@ -252,6 +269,10 @@ ORACLE = {
         FROM {inp.FETCHES_SQL}""",
     "e6_template_action": _actions(f"""(SELECT page_id, html, CASE WHEN page_id % 3 = 0 THEN {inp.sql_site('url')} || '/'
         ELSE url END AS url FROM pages)"""),
+    "e6_shipped_rules": f"""SELECT page_id, rule, CASE WHEN rule IS NULL THEN 'keep' WHEN rule LIKE 'apache%' THEN 'drop'
+        WHEN page_id % 3 = 0 THEN 'keep' ELSE 'to_root' END AS action FROM (SELECT page_id, CASE {' '.join(
+            f"WHEN regexp_matches(m, {q(pattern)}) THEN {q(name)}" for name, pattern, _ in TEMPLATE_RULES)} END AS rule
+        FROM (SELECT page_id, html || {MARKUP} AS m FROM pages))""",
     "e6_template_report": f"SELECT rule, action, count(*) AS n FROM ({_actions('pages')}) GROUP BY rule, action",
     "e7_text_responses": f"""WITH {_NAME} SELECT page_id, u AS url FROM nt
         WHERE mimetype IN ('text/html', 'text/xml', 'text/plain')""",
@@ -259,5 +280,5 @@ ORACLE = {
         fetched_at AS created_at, fetched_at AS last_updated, CASE WHEN status >= 400 THEN fetched_at END AS dead_since
         FROM ex""",
     "s2_read_fetches": """SELECT url, CASE WHEN page_id % 10 = 0 THEN 404 ELSE 200 END AS status,
-        length(html) AS n_chars FROM pages""",
+        html AS body FROM pages""",
 }

@@ -9,14 +9,29 @@ ALLOWED_TLDS = [
 # URL patterns that are not crawled (after the scheme, anchored at the start).
 DENIED_URLS = [r"grep\.geek/\?.*(s=DRP|su=title|cc=1).*"]
 
-# Page templates that are not indexed: name, pattern on the markup, and whether the site's root page may stay.
+
+
+def _id(value: str) -> str:
+    return rf"""\sid\s*=\s*(?:"{value}"|'{value}'|{value}[\s>])"""
+
+
+def _class(*values: str) -> str:
+    """An element with these classes, in this order."""
+    inside = [rf"(?:[^{q}]*\s)?" + rf"\s(?:[^{q}]*\s)?".join(values) + rf"(?:\s[^{q}]*)?" for q in "\"'"]
+    return rf"""\sclass\s*=\s*(?:"{inside[0]}"|'{inside[1]}'|{values[0]}[\s>])"""
+
+
+# Page templates that are not indexed: name, pattern on the markup, and whether the site's root page may stay. The ids,
+# classes and elements are fixed values; each pattern asks for the elements in the order in which they enclose each other.
 TEMPLATE_RULES = [
-    ("reddit frontend", r'(?is)<span\b[^>]*\bid="lib"[^>]*>[^<]*</span>\s*<span\b[^>]*\bid="reddit"', True),
-    ("apache manual", r'(?is)<div\b[^>]*\bid="page-header".*?<p\b[^>]*\bclass="(?:[^"]*\s)?apache[\s"]', False),
-    ("apache default page", r'(?is)<div\b[^>]*\bclass="[^"]*_page".*?<img\b[^>]*\bclass="(?:[^"]*\s)?floating_element[\s"]',
-     False),
-    ("cgit", r'(?is)<div\b[^>]*\bid="cgit".*?<td\b[^>]*\bclass="(?:[^"]*\s)?logo[\s"][^>]*>\s*<a\b[^>]*>\s*<img\b', True),
-    ("gitea", r'(?is)<footer\b.*?<a\b[^>]*\bhref="[^"]*gitea', True),
+    ("reddit frontend", rf"(?is)<span\b[^>]*{_id('lib')}[^<]*(?:<[^s/][^<]*|</[^s][^<]*)*</span\s*>\s*<span\b[^>]*{_id('reddit')}", True),
+    ("apache manual", rf"(?is)<div\b[^>]*{_id('page-header')}.*?<p\b[^>]*{_class('apache')}", False),
+    ("apache default page",
+     rf"""(?is)<div\b[^>]*\sclass\s*=\s*(?:"[^"]*_page"|'[^']*_page'|[^\s"'>]*_page[\s>]).*?<div\b[^>]*"""
+     rf"(?:{_class('page_header', 'floating_element')}|{_class('floating_element', 'page_header')}).*?<img\b[^>]*{_class('floating_element')}", False),
+    ("cgit", rf"(?is)<div\b[^>]*{_id('cgit')}.*?<table\b[^>]*{_id('header')}.*?<tr\b.*?<td\b[^>]*{_class('logo')}.*?<a\b.*?<img\b", True),
+    ("gitea", rf"(?is)<footer\b.*?<div\b[^>]*(?:{_class('ui', 'container')}|{_class('container', 'ui')}).*?<div\b[^>]*"
+     rf"""(?:{_class('ui', 'left')}|{_class('left', 'ui')}).*?<a\b[^>]*\shref\s*=\s*(?:"[^"]*gitea|'[^']*gitea|[^\s"'>]*gitea)""", True),
 ]
 
 # Content types that are indexed, and the type of a URL without a known extension.

@@ -77,12 +77,17 @@ def _sorted_query(query: Column) -> Column:
 
 
 def canonical_url(url: Column) -> Column:
-    """Normal form: lower-case scheme and authority, sorted query arguments, no fragment, at least the path ``/``."""
+    """Normal form: lower-case scheme and authority, sorted query arguments, no fragment, at least the path ``/``.
+
+    A URL without authority (``mailto:a@b``) has no slashes and no such path.
+    """
     url = escape_url(url)
     auth, query = netloc(url), _part(url, 4)
-    where = F.when(path(url) == "", "/").otherwise(path(url))
+    placed = url.rlike("^[^:/?#]+://")
+    where = F.when(placed & (path(url) == ""), "/").otherwise(path(url))
     tail = F.when(query == "", "").otherwise(F.concat(F.lit("?"), _sorted_query(query)))
-    return F.concat(scheme(url), F.lit("://"), F.lower(auth), where, tail)
+    start = F.when(placed, F.lit("://")).when(scheme(url) == "", "").otherwise(":")
+    return F.concat(scheme(url), start, F.lower(auth), where, tail)
 
 
 def url_origin(url: Column) -> Column:

@@ -8,13 +8,18 @@ from pyspark.sql import functions as F
 from fathom import config
 from fathom.plans.skew import running_sum
 
-SLOT_S = 600
+# Lengths of the time slots of running totals, from coarse to fine.
+SLOTS_S = (3600, 60, 1)
 
 
 def _seconds_in(start: Column) -> Column:
     return F.unix_micros("ts") - F.unix_micros(start)
 
 
+def _slots(lengths: tuple[int, ...]) -> list[Column]:
+    return [F.floor(F.unix_seconds("ts") / F.lit(n)) for n in lengths]
+
+
 def with_interval(log: DataFrame, start: Column, interval_s: int) -> DataFrame:
     """Adds ``interval_no`` (0 at the crawl's start) and ``interval_start``."""
     step = interval_s * 1_000_000
@@ -33,10 +38,9 @@ def bandwidth_report(log: DataFrame, start: Column, limit: int = config.BANDWIDT
 
 
 def bandwidth_running(log: DataFrame, start: Column, limit: int = config.BANDWIDTH_LIMIT,
-                      interval_s: int = config.BANDWIDTH_INTERVAL_S, slot_s: int = SLOT_S) -> DataFrame:
+                      interval_s: int = config.BANDWIDTH_INTERVAL_S, slots_s: tuple[int, ...] = SLOTS_S) -> DataFrame:
     """Per response: bytes so far in its interval, whether they exceed the budget, seconds to the next interval."""
-    slot = F.floor(F.unix_seconds("ts") / F.lit(slot_s))
-    rows = running_sum(with_interval(log, start, interval_s), ["interval_no"], slot, [F.col("ts"), F.col("id")],
+    rows = running_sum(with_interval(log, start, interval_s), ["interval_no"], _slots(slots_s), [F.col("ts"), F.col("id")],
                        F.col("in_bytes") + F.col("out_bytes"), "running_bytes")
     left = F.unix_micros("interval_start") + interval_s * 1_000_000 - F.unix_micros("ts")
     return rows.withColumn("over_limit", F.col("running_bytes") > limit).withColumn(
@@ -52,11 +56,10 @@ def queue_totals(log: DataFrame) -> DataFrame:
     return log.filter(F.col("kind").isin("scheduled", "dropped")).groupBy("netloc").agg(F.sum(queue_change()).alias("total"))
 
 
-def queue_running(log: DataFrame, slot_s: int = SLOT_S) -> DataFrame:
+def queue_running(log: DataFrame, slots_s: tuple[int, ...] = SLOTS_S) -> DataFrame:
     """The same after each event."""
-    slot = F.floor(F.unix_seconds("ts") / F.lit(slot_s))
     events = log.filter(F.col("kind").isin("scheduled", "dropped"))
-    return running_sum(events, ["netloc"], slot, [F.col("ts"), F.col("id")], queue_change(), "total")
+    return running_sum(events, ["netloc"], _slots(slots_s), [F.col("ts"), F.col("id")], queue_change(), "total")
 
 
 def crawl_counts(pages: DataFrame, log: DataFrame) -> DataFrame:

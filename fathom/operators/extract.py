@@ -58,10 +58,9 @@ def extract_pages(fetches: DataFrame, at: str = "fetched_at", body: str = "body"
 def template_action(df: DataFrame, rules: list[tuple[str, str, bool]] = config.TEMPLATE_RULES,
                     body: str = "body") -> DataFrame:
     """Adds ``rule`` (first known page template that fits, or NULL) and ``action``: keep, to_root or drop."""
-    rule, root_ok = F.lit(None).cast("string"), F.lit(False)
-    for name, pattern, allow_root in reversed(rules):
-        hit = F.col(body).rlike(pattern)
-        rule, root_ok = F.when(hit, name).otherwise(rule), F.when(hit, allow_root).otherwise(root_ok)
+    rule = F.lit(None).cast("string")
+    for name, pattern, _ in reversed(rules):
+        rule = F.when(F.col(body).rlike(pattern), name).otherwise(rule)
     df = df.withColumn("rule", rule).withColumn("__root_ok", F.col("rule").isin(*[n for n, _, ok in rules if ok]))
     action = F.when(F.col("rule").isNull(), "keep").when(~F.col("__root_ok"), "drop").when(
         urls.is_root(F.col("url")), "keep").otherwise("to_root")

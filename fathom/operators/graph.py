@@ -10,7 +10,10 @@ from fathom.functions import urls
 from fathom.operators.extract import extract_links
 from fathom.operators.url_filters import dedupe_requests, tld_allowed, url_allowed
 from fathom.plans.lineage import cut_lineage
-from fathom.plans.skew import HOT_ROWS, hot_keys, salt_big, salt_small, skew_join
+
+
+# Rounds of the depth search after which its improvements are compacted.
+COMPACT = 5
 
 
 def link_edges(fetches: DataFrame, body: str = "body") -> DataFrame:
@@ -19,30 +22,29 @@ def link_edges(fetches: DataFrame, body: str = "body") -> DataFrame:
     return edges.withColumn("cross_site", urls.site(F.col("referrer")) != urls.site(F.col("url")))
 
 
-def intra_site_depth(starts: DataFrame, edges: DataFrame, max_depth: int = config.DEPTH_LIMIT,
-                     hot_rows: int = HOT_ROWS) -> DataFrame:
+def intra_site_depth(starts: DataFrame, edges: DataFrame, max_depth: int = config.DEPTH_LIMIT) -> DataFrame:
     """Smallest depth of each URL reachable from ``starts`` (url) over ``edges`` (src, dst).
 
     Depth is 0 at a start, at a site's root, and after a link from another site; else one more than the parent's. URLs
-    beyond ``max_depth`` are not reached. Each round expands only URLs whose depth has just improved and ends in a
-    checkpoint. Pages with very many links are spread over salts once, before the rounds.
+    beyond ``max_depth`` are not reached. Each round expands only URLs whose depth has just improved. Improvements are
+    appended with their depths; every ``COMPACT`` rounds they are reduced to the smallest depth per URL.
     """
     reset = (urls.site(F.col("src")) != urls.site(F.col("dst"))) | urls.is_root(F.col("dst"))
     links = edges.select("src", "dst").distinct().withColumn("reset", reset)
-    hot = cut_lineage(hot_keys(links, ["src"], hot_rows))
-    links = cut_lineage(salt_big(links, ["src"], hot))
-    best = cut_lineage(starts.select("url").distinct().withColumn("depth", F.lit(0)))
-    front = best
+    links = cut_lineage(links)
+    front = cut_lineage(starts.select("url").distinct().withColumn("depth", F.lit(0)))
+    best, turn = front, 0
     while True:
-        sources = salt_small(front.withColumnRenamed("url", "src"), ["src"], hot)
         depth = F.when(F.col("reset"), 0).otherwise(F.col("depth") + 1)
-        reached = links.join(sources, ["src", "__salt"]).select(F.col("dst").alias("url"), depth.alias("depth"))
+        reached = links.join(front.withColumnRenamed("url", "src"), "src").select(F.col("dst").alias("url"), depth.alias("depth"))
         reached = reached.filter(F.col("depth") <= max_depth).groupBy("url").agg(F.min("depth").alias("depth"))
-        known = best.withColumnRenamed("depth", "old")
+        known = best.groupBy("url").agg(F.min("depth").alias("old"))
         front = cut_lineage(reached.join(known, "url", "left").filter("old is null or depth < old").drop("old"))
         if front.isEmpty():
-            return best
-        best = cut_lineage(best.join(front, "url", "left_anti").unionByName(front))
+            return best.groupBy("url").agg(F.min("depth").alias("depth"))
+        best, turn = best.unionByName(front), turn + 1
+        if turn % COMPACT == 0:
+            best = cut_lineage(best.groupBy("url").agg(F.min("depth").alias("depth")))
 
 
 def start_pages(pages: DataFrame, now: Column, wait_s: int = config.RECRAWL_WAIT_S) -> DataFrame:
@@ -63,9 +65,10 @@ def tld_labels(spark: SparkSession, tlds: list[str] = config.ALLOWED_TLDS) -> Da
 
 
 def urls_exist(asked: DataFrame, pages: DataFrame) -> DataFrame:
-    """Adds ``known``; the same URL may be asked for very often."""
+    """Adds ``known``. The same URL may be asked for very often; its rows are then split at run time (adaptive skew join,
+    which an aggregate on the other side would rule out: ``pages`` has one row per URL)."""
     known = pages.select("url", F.lit(True).alias("known"))
-    return skew_join(asked, known, ["url"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    return asked.join(known, "url", "left").withColumn("known", F.coalesce("known", F.lit(False)))
 
 
 def _requests(df: DataFrame, rank: int, priority: int, dont_filter: bool, refresh: bool) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -95,15 +96,37 @@ def shadow_field(pages: DataFrame, field: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class Index:
-    """What ranking reads: postings, term dictionary, and one row of statistics per field."""
+    """What ranking reads: postings, term dictionary, and one row of statistics per field.
+
+    A stored index also has ``of_terms``: given terms (field, term), the same index with only the partitions read in
+    which they lie.
+    """
 
     postings: DataFrame
     dictionary: DataFrame
     stats: DataFrame
+    of_terms: Callable[[DataFrame], Index] | None = None
+
+    def lookup(self, terms: DataFrame, most: int = 1000) -> Index:
+        """The part of the index that holds ``terms``. Few terms also become a filter on the sorted files."""
+        found = self.of_terms(terms) if self.of_terms else self
+        few = [r[0] for r in terms.select("term").distinct().limit(most + 1).collect()]
+        if len(few) > most:
+            return found
+        own = F.col("term").isin(few)
+        return Index(found.postings.filter(own), found.dictionary.filter(own), found.stats, found.of_terms)
+
+    def limited_to_none(self) -> Index:
+        return Index(self.postings.limit(0), self.dictionary.limit(0), self.stats, self.of_terms)
 
 
 def make_index(pages: DataFrame, key: str = "url", fields: tuple[str, ...] = ("title", "content", "description"),
                positions: bool = False) -> Index:
-    """Index of a page table that has no stored one. Postings are read three times, so they are materialised."""
-    postings = cut_lineage((build_postings if positions else build_frequencies)(pages, key, fields))
+    """Index of a page table that has no stored one; ``key`` among the fields is indexed whole. Postings are read three times, so they are materialised."""
+    build, analysed = build_postings if positions else build_frequencies, tuple(f for f in fields if f != key)
+    parts = [build(pages, key, analysed)] if analysed else []
+    if key in fields:  # the key is one term, as it is
+        whole = exact_terms(pages, key, key)
+        parts.append(whole.select(parts[0].columns) if parts else whole)
+    postings = cut_lineage(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]))
     return Index(postings, term_stats(postings), field_stats(doc_lengths(postings)))

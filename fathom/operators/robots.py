@@ -11,15 +11,18 @@ from pyspark.sql import functions as F
 
 from fathom import config
 from fathom.functions import urls
-from fathom.plans.skew import skew_join
+from fathom.plans.lineage import cut_lineage
 
+# Length of the time slots of the as-of lookup.
+AS_OF_SLOT_S = 300
 LINE = r"(?i)^\s*(user-agent|allow|disallow|crawl-delay)\s*:\s*([^#]*)"
 
 
 def parse_robots(files: DataFrame) -> DataFrame:
     """robots.txt texts (site, body) to rules (site, agent, allow, pattern, crawl_delay).
 
-    Neighbouring user-agent lines share the rules below them. An empty pattern forbids nothing and allows all.
+    Neighbouring user-agent lines share the rules below them. An empty pattern forbids nothing and allows all. A group
+    without such lines allows all, too: one row whose ``allow`` and ``pattern`` are NULL.
     """
     lines = files.select("site", F.posexplode(F.split("body", r"\r\n|\r|\n")).alias("n", "line"))
     lines = lines.select("site", "n", F.lower(F.regexp_extract("line", LINE, 1)).alias("key"),
@@ -33,7 +36,7 @@ def parse_robots(files: DataFrame) -> DataFrame:
             (F.col("key") == "allow").alias("allow"), F.col("value").alias("pattern")))).alias("rules"),
         F.max(F.when(F.col("key") == "crawl-delay", F.col("value").try_cast("double"))).alias("crawl_delay"))
     return groups.select("site", F.explode("agents").alias("agent"), "rules", "crawl_delay").select(
-        "site", "agent", "crawl_delay", F.explode("rules").alias("r")).select(
+        "site", "agent", "crawl_delay", F.explode_outer("rules").alias("r")).select(
         "site", "agent", "r.allow", "r.pattern", "crawl_delay")
 
 
@@ -65,17 +68,27 @@ def robots_allowed(asked: DataFrame, rules: DataFrame, agent: str, col: str = "u
     def fits(r: Column) -> Column:
         return F.coalesce(F.startswith(F.col("__path"), r["prefix"]), F.rlike(F.col("__path"), r["regex"]), F.lit(False))
 
-    joined = skew_join(asked.withColumn("__site", urls.site(F.col(col))),
-                       site_rules(rules, agent).withColumnsRenamed({"site": "__site", "rules": "__rules"}),
-                       ["__site"], "left").withColumn("__path", where)
+    # One row per site on the right, materialised: a site with very many URLs can then be split at run time (adaptive
+    # skew join), which an aggregate below the join would rule out.
+    mine = cut_lineage(site_rules(rules, agent).withColumnsRenamed({"site": "__site", "rules": "__rules"}))
+    joined = asked.withColumn("__site", urls.site(F.col(col))).join(mine, "__site", "left").withColumn("__path", where)
     winner = F.array_max(F.transform(F.filter("__rules", fits), lambda r: F.struct(r["len"], r["allow"].alias("allow"))))
     return joined.withColumn("allowed", F.coalesce(winner["allow"], F.lit(True))).drop("__site", "__rules", "__path")
 
 
 def purge_disallowed(pages: DataFrame, rules: DataFrame, sites: DataFrame, agent: str) -> DataFrame:
     """Pages that stay when the rules of ``sites`` are checked again; other sites are not touched."""
-    checked = rules.join(sites.select("site").distinct(), "site", "left_semi")
-    return robots_allowed(pages, checked, agent).filter("allowed").drop("allowed")
+    return pages.join(disallowed_urls(pages, rules, sites, agent), "url", "left_anti")
+
+
+def disallowed_urls(pages: DataFrame, rules: DataFrame, sites: DataFrame, agent: str) -> DataFrame:
+    """URLs of ``sites`` which the rules forbid: what is to be deleted from the pages and from the index.
+
+    Only URLs of the sites in question are matched; no page text is read.
+    """
+    again = sites.select(F.col("site").alias("__site")).distinct()
+    asked = pages.select("url").withColumn("__site", urls.site(F.col("url"))).join(again, "__site", "left_semi").select("url")
+    return robots_allowed(asked, rules, agent).filter(~F.col("allowed")).select("url").distinct()
 
 
 def stale_robots(robots: DataFrame, now: Column, max_age_s: int = config.ROBOTS_MAX_AGE_S,
@@ -89,20 +102,21 @@ def stale_robots(robots: DataFrame, now: Column, max_age_s: int = config.ROBOTS_
     return latest.join(asked, "host", "left").filter(too_old | F.col("asked")).drop("asked")
 
 
-def robots_as_of(requests: DataFrame, robots: DataFrame, max_age_s: int = config.ROBOTS_MAX_AGE_S) -> DataFrame:
+def robots_as_of(requests: DataFrame, robots: DataFrame, max_age_s: int = config.ROBOTS_MAX_AGE_S,
+                 slot_s: int = AS_OF_SLOT_S) -> DataFrame:
     """Adds ``snapshot``: the latest rules of the host at or before the request that have not expired.
 
-    As rules expire, a match lies in the request's time slot or the one before. Windows are per host and slot, so a busy
-    host is cut into slots; each snapshot is offered to two of them.
+    As rules expire, a match lies at most ``max_age_s`` before the request. Windows are per host and short time slot, so a
+    busy host is cut into many tasks; each snapshot (there are few) is offered to all slots in which it may be in force.
     """
     def slot(ts: str) -> Column:
-        return F.floor(F.unix_seconds(ts) / F.lit(max_age_s))
+        return F.floor(F.unix_seconds(ts) / F.lit(slot_s))
 
     asked = requests.withColumn("__slot", slot("ts"))
     empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in requests.schema if f.name not in ("host", "ts")]
     offered = robots.select(
-        "host", F.col("fetched_at").alias("ts"), *empty, F.explode(F.array(slot("fetched_at"), slot("fetched_at") + 1))
-        .alias("__slot"), F.struct(F.col("fetched_at").alias("at"), F.col("snapshot").alias("id")).alias("__snap"))
+        "host", F.col("fetched_at").alias("ts"), *empty, F.explode(F.sequence(
+            slot("fetched_at"), slot("fetched_at") + -(-max_age_s // slot_s))).alias("__slot"), F.struct(F.col("fetched_at").alias("at"), F.col("snapshot").alias("id")).alias("__snap"))
     both = asked.withColumn("__snap", F.lit(None).cast(offered.schema["__snap"].dataType)).unionByName(offered)
     w = Window.partitionBy("host", "__slot").orderBy("ts", F.isnull("__snap"), "__snap").rowsBetween(
         Window.unboundedPreceding, 0)

@@ -7,6 +7,8 @@ into a broadcast join where it measures a small side.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from fathom.functions import text as tx
 from fathom.functions import urls
 from fathom.operators.index import BOOSTS, Index, make_index
 from fathom.operators.snippets import snippet_or_fallback, with_snippet
-from fathom.plans.skew import HOT_KEYS, HOT_ROWS, salt_big, salt_small
+from fathom.plans.lineage import cut_lineage
 
 K1, B, COORD = 1.2, 0.75, 0.9
 PAGE_LEN = 10
@@ -240,36 +242,48 @@ def find_unscored(pages: DataFrame, where: Column, limit: int | None = None) ->
 # ---- whole search ---------------------------------------------------------------------------------------------------
 
 def rank(terms: DataFrame, postings: DataFrame, dictionary: DataFrame, stats: DataFrame, c: float = COORD,
-         small: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
+         small: bool = False) -> DataFrame:
     """Scores of all documents that satisfy the clauses.
 
     ``small`` says that the number of terms was counted and is low: they are then broadcast and the postings stay where
-    they are. Else both sides are shuffled by term, with the postings of very frequent terms (known from the
-    dictionary) spread over salts.
+    they are. Else both sides are shuffled by term, and the postings of very frequent terms are split at run time
+    (adaptive skew join).
     """
     weighed = terms.filter("occur <> 'must_not'").join(dictionary.select("field", "term", "df"), ["field", "term"])
     read = postings.select("field", "term", "doc", "tf", "field_len")
-    if small:
-        hits = F.broadcast(weighed).join(read, ["field", "term"])
-    else:
-        key = ["field", "term"]
-        hot = dictionary.filter(F.col("df") >= hot_rows).orderBy(F.desc("df")).limit(HOT_KEYS).select(*key)
-        hits = salt_small(weighed, key, hot).join(salt_big(read, key, hot), [*key, "__salt"]).drop("__salt")
+    hits = (F.broadcast(weighed) if small else cut_lineage(weighed)).join(read, ["field", "term"])
     return coord_bonus(score_bm25f(hits, dictionary, stats), terms, c)
 
 
-def search(queries: DataFrame, pages: DataFrame, pagenum: int = 1, pagelen: int = PAGE_LEN, key: str = "url",
+def _index_for(fields: list[str], pages, key: str, index: Index | None) -> Index:
+    """The given index, or one of the fields that are asked for. A field that can't be searched is an error."""
+    if index is not None:
+        known = {r[0] for r in index.stats.select("field").collect()}  # one row per field
+        if unknown := set(fields) - known - set(BOOSTS):
+            raise ValueError(f"not in the index: {sorted(unknown)}")
+        return index
+    if callable(pages):
+        raise ValueError("a stored index is needed to search stored pages")
+    if unknown := [f for f in fields if f not in pages.columns]:
+        raise ValueError(f"no such fields: {unknown}")
+    return make_index(pages, key, tuple(fields))
+
+
+def search(queries: DataFrame, pages: DataFrame | Callable[[DataFrame], DataFrame], pagenum: int = 1, pagelen: int = PAGE_LEN, key: str = "url",
            index: Index | None = None, text: str = "q", c: float = COORD, strict_phrase: bool = False) -> DataFrame:
     """Search text to result page: (query_id, rn, url, title, depth, snippet, score).
 
-    ``index`` is the stored index; without it the content field is indexed here. Only keys and scores go through
-    ranking; text is fetched for the page's hits alone.
+    ``index`` is the stored index, of which only the partitions of the queries' terms are read; without it the fields
+    that the queries name are indexed here. ``pages`` is a table, or a function that reads the pages of given URLs.
+    Only keys and scores go through ranking; text is fetched for the page's hits alone.
     """
-    index = index or make_index(pages, key, ("content",))
     asked = valid_queries(queries, text).filter("valid").drop("valid")
     terms = query_terms(asked, text)
+    fields = sorted(r[0] for r in terms.select("field").distinct().collect())  # a handful of names
+    index = _index_for(fields or ["content"], pages, key, index)
     # Each query with hits has a term, so there are at most ``pagelen`` hits per term.
     small = terms.count() * pagelen <= SMALL_ROWS
+    index = index.lookup(terms)
     scores = rank(terms, index.postings, index.dictionary, index.stats, c, small)
     if "occur" in queries.columns:
         scores = scores.join(match_clauses(terms, index.postings), KEYS, "left_semi")
@@ -279,6 +293,9 @@ def search(queries: DataFrame, pages: DataFrame, pagenum: int = 1, pagelen: int
             F.transform(F.sort_array(F.collect_list(F.struct("i", "term"))), lambda x: x["term"]).alias("terms"))
     else:
         words = terms.filter("occur <> 'must_not'").groupBy("query_id").agg(F.collect_set("term").alias("terms"))
+    if callable(pages):
+        hits = cut_lineage(hits)
+        pages = pages(hits.select(F.col("doc").alias(key)).distinct())
     text_of = pages.withColumnRenamed(key, "doc").select("doc", "title", "depth", "content", "description")
     hits = hits.join(words, "query_id")
     shown = (F.broadcast(hits) if small else hits).join(text_of, "doc")

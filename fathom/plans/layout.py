@@ -6,11 +6,20 @@ from pyspark.sql import DataFrame
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give CPU-heavy row work a task per core if the input comes in fewer pieces (one small file, say).
+    """Give CPU-heavy row work a task per core if the input is a scan of few, small files.
 
-    Large inputs come in more pieces than there are cores and are left as they are, without a shuffle.
+    Looks only at the files that the scan would read (driver metadata), so no job is run while the plan is built. Larger
+    inputs, and anything but a batch scan of files, are left as they are.
     """
     if df.isStreaming:
         return df
+    files = df._jdf.inputFiles()
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    optimized = df._jdf.queryExecution().optimizedPlan()
+    small = 0 < len(files) < cores and int(str(optimized.stats().sizeInBytes())) < cores * 128e6
+    return df.repartition(cores) if small and not _shuffles(optimized) else df
+
+
+def _shuffles(plan) -> bool:
+    text = plan.toString()
+    return any(word in text for word in ("Join", "Aggregate", "Window", "Repartition", "Sort", "Deduplicate"))

@@ -5,57 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_KEYS = 256
-HOT_ROWS = 1_000_000
-SALTS = 64
 
-
-def hot_keys(df: DataFrame, keys: list[str], at_least: int = HOT_ROWS, most: int = HOT_KEYS) -> DataFrame:
-    """The keys with the most rows: at most ``most`` of them, each with ``at_least`` rows. Safe to broadcast."""
-    counts = df.groupBy(*keys).agg(F.count("*").alias("n_rows")).filter(F.col("n_rows") >= at_least)
-    return counts.orderBy(F.desc("n_rows")).limit(most).select(*keys)
-
-
-def salt_big(big: DataFrame, keys: list[str], hot: DataFrame, salts: int = SALTS) -> DataFrame:
-    """Adds ``__salt``: a hash of the row for hot keys, 0 for others."""
-    spread = F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int")
-    marked = big.join(F.broadcast(hot.withColumn("__hot", F.lit(True))), keys, "left")
-    return marked.withColumn("__salt", F.when(F.col("__hot"), spread).otherwise(0)).drop("__hot")
-
-
-def salt_small(small: DataFrame, keys: list[str], hot: DataFrame, salts: int = SALTS) -> DataFrame:
-    """Repeats the rows of hot keys once per salt."""
-    every = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    marked = small.join(F.broadcast(hot.withColumn("__hot", F.lit(True))), keys, "left")
-    return marked.withColumn("__salt", F.explode(every)).drop("__hot")
-
-
-def skew_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", at_least: int = HOT_ROWS,
-              salts: int = SALTS) -> DataFrame:
-    """Equi-join whose left side may hold most of its rows under a few keys.
-
-    Rows of hot keys are spread over ``salts`` tasks, and the matching rows of ``small`` are repeated once per salt.
-    ``small`` must hold few rows per key (it is a lookup side). Each row of ``big`` gets exactly one salt, so inner,
-    left, semi and anti joins keep their meaning.
-    """
-    if how not in ("inner", "left", "left_semi", "left_anti"):
-        raise ValueError(f"not a join type that keeps the left side: {how}")
-    hot = hot_keys(big, keys, at_least)
-    left, right = salt_big(big, keys, hot, salts), salt_small(small, keys, hot, salts)
-    return left.join(right, [*keys, "__salt"], how).drop("__salt")
-
-
-def running_sum(df: DataFrame, keys: list[str], slot: Column, order: list[Column], value: Column, name: str) -> DataFrame:
+def running_sum(df: DataFrame, keys: list[str], slots: list[Column], order: list[Column], value: Column, name: str) -> DataFrame:
     """Running total per key, without one task per key.
 
-    Rows are summed per (key, slot) first; the running sum over the few slot rows gives each slot its opening balance,
-    and the sum over single rows stays inside a slot. ``slot`` must not decrease along ``order``.
+    ``slots`` cut the time of a key ever finer; none may decrease along ``order``. Rows are summed per slot first; a
+    running sum over the sums of one level inside a slot of the level above gives each slot its opening balance, and
+    the sum over single rows stays inside a slot of the finest level.
     """
-    by_slot = [*keys, "__slot"]
-    rows = df.withColumn("__slot", slot).withColumn("__value", value)
-    slots = rows.groupBy(*by_slot).agg(F.sum("__value").alias("__sum"))
-    earlier = Window.partitionBy(*keys).orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
-    opening = slots.select(*by_slot, F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__open"))
-    inside = Window.partitionBy(*by_slot).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.join(opening, by_slot).withColumn(
-        name, F.col("__open") + F.sum("__value").over(inside)).drop("__slot", "__value", "__open")
+    levels = [f"__slot{i}" for i in range(len(slots))]
+    rows = df.withColumns(dict(zip(levels, slots))).withColumn("__value", value)
+    opened = rows.withColumn("__open", F.lit(0))
+    for i in range(len(levels)):
+        above, here = [*keys, *levels[:i]], [*keys, *levels[:i + 1]]
+        sums = rows.groupBy(*here).agg(F.sum("__value").alias("__sum"))
+        earlier = Window.partitionBy(*above).orderBy(levels[i]).rowsBetween(Window.unboundedPreceding, -1)
+        opening = sums.select(*here, F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__more"))
+        opened = opened.join(opening, here).withColumn("__open", F.col("__open") + F.col("__more")).drop("__more")
+    inside = Window.partitionBy(*keys, *levels).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return opened.withColumn(name, F.col("__open") + F.sum("__value").over(inside)).drop(*levels, "__value", "__open")

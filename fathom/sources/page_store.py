@@ -1,128 +1,309 @@
 """Page table and index on parquet.
 
-Pages are partitioned by a hash of the URL, postings by a hash of the term. A batch rewrites only the partitions it
-touches: the merged partitions are first written aside, then put in place with a dynamic partition overwrite. A batch
-that is run again after a crash finds its finished copy and puts it in place again, with the same result.
+A table is a folder of versions and a small list that says in which version each bucket lies (a bucket is a hash range of
+the URL or term). A write puts the buckets that it touches into a version folder of its own, and publishes a new list
+last, so a reader sees the table before or after a write and nothing between. What no list of the last ``KEEP`` needs
+is removed. The list also holds the number of buckets, and for each job the number of its last batch: a batch that a
+job runs again is known by both.
+
+The index is a full build and then, per batch, the new postings with the documents that they replace. Reading hides what
+was replaced. After ``MERGE_AFTER`` batches they are merged into a full build.
 """
 
 from __future__ import annotations
 
+import json
+import math
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.operators.index import Index, doc_lengths, field_stats, merge_postings, term_stats
+from fathom.operators.index import Index, doc_lengths, merge_postings, term_stats
 from fathom.operators.pages import delete_pages, upsert_pages
 from fathom.schemas import PAGE, check_schema
 
 BUCKETS = 256
+#: Lists of older states that readers may still use.
+KEEP = 2
+MERGE_AFTER = 8
+#: Bytes that a bucket should hold; ``buckets_for`` derives their number from the size of what is to be stored.
+BUCKET_BYTES = 1 << 30
 
 
-def bucket(col: str, n: int = BUCKETS) -> Column:
+def bucket(col: str | Column, n: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(col), F.lit(n)).cast("int")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
-
-
-def _write(df: DataFrame, path: str, by: str, sort: list[str], mode: str) -> None:
+def buckets_for(n_bytes: int) -> int:
+    return max(8, 1 << math.ceil(math.log2(max(n_bytes / BUCKET_BYTES, 1))))
+
+
+# ---- lists of versions ------------------------------------------------------------------------------------------------
+
+class _Table:
+    """The published lists of a table: ``lists/<number>.json`` with buckets, folder of each bucket, last batch per job."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.folder = spark._jvm.org.apache.hadoop.fs.Path
+        self.fs = self.folder(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def numbers(self) -> list[int]:
+        at = self.folder(f"{self.path}/lists")
+        if not self.fs.exists(at):
+            return []
+        names = [s.getPath().getName() for s in self.fs.listStatus(at)]
+        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and not n.startswith("."))
+
+    def read(self, number: int | None = None) -> dict | None:
+        number = number if number is not None else (self.numbers() or [None])[-1]
+        if number is None:
+            return None
+        rows = self.spark.read.option("wholetext", True).text(f"{self.path}/lists/{number:08d}.json").collect()
+        return json.loads(rows[0][0]) | {"number": number}
+
+    def publish(self, state: dict) -> None:
+        """Writers of one table must not run side by side: the second of two with one number fails."""
+        number = state.pop("number", -1) + 1
+        name = f"{self.path}/lists/{number:08d}.json"
+        aside = self.folder(f"{self.path}/lists/.{uuid.uuid4().hex}")
+        out = self.fs.create(aside, False)
+        out.write(bytearray(json.dumps(state).encode()))
+        out.close()
+        if self.fs.exists(self.folder(name)) or not self.fs.rename(aside, self.folder(name)):
+            raise RuntimeError(f"{self.path} was changed by another writer")
+        self._clean()
+
+    def _clean(self) -> None:
+        numbers = self.numbers()
+        for old in numbers[:-KEEP]:
+            self.fs.delete(self.folder(f"{self.path}/lists/{old:08d}.json"), False)
+        used = {v for n in numbers[-KEEP:] for v in self.read(n)["used"]}
+        at = self.folder(f"{self.path}/data")
+        for status in self.fs.listStatus(at) if self.fs.exists(at) else []:
+            if status.getPath().getName().removeprefix("version=") not in used:
+                self.fs.delete(status.getPath(), True)
+
+    def children(self, at: str) -> list[str]:
+        folder = self.folder(f"{self.path}/{at}")
+        return [s.getPath().getName() for s in self.fs.listStatus(folder)] if self.fs.exists(folder) else []
+
+
+def _write(df: DataFrame, path: str, by: str, sort: list[str]) -> None:
     """``rebalance`` gives files of even size: small partitions are joined and large ones split at run time."""
-    (df.hint("rebalance", by).sortWithinPartitions(by, *sort).write.partitionBy(by)
-     .option("partitionOverwriteMode", "dynamic").mode(mode).parquet(path))
+    df.hint("rebalance", by).sortWithinPartitions(by, *sort).write.partitionBy(by).mode("overwrite").parquet(path)
 
 
-def write_pages(df: DataFrame, path: str, mode: str = "overwrite", buckets: int = BUCKETS) -> None:
-    check_schema(df, PAGE)
-    _write(df.select(*PAGE.fieldNames(), bucket("url", buckets).alias("url_bucket")), path, "url_bucket", ["url"], mode)
+# ---- pages --------------------------------------------------------------------------------------------------------------
 
+def _put_pages(table: _Table, state: dict, df: DataFrame, touched: list[int] | None, job: tuple[str, int] | None) -> None:
+    version = uuid.uuid4().hex
+    _write(df.select(*PAGE.fieldNames(), bucket("url", state["buckets"]).alias("url_bucket")),
+           f"{table.path}/data/version={version}", "url_bucket", ["url"])
+    written = [n.removeprefix("url_bucket=") for n in table.children(f"data/version={version}") if n.startswith("url_bucket=")]
+    places = {} if touched is None else {b: v for b, v in state["places"].items() if int(b) not in set(touched)}
+    state["places"] = places | dict.fromkeys(written, version)
+    state["used"] = sorted({*state["places"].values()})
+    if job is not None:
+        state["jobs"][job[0]] = job[1]
+    table.publish(state)
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    if not _exists(spark, path):
-        return spark.createDataFrame([], PAGE)
-    return spark.read.parquet(path).select(*PAGE.fieldNames())
 
+def write_pages(df: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Write the whole table anew; nothing of an earlier one stays, whatever its number of buckets."""
+    check_schema(df, PAGE)
+    table = _Table(df.sparkSession, path)
+    old = table.read() or {"number": -1, "jobs": {}}
+    _put_pages(table, {"number": old["number"], "jobs": old["jobs"], "buckets": buckets, "places": {}}, df, None, None)
 
-def _replace(spark: SparkSession, merged: DataFrame | None, path: str, aside: str, by: str, sort: list[str]) -> None:
-    if merged is not None:
-        merged.write.mode("overwrite").parquet(aside)
-    _write(spark.read.parquet(aside), path, by, sort, "overwrite")
 
+def page_buckets(spark: SparkSession, path: str) -> int | None:
+    state = _Table(spark, path).read()
+    return state and state["buckets"]
 
-def upsert_into(batch: DataFrame, path: str, batch_id: int, buckets: int = BUCKETS, **options) -> None:
-    """Upsert a batch (one record per URL) into the table at ``path``."""
-    spark = batch.sparkSession
-    aside = f"{path}__batch/{batch_id}"
-    if _exists(spark, f"{aside}/_SUCCESS"):
-        return _replace(spark, None, path, aside, "url_bucket", ["url"])
-    if not _exists(spark, path):
-        current = spark.createDataFrame([], PAGE)
-    else:
-        # At most ``buckets`` values come to the driver; only those partitions are read.
-        touched = [r[0] for r in batch.select(bucket("url", buckets)).distinct().collect()]
-        current = spark.read.parquet(path).filter(F.col("url_bucket").isin(touched)).select(*PAGE.fieldNames())
-    merged = upsert_pages(current, batch, **options)
-    return _replace(spark, merged.withColumn("url_bucket", bucket("url", buckets)), path, aside, "url_bucket", ["url"])
-
-
-def delete_from(keys: DataFrame, path: str, batch_id: str, buckets: int = BUCKETS) -> None:
-    """Delete pages by URL; only the partitions of those URLs are read and rewritten."""
-    spark = keys.sparkSession
-    aside = f"{path}__batch/{batch_id}"
-    touched = {r[0] for r in keys.select(bucket("url", buckets)).distinct().collect()}
-    kept = delete_pages(spark.read.parquet(path).filter(F.col("url_bucket").isin(list(touched))), keys)
-    _replace(spark, kept.select(*PAGE.fieldNames(), "url_bucket"), path, aside, "url_bucket", ["url"])
-    # An overwrite leaves a partition alone for which it has no rows.
-    left = {r[0] for r in spark.read.parquet(aside).select("url_bucket").distinct().collect()}
-    for b in touched - left:
-        gone = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/url_bucket={b}")
-        gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
 
+def read_pages(spark: SparkSession, path: str, only: list[int] | None = None, with_bucket: bool = False) -> DataFrame:
+    """The pages; ``only`` names the buckets to be read."""
+    table = _Table(spark, path)
+    state = table.read()
+    places = {int(b): v for b, v in state["places"].items()} if state else {}
+    places = {b: v for b, v in places.items() if only is None or b in set(only)}
+    columns = [*PAGE.fieldNames(), *(["url_bucket"] if with_bucket else [])]
+    if not places:
+        return spark.createDataFrame([], PAGE).withColumn("url_bucket", F.lit(0)).select(*columns)
+    paths = [f"{table.path}/data/version={v}/url_bucket={b}" for b, v in sorted(places.items())]
+    return spark.read.option("basePath", f"{table.path}/data").parquet(*paths).select(*columns)
 
-def write_index(postings: DataFrame, path: str, mode: str = "overwrite", buckets: int = BUCKETS) -> None:
-    """Postings by term hash, sorted by term, so that a query reads few partitions and few row groups of them.
 
-    The partition of a very frequent term is split into several files by the rebalance.
-    """
-    _write(postings.withColumn("term_bucket", bucket("term", buckets)), f"{path}/postings", "term_bucket",
-           ["field", "term"], mode)
-    stored = postings.sparkSession.read.parquet(f"{path}/postings").drop("term_bucket")
-    term_stats(stored).withColumn("term_bucket", bucket("term", buckets)).write.partitionBy("term_bucket").option(
-        "partitionOverwriteMode", "static").mode("overwrite").parquet(f"{path}/dictionary")
-    field_stats(doc_lengths(stored)).write.mode("overwrite").parquet(f"{path}/fields")
+def read_pages_of(spark: SparkSession, path: str, keys: DataFrame, most: int = 1000) -> DataFrame:
+    """The pages with these URLs (``url``): only their buckets are read, and of those, if they are few, only the files'
+    parts that may hold them."""
+    state = _Table(spark, path).read()
+    pages = read_pages(spark, path, _touched(keys, state["buckets"]) if state else [], with_bucket=True)
+    few = [r[0] for r in keys.select("url").distinct().limit(most + 1).collect()]
+    if len(few) <= most:
+        return pages.filter(F.col("url").isin(few))
+    return pages.join(keys.select("url").distinct(), "url", "left_semi")
 
 
-def read_index(spark: SparkSession, path: str) -> Index:
-    postings = spark.read.parquet(f"{path}/postings").drop("term_bucket")
-    dictionary = spark.read.parquet(f"{path}/dictionary").drop("term_bucket")
-    return Index(postings, dictionary, spark.read.parquet(f"{path}/fields"))
+def _touched(keys: DataFrame, buckets: int) -> list[int]:
+    """At most ``buckets`` numbers."""
+    return sorted(r[0] for r in keys.select(bucket("url", buckets)).distinct().collect())
 
 
-def read_postings_of(spark: SparkSession, path: str, terms: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """Postings for a table of query terms, with only their partitions read (at most ``buckets`` numbers collected)."""
-    wanted = [r[0] for r in terms.select(bucket("term", buckets)).distinct().collect()]
-    return spark.read.parquet(f"{path}/postings").filter(F.col("term_bucket").isin(wanted)).drop("term_bucket")
+def _seen(state: dict | None, job: str | None, batch_id: int | None) -> bool:
+    return state is not None and job is not None and state["jobs"].get(job, -1) >= batch_id
 
 
-def latest_index(spark: SparkSession, base: str) -> str | None:
-    """Newest finished index folder under ``base``."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(base)
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(folder):
-        return None
-    names = [s.getPath().getName() for s in fs.listStatus(folder)]
-    versions = sorted(int(n.removeprefix("version=")) for n in names if n.startswith("version="))
-    done = [f"{base}/version={v}" for v in versions if _exists(spark, f"{base}/version={v}/fields/_SUCCESS")]
-    return done[-1] if done else None
+def upsert_into(batch: DataFrame, path: str, batch_id: int | None = None, job: str | None = None, buckets: int = BUCKETS,
+                **options) -> None:
+    """Upsert a batch (one record per URL) into the table at ``path``; only the buckets of its URLs are read and written.
 
+    ``job`` names who writes and ``batch_id`` its rising number: a batch that the job has written already is not written
+    again. Without a job each call is a batch of its own. ``buckets`` holds for a new table.
+    """
+    spark = batch.sparkSession
+    table = _Table(spark, path)
+    state = table.read()
+    if _seen(state, job, batch_id):
+        return
+    state = state or {"number": -1, "jobs": {}, "buckets": buckets, "places": {}}
+    touched = _touched(batch, state["buckets"])
+    merged = upsert_pages(read_pages(spark, path, touched), batch, **options)
+    _put_pages(table, state, merged, touched, None if job is None else (job, batch_id))
+
+
+def delete_from(keys: DataFrame, path: str, batch_id: int | None = None, job: str | None = None) -> None:
+    """Delete pages by URL; only the buckets of those URLs are read and rewritten."""
+    spark = keys.sparkSession
+    table = _Table(spark, path)
+    state = table.read()
+    if state is None or _seen(state, job, batch_id):
+        return
+    touched = _touched(keys, state["buckets"])
+    kept = delete_pages(read_pages(spark, path, touched), keys)
+    _put_pages(table, state, kept, touched, None if job is None else (job, batch_id))
+
+
+# ---- index --------------------------------------------------------------------------------------------------------------
+
+_PARTS = ("postings", "dictionary", "fields", "gone")
+
+
+def _field_sums(postings: DataFrame) -> DataFrame:
+    return doc_lengths(postings).groupBy("field").agg(F.count("*").alias("n_docs"), F.sum("field_len").alias("total_len"))
+
+
+def _put_index(table: _Table, state: dict, postings: DataFrame, removed: DataFrame | None, gone: DataFrame | None,
+               job: tuple[str, int] | None) -> None:
+    """One layer: postings, and what it changes in the dictionary and the fields' sums (negative for what it replaces)."""
+    spark, version, n = postings.sparkSession, uuid.uuid4().hex, state["buckets"]
+    base = f"{table.path}/data/version={version}"
+    _write(postings.withColumn("term_bucket", bucket("term", n)), f"{base}/postings", "term_bucket", ["field", "term"])
+    some = any(x.startswith("term_bucket=") for x in table.children(f"data/version={version}/postings"))
+    new = spark.read.schema(postings.schema).parquet(f"{base}/postings/term_bucket=*") if some else postings.limit(0)
+    terms, sums = term_stats(new), _field_sums(new)
+    if removed is not None:
+        less = lambda df, keys: df.select(*keys, *[(-F.col(c)).alias(c) for c in df.columns if c not in keys])
+        terms = terms.unionByName(less(term_stats(removed), ["field", "term"])).groupBy("field", "term").agg(
+            F.sum("df").alias("df"), F.sum("total_tf").alias("total_tf"))
+        sums = sums.unionByName(less(_field_sums(removed), ["field"]))
+    _write(terms.withColumn("term_bucket", bucket("term", n)), f"{base}/dictionary", "term_bucket", ["field", "term"])
+    sums.write.mode("overwrite").parquet(f"{base}/fields")
+    if gone is not None:
+        gone.select("doc").distinct().write.mode("overwrite").parquet(f"{base}/gone")
+    state["layers"] = [*([] if gone is None else state["layers"]), version]
+    state["used"] = state["layers"]
+    if job is not None:
+        state["jobs"][job[0]] = job[1]
+    table.publish(state)
+
+
+def write_index(postings: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """A full build: postings by term hash, sorted by term, so that a query reads few partitions and few row groups.
+
+    The bucket of a very frequent term is split into several files by the rebalance. Nothing of an earlier build stays.
+    """
+    table = _Table(postings.sparkSession, path)
+    old = table.read() or {"number": -1, "jobs": {}}
+    _put_index(table, {"number": old["number"], "jobs": old["jobs"], "buckets": buckets, "layers": []}, postings, None, None, None)
+
+
+def _layers(spark: SparkSession, table: _Table, state: dict, part: str, only: list[int] | None) -> list[DataFrame | None]:
+    out: list[DataFrame | None] = []
+    for version in state["layers"]:
+        at = f"data/version={version}/{part}"
+        names = [n for n in table.children(at) if n.startswith("term_bucket=")
+                 and (only is None or int(n.removeprefix("term_bucket=")) in set(only))]
+        out.append(spark.read.option("basePath", f"{table.path}/{at}").parquet(
+            *[f"{table.path}/{at}/{n}" for n in names]) if names else None)
+    return out
 
-def update_index(new: DataFrame, touched: DataFrame, base: str, version: int, buckets: int = BUCKETS) -> str:
-    """Write the index with the postings of changed pages replaced to a folder of its own; the old one stays whole."""
+
+def _postings(spark: SparkSession, table: _Table, state: dict, only: list[int] | None = None) -> DataFrame | None:
+    gone = [spark.read.parquet(f"{table.path}/data/version={v}/gone") if "gone" in table.children(f"data/version={v}") else None
+            for v in state["layers"]]
+    whole = None
+    for i, layer in enumerate(_layers(spark, table, state, "postings", only)):
+        if layer is None:
+            continue
+        for later in gone[i + 1:]:
+            layer = layer.join(later, "doc", "left_anti")
+        whole = layer if whole is None else whole.unionByName(layer)
+    return whole
+
+
+def read_index(spark: SparkSession, path: str, terms: DataFrame | None = None) -> Index:
+    """The index; with ``terms`` (field, term) only the buckets in which they lie (at most as many numbers are collected)."""
+    table = _Table(spark, path)
+    state = table.read()
+    if state is None:
+        raise FileNotFoundError(f"no index at {path}")
+    only = None if terms is None else sorted(
+        r[0] for r in terms.select(bucket("term", state["buckets"])).distinct().collect())
+    postings = _postings(spark, table, state, only)
+    terms_of = [d for d in _layers(spark, table, state, "dictionary", only) if d is not None]
+    empty = only is not None and (postings is None or not terms_of)
+    if empty:  # none of the terms is known: any bucket does, its rows do not join
+        return read_index(spark, path).limited_to_none()
+    dictionary = terms_of[0]
+    for more in terms_of[1:]:
+        dictionary = dictionary.unionByName(more)
+    if len(terms_of) > 1:
+        dictionary = dictionary.groupBy("field", "term", "term_bucket").agg(
+            F.sum("df").alias("df"), F.sum("total_tf").alias("total_tf")).filter("df > 0")
+    fields = spark.read.parquet(*[f"{table.path}/data/version={v}/fields" for v in state["layers"]])
+    stats = fields.groupBy("field").agg(F.sum("n_docs").alias("n_docs"), F.sum("total_len").alias("total_len")).filter(
+        "n_docs > 0").select("field", "n_docs", (F.col("total_len") / F.col("n_docs")).alias("avg_len"))
+    return Index(postings, dictionary, stats, lambda asked: read_index(spark, path, asked))
+
+
+def update_index(new: DataFrame, touched: DataFrame, path: str, batch_id: int | None = None, job: str | None = None,
+                 buckets: int = BUCKETS) -> None:
+    """Replace the postings of the documents in ``touched`` (doc) by ``new`` (which may be empty: a delete).
+
+    Written is a layer of the batch's size; of the old postings only document, length and term are read. Every
+    ``MERGE_AFTER`` layers all are merged into a full build.
+    """
     spark = new.sparkSession
-    out, latest = f"{base}/version={version}", latest_index(spark, base)
-    if latest == out:
-        return out
-    if latest is not None:
-        new = merge_postings(spark.read.parquet(f"{latest}/postings").drop("term_bucket"), touched, new)
-    write_index(new, out, buckets=buckets)
-    return out
+    table = _Table(spark, path)
+    state = table.read()
+    if _seen(state, job, batch_id):
+        return
+    mark = None if job is None else (job, batch_id)
+    if state is None:
+        return _put_index(table, {"number": -1, "jobs": {}, "buckets": buckets, "layers": []}, new, None, None, mark)
+    old = _postings(spark, table, state)
+    old = new.limit(0).withColumn("term_bucket", F.lit(0)) if old is None else old
+    if len(state["layers"]) >= MERGE_AFTER:
+        return _put_index(table, state, merge_postings(old.drop("term_bucket"), touched, new), None, None, mark)
+    removed = old.select("doc", "field", "term", "tf", "field_len").join(touched.select("doc").distinct(), "doc", "left_semi")
+    return _put_index(table, state, new, removed, touched, mark)
+
+
+def delete_from_index(keys: DataFrame, path: str, batch_id: int | None = None, job: str | None = None) -> None:
+    """Deleted pages (url) are no longer found."""
+    spark = keys.sparkSession
+    postings = read_index(spark, path).postings.drop("term_bucket")
+    update_index(postings.limit(0), keys.select(F.col("url").alias("doc")), path, batch_id, job)

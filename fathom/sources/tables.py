@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fathom.schemas import FETCH, SUBMISSION
+from fathom.sources import page_store
 
 
 def scan_pages(spark: SparkSession, path: str, where: Column | None = None, limit: int | None = None,
                columns: list[str] | None = None) -> DataFrame:
-    """Page records; filter, limit and columns reach the parquet scan."""
-    pages = spark.read.parquet(path)
+    """Page records of a stored page table, or of plain parquet; filter, limit and columns reach the parquet scan."""
+    stored = page_store.page_buckets(spark, path) is not None
+    pages = page_store.read_pages(spark, path) if stored else spark.read.parquet(path)
     if where is not None:
         pages = pages.filter(where)
     if columns is not None:

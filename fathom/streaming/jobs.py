@@ -16,7 +16,8 @@ from fathom import config
 from fathom.functions import urls
 from fathom.operators.accounting import queue_change
 from fathom.operators.extract import extract_pages
-from fathom.operators.index import build_postings
+from fathom.operators.index import build_postings, exact_terms
+from fathom.operators.ingest import CrawlRules, screened
 from fathom.operators.pages import collapse_fetches
 from fathom.operators.submissions import rate_limit
 from fathom.operators.url_filters import fingerprint
@@ -32,35 +33,55 @@ def start(stream: DataFrame, work: BatchWork, checkpoint: str, mode: str = "appe
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def into_parquet(path: str) -> BatchWork:
+def _job(df: DataFrame) -> str:
+    """The stream's own name: kept in its checkpoint, and another one for a stream with a new checkpoint."""
+    return df.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "batch"
+
+
+def latest_by_key(path: str, keys: list[str]) -> BatchWork:
+    """Sink for update mode: a table with the last row of each key. Each batch writes the whole (small) table anew under its
+    number, from that of the batch before."""
     def work(df: DataFrame, batch_id: int) -> None:
+        if batch_id > 0:
+            before = df.sparkSession.read.schema(df.schema).parquet(f"{path}/batch={batch_id - 1}")
+            df = df.unionByName(before.join(df.select(*keys), keys, "left_anti"))
         df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
     return work
 
 
-def ingest(path: str, index_path: str | None = None, buckets: int = page_store.BUCKETS) -> BatchWork:
-    """Extract fetched pages, collapse them per URL and upsert them; optionally bring the index up to date.
+def into_parquet(path: str) -> BatchWork:
+    def work(df: DataFrame, batch_id: int) -> None:
+        df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    return work
+
 
-    The index goes to a new folder per batch, next to the one it was made from, so a reader never sees a half-written
-    one. That rewrites it, so choose a trigger to match (the page table alone is updated in place).
+def ingest(path: str, index_path: str | None = None, buckets: int = page_store.BUCKETS, rules: CrawlRules | None = None,
+           requests_path: str | None = None) -> BatchWork:
+    """Filter fetched pages by ``rules``, extract them, collapse them per URL and upsert them; optionally bring the index up to
+    date with the changed documents. Root pages to be asked for instead of template pages go to ``requests_path``.
     """
     def work(df: DataFrame, batch_id: int) -> None:
-        spark = df.sparkSession
+        spark, job = df.sparkSession, _job(df)
+        if rules is not None:
+            df, instead = screened(df, rules)
+            if requests_path is not None:
+                instead.write.mode("overwrite").parquet(f"{requests_path}/batch={batch_id}")
         # Decides only between fetches of the same moment; a hash of the content is the same in a second run.
         records = extract_pages(df).withColumn("seq", F.xxhash64("title", "content"))
         batch = collapse_fetches(records)
-        page_store.upsert_into(batch, path, batch_id, buckets)
+        page_store.upsert_into(batch, path, batch_id, job, buckets)
         if index_path is not None:
             changed = df.select("url").distinct()
-            pages = page_store.read_pages(spark, path).join(changed, "url", "left_semi")
-            page_store.update_index(build_postings(pages), changed.withColumnRenamed("url", "doc"), index_path,
-                                    batch_id, buckets)
+            pages = page_store.read_pages_of(spark, path, changed).drop("url_bucket")
+            postings = build_postings(pages).unionByName(exact_terms(pages))
+            page_store.update_index(postings, changed.withColumnRenamed("url", "doc"), index_path, batch_id, job, buckets)
     return work
 
 
 def stream_ingest(fetches: DataFrame, path: str, checkpoint: str, index_path: str | None = None,
-                  buckets: int = page_store.BUCKETS, trigger: dict | None = None) -> StreamingQuery:
-    return start(fetches, ingest(path, index_path, buckets), checkpoint, trigger=trigger)
+                  buckets: int = page_store.BUCKETS, trigger: dict | None = None, rules: CrawlRules | None = None,
+                  requests_path: str | None = None) -> StreamingQuery:
+    return start(fetches, ingest(path, index_path, buckets, rules, requests_path), checkpoint, trigger=trigger)
 
 
 def limited(out: str, state: str, limit_s: int = config.RATE_LIMIT_S) -> BatchWork:

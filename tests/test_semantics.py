@@ -9,7 +9,8 @@ from fathom.functions import html, urls
 from fathom.functions import text as tx
 from fathom.operators import analysis, extract, graph, robots, search, snippets, submissions, url_filters
 from fathom.operators import pages as pg
-from fathom.operators.index import make_index
+from fathom.operators.index import build_postings, make_index
+from fathom.operators.ingest import CrawlRules, screened
 from fathom.plans import skew
 from fathom.schemas import PAGE, SchemaMismatch, check_schema
 from fathom.sources import page_store, tables
@@ -104,7 +105,7 @@ def test_entities(spark):
 
 
 def test_template_rules(spark):
-    page = '<html><footer><a href="http://x/gitea">g</a></footer></html>'
+    page = """<html><footer><div class='ui container'><div class="ui left"><a href='http://x/gitea'>g</a></div></div></footer></html>"""
     df = spark.createDataFrame([("http://a/", page), ("http://a/x", page), ("http://a/y", "<p>")], "url string, body string")
     rows = {r.url: r.action for r in extract.template_action(df).collect()}
     assert rows == {"http://a/": "keep", "http://a/x": "to_root", "http://a/y": "keep"}
@@ -125,16 +126,16 @@ def test_totals(spark):
 
 
 def test_ranking_spreads_frequent_terms(spark):
-    """Broadcast terms, shuffled terms, and shuffled terms with every term salted give the same scores."""
+    """Broadcast terms and shuffled terms give the same scores, also where a frequent term's postings are split."""
     rng = random.Random(7)
     rows = [(f"d{i}", " ".join(rng.choices("the a cat dog wi-fi X1".split(), k=rng.randint(1, 30)))) for i in range(120)]
     pages = spark.createDataFrame(rows, "url string, content string")
     ix = make_index(pages, fields=("content",))
     terms = search.query_terms(spark.createDataFrame([(1, "the wi-fi"), (2, "x1 dog nothing")], "query_id int, q string"))
     ways = [search.rank(terms, ix.postings, ix.dictionary, ix.stats, **how).select("query_id", "doc", "score", "matched")
-            for how in ({"small": True}, {}, {"hot_rows": 1})]
+            for how in ({"small": True}, {})]
     results = [sorted(map(tuple, w.collect())) for w in ways]
-    assert len(results[0]) > 100 and results[0] == results[1] == results[2]
+    assert len(results[0]) > 100 and results[0] == results[1]
 
 
 def test_wildcards(spark):
@@ -202,18 +203,45 @@ def test_rate_limit_of_one_busy_client(spark):
     assert got == _by_hand(late, 700, last)[0]
 
 
-def test_skew_join_and_running_sum(spark):
+def test_equal_rows_of_one_key_are_split(spark, tmp_path):
+    """A URL that very many rows ask for is dealt to several tasks at run time."""
+    asked = spark.range(60_000).select(F.when(F.col("id") < 50_000, "http://hot.geek/").otherwise(
+        F.concat(F.lit("http://h"), F.col("id").cast("string"))).alias("url"), "id")
+    pages = spark.range(50_000, 55_000).select(F.concat(F.lit("http://h"), F.col("id").cast("string")).alias("url")).union(
+        spark.createDataFrame([("http://hot.geek/",)], "url string"))
+    asked.write.parquet(str(tmp_path / "a"))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.advisoryPartitionSizeInBytes",
+                                          "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes")}
+    try:
+        for k in old:
+            spark.conf.set(k, "-1" if "Broadcast" in k else "16k")
+        df = graph.urls_exist(spark.read.parquet(str(tmp_path / "a")), pages)
+        rows = df.groupBy("known").count().collect()
+        found = df.filter("id >= 0")
+        found.collect()
+        assert "skew=true" in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert {r["known"]: r["count"] for r in rows} == {True: 55_000, False: 5_000}
+
+
+def test_running_sum(spark):
     big = spark.range(3000).select(F.when(F.col("id") % 3 < 2, 0).otherwise(F.col("id") % 50).alias("k"), "id")
-    small = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
-    for how in ("inner", "left", "left_semi", "left_anti"):
-        salted = skew.skew_join(big, small, ["k"], how, at_least=100)
-        assert sorted(map(str, salted.collect())) == sorted(map(str, big.join(small, "k", how).collect()))
-    assert [r.k for r in skew.hot_keys(big, ["k"], 100).collect()] == [0]
-    run = skew.running_sum(big, ["k"], F.floor(F.col("id") / 70), [F.col("id")], F.col("id"), "s")
-    total = {}
-    for r in sorted(run.collect(), key=lambda r: r.id):
-        total[r.k] = total.get(r.k, 0) + r.id
-        assert r.s == total[r.k]
+    for slots in ([70], [700, 70], [1000, 100, 10]):
+        run = skew.running_sum(big, ["k"], [F.floor(F.col("id") / n) for n in slots], [F.col("id")], F.col("id"), "s")
+        total = {}
+        for r in sorted(run.collect(), key=lambda r: r.id):
+            total[r.k] = total.get(r.k, 0) + r.id
+            assert r.s == total[r.k]
+
+
+def test_as_of_in_a_busy_slot(spark):
+    requests = spark.range(2000).select(F.lit("h").alias("host"), F.timestamp_seconds(F.col("id")).alias("ts"), "id")
+    robots_log = spark.createDataFrame([("h", 100, "a"), ("h", 1500, "b"), ("x", 0, "c")], "host string, s int, snapshot string").select(
+        "host", F.timestamp_seconds("s").alias("fetched_at"), "snapshot")
+    got = {r.id: r.snapshot for r in robots.robots_as_of(requests, robots_log, 700, slot_s=90).collect()}
+    assert got == {i: "b" if i >= 1500 else "a" if 100 <= i <= 800 else None for i in range(2000)}
 
 
 def test_depth_with_a_hub(spark):
@@ -222,7 +250,7 @@ def test_depth_with_a_hub(spark):
     other = [("http://a.geek/1000", "http://b.geek/x"), ("http://b.geek/x", "http://a.geek/5")]
     edges = spark.createDataFrame(hub + chain + other, "src string, dst string")
     starts = spark.createDataFrame([("http://a.geek/",)], "url string")
-    got = {r.url: r.depth for r in graph.intra_site_depth(starts, edges, 3, hot_rows=100).collect()}
+    got = {r.url: r.depth for r in graph.intra_site_depth(starts, edges, 3).collect()}
     assert got["http://a.geek/h"] == 1 and got["http://a.geek/7"] == 2 and got["http://a.geek/1000"] == 3
     assert got["http://b.geek/x"] == 0 and got["http://a.geek/5"] == 0 and got["http://a.geek/1005"] == 1
 
@@ -271,14 +299,122 @@ def test_schema_check(spark):
 def test_page_store(spark, tmp_path):
     path = str(tmp_path / "pages")
     page_store.write_pages(_records(spark, [(f"u{i}", 1, "a", 1, False) for i in range(20)]), path, buckets=4)
-    page_store.upsert_into(_records(spark, [("u3", 0, "b", 2, False), ("new", 2, "c", 2, False)]), path, 1, buckets=4)
-    page_store.upsert_into(_records(spark, [("u3", 0, "b", 2, False)]), path, 1, buckets=4)  # the same batch again
+    batch = _records(spark, [("u3", 0, "b", 2, False), ("new", 2, "c", 2, False)])
+    page_store.upsert_into(batch, path, 1, "job")
+    page_store.upsert_into(batch, path, 1, "job")  # the same batch again
     got = {r.url: (r.depth, r.title) for r in page_store.read_pages(spark, path).collect()}
     assert len(got) == 21 and got["u3"] == (0, "b") and got["new"] == (2, "c") and got["u4"] == (1, "a")
-    page_store.delete_from(spark.createDataFrame([(f"u{i}",) for i in range(20)], "url string"), path, "gone", buckets=4)
+    page_store.delete_from(spark.createDataFrame([(f"u{i}",) for i in range(20)], "url string"), path)
     assert [r.url for r in page_store.read_pages(spark, path).collect()] == ["new"]
 
 
+def test_page_store_loses_nothing(spark, tmp_path):
+    """Batches of two jobs under one number, a smaller rebuild, another number of buckets, removal of old versions."""
+    path = str(tmp_path / "pages")
+    urls_of = lambda: sorted(r.url for r in page_store.read_pages(spark, path).collect())
+    for job, url in (("one", "u1"), ("two", "u2"), (None, "u3"), (None, "u4")):
+        page_store.upsert_into(_records(spark, [(url, 1, "a", 1, False)]), path, 0, job, buckets=4)
+    assert urls_of() == ["u1", "u2", "u3", "u4"] and page_store.page_buckets(spark, path) == 4
+    page_store.write_pages(_records(spark, [(f"v{i}", 1, "a", 1, False) for i in range(9)]), path, buckets=8)
+    page_store.write_pages(_records(spark, [("v1", 1, "a", 1, False)]), path, buckets=2)
+    assert urls_of() == ["v1"]
+    page_store.upsert_into(_records(spark, [("v2", 1, "a", 1, False)]), path, buckets=64)  # the table's own number counts
+    assert urls_of() == ["v1", "v2"] and page_store.page_buckets(spark, path) == 2
+    assert len(list((tmp_path / "pages/lists").glob("0*.json"))) == page_store.KEEP
+    assert len(list((tmp_path / "pages/data").iterdir())) <= page_store.KEEP + 1
+
+
+def test_index_store_loses_nothing(spark, tmp_path):
+    path = str(tmp_path / "index")
+    page = lambda rows: spark.createDataFrame(rows, "url string, content string")
+    posts = lambda rows: build_postings(page(rows), fields=("content",))
+    docs = {f"d{i}": f"word{i} common" for i in range(12)}
+    page_store.write_index(posts(list(docs.items())), path, buckets=4)
+    docs = {"d1": "word1 common", "d2": "other"}
+    page_store.write_index(posts(list(docs.items())), path, buckets=2)  # smaller, with other buckets
+
+    def check():
+        want = make_index(page(list(docs.items())), fields=("content",))
+        asked = search.query_terms(spark.createDataFrame([(1, "common"), (2, "word1 other new3")], "query_id int, q string"))
+        for ix in (page_store.read_index(spark, path), page_store.read_index(spark, path).lookup(asked)):
+            rows = [sorted(map(tuple, search.rank(asked, i.postings, i.dictionary, i.stats).select("query_id", "doc", "score").collect()))
+                    for i in (want, ix)]
+            assert rows[0] == rows[1]
+        for part, columns in (("dictionary", ["field", "term", "df", "total_tf"]), ("stats", ["field", "n_docs", "avg_len"])):
+            a, b = (sorted(map(tuple, getattr(i, part).select(*columns).collect())) for i in (want, page_store.read_index(spark, path)))
+            assert a == b
+
+    check()
+    for k in range(page_store.MERGE_AFTER + 2):
+        change = {"d1": f"common new{k}", f"e{k}": "other common"}
+        docs |= change
+        touched = spark.createDataFrame([(d,) for d in change], "doc string")
+        for _ in range(2):  # run again after a failure
+            page_store.update_index(posts(list(change.items())), touched, path, k, "job")
+        if k in (0, page_store.MERGE_AFTER + 1):
+            check()
+    page_store.delete_from_index(spark.createDataFrame([("d1",), ("e0",)], "url string"), path)
+    docs = {d: t for d, t in docs.items() if d not in ("d1", "e0")}
+    check()
+
+
+def test_stored_search_reads_only_its_partitions(spark, tmp_path):
+    place = str(tmp_path)
+    pages = _records(spark, [(f"http://a/{i}", 0, f"word{i} common", 1, False) for i in range(60)])
+    page_store.write_pages(pages, f"{place}/p", buckets=16)
+    page_store.write_index(build_postings(pages, fields=("content",)), f"{place}/i", buckets=16)
+    ix = page_store.read_index(spark, f"{place}/i")
+    terms = search.query_terms(spark.createDataFrame([(1, "word7")], "query_id int, q string"))
+    plan = ix.lookup(terms).postings._jdf.queryExecution().toString()
+    assert "PushedFilters: [In(term, [" in plan and "word7" in plan
+    assert len(ix.lookup(terms).postings.inputFiles()) < len(ix.postings.inputFiles())
+    of = lambda keys: page_store.read_pages_of(spark, f"{place}/p", keys)
+    found = of(spark.createDataFrame([("http://a/7",)], "url string"))
+    assert len(found.inputFiles()) == 1 and "EqualTo(url,http://a/7)" in found._jdf.queryExecution().toString()
+    hits = search.search(spark.createDataFrame([(1, "word7"), (2, "nothing")], "query_id int, q string"), of, index=ix).collect()
+    assert [(h.query_id, h.url, h.snippet) for h in hits] == [(1, "http://a/7", "<strong>word7</strong> common")]
+
+
+def test_robots_groups_without_rules(spark):
+    files = spark.createDataFrame([("http://a.geek", "User-agent: bot\nCrawl-delay: 5\n\nUser-agent: *\nDisallow: /")], "site string, body string")
+    rules = robots.parse_robots(files)
+    assert {(r.agent, r.allow, r.pattern, r.crawl_delay) for r in rules.collect()} == {("bot", None, None, 5.0), ("*", False, "/", None)}
+    asked = spark.createDataFrame([("http://a.geek/x",)], "url string")
+    assert [robots.robots_allowed(asked, rules, agent).first().allowed for agent in ("my bot", "other")] == [True, False]
+
+
+def test_purged_pages_are_not_found(spark, tmp_path):
+    place = str(tmp_path)
+    pages = _records(spark, [("http://a.geek/x", 0, "cat", 1, False), ("http://a.geek/y", 0, "cat", 1, False), ("http://b.geek/x", 0, "cat", 1, False)])
+    page_store.write_pages(pages, f"{place}/p", buckets=2)
+    page_store.write_index(build_postings(pages, fields=("content",)), f"{place}/i", buckets=2)
+    rules = spark.createDataFrame([("http://a.geek", "*", False, "/x"), ("http://b.geek", "*", False, "/x")],
+                                  "site string, agent string, allow boolean, pattern string")
+    gone = robots.disallowed_urls(pages, rules, spark.createDataFrame([("http://a.geek",)], "site string"), "bot")
+    page_store.delete_from(gone, f"{place}/p")
+    page_store.delete_from_index(gone, f"{place}/i")
+    hits = search.search(spark.createDataFrame([(1, "cat")], "query_id int, q string"), page_store.read_pages(spark, f"{place}/p"),
+                         index=page_store.read_index(spark, f"{place}/i")).collect()
+    assert [h.url for h in hits] == ["http://a.geek/y", "http://b.geek/x"]
+
+
+def test_ingest_filters_in_order(spark):
+    page = """<div id='page-header'><p class="apache">x</p></div>"""
+    gitea = "<footer><div class='ui container'><div class='left ui'><a href=http://gitea.io>g</a></div></div></footer>"
+    rows = [("http://a.geek/1", "ok"), ("http://a.com/1", "other TLD"), ("http://a.geek/1.png", "image"), ("not a url", "x"),
+            ("http://grep.geek/?q=x&s=DRP", "denied"), ("http://a.geek/manual", page), ("http://a.geek/repo/x", gitea), ("http://b.geek/", gitea)]
+    kept, instead = screened(spark.createDataFrame(rows, "url string, body string"), CrawlRules())
+    assert sorted(r.url for r in kept.collect()) == ["http://a.geek/1", "http://b.geek/"]
+    assert [r.url for r in instead.collect()] == ["http://a.geek/"]
+
+
+def test_unknown_fields_are_errors(spark):
+    pages = spark.createDataFrame([("u", "t")], "url string, content string")
+    asked = spark.createDataFrame([(1, "a", "titel")], "query_id int, q string, field string")
+    with pytest.raises(ValueError, match="titel"):
+        search.search(asked, pages)
+
+
 def test_scan_is_pushed_down(spark, tmp_path):
     path = str(tmp_path / "p")
     page_store.write_pages(_records(spark, [("http://a", 0, "a", 1, False)]), path, buckets=2)
@@ -309,7 +445,7 @@ def test_ingest_with_index(spark, tmp_path):
     stream = tables.stream_fetches(spark, str(tmp_path / "in/*"), max_files=1)
     pages, index = str(tmp_path / "pages"), str(tmp_path / "index")
     jobs.stream_ingest(stream, pages, str(tmp_path / "c"), index, buckets=2).awaitTermination()
-    stored = page_store.read_index(spark, page_store.latest_index(spark, index))
+    stored = page_store.read_index(spark, index)
     queries = spark.createDataFrame([(1, "cat"), (2, "Dog"), (3, "red")], "query_id int, q string")
     hits = search.search(queries, page_store.read_pages(spark, pages), index=stored).collect()
     assert sorted((h.query_id, h.url) for h in hits) == [(1, "http://a/2"), (2, "http://a/1")]
