@@ -7,8 +7,8 @@ chance, and pairs far below the limit are dropped. What is left is verified on t
 
 No group is ever expanded into all pairs. Texts with equal sets first become one vertex. In a band's bucket all are
 compared with one of them (a hub). Links so far give classes; buckets whose members all fell into one class are settled,
-in the others another hub is taken. After ``ROUNDS`` hubs, members still in different classes of a bucket are compared
-among each other by size-compatible pairs, each once, so that no link is lost.
+in the others another hub is taken. What is still in different classes of a bucket after ``ROUNDS`` hubs is settled
+exactly: an inverted index of each set's rarest shingles, with bounds by size and place, yields the pairs left to verify.
 
 Cases: texts without words (null, empty, blanks) have an empty set and are linked with nothing; texts under
 ``WORDS`` words have one shingle, the whole sequence; rows that repeat an id are one vertex for each set, and versions of
@@ -21,7 +21,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.llm.shared import LOWER, distinct_sorted, hashed, mixed, multipliers, pieces, stored, words
@@ -32,7 +32,7 @@ BUCKET_BITS = 7
 BUCKETS = 1 << BUCKET_BITS
 MANTISSA = 10
 ROWS = 4  # registers of a band
-ROUNDS = 4
+ROUNDS = 3
 #: Estimates this far under the limit are dropped: five standard deviations of BUCKETS registers.
 SLACK = 5 * (0.75 * 0.25 / BUCKETS) ** 0.5
 #: Sets up to this size have too few full registers for an estimate and are verified at once.
@@ -180,10 +180,47 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return wanted.mapInArrow(run, "doc_id long, members binary")
 
 
+def _compatible(x: F.Column, y: F.Column) -> F.Column:
+    """Sets of these sizes can be similar enough."""
+    return 100 * F.least(x, y) >= LIMIT * F.greatest(x, y)
+
+
+def _prefix_pairs(left: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (x, y) of different classes among ``left`` (doc_id, n, c) that may be similar; none that is similar is missing.
+
+    Shingles are ranked from rare to frequent. Two similar sets share a shingle among the first quarter of each, and
+    where it stands bounds what they can have in common. A passage that many texts share is frequent, so it
+    stands at the end and brings no pairs unless it is nearly all there is to the texts.
+    """
+
+    def spread(batches):
+        for batch in batches:
+            own = [np.frombuffer(m, np.int64) for m in batch.column("members").to_pylist()]
+            sizes = [len(x) for x in own]
+            rows = np.repeat(np.arange(len(own)), sizes)
+            yield pa.RecordBatch.from_pydict({c: batch.column(c).take(pa.array(rows)) for c in ("doc_id", "n", "c")} | {
+                "shingle": pa.array(np.concatenate([np.zeros(0, np.int64), *own]))})
+
+    every = stored(left.join(sets, "doc_id").mapInArrow(spread, "doc_id long, n long, c long, shingle long"), "shingles")
+    times = every.groupBy("shingle").agg(F.count("*").alias("times"))
+    # A set's rare shingles take up places; only those that others have too can meet.
+    place = F.row_number().over(Window.partitionBy("doc_id", "n").orderBy("times", "shingle")) - 1
+    first = F.col("n") - F.ceil(F.col("n") * LIMIT / 100) + 1
+    front = every.join(times, "shingle").withColumn("place", place).filter((F.col("place") < first) & (F.col("times") > 1))
+    front = stored(front.select("shingle", "doc_id", "n", "c", "place"), "prefixes")
+    other = front.toDF("shingle", "y", "m", "d", "at")
+    needed = LIMIT * (F.col("n") + F.col("m")) / (100 + LIMIT)
+    possible = 1 + F.least(F.col("n") - F.col("place") - 1, F.col("m") - F.col("at") - 1)
+    return front.join(other, "shingle").filter(
+        (F.col("c") < F.col("d")) & _compatible(F.col("n"), F.col("m")) & (possible >= needed - 1e-6)).select(
+        F.col("doc_id").alias("x"), "y")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links), kept (the document stands for its class)."""
     sketch = stored(sketches(docs), "sketches")
-    firsts = sketch.filter("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("first"))
+    # A table of its own, so that the joins with it can split a digest that very many copies share.
+    firsts = stored(sketch.filter("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("first")), "firsts")
     copies = stored(sketch.select("doc_id", "n", "digest").join(firsts, "digest", "left"), "copies")
     mine = sketch.select("doc_id", "n", "registers", "bands", "digest").join(
         firsts, "digest").filter(F.col("doc_id") == F.col("first")).drop("digest", "first").dropDuplicates(["doc_id", "n", "registers"])
@@ -198,7 +235,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     several = sketch.filter("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).filter("x != y")
     links = versions.join(several.select(F.col("doc_id").alias("a")), "a", "left_semi").select("a", "b")
     links, tested, classes = stored(links, "links"), None, None
-    compatible = lambda x, y: (100 * F.least(x, y) >= LIMIT * F.greatest(x, y))
     for turn in range(ROUNDS + 1):
         if classes is None:
             own = members.withColumn("c", F.col("doc_id"))
@@ -210,22 +246,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                                       (F.min("c") != F.max("c")).alias("open")).filter("open")
         if turn < ROUNDS:
             pairs = own.join(hubs.select("key", "hub"), "key").filter(
-                (F.col("c") != F.col("hub.c")) & compatible(F.col("n"), F.col("hub.n"))).select(
+                (F.col("c") != F.col("hub.c")) & _compatible(F.col("n"), F.col("hub.n"))).select(
                 F.col("hub.doc_id").alias("x"), F.col("doc_id").alias("y"))
         else:
-            left = stored(own.join(hubs.select("key"), "key"), "open")
-            other = left.select("key", F.col("doc_id").alias("y"), F.col("n").alias("m"), F.col("c").alias("d"))
-            pairs = left.join(other, "key").filter(
-                (F.col("c") < F.col("d")) & compatible(F.col("n"), F.col("m"))).select(F.col("doc_id").alias("x"), "y")
+            left = own.join(hubs.select("key"), "key").select("doc_id", "n", "c").distinct()
+            pairs = _prefix_pairs(stored(left, "open"), sets)
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
         if not pairs.limit(1).count():
-            if turn < ROUNDS:
-                continue
-            break
-        found = stored(_verified(_screened(pairs, screen), sets).distinct(), "links")
+            continue
+        candidates = _screened(pairs, screen) if turn < ROUNDS else pairs
+        found = stored(_verified(candidates, sets).distinct(), "links")
         tested = pairs if tested is None else tested.union(pairs)
         if found.limit(1).count():
             links = links.union(found)
