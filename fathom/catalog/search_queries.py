@@ -192,6 +192,25 @@ def stored_page_2(spark, sf):
     return stored_search(spark, sf, 2)
 
 
+# query, group, clause, occur, field, kind, text
+MIXED = [(1, 1, 1, "must", "content", "term", "the and"), (1, 1, 2, "must_not", "content", "wildcard", "worth*"),
+         (1, 1, 3, "should", "title", "term", "the"), (2, 1, 4, "must", "content", "phrase", "de la"),
+         (2, 1, 5, "should", "content", "wildcard", "éa?x"), (3, 1, 6, "should", "title", "wildcard", "und*"),
+         (3, 2, 7, "must", "content", "term", "der"), (3, 2, 8, "must_not", "depth", "number", "0"),
+         (4, 1, 9, "must", "depth", "number", "2"), (4, 1, 10, "must", "content", "term", "que los"),
+         (5, 1, 11, "should", "url", "exact", "http://src1.geek/1"), (5, 1, 12, "should", "title", "phrase", "of the"),
+         (6, 1, 13, "must", "content", "term", "zzzzzz")]
+
+
+def clauses_scored(spark, sf):
+    """Clauses of all kinds in groups: every document's score."""
+    pages = inp.doc_pages(spark, sf)
+    clauses = spark.createDataFrame(
+        MIXED, "query_id int, grp int, clause int, occur string, field string, kind string, text string")
+    ix = index.make_index(pages, fields=("title", "content", "url"), positions=True)
+    return search.clause_scores(clauses, pages, ix)[0]
+
+
 QUERIES = {
     "q1_query_terms": q1, "q2_match_any": q2, "q3_match_all": q3, "q4_clauses": q4, "q4_require_prohibit": q4_sets,
     "q5_and_not": _pair(search.and_not), "q6_and_maybe": _pair(search.and_maybe), "q7_require": _pair(search.require),
@@ -200,7 +219,7 @@ QUERIES = {
     "q15_score_bm25f": q15, "q16_coord_bonus": q16, "q17_search_page": q17, "q17_page_past_end": q17_past,
     "q18_page_totals": q18, "q19_result_numbers": q19, "q20_find_unscored": q20, "q21_first_fragment": q21_first,
     "q21_snippets": q21, "q22_mark_and_escape": q22, "q23_snippet_or_fallback": q23, "q24_search": q24,
-    "q24_search_stored": stored_search, "q24_page_2": stored_page_2,
+    "q24_clauses": clauses_scored, "q24_search_stored": stored_search, "q24_page_2": stored_page_2,
 }
 
 # ---- the same in SQL --------------------------------------------------------------------------------------------------
@@ -271,7 +290,40 @@ _HIT_MATCH = _MATCH.replace("""FROM content_an
   JOIN qt ON qt.query_id = pg.query_id AND qt.term = a.term)""").replace(
     "dp.url = m1.doc", "dp.url = split_part(m1.doc, '#', 2)")
 
+_MIXED = inp.values(MIXED, "query_id, grp, clause, occur, field, kind, text")
+_MIXED_SQL = f"""WITH {inp.postings_ctes(fields=("title", "content"))},
+    cl AS {_MIXED}, {inp.tokens_ctes("(SELECT clause AS id, text AS q FROM cl WHERE kind IN ('term', 'phrase'))", "id", "q", "c_")},
+    p2 AS (FROM po UNION ALL SELECT url, 'url', url, 1, 1 FROM {inp.DOC_PAGES_SQL}),
+    st AS (SELECT field, count(*) AS n_docs, avg(field_len) AS avg_len FROM (SELECT DISTINCT field, doc, field_len FROM p2) GROUP BY field),
+    dc AS (SELECT field, term, count(*) AS df FROM p2 GROUP BY field, term),
+    ws AS (SELECT doc, field, term, (CASE field WHEN 'title' THEN 1.5 WHEN 'url' THEN 0.5 ELSE 1.0 END)
+        * ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * field_len / avg_len)) AS weight
+      FROM p2 JOIN dc USING (field, term) JOIN st USING (field)),
+    te AS (SELECT DISTINCT clause, field, term, term AS unit FROM cl JOIN c_an ON c_an.doc = cl.clause WHERE cl.kind = 'term'
+      UNION ALL SELECT DISTINCT clause, dc.field, term, '' FROM cl JOIN dc ON dc.field = cl.field AND term GLOB cl.text
+        WHERE cl.kind = 'wildcard'
+      UNION ALL SELECT clause, field, text, '' FROM cl WHERE kind = 'exact'),
+    ph AS (SELECT clause, field, pos AS i, term, count(*) OVER (PARTITION BY clause) AS n FROM cl JOIN c_an ON c_an.doc = cl.clause
+      WHERE cl.kind = 'phrase' AND c_an.kind = 'original'),
+    an AS (SELECT 'title' AS field, doc, pos, term FROM title_an UNION SELECT 'content', doc, pos, term FROM content_an),
+    vt AS (SELECT clause, doc, pos - i AS start_pos, sum(weight) AS score FROM ph JOIN an USING (field, term) JOIN ws USING (field, term, doc)
+      GROUP BY clause, doc, start_pos HAVING count(*) = max(n)),
+    hi AS (SELECT clause, doc, sum(weight) AS score, count(DISTINCT unit) AS matched FROM te JOIN ws USING (field, term)
+        GROUP BY clause, doc
+      UNION ALL SELECT clause, doc, max(score), 1 FROM vt GROUP BY clause, doc
+      UNION ALL SELECT clause, url, 0, 1 FROM cl JOIN {inp.DOC_PAGES_SQL} d ON cl.kind = 'number' AND CAST(cl.text AS INTEGER) = depth),
+    gr AS (SELECT query_id, grp, doc, sum(score) FILTER (occur <> 'must_not') AS score, sum(matched) FILTER (occur <> 'must_not') AS matched
+      FROM hi JOIN cl USING (clause) GROUP BY query_id, grp, doc
+      HAVING count(*) FILTER (occur = 'must_not') = 0 AND count(*) FILTER (occur <> 'must_not') > 0 AND count(*) FILTER (occur = 'must') =
+        (SELECT count(*) FROM cl x WHERE x.query_id = cl.query_id AND x.grp = cl.grp AND x.occur = 'must')),
+    un AS (SELECT query_id, count(DISTINCT clause || '|' || coalesce(unit, '')) AS total FROM cl
+      LEFT JOIN (SELECT clause, unit FROM te WHERE unit <> '') USING (clause) WHERE occur <> 'must_not' GROUP BY query_id)
+    SELECT query_id, doc, CAST(sum(matched) AS BIGINT) AS matched,
+      round(sum(score) * (0.1::DOUBLE + 0.9::DOUBLE * sum(matched) / any_value(total)), 6) AS score
+    FROM gr JOIN un USING (query_id) GROUP BY query_id, doc"""
+
 ORACLE = {
+    "q24_clauses": _MIXED_SQL,
     "q1_query_terms": f"WITH {_CT}," + inp.tokens_ctes(
         "(SELECT CAST(doc_id AS INTEGER) + 1000 AS id, text AS q FROM documents)", "id", "q") + """
         SELECT query_id, occur, field, term FROM ct

@@ -239,6 +239,114 @@ def find_unscored(pages: DataFrame, where: Column, limit: int | None = None) ->
     return found.limit(limit) if limit is not None else found
 
 
+# ---- clauses --------------------------------------------------------------------------------------------------------
+
+KINDS = ("term", "wildcard", "phrase", "exact", "number")
+_CLAUSE = ["query_id", "grp", "clause", "occur"]
+
+
+def clause_terms(clauses: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """The index terms of clauses: (clause, field, term, unit, i, n).
+
+    ``clauses`` has query_id, grp, clause (a number of its own for each), occur, field, kind, text. ``unit`` counts for the
+    coordination bonus: each term of a plain clause, but a wildcard, phrase or exact value as one. A phrase has the place
+    ``i`` of each of its ``n`` terms.
+    """
+    named = clauses.select(F.col("clause").alias("query_id"), "field", "kind", F.col("text").alias("q"))
+    no = lambda name: F.lit(None).cast("int").alias(name)
+    plain = query_terms(named.filter("kind = 'term'").select("query_id", "field", "q")).select(
+        F.col("query_id").alias("clause"), "field", "term", F.col("term").alias("unit"), no("i"), no("n"))
+    wild = wildcard_terms(named.filter("kind = 'wildcard'").select("query_id", "field", F.col("q").alias("pattern")), dictionary).select(
+        F.col("query_id").alias("clause"), "field", "term", F.lit("").alias("unit"), no("i"), no("n"))
+    exact = named.filter("kind = 'exact'").select(
+        F.col("query_id").alias("clause"), "field", F.col("q").alias("term"), F.lit("").alias("unit"), no("i"), no("n"))
+    placed = named.filter("kind = 'phrase'")
+    phrases = phrase_terms(placed.select("query_id", "q")).join(placed.select("query_id", "field"), "query_id").select(
+        F.col("query_id").alias("clause"), "field", "term", F.lit("").alias("unit"), "i", "n")
+    return plain.unionByName(wild).unionByName(exact).unionByName(phrases)
+
+
+def _clause_hits(clauses: DataFrame, terms: DataFrame, index: Index, pages: DataFrame, key: str) -> DataFrame:
+    """One row per clause and document that fits it: score and units matched."""
+    weighed = terms.join(index.dictionary.select("field", "term", "df"), ["field", "term"]).join(F.broadcast(index.stats), "field")
+    hits = weighed.join(index.postings, ["field", "term"]).withColumn("weight", bm25_weight(BOOSTS))
+    loose = hits.filter("n IS NULL").groupBy("clause", "doc").agg(
+        F.sum("weight").alias("score"), F.count_distinct("unit").alias("matched"))
+    # Each occurrence of a phrase's term votes for the place where the phrase would begin.
+    places = hits.filter("n IS NOT NULL").select("clause", "doc", "i", "n", "term", "weight", F.explode("positions").alias("pos")).distinct()
+    votes = places.groupBy("clause", "doc", (F.col("pos") - F.col("i")).alias("at")).agg(
+        F.count("*").alias("votes"), F.max("n").alias("n"), F.sum("weight").alias("score"))
+    strict = votes.filter("votes = n").groupBy("clause", "doc").agg(F.max("score").alias("score"), F.lit(1).cast("long").alias("matched"))
+    numbers = clauses.filter("kind = 'number'").select("clause", "field", F.col("text").try_cast("long").alias("value"))
+    names = sorted(r[0] for r in numbers.select("field").distinct().collect())  # a handful of columns
+    out = loose.unionByName(strict)
+    for name in names:
+        found = pages.select(F.col(key).alias("doc"), F.col(name).cast("long").alias("value")).join(
+            numbers.filter(F.col("field") == name).select("clause", "value"), "value")
+        out = out.unionByName(found.select("clause", "doc", F.lit(0.0).alias("score"), F.lit(1).cast("long").alias("matched")))
+    return out
+
+
+def _combined(parts: DataFrame, totals: DataFrame, by: list[str]) -> DataFrame:
+    """Documents that meet a group's parts: every ``must``, no ``must_not``, one ``should`` if there is no ``must``."""
+    is_a = lambda kind: (F.col("occur") == kind).cast("int")
+    good = F.col("occur") != "must_not"
+    per_doc = parts.groupBy(*by, "doc").agg(
+        F.sum(is_a("must")).alias("must"), F.sum(is_a("must_not")).alias("no"), F.sum(is_a("should")).alias("may"),
+        F.sum(F.when(good, F.col("score")).otherwise(0.0)).alias("score"), F.sum(F.when(good, F.col("matched")).otherwise(0)).alias("matched"))
+    return per_doc.join(totals, by).filter("no = 0 AND must = n_must AND (n_must > 0 OR may > 0)").select(
+        *by, "doc", "score", "matched")
+
+
+def clause_scores(clauses: DataFrame, pages: DataFrame, index: Index, groups: DataFrame | None = None, key: str = "url",
+                  c: float = COORD) -> tuple[DataFrame, DataFrame]:
+    """Ranked answer to clauses of all kinds: scores (query_id, doc, score), and the terms that they name.
+
+    ``groups`` (query_id, grp, occur) says how the groups of a query combine, by the same rule as clauses inside a group;
+    without it a query's groups are alternatives.
+    """
+    terms = cut_lineage(clause_terms(clauses, index.dictionary))
+    index = index.lookup(terms.select("field", "term"))
+    hits = _clause_hits(clauses, terms, index, pages, key).join(clauses.select(*_CLAUSE), "clause")
+    musts = F.sum((F.col("occur") == "must").cast("int")).alias("n_must")
+    inner = _combined(hits, clauses.groupBy("query_id", "grp").agg(musts), ["query_id", "grp"])
+    if groups is None:
+        groups = clauses.select("query_id", "grp").distinct().withColumn("occur", F.lit("should"))
+    outer = _combined(inner.join(groups, ["query_id", "grp"]), groups.groupBy("query_id").agg(musts), ["query_id"])
+    wanted = clauses.filter("occur <> 'must_not'").join(groups.filter("occur <> 'must_not'").select("query_id", "grp"), ["query_id", "grp"], "left_semi")
+    plain = terms.join(wanted.select("query_id", "clause", "kind"), "clause")
+    units = wanted.filter("kind <> 'term'").select("query_id", F.col("clause").cast("string").alias("u")).unionByName(
+        plain.filter("kind = 'term'").select("query_id", F.concat_ws("|", F.col("clause").cast("string"), "unit").alias("u")))
+    total = units.distinct().groupBy("query_id").agg(F.count("*").alias("total"))
+    factor = F.lit(round(1 - c, 9)) + c * F.col("matched") / F.col("total")
+    scores = outer.join(total, "query_id").select("query_id", "doc", "matched", F.round(F.col("score") * factor, 6).alias("score"))
+    return scores, plain.select("query_id", "term").distinct()
+
+
+def search_clauses(clauses: DataFrame, pages: DataFrame, pagenum: int = 1, pagelen: int = PAGE_LEN, key: str = "url",
+                   index: Index | None = None, groups: DataFrame | None = None, c: float = COORD) -> DataFrame:
+    """Search by clauses to result page: (query_id, rn, url, title, depth, snippet, score). An unknown field is an error."""
+    named = {(r.field, r.kind) for r in clauses.select("field", "kind").distinct().collect()}
+    if unknown := {k for _, k in named} - set(KINDS):
+        raise ValueError(f"no such kinds of clauses: {sorted(unknown)}")
+    if unknown := {f for f, k in named if k == "number"} - set(pages.columns):
+        raise ValueError(f"no such fields: {sorted(unknown)}")
+    fields = sorted({f for f, k in named if k != "number"}) or ["content"]
+    if index is None:
+        if unknown := [f for f in fields if f not in pages.columns]:
+            raise ValueError(f"no such fields: {unknown}")
+        index = make_index(pages, key, tuple(fields), positions=True)
+    index = _index_for(fields, pages, key, index)
+    scores, terms = clause_scores(clauses, pages, index, groups, key, c)
+    words = terms.groupBy("query_id").agg(F.collect_set("term").alias("terms"))
+    hits = search_page(scores.select(*KEYS, "score"), pagenum, pagelen).join(words, "query_id", "left").withColumn(
+        "terms", F.coalesce("terms", F.array().cast("array<string>")))
+    shown = hits.join(pages.withColumnRenamed(key, "doc").select("doc", "title", "depth", "content", "description"), "doc")
+    return with_snippet(shown, "content", "terms", "snippet").select(
+        "query_id", "rn", F.col("doc").alias("url"), "title", "depth",
+        snippet_or_fallback(F.col("snippet"), F.col("description"), F.col("content")).alias("snippet"), "score")
+
+
 # ---- whole search ---------------------------------------------------------------------------------------------------
 
 def rank(terms: DataFrame, postings: DataFrame, dictionary: DataFrame, stats: DataFrame, c: float = COORD,
