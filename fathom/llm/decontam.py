@@ -26,7 +26,8 @@ from fathom.llm.shared import LETTERS, hashed, mixed, multipliers, pieces, store
 SPAN = 8
 MASKS = ((0, 1, 3, 4, 6, 7), (0, 1, 2, 4, 5, 7), (0, 2, 3, 5, 6, 7))
 LEAST = 13
-TOLERANCE = 0.2
+#: Equal words for each one that differs.
+FEW = 4
 MAP_BITS = 23
 
 
@@ -127,11 +128,16 @@ def best_stretch(own: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, in
     if high <= low:
         return 0, 0, 0
     same = own[low:high] == item[low - shift:high - shift]
-    score = np.concatenate([[0.0], np.cumsum(np.where(same, TOLERANCE, TOLERANCE - 1))])
-    lowest = np.minimum.accumulate(score)
-    end = int(np.argmax(score - lowest))
-    begin = int(np.flatnonzero(score[:end + 1] == lowest[end])[0])
-    return low + begin, end - begin, int(same[begin:end].sum())
+    # A stretch has few enough differences if this sum does not fall over it. The longest one to each end begins at
+    # the first place where the sum is as low; the lowest sums so far only fall, so that place is found by bisection.
+    equal = np.concatenate([[0], np.cumsum(same)])
+    score = equal - FEW * (np.arange(len(same) + 1) - equal)
+    begins = np.searchsorted(-np.minimum.accumulate(score), -score, "left")
+    end = int(np.argmax(equal - equal[begins]))
+    inside = np.flatnonzero(same[begins[end]:end]) + begins[end]
+    if not len(inside):
+        return 0, 0, 0
+    return int(low + inside[0]), int(inside[-1] - inside[0] + 1), len(inside)
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -153,7 +159,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     "doc_id", "start", "item_id", "shift", "words", "item"))):
                 item = np.frombuffer(item, np.uint64)
                 begin, length, equal = best_stretch(np.frombuffer(own, np.uint64), item, shift)
-                if equal >= min(LEAST, np.ceil((1 - TOLERANCE) * len(item))):
+                if equal >= min(LEAST, -(-FEW * len(item) // (FEW + 1))):
                     for k, v in zip(rows, (doc_id, item_id, start + begin, length, equal, len(item)), strict=True):
                         rows[k].append(v)
             yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in rows.items()})
