@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from fathom.llm.shared import flat, pieces
 
 #: Words whose tokens a worker remembers.
-REMEMBERED = 150_000
+REMEMBERED = 400_000
 #: Least bytes of a word that the transducer holds at a time.
 BUFFER = 1024
 _SPACE, _LETTER, _NUMBER, _OTHER = 0, 1, 2, 3
@@ -99,9 +99,10 @@ class Transducer:
             self.tokens += [b""] * (i + 1 - len(self.tokens))
             self.tokens[i] = text
         self.buffer = max(BUFFER, 2 * max(self.lookahead) + 2 * max(map(len, self.tokens)))
-        self.whole = {t: [i] for i, t in enumerate(self.tokens) if t and t not in self.special
-                      and self._merged(t) == [i]}
-        self.known: dict[bytes, list[int]] = {}
+        whole = [i for i, t in enumerate(self.tokens) if t and t not in self.special]
+        merged = self._merged_all([self.tokens[i] for i in whole])
+        self.whole = {self.tokens[i]: ids for i, ids in zip(whole, merged, strict=True) if len(ids) == 4}
+        self.known: dict[bytes, bytes] = {}
         self.classes = _classes()
 
     def _merged(self, data: bytes) -> list[int]:
@@ -127,9 +128,9 @@ class Transducer:
         at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
         return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], len(self.results))
 
-    def _merged_all(self, words: list[bytes]) -> list[list[int]]:
-        """``_merged`` for many words side by side: one merge in each unfinished word at a time."""
-        out: list[list[int]] = [[]] * len(words)
+    def _merged_all(self, words: list[bytes]) -> list[bytes]:
+        """``_merged`` for many words side by side: one merge in each unfinished word at a time. Ids take four bytes."""
+        out = [b""] * len(words)
         none, who = len(self.results), np.arange(len(words))
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         ids = np.array(self.of_byte, np.int64)[np.frombuffer(b"".join(words), np.uint8)]
@@ -141,9 +142,9 @@ class Transducer:
             best = np.minimum.reduceat(ranks, ends - sizes)
             live = best < none
             if not live.all():
-                flat_ids = ids.tolist()
-                for k in np.flatnonzero(~live).tolist():
-                    out[who[k]] = flat_ids[ends[k] - sizes[k]:ends[k]]
+                packed, over = ids.astype("<u4").tobytes(), np.flatnonzero(~live)
+                for k, low, high in zip(who[over].tolist(), (4 * (ends - sizes)[over]).tolist(), (4 * ends[over]).tolist()):
+                    out[k] = packed[low:high]
                 stay = np.repeat(live, sizes)
                 ids, ranks, who, sizes, best = ids[stay], ranks[stay], who[live], sizes[live], best[live]
                 if not len(who):
@@ -183,16 +184,16 @@ class Transducer:
                 held = held[end:]
         yield from self._merged(held)
 
-    def words(self, distinct: list[bytes]) -> list[list[int]]:
-        """Tokens of each word. What fits the buffer is merged whole, longer words stream through it."""
+    def words(self, distinct: list[bytes]) -> list[bytes]:
+        """Tokens of each word, four bytes each. What fits the buffer is merged whole, longer words stream through it."""
         whole, known = self.whole, self.known
         found = [whole.get(w) or known.get(w) for w in distinct]
         missing = [i for i, x in enumerate(found) if x is None]
         short = [i for i in missing if len(distinct[i]) < self.buffer]
         if len(known) + len(short) > REMEMBERED:
             known.clear()
-        for at in range(0, len(short), 20_000):
-            group = short[at:at + 20_000]
+        for at in range(0, len(short), 10_000):
+            group = short[at:at + 10_000]
             for i, ids in zip(group, self._merged_all([distinct[i] for i in group]), strict=True):
                 found[i] = ids
                 if len(known) < REMEMBERED:
@@ -200,7 +201,8 @@ class Transducer:
         for i in missing:
             if found[i] is None:
                 data = distinct[i]
-                found[i] = list(self.stream(data[k:k + self.buffer] for k in range(0, len(data), self.buffer)))
+                parts = (data[k:k + self.buffer] for k in range(0, len(data), self.buffer))
+                found[i] = np.fromiter(self.stream(parts), "<u4").tobytes()
         return found
 
     def starts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -267,9 +269,10 @@ class Transducer:
         codes, distinct = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
         ids = self.words(distinct)
         if marks:
-            ids = [[self.special[w]] if w in self.special else x for w, x in zip(distinct, ids, strict=True)]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        pool = np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))
+            ids = [np.array([self.special[w]], "<u4").tobytes() if w in self.special else x
+                   for w, x in zip(distinct, ids, strict=True)]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        pool = np.frombuffer(b"".join(ids), "<u4")
         begins = np.cumsum(sizes) - sizes
         of_word = sizes[codes]
         ends = np.cumsum(of_word)
