@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fathom.llm.shared import stored
+
 WIDTH = 3
 
 
@@ -40,6 +42,8 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     place = F.struct(F.col("doc_id"), F.col("of"), F.col("line"))
     first = (found.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last"))
              .filter(F.col("first") != F.col("last")).select("key", "first"))
+    # As a table of its own it leaves the join below free to split a very common window over many tasks.
+    first = stored(first, "first-windows")
     later = found.join(first, "key").filter(place != F.col("first"))
     covered = F.array_distinct(F.flatten(F.collect_set(F.array(*[F.col("line") + k for k in range(WIDTH)]))))
     return later.groupBy("doc_id", "of").agg(covered.alias("covered"))
