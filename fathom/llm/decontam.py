@@ -72,10 +72,12 @@ def item_seeds(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def bitmap(seeds: DataFrame) -> np.ndarray:
-    """Which of 2 ** MAP_BITS classes the hashes fall into: at most 2 ** MAP_BITS / 64 rows reach the driver."""
-    place = F.shiftrightunsigned("hash", 64 - MAP_BITS)
-    rows = (seeds.select(F.shiftrightunsigned(place, 6).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(hash, {64 - MAP_BITS}) & 63 as int))").alias("bit"))
-            .groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow())
+    """Two of 2 ** MAP_BITS places for each hash: at most 2 ** MAP_BITS / 64 rows reach the driver."""
+    places = [F.shiftrightunsigned("hash", 64 - MAP_BITS),
+              F.shiftrightunsigned("hash", 64 - 2 * MAP_BITS).bitwiseAND(F.lit((1 << MAP_BITS) - 1).cast("long"))]
+    rows = (seeds.select(F.explode(F.array(*places)).alias("place")).select(
+        F.shiftrightunsigned("place", 6).alias("word"), F.expr("shiftleft(1L, cast(place & 63 as int))").alias("bit"))
+        .groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow())
     out = np.zeros(1 << (MAP_BITS - 6), np.uint64)
     out[rows["word"].to_numpy()] = rows["bits"].to_numpy().astype(np.int64).view(np.uint64)
     return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
@@ -94,6 +96,7 @@ def regions(docs: DataFrame, seen: np.ndarray, reach: int) -> DataFrame:
             for mask in range(len(MASKS)):
                 hashes = seed_hashes(own, mask)
                 hit = np.flatnonzero(marks[hashes >> np.uint64(64 - MAP_BITS)])
+                hit = hit[marks[(hashes[hit] >> np.uint64(64 - 2 * MAP_BITS)) & np.uint64((1 << MAP_BITS) - 1)]]
                 at.append(hit)
                 found.append(hashes[hit])
             at, found = np.concatenate(at), np.concatenate(found)
