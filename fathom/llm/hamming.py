@@ -69,7 +69,8 @@ def nearest(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         probes = _listed(wanted, segments).select(
             F.col("code").alias("query"), "segment", F.explode(of).alias("change"), "value").select(
             "query", "segment", F.col("value").bitwiseXOR(F.col("change")).alias("value"))
-        hits = probes.join(index, ["segment", "value"]).select("query", "code", "n").distinct().withColumn(
+        # Spark takes the exploded values for as small as the queries they come from and would broadcast them.
+        hits = probes.hint("merge").join(index, ["segment", "value"]).select("query", "code", "n").distinct().withColumn(
             "distance", F.bit_count(F.col("query").bitwiseXOR(F.col("code"))))
         hits = hits if found is None else hits.unionByName(found).distinct()
         # Rows up to a distance; the first distance that has k others beside the query itself is enough.
@@ -90,7 +91,7 @@ def nearest(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
-    rows = every.join(entries, "code").select("query", "distance", F.explode("ids").alias("neighbour_id"))
+    rows = every.hint("merge").join(entries, "code").select("query", "distance", F.explode("ids").alias("neighbour_id"))
     ranked = rows.withColumn("rn", F.row_number().over(Window.partitionBy("query").orderBy("distance", "neighbour_id"))).filter(F.col("rn") <= k + 1)
     lists = ranked.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("distance", "neighbour_id"))).alias("list"))
     own = asked.join(lists, asked["code"] == lists["query"]).select(F.col("id").alias("query_id"), F.slice(
