@@ -1,9 +1,9 @@
 """Licence scan by a positional index of rare words.
 
 Templates are word sequences with mandatory key phrases. Each has postings (word, position in the template). Only words that
-are rare in the corpus count; document frequencies are counted over all texts. In each text, the rarest licence words found
-there are looked up; a template is a candidate at a place if several of them agree on where it would start. It is accepted
-if all its key phrases stand inside that place. The base phrases are found the same way: from the places of their rarest
+are rare in the corpus count; document frequencies are counted over all texts. All of these words that stand in a text are
+looked up; a template is a candidate at a place if several of them agree on where it would start. It is accepted if all
+its key phrases stand inside that place. The base phrases are found the same way: from the places of their rarest
 word, by relative position, and counted everywhere.
 
 Everything but the counting of document frequencies (one row per licence word and task) happens where the texts lie.
@@ -51,8 +51,7 @@ TEMPLATES = {
 #: Words in more than this share of texts are not looked up (but each template keeps its ``LEAST_RARE`` rarest).
 COMMON = 0.02
 LEAST_RARE = 3
-#: Rarest licence words that are looked up in a text, and how many must agree on a place.
-LOOKED_UP = 12
+#: How many of a text's words must agree on a place.
 AGREE = 2
 
 _PHRASES = {k: k.split() for k in BASE}
@@ -119,14 +118,10 @@ class Index:
             start = start[own[start + k] == i]
         return start[doc[start] == doc[start + len(ids) - 1]]
 
-    def places(self, own: np.ndarray, doc: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
-        """(template, start among all words) on which enough of a text's rarest licence words agree."""
+    def places(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(template, start among all words) on which enough rare licence words agree."""
         at = np.flatnonzero(own >= 0)
         at = at[np.isin(own[at], np.unique(self.posting_word))]
-        there = np.zeros((n_docs, len(self.order)), bool)
-        there[doc[at], own[at]] = True
-        allowed = there & (np.cumsum(there, 1) <= LOOKED_UP)
-        at = at[allowed[doc[at], own[at]]]
         low, high = (np.searchsorted(self.posting_word, own[at], side) for side in ("left", "right"))
         n = high - low
         posting = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
@@ -160,7 +155,7 @@ def scanned(docs: DataFrame, index: Index) -> DataFrame:
                     base[d].add(label)
             starts_of: dict[tuple[str, ...], np.ndarray] = {}
             labels = list(_TEXTS)
-            for t, start in zip(*(x.tolist() for x in index.places(own, doc, m))):
+            for t, start in zip(*(x.tolist() for x in index.places(own))):
                 text, phrases = _TEXTS[labels[t]]
                 at = max(start, 0)
                 d = doc[min(at + len(text) // 2, len(doc) - 1)] if start < 0 else doc[at]

@@ -322,6 +322,16 @@ def test_licenses(spark, docs, odd, none):
     assert licenses.scan(none).count() == 0
 
 
+def test_licenses_of_a_text_with_several_notices(spark, docs):
+    """The words of one long notice leave the others their places."""
+    notices = [licenses.TEMPLATES["bsd"][0], "Licensed under the Apache License, Version 2.0",
+               "Licensed under the GNU General Public License version 3", "Released under the MIT license",
+               licenses.TEMPLATES["mpl-2.0"][0], licenses.TEMPLATES["mit-grant"][0]]
+    more = spark.createDataFrame([(900, " and so on. ".join(notices)), (901, " x ".join(reversed(notices)))], "doc_id long, text string")
+    rows = licenses.scan(docs.select("doc_id", "text").union(more)).filter("doc_id >= 900").collect()
+    assert [r.labels for r in rows] == ["apache,apache-2.0,bsd,gpl,gpl-3,mit,mit-grant,mit-notice,mpl-2.0"] * 2
+
+
 # ---- 7: secrets -------------------------------------------------------------------------------------------------------
 
 def base_spans(text):
