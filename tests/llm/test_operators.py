@@ -157,6 +157,25 @@ def test_quality_on_odd_rows(spark, odd, none, docs):
     assert quality.judged(none, labels).count() == 0
 
 
+def test_quality_thresholds_cover_all_trusted_texts(spark):
+    """A sample of 40 texts trains the model; the limits are those of all other trusted texts."""
+    rng = random.Random(7)
+    rows, labels = [], []
+    for i in range(2000):
+        lang = "eo" if i % 50 == 0 else "en"  # 40 texts: fewer than one in the sample
+        rows.append((i, "".join(rng.choice("abcde  " if lang == "en" else "fghij  ") for _ in range(rng.randint(100, 300))), lang, None, None))
+        labels.append((i, int(i % 3 != 1), int(i % 9 == 0)))
+    given = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    out = quality.judged(spark.createDataFrame(rows, SCHEMA), given, quantile=0.9, most=40).collect()
+    trained = {r.doc_id for r in quality.sample_ids(given, 40).filter(~quality._held_out()).collect()}
+    limits = {}
+    for lang in ("en", "eo"):
+        own = sorted(r["__perplexity"] for r in out if r.lang == lang and labels[r.doc_id][1] == 1 and r.doc_id not in trained)
+        (limit,) = limits[lang] = {r["__threshold"] for r in out if r.lang == lang}
+        assert len(own) >= quality.LEAST_HELD and math.isclose(limit, own[math.ceil(0.9 * len(own)) - 1], rel_tol=3e-4)
+    assert limits["en"] != limits["eo"]
+
+
 # ---- 3: near duplicates -----------------------------------------------------------------------------------------------
 
 def classes(texts):
