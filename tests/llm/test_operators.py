@@ -176,6 +176,33 @@ def test_quality_thresholds_cover_all_trusted_texts(spark):
     assert limits["en"] != limits["eo"]
 
 
+def test_quality_tells_texts_apart_in_any_script(spark):
+    """Letters outside the 62 commonest are symbols of their own: shuffled text is less likely than text."""
+    rng = random.Random(8)
+    few = lambda first: ["".join(chr(first + rng.randrange(60)) for _ in range(3)) for _ in range(40)]
+    scripts = [[chr(97 + i) + chr(98 + i) for i in range(24)], few(0x410), few(0x4E00), few(0x1F600)]
+    rows, labels = [], []
+    for i in range(400):
+        words = scripts[i % 4] if i % 4 else scripts[0] * 9
+        text = " ".join(rng.choice(words) for _ in range(40 if i % 4 else 400))
+        rows.append((i, text if i < 320 else "".join(rng.sample(text, len(text))), "xx", None, None))
+        labels.append((i, int(i < 300), 0))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    out = quality.judged(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    for script in range(4):
+        clean, junk = ([r["__perplexity"] for r in out if r.doc_id % 4 == script and low <= r.doc_id < low + n] for low, n in ((300, 20), (320, 80)))
+        assert 1.5 * max(clean) < min(junk), script
+    # The dense copy and the lookup give the same.
+    model = quality.train(docs)
+    table = model.log_table()
+    symbol = np.array([0, 0, *model.letters]) + np.array([0, 0, *[1] * len(model.letters)])
+    for _ in range(300):
+        g = [rng.choice([0, *range(2, 64)]) for _ in range(3)] + [rng.randrange(2, 64)]
+        context = np.array([(int(symbol[g[0]]) << 42) | (int(symbol[g[1]]) << 21) | int(symbol[g[2]])])
+        exact = math.log10(model.probability(context, np.array([symbol[g[3]]]))[0])
+        assert math.isclose(table[((g[0] * 64 + g[1]) * 64 + g[2]) * 64 + g[3]], exact, rel_tol=2e-3, abs_tol=2e-3)
+
+
 # ---- 3: near duplicates -----------------------------------------------------------------------------------------------
 
 def classes(texts):
