@@ -1,6 +1,7 @@
 """Operators for training text against brute force on small tables, and their behaviour on odd rows."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -341,6 +342,15 @@ def test_decontamination_on_odd_rows(spark, odd, none):
     assert decontam.overlaps(none, bench).count() == 0 and decontam.without_leaks(odd, bench.limit(0)).count() == odd.count()
 
 
+def test_masks_hit_every_pattern_of_substitutions():
+    for n in range(13, 21):
+        for k in range(n // 5 + 1):
+            for gone in itertools.combinations(range(n), k):
+                own = [i not in gone for i in range(n)]
+                if n - k >= decontam.LEAST or 5 * (n - k) >= 4 * n:
+                    assert any(all(own[at + j] for j in mask) for mask in decontam.MASKS for at in range(n - decontam.SPAN + 1)), (n, gone)
+
+
 # ---- 6: licences ------------------------------------------------------------------------------------------------------
 
 def license_base(text):
