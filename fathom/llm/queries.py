@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.llm import bpe, decontam, hamming, licenses, linededup, lmscore, neardup, packing, quality, secrets
+from fathom.llm import (bpe, centroids, codebooks, decontam, hamming, licenses, linededup, lmscore, neardup, packing, quality,
+                        secrets, sharding)
 from fathom.llm.shared import table
 
 
@@ -55,10 +56,84 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.col("__removed").alias("n_removed"), F.md5("__text").alias("text_md5"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(table(spark, sf_dir, "embeddings"))
+
+
+def op12_codebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codebooks.compressed(table(spark, sf_dir, "embeddings"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.placements(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_quality, op3_near_duplicates, op4_top_k, op5_decontamination, op6_licenses,
-                                op7_secrets, op8_lm_score, op9_packing, op10_line_dedup)}
+                                op7_secrets, op8_lm_score, op9_packing, op10_line_dedup, op11_centroids, op12_codebooks,
+                                op13_sharding)}
+
+def _centroids_sql(rounds: int = centroids.ROUNDS, k: int = centroids.K, dims: int = centroids.DIMS) -> str:
+    """The rounds of k-means one after the other."""
+    ctes = [f"""kept AS MATERIALIZED (
+        SELECT row_number() OVER () AS r, vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v, embedding
+        FROM embeddings WHERE len(embedding) = {dims}
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+            f"""c0 AS MATERIALIZED (
+        SELECT row_number() OVER (ORDER BY h, embedding) - 1 AS c, v AS m
+        FROM (SELECT *, sha256('3:' || vec_id) AS h FROM kept WHERE vec_id IS NOT NULL ORDER BY h, embedding LIMIT {k}))"""]
+    for i in range(rounds + 1):
+        ctes.append(f"""a{i} AS MATERIALIZED (
+        SELECT r, min((d, c)) AS best FROM (
+            SELECT r, c, CAST(list_sum([(v[i] - m[i]) * (v[i] - m[i]) FOR i IN range(1, {dims + 1})]) AS BIGINT) AS d FROM kept, c{i})
+        GROUP BY r)""")
+        if i < rounds:
+            ctes.append(f"""c{i + 1} AS MATERIALIZED (
+        SELECT c, CASE WHEN c IN (SELECT best[2] FROM a{i}) THEN new ELSE m END AS m FROM c{i} LEFT JOIN (
+            SELECT of, list(CAST(floor_mean AS BIGINT) ORDER BY d) AS new FROM (
+                SELECT best[2] AS of, d, (sum(v[d]) - ((sum(v[d]) % count(*)) + count(*)) % count(*)) // count(*) AS floor_mean
+                FROM a{i} JOIN kept USING (r), range(1, {dims + 1}) AS t(d) GROUP BY 1, 2) GROUP BY of) ON c = of)""")
+    return f"""WITH {", ".join(ctes)}
+        SELECT vec_id, CAST(best[2] AS INTEGER) AS cluster, best[1] AS distance,
+               CAST(sum(best[1]) OVER (PARTITION BY best[2]) AS BIGINT) AS cluster_inertia, CAST(sum(best[1]) OVER () AS BIGINT) AS inertia,
+               sha256(array_to_string(m, ',')) AS centroid_sha256
+        FROM a{rounds} JOIN kept USING (r) JOIN c{rounds} ON c = best[2]"""
+
+
+def _codebooks_sql(rounds: int = codebooks.ROUNDS, entries: int = codebooks.ENTRIES, parts: int = codebooks.PARTS,
+                   dims: int = codebooks.DIMS) -> str:
+    """The rounds of all codebooks one after the other. Products of whole numbers are exact in DOUBLE."""
+    width = dims // parts
+    ctes = [f"""kept AS MATERIALIZED (
+        SELECT row_number() OVER () AS r, vec_id, label, embedding, [floor(1024 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v
+        FROM embeddings WHERE len(embedding) = {dims}
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+            f"""x AS MATERIALIZED (
+        SELECT r, p, v[p * {width} + 1:(p + 1) * {width}] AS u FROM kept, range({parts}) AS t(p))""",
+            f"""b0 AS MATERIALIZED (
+        SELECT e, p, v[p * {width} + 1:(p + 1) * {width}] AS m FROM (
+            SELECT v, row_number() OVER (ORDER BY vec_id, embedding) - 1 AS e FROM kept WHERE vec_id IS NOT NULL
+            ORDER BY vec_id, embedding LIMIT {entries}), range({parts}) AS t(p))"""]
+    for i in range(rounds + 1):
+        ctes.append(f"""a{i} AS MATERIALIZED (
+        SELECT r, p, min((list_inner_product(u, u) - 2 * list_inner_product(u, m) + list_inner_product(m, m), e)) AS best
+        FROM x JOIN b{i} USING (p) GROUP BY r, p)""")
+        if i < rounds:
+            ctes.append(f"""b{i + 1} AS MATERIALIZED (
+        SELECT b{i}.e, b{i}.p, coalesce(new, m) AS m FROM b{i} LEFT JOIN (
+            SELECT p, of, list(floor_mean ORDER BY d) AS new FROM (
+                SELECT p, best[2] AS of, d, CAST((sum(CAST(u[d] AS BIGINT)) - ((sum(CAST(u[d] AS BIGINT)) % count(*)) + count(*)) % count(*)) // count(*) AS DOUBLE) AS floor_mean
+                FROM a{i} JOIN x USING (r, p), range(1, {width + 1}) AS t(d) GROUP BY 1, 2, 3) GROUP BY p, of) n ON n.p = b{i}.p AND n.of = b{i}.e)""")
+    return f"""WITH {", ".join(ctes)},
+        coded AS (SELECT r, string_agg(lpad(lower(to_hex(best[2])), 2, '0'), '' ORDER BY p) AS code, CAST(sum(best[1]) AS BIGINT) AS error
+                  FROM a{rounds} GROUP BY r)
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+               (SELECT sha256(string_agg(array_to_string([CAST(y AS BIGINT) FOR y IN m], ','), ',' ORDER BY p, e)) FROM b{rounds}) AS codebooks_sha256
+        FROM coded JOIN kept USING (r)"""
+
 
 ORACLE = {
+    "op11_centroids": _centroids_sql(),
+    "op12_codebooks": _codebooks_sql(),
     "op4_top_k": """
         WITH codes AS (SELECT DISTINCT vec_id, [x > 0 FOR x IN embedding] AS bits FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) = 64),
         pairs AS (SELECT q.vec_id AS query_id, v.vec_id AS neighbour_id,
