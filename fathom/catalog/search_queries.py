@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from fathom.catalog import inputs as inp
 from fathom.catalog.crawl_queries import new_folder
-from fathom.operators import index, search, snippets
+from fathom.operators import index, phrases, query_trees, search, snippets, term_grams, top_blocks
+from fathom.plans.lineage import cut_lineage
 from fathom.sources import page_store
 
 CLAUSES = [(1, "must", "content", "the"), (1, "must_not", "content", "thion"), (1, "should", "content", "worthless"),
@@ -97,7 +98,50 @@ def q11(spark, sf):
 
 def q13(spark, sf):
     terms = search.phrase_terms(inp.queries_table(spark, PHRASES))
-    return search.phrase(terms, index.build_postings(inp.doc_pages(spark, sf), fields=("content",)))
+    few = [r[0] for r in terms.select("term").distinct().collect()]  # as many as the phrases above have
+    return search.phrase(terms, index.build_postings(inp.doc_pages(spark, sf), fields=("content",), only=few))
+
+
+def _stored_index(spark, sf, fields=("content",), pairs=False):
+    """A full build with all extras, in a folder of its own."""
+    pages, place = inp.doc_pages(spark, sf), new_folder(spark, "index")
+    postings = index.build_postings(pages, fields=fields)
+    if pairs:
+        postings = cut_lineage(postings)
+        stats = index.field_stats(index.doc_lengths(postings))
+        frequent = phrases.frequent_terms(index.term_stats(postings), stats)
+        page_store.write_index(postings, place, buckets=16, pairs=phrases.pair_postings(pages, frequent, fields=fields))
+    else:
+        page_store.write_index(postings, place, buckets=16, extras=True)
+    return page_store.read_index(spark, place)
+
+
+def q9_index(spark, sf):
+    """Wildcards over the stored grams of the dictionary."""
+    ix = _stored_index(spark, sf, ("title", "content"))
+    patterns = spark.createDataFrame(PATTERNS, "query_id int, field string, pattern string")
+    return term_grams.wildcard_terms(patterns, ix.grams, ix.dictionary)
+
+
+def q13_index(spark, sf):
+    """Phrases over the stored pairs of frequent neighbours and the rarest of the other words."""
+    ix = _stored_index(spark, sf, pairs=True)
+    terms = search.phrase_terms(inp.queries_table(spark, PHRASES))
+    ix = ix.lookup(terms.select(F.lit("content").alias("field"), "term"))
+    return phrases.phrase(terms, ix.postings, ix.dictionary, ix.pairs)
+
+
+def q17_blocks(spark, sf):
+    """The second page of ranked documents, from the blocks that can reach it."""
+    ix = _stored_index(spark, sf)
+    terms = _terms(spark)
+    scores, _ = top_blocks.top_scores(terms, ix.lookup(terms), 20)
+    return search.search_page(scores, 2).select("query_id", "rn", "doc", "score")
+
+
+def q24_blocks(spark, sf):
+    """The whole search over a stored index with blocks."""
+    return search.search(inp.queries_table(spark), inp.doc_pages(spark, sf), index=_stored_index(spark, sf))
 
 
 def q14(spark, sf):
@@ -211,7 +255,49 @@ def clauses_scored(spark, sf):
     return search.clause_scores(clauses, pages, ix)[0]
 
 
+# query, node, parent, occur, kind, field, text
+TREES = [
+    # (the AND (and OR of ANDNOT (thion OR worth*))) ANDMAYBE title:the
+    (1, 0, None, "should", "group", None, None), (1, 1, 0, "must", "group", None, None), (1, 2, 0, "should", "term", "title", "the"),
+    (1, 3, 1, "must", "term", "content", "the"), (1, 4, 1, "must", "group", None, None), (1, 5, 4, "should", "term", "content", "and"),
+    (1, 6, 4, "should", "group", None, None), (1, 7, 6, "must", "term", "content", "of"), (1, 8, 6, "must_not", "group", None, None),
+    (1, 9, 8, "should", "term", "content", "thion"), (1, 10, 8, "should", "wildcard", "content", "worth*"),
+    # ("de la" REQUIRE (que AND depth:2)) OR (und ANDNOT (der OR title:die))
+    (2, 0, None, "should", "group", None, None), (2, 1, 0, "should", "group", None, None), (2, 2, 1, "must", "phrase", "content", "de la"),
+    (2, 3, 1, "filter", "group", None, None), (2, 4, 3, "must", "term", "content", "que"), (2, 5, 3, "must", "number", "depth", "2"),
+    (2, 6, 0, "should", "group", None, None), (2, 7, 6, "must", "term", "content", "und"), (2, 8, 6, "must_not", "group", None, None),
+    (2, 9, 8, "should", "term", "content", "der"), (2, 10, 8, "should", "term", "title", "die"),
+    # nothing but exclusions; no hit under must; an exact address beside wildcards in the title
+    (3, 0, None, "should", "group", None, None), (3, 1, 0, "must_not", "term", "content", "the"),
+    (4, 0, None, "should", "group", None, None), (4, 1, 0, "must", "group", None, None), (4, 2, 1, "should", "term", "content", "zzzzzz"),
+    (4, 3, 0, "should", "term", "content", "the"),
+    (5, 0, None, "should", "group", None, None), (5, 1, 0, "should", "exact", "url", "http://src1.geek/1"),
+    (5, 2, 0, "should", "group", None, None), (5, 3, 2, "must", "wildcard", "title", "und*"), (5, 4, 2, "must_not", "number", "depth", "0"),
+    (5, 5, 0, "should", "group", None, None), (5, 6, 5, "filter", "term", "content", "les"), (5, 7, 5, "must_not", "phrase", "title", "de la")]
+TEXTS = [(1, "+the -thion (and | worth*) title:the"), (2, '"of the" AND NOT (worthless OR thion)'), (3, "de &~ (la REQUIRE que) depth:2"),
+         (4, "*** ( ) -"), (5, 'url:"http://src1.geek/1" und*'), (6, "(und AND (der OR die)) ANDNOT title:(das ein)"), (7, None),
+         (8, "zzzzzz & the")]
+TEXT_FIELDS = {"url": "exact", "depth": "number", "title": "text", "content": "text", "description": "text"}
+
+
+def q8_nested(spark, sf):
+    """Trees of mixed shapes and depths: every document's score."""
+    pages = inp.doc_pages(spark, sf)
+    ix = index.make_index(pages, fields=("title", "content", "url"), positions=True)
+    return query_trees.tree_scores(spark.createDataFrame(TREES, query_trees.NODE), pages, ix)[0]
+
+
+def q24_text(spark, sf):
+    """Whole replies to query texts, a row for each result; one without results for the others."""
+    pages = inp.doc_pages(spark, sf)
+    reply = query_trees.search_text(inp.queries_table(spark, TEXTS), pages)
+    return reply.select("query_id", "valid", "total", "exact", "is_last", "pagenum", "maxpage", F.explode_outer("results").alias("r")).select(
+        "query_id", "valid", "total", "exact", "is_last", "pagenum", "maxpage", "r.*")
+
+
 QUERIES = {
+    "q8_nested": q8_nested, "q24_text": q24_text, "q9_wildcard_index": q9_index, "q13_phrase_index": q13_index,
+    "q17_top_blocks": q17_blocks, "q24_search_blocks": q24_blocks,
     "q1_query_terms": q1, "q2_match_any": q2, "q3_match_all": q3, "q4_clauses": q4, "q4_require_prohibit": q4_sets,
     "q5_and_not": _pair(search.and_not), "q6_and_maybe": _pair(search.and_maybe), "q7_require": _pair(search.require),
     "q8_union_matches": _pair(search.union_matches), "q9_wildcard_terms": q9, "q10_field_term": q10,
@@ -290,9 +376,11 @@ _HIT_MATCH = _MATCH.replace("""FROM content_an
   JOIN qt ON qt.query_id = pg.query_id AND qt.term = a.term)""").replace(
     "dp.url = m1.doc", "dp.url = split_part(m1.doc, '#', 2)")
 
-_MIXED = inp.values(MIXED, "query_id, grp, clause, occur, field, kind, text")
-_MIXED_SQL = f"""WITH {inp.postings_ctes(fields=("title", "content"))},
-    cl AS {_MIXED}, {inp.tokens_ctes("(SELECT clause AS id, text AS q FROM cl WHERE kind IN ('term', 'phrase'))", "id", "q", "c_")},
+
+def _leaf_ctes(rows: list[tuple], columns: str, fields: tuple[str, ...] = ("title", "content")) -> str:
+    """CTEs cl: the given leaves; te, ph: their terms; hi: (clause, doc, score, matched)."""
+    return f"""{inp.postings_ctes(fields=fields)},
+    cl AS {inp.values(rows, columns)}, {inp.tokens_ctes("(SELECT clause AS id, text AS q FROM cl WHERE kind IN ('term', 'phrase'))", "id", "q", "c_")},
     p2 AS (FROM po UNION ALL SELECT url, 'url', url, 1, 1 FROM {inp.DOC_PAGES_SQL}),
     st AS (SELECT field, count(*) AS n_docs, avg(field_len) AS avg_len FROM (SELECT DISTINCT field, doc, field_len FROM p2) GROUP BY field),
     dc AS (SELECT field, term, count(*) AS df FROM p2 GROUP BY field, term),
@@ -311,7 +399,10 @@ _MIXED_SQL = f"""WITH {inp.postings_ctes(fields=("title", "content"))},
     hi AS (SELECT clause, doc, sum(weight) AS score, count(DISTINCT unit) AS matched FROM te JOIN ws USING (field, term)
         GROUP BY clause, doc
       UNION ALL SELECT clause, doc, max(score), 1 FROM vt GROUP BY clause, doc
-      UNION ALL SELECT clause, url, 0, 1 FROM cl JOIN {inp.DOC_PAGES_SQL} d ON cl.kind = 'number' AND CAST(cl.text AS INTEGER) = depth),
+      UNION ALL SELECT clause, url, 0, 1 FROM cl JOIN {inp.DOC_PAGES_SQL} d ON cl.kind = 'number' AND CAST(cl.text AS INTEGER) = depth)"""
+
+
+_MIXED_SQL = f"""WITH {_leaf_ctes(MIXED, "query_id, grp, clause, occur, field, kind, text")},
     gr AS (SELECT query_id, grp, doc, sum(score) FILTER (occur <> 'must_not') AS score, sum(matched) FILTER (occur <> 'must_not') AS matched
       FROM hi JOIN cl USING (clause) GROUP BY query_id, grp, doc
       HAVING count(*) FILTER (occur = 'must_not') = 0 AND count(*) FILTER (occur <> 'must_not') > 0 AND count(*) FILTER (occur = 'must') =
@@ -322,8 +413,54 @@ _MIXED_SQL = f"""WITH {inp.postings_ctes(fields=("title", "content"))},
       round(sum(score) * (0.1::DOUBLE + 0.9::DOUBLE * sum(matched) / any_value(total)), 6) AS score
     FROM gr JOIN un USING (query_id) GROUP BY query_id, doc"""
 
+
+def _tree_ctes(trees: list[tuple]) -> str:
+    """CTE sc: (query_id, doc, matched, score) of trees, level by level from the deepest."""
+    known, rows = {}, []
+    for query_id, node, parent, occur, kind, field, text in trees:
+        level, live = known.get((query_id, parent), (-1, True))
+        known[query_id, node] = level + 1, live and occur in ("must", "should")
+        rows.append((query_id * 100 + node, query_id, None if parent is None else query_id * 100 + parent, occur, kind, field, text,
+                     *known[query_id, node]))
+    depth = max(r[7] for r in rows)
+    ctes = [f"lv{depth + 1} AS (SELECT 0 AS clause, '' AS doc, 0.0 AS score, 0 AS matched WHERE false)"]
+    for level in range(depth, -1, -1):
+        ctes.append(f"""lv{level} AS (SELECT hi.* FROM hi JOIN cl USING (clause) WHERE level = {level}
+          UNION ALL SELECT parent, doc, sum(score) FILTER (occur IN ('must', 'should')), sum(matched) FILTER (occur IN ('must', 'should'))
+          FROM lv{level + 1} JOIN cl USING (clause) GROUP BY parent, doc
+          HAVING count(*) FILTER (occur = 'must_not') = 0 AND count(*) FILTER (occur IN ('must', 'filter')) =
+            (SELECT count(*) FROM cl x WHERE x.parent = cl.parent AND x.occur IN ('must', 'filter')) AND (count(*) FILTER (occur = 'should') > 0
+            OR count(*) FILTER (occur IN ('must', 'filter')) > 0))""")
+    return f"""{_leaf_ctes(rows, "clause, query_id, parent, occur, kind, field, text, level, live")}, {", ".join(ctes)},
+        un AS (SELECT query_id, count(DISTINCT clause || '|' || coalesce(unit, '')) AS total FROM cl
+          LEFT JOIN (SELECT clause, unit FROM te WHERE unit <> '') USING (clause) WHERE live AND kind <> 'group' GROUP BY query_id),
+        sc AS (SELECT query_id, doc, CAST(coalesce(matched, 0) AS BIGINT) AS matched,
+          round(coalesce(score, 0) * (0.1::DOUBLE + 0.9::DOUBLE * coalesce(matched, 0) / total), 6) AS score FROM lv0 JOIN cl USING (clause) JOIN un USING (query_id))"""
+
+
+_TEXT_TREES = [(query_id, *node) for query_id, text in TEXTS for node in query_trees.parse(text, TEXT_FIELDS, "content")]
+_TEXT_SQL = f"""WITH {_tree_ctes(_TEXT_TREES)}, {_DP}, {_page(1)},
+    wt AS (SELECT DISTINCT query_id, term FROM te JOIN cl USING (clause) WHERE live AND cl.field = 'content'),
+    pt0 AS (SELECT query_id, vt.doc, start_pos + i AS pos, term FROM vt JOIN ph USING (clause) JOIN cl USING (clause)
+      WHERE live AND cl.field = 'content'),
+    {_MATCH.replace("""FROM content_an
+  WHERE term IN ('worthless', 'the', 'la', 'und')""", """FROM (SELECT DISTINCT pg.query_id || '#' || a.doc AS doc,
+  pos, start_char, end_char, kind, a.term FROM content_an a JOIN pg ON pg.doc = a.doc
+  WHERE (pg.query_id, a.term) IN (FROM wt) OR (pg.query_id, a.doc, a.pos, a.term) IN (FROM pt0))""").replace(
+    "dp.url = m1.doc", "dp.url = split_part(m1.doc, '#', 2)")}, {_SNIPPET},
+    rp AS (SELECT v.query_id, coalesce(valid, false) AS valid, (SELECT count(*) FROM sc WHERE valid AND sc.query_id = v.query_id) AS n
+      FROM {inp.values(TEXTS, "query_id, q")} v LEFT JOIN (SELECT DISTINCT query_id, true AS valid FROM cl
+        WHERE kind <> 'group' AND regexp_matches(text, '[\\p{{L}}\\p{{N}}_]')) USING (query_id)),
+    mp AS (SELECT *, CAST((n + 9) // 10 AS INTEGER) AS maxpage FROM rp),
+    ht AS (SELECT pg.query_id, rn, dp.url, title, depth, coalesce(nullif(snippet, ''), nullif(description, ''),
+      substring(content, 1, 170)) AS snippet, score FROM pg JOIN dp ON dp.url = pg.doc LEFT JOIN sn ON sn.doc = pg.query_id || '#' || pg.doc)
+    SELECT mp.query_id, valid, CAST(CASE WHEN maxpage <= 1 THEN n ELSE maxpage * 10 END AS INTEGER) AS total, maxpage <= 1 AS exact,
+      least(1, maxpage) = maxpage AS is_last, least(1, maxpage) AS pagenum, maxpage, rn, url, title, depth, snippet, score
+    FROM mp LEFT JOIN ht ON ht.query_id = mp.query_id AND valid"""
+
 ORACLE = {
-    "q24_clauses": _MIXED_SQL,
+    "q24_clauses": _MIXED_SQL, "q24_text": _TEXT_SQL,
+    "q8_nested": f"WITH {_tree_ctes(TREES)} SELECT query_id, doc, matched, score FROM sc",
     "q1_query_terms": f"WITH {_CT}," + inp.tokens_ctes(
         "(SELECT CAST(doc_id AS INTEGER) + 1000 AS id, text AS q FROM documents)", "id", "q") + """
         SELECT query_id, occur, field, term FROM ct
@@ -390,3 +527,5 @@ ORACLE = {
         LEFT JOIN sn ON sn.doc = pg.query_id || '#' || pg.doc"""
        for name, page in (("q24_search", 1), ("q24_search_stored", 1), ("q24_page_2", 2))},
 }
+ORACLE |= {"q9_wildcard_index": ORACLE["q9_wildcard_terms"], "q13_phrase_index": ORACLE["q13_phrase"],
+           "q17_top_blocks": ORACLE["q17_search_page"], "q24_search_blocks": ORACLE["q24_search"]}

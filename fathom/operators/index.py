@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,16 +25,19 @@ POSTING_TYPE = (
 
 
 def build_postings(pages: DataFrame, key: str = "url",
-                   fields: tuple[str, ...] = ("title", "content", "description")) -> DataFrame:
+                   fields: tuple[str, ...] = ("title", "content", "description"), only: list[str] | None = None) -> DataFrame:
     """One row per (field, term, document) with frequency, positions and offsets.
 
     Terms are grouped inside the page's row, so nothing is shuffled. The field length rides along: scoring then needs
-    no join with a table as large as the collection.
+    no join with a table as large as the collection. ``only`` names the few terms that are wanted.
     """
     df = spread(pages.select(F.col(key).alias("doc"), *[F.col(f) for f in dict.fromkeys(fields)]))
     for f in fields:
         df = tx.analyzed(df, f, f, f.removeprefix(SHADOW_PREFIX) in WITH_OFFSETS)
-        df = df.withColumn(f"{f}__len", F.size(f)).withColumn(f, tx.occurrences(F.col(f)))
+        df = df.withColumn(f"{f}__len", F.size(f))
+        if only is not None:
+            df = df.withColumn(f, F.filter(f, lambda t: t["term"].isin(only)))
+        df = df.withColumn(f, tx.occurrences(F.col(f)))
 
     def rows(f: str) -> Column:
         return F.transform(f, lambda o: F.struct(
@@ -60,6 +64,21 @@ def build_frequencies(pages: DataFrame, key: str = "url", fields: tuple[str, ...
     return counts.select("doc", "field", "term", "tf", "field_len")
 
 
+def make_index_of(terms: list[str], pages: DataFrame, key: str = "url", fields: tuple[str, ...] = ("content",)) -> Index:
+    """The index of a few terms, of a page table that has no stored one. Other terms only count for the lengths; they leave
+    the page's row neither for a shuffle nor for the disk."""
+    df = spread(pages.select(F.col(key).alias("doc"), *[F.col(f) for f in dict.fromkeys(fields)]))
+    for f in fields:
+        df = tx.term_list(df, f, f, f.removeprefix(SHADOW_PREFIX) in WITH_OFFSETS)
+    one = F.array(*[F.struct(F.lit(f).alias("field"), F.size(f).alias("field_len"), F.filter(
+        f, lambda t: t.isin(terms)).alias("terms")) for f in fields])
+    rows = cut_lineage(df.select("doc", F.inline(one)))
+    hits = rows.select("doc", "field", "field_len", F.explode("terms").alias("term")).groupBy("doc", "field", "term").agg(
+        F.count("*").cast("int").alias("tf"), F.max("field_len").alias("field_len"))
+    postings = cut_lineage(hits.select("doc", "field", "term", "tf", "field_len"))
+    return Index(postings, term_stats(postings), field_stats(rows.filter("field_len > 0")))
+
+
 def exact_terms(pages: DataFrame, field: str = "url", key: str = "url") -> DataFrame:
     """The whole field as one term."""
     return pages.select(
@@ -99,13 +118,17 @@ class Index:
     """What ranking reads: postings, term dictionary, and one row of statistics per field.
 
     A stored index also has ``of_terms``: given terms (field, term), the same index with only the partitions read in
-    which they lie.
+    which they lie. It may have blocks (``top_blocks``), the dictionary's grams (``term_grams``) and the postings of
+    frequent neighbours (``phrases``).
     """
 
     postings: DataFrame
     dictionary: DataFrame
     stats: DataFrame
     of_terms: Callable[[DataFrame], Index] | None = None
+    blocks: DataFrame | None = None
+    grams: Any = None
+    pairs: Any = None
 
     def lookup(self, terms: DataFrame, most: int = 1000) -> Index:
         """The part of the index that holds ``terms``. Few terms also become a filter on the sorted files."""
@@ -114,10 +137,12 @@ class Index:
         if len(few) > most:
             return found
         own = F.col("term").isin(few)
-        return Index(found.postings.filter(own), found.dictionary.filter(own), found.stats, found.of_terms)
+        return replace(found, postings=found.postings.filter(own), dictionary=found.dictionary.filter(own),
+                       blocks=found.blocks.filter(own) if found.blocks is not None else None)
 
     def limited_to_none(self) -> Index:
-        return Index(self.postings.limit(0), self.dictionary.limit(0), self.stats, self.of_terms)
+        return replace(self, postings=self.postings.limit(0), dictionary=self.dictionary.limit(0),
+                       blocks=self.blocks.limit(0) if self.blocks is not None else None)
 
 
 def make_index(pages: DataFrame, key: str = "url", fields: tuple[str, ...] = ("title", "content", "description"),

@@ -14,15 +14,17 @@ from pyspark.sql import functions as F
 
 from fathom.functions import text as tx
 from fathom.functions import urls
-from fathom.operators.index import BOOSTS, Index, make_index
+from fathom.functions.text import wildcard_regex
+from fathom.operators import term_grams
+from fathom.operators.index import BOOSTS, Index, make_index, make_index_of
+from fathom.operators.ranking import COORD, KEYS, SMALL_ROWS, bm25_weight
 from fathom.operators.snippets import snippet_or_fallback, with_snippet
+from fathom.operators.top_blocks import top_scores
 from fathom.plans.lineage import cut_lineage
 
-K1, B, COORD = 1.2, 0.75, 0.9
 PAGE_LEN = 10
-# Most rows of a table of hits or terms that is broadcast; larger ones are shuffled.
-SMALL_ROWS = 100_000
-KEYS = ["query_id", "doc"]
+# Most terms that are written into a filter.
+MOST_TERMS = 1000
 
 
 # ---- query side -----------------------------------------------------------------------------------------------------
@@ -111,13 +113,6 @@ def union_matches(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select(cols).unionByName(b.select(cols)).groupBy(*KEYS).agg(F.sum("score").alias("score"))
 
 
-def wildcard_regex(pattern: Column) -> Column:
-    """``*`` and ``?`` of a pattern as a regular expression; everything else literal."""
-    quoted = F.regexp_replace(pattern, r"([.\\+^$|(){}\[\]])", r"\\$1")
-    return F.concat(F.lit("^(?s:"), F.replace(F.replace(quoted, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")),
-                    F.lit(")$"))
-
-
 def wildcard_terms(patterns: DataFrame, dictionary: DataFrame, spread: int = 16) -> DataFrame:
     """Expand patterns (query_id, field, pattern) over the term dictionary.
 
@@ -179,16 +174,6 @@ def score_bm25f(matches: DataFrame, dictionary: DataFrame, stats: DataFrame,
         F.sum("weight").alias("score"), F.count("*").alias("matched"))
 
 
-def bm25_weight(boosts: dict[str, float]) -> Column:
-    n, df, tf = F.col("n_docs"), F.col("df"), F.col("tf")
-    idf = F.ln(1 + (n - df + 0.5) / (df + 0.5))
-    boost = F.lit(1.0)
-    for field, value in boosts.items():
-        if value != 1.0:
-            boost = F.when(F.col("field") == field, F.lit(value)).otherwise(boost)
-    return boost * idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("field_len") / F.col("avg_len")))
-
-
 def coord_bonus(scores: DataFrame, terms: DataFrame, c: float = COORD) -> DataFrame:
     """Documents that match more of the query's terms rank higher; ``c = 0`` switches this off."""
     total = terms.filter("occur <> 'must_not'").groupBy("query_id").agg(F.count("*").alias("total"))
@@ -216,10 +201,14 @@ def page_totals(queries: DataFrame, scores: DataFrame, pagenum: int = 1, pagelen
                 text: str = "q") -> DataFrame:
     """Totals as shown under the results: exact on the last page, else number of pages times page length."""
     counts = scores.groupBy("query_id").agg(F.count("*").alias("n"))
+    return page_totals_of(valid_queries(queries, text), counts, pagenum, pagelen)
+
+
+def page_totals_of(checked: DataFrame, counts: DataFrame, pagenum: int = 1, pagelen: int = PAGE_LEN) -> DataFrame:
+    """Totals of queries (query_id, valid) from their numbers of hits (query_id, n)."""
     n = F.when(F.col("valid"), F.coalesce("n", F.lit(0))).otherwise(0)
     maxpage = F.ceil(F.col("n") / F.lit(pagelen)).cast("int")
-    checked = valid_queries(queries, text).join(counts, "query_id", "left")
-    return checked.select("query_id", "valid", n.cast("int").alias("n")).withColumn("maxpage", maxpage).withColumn(
+    return checked.join(counts, "query_id", "left").select("query_id", "valid", n.cast("int").alias("n")).withColumn("maxpage", maxpage).withColumn(
         "pagenum", F.least("maxpage", F.lit(pagenum))).withColumn(
         "is_last", F.col("pagenum") == F.col("maxpage")).withColumn(
         "exact", F.col("is_last")).withColumn(
@@ -245,7 +234,7 @@ KINDS = ("term", "wildcard", "phrase", "exact", "number")
 _CLAUSE = ["query_id", "grp", "clause", "occur"]
 
 
-def clause_terms(clauses: DataFrame, dictionary: DataFrame) -> DataFrame:
+def clause_terms(clauses: DataFrame, index: Index) -> DataFrame:
     """The index terms of clauses: (clause, field, term, unit, i, n).
 
     ``clauses`` has query_id, grp, clause (a number of its own for each), occur, field, kind, text. ``unit`` counts for the
@@ -256,7 +245,10 @@ def clause_terms(clauses: DataFrame, dictionary: DataFrame) -> DataFrame:
     no = lambda name: F.lit(None).cast("int").alias(name)
     plain = query_terms(named.filter("kind = 'term'").select("query_id", "field", "q")).select(
         F.col("query_id").alias("clause"), "field", "term", F.col("term").alias("unit"), no("i"), no("n"))
-    wild = wildcard_terms(named.filter("kind = 'wildcard'").select("query_id", "field", F.col("q").alias("pattern")), dictionary).select(
+    patterns = named.filter("kind = 'wildcard'").select("query_id", "field", F.col("q").alias("pattern"))
+    wild = wildcard_terms(patterns, index.dictionary) if index.grams is None else term_grams.wildcard_terms(
+        patterns, index.grams, index.dictionary)
+    wild = wild.select(
         F.col("query_id").alias("clause"), "field", "term", F.lit("").alias("unit"), no("i"), no("n"))
     exact = named.filter("kind = 'exact'").select(
         F.col("query_id").alias("clause"), "field", F.col("q").alias("term"), F.lit("").alias("unit"), no("i"), no("n"))
@@ -266,7 +258,7 @@ def clause_terms(clauses: DataFrame, dictionary: DataFrame) -> DataFrame:
     return plain.unionByName(wild).unionByName(exact).unionByName(phrases)
 
 
-def _clause_hits(clauses: DataFrame, terms: DataFrame, index: Index, pages: DataFrame, key: str) -> DataFrame:
+def clause_hits(clauses: DataFrame, terms: DataFrame, index: Index, pages: DataFrame, key: str) -> DataFrame:
     """One row per clause and document that fits it: score and units matched."""
     weighed = terms.join(index.dictionary.select("field", "term", "df"), ["field", "term"]).join(F.broadcast(index.stats), "field")
     hits = weighed.join(index.postings, ["field", "term"]).withColumn("weight", bm25_weight(BOOSTS))
@@ -305,9 +297,9 @@ def clause_scores(clauses: DataFrame, pages: DataFrame, index: Index, groups: Da
     ``groups`` (query_id, grp, occur) says how the groups of a query combine, by the same rule as clauses inside a group;
     without it a query's groups are alternatives.
     """
-    terms = cut_lineage(clause_terms(clauses, index.dictionary))
+    terms = cut_lineage(clause_terms(clauses, index))
     index = index.lookup(terms.select("field", "term"))
-    hits = _clause_hits(clauses, terms, index, pages, key).join(clauses.select(*_CLAUSE), "clause")
+    hits = clause_hits(clauses, terms, index, pages, key).join(clauses.select(*_CLAUSE), "clause")
     musts = F.sum((F.col("occur") == "must").cast("int")).alias("n_must")
     inner = _combined(hits, clauses.groupBy("query_id", "grp").agg(musts), ["query_id", "grp"])
     if groups is None:
@@ -351,7 +343,7 @@ def search_clauses(clauses: DataFrame, pages: DataFrame, pagenum: int = 1, pagel
 
 def rank(terms: DataFrame, postings: DataFrame, dictionary: DataFrame, stats: DataFrame, c: float = COORD,
          small: bool = False) -> DataFrame:
-    """Scores of all documents that satisfy the clauses.
+    """Scores of all documents that hold a term of the query.
 
     ``small`` says that the number of terms was counted and is low: they are then broadcast and the postings stay where
     they are. Else both sides are shuffled by term, and the postings of very frequent terms are split at run time
@@ -363,8 +355,9 @@ def rank(terms: DataFrame, postings: DataFrame, dictionary: DataFrame, stats: Da
     return coord_bonus(score_bm25f(hits, dictionary, stats), terms, c)
 
 
-def _index_for(fields: list[str], pages, key: str, index: Index | None) -> Index:
-    """The given index, or one of the fields that are asked for. A field that can't be searched is an error."""
+def _index_for(fields: list[str], pages, key: str, index: Index | None, terms: DataFrame | None = None) -> Index:
+    """The given index, or one of the fields that are asked for; of ``terms`` alone if they are given. A field that can't be
+    searched is an error."""
     if index is not None:
         known = {r[0] for r in index.stats.select("field").collect()}  # one row per field
         if unknown := set(fields) - known - set(BOOSTS):
@@ -374,6 +367,9 @@ def _index_for(fields: list[str], pages, key: str, index: Index | None) -> Index
         raise ValueError("a stored index is needed to search stored pages")
     if unknown := [f for f in fields if f not in pages.columns]:
         raise ValueError(f"no such fields: {unknown}")
+    few = None if terms is None or key in fields else [r[0] for r in terms.select("term").distinct().limit(MOST_TERMS + 1).collect()]
+    if few is not None and len(few) <= MOST_TERMS:
+        return make_index_of(few, pages, key, tuple(fields))
     return make_index(pages, key, tuple(fields))
 
 
@@ -388,13 +384,16 @@ def search(queries: DataFrame, pages: DataFrame | Callable[[DataFrame], DataFram
     asked = valid_queries(queries, text).filter("valid").drop("valid")
     terms = query_terms(asked, text)
     fields = sorted(r[0] for r in terms.select("field").distinct().collect())  # a handful of names
-    index = _index_for(fields or ["content"], pages, key, index)
+    index = _index_for(fields or ["content"], pages, key, index, terms)
     # Each query with hits has a term, so there are at most ``pagelen`` hits per term.
     small = terms.count() * pagelen <= SMALL_ROWS
     index = index.lookup(terms)
-    scores = rank(terms, index.postings, index.dictionary, index.stats, c, small)
-    if "occur" in queries.columns:
-        scores = scores.join(match_clauses(terms, index.postings), KEYS, "left_semi")
+    if index.blocks is not None:
+        scores, _ = top_scores(terms, index, pagenum * pagelen, c)
+    else:
+        scores = rank(terms, index.postings, index.dictionary, index.stats, c, small)
+        if "occur" in queries.columns:
+            scores = scores.join(match_clauses(terms, index.postings), KEYS, "left_semi")
     hits = search_page(scores, pagenum, pagelen)
     if strict_phrase:
         words = phrase_terms(asked, text).groupBy("query_id").agg(

@@ -108,11 +108,23 @@ def mark_and_escape(content: Column, frag: Column, tag: str = "strong") -> Colum
     return F.concat(F.array_join(F.transform(frag, piece), ""), tail)
 
 
+def _of_sequences(toks: Column, sequences: Column) -> Column:
+    """Tokens that take part in a whole occurrence of one of ``sequences``; a single term is a sequence of one."""
+    return F.array_distinct(F.flatten(F.transform(sequences, lambda s: F.when(
+        F.size(s) == 1, F.filter(toks, lambda t: t["term"] == F.get(s, F.lit(0)))).otherwise(_phrase_only(toks, s)))))
+
+
 def with_fragments(df: DataFrame, content: str, words: str, out: str, surround: int = SURROUND,
-                   max_chars: int = MAX_CHARS, strict_phrase: bool = False) -> DataFrame:
-    """Add ``out``: the fragments of ``content`` around the terms in the array ``words``."""
-    df = analyzed(df, content, out).withColumn(
-        out, F.filter(out, lambda t: F.array_contains(F.col(words), t["term"])))
+                   max_chars: int = MAX_CHARS, strict_phrase: bool = False, sequences: bool = False) -> DataFrame:
+    """Add ``out``: the fragments of ``content`` around the terms in the array ``words``.
+
+    With ``sequences`` that is an array of arrays, each a term or the terms of a phrase, which count only together.
+    """
+    terms = F.flatten(words) if sequences else F.col(words)
+    df = analyzed(df, content, out).withColumn("__terms", terms).withColumn(
+        out, F.filter(out, lambda t: F.array_contains(F.col("__terms"), t["term"]))).drop("__terms")
+    if sequences:
+        df = df.withColumn(out, let(F.col(out), lambda toks: _of_sequences(toks, F.col(words))))
     df = df.withColumn(out, matched_spans(F.col(out), F.col(words), strict_phrase))
     return df.withColumn(out, fragments(F.col(out), F.length(content), surround, max_chars))
 

@@ -1,13 +1,10 @@
-"""Page table and index on parquet.
+"""Page table and index as plain partitioned Parquet.
 
-A table is a folder of versions and a small list that says in which version each bucket lies (a bucket is a hash range of
-the URL or term). A write puts the buckets that it touches into a version folder of its own, and publishes a new list
-last, so a reader sees the table before or after a write and nothing between. What no list of the last ``KEEP`` needs
-is removed. The list also holds the number of buckets, and for each job the number of its last batch: a batch that a
-job runs again is known by both.
-
-The index is a full build and then, per batch, the new postings with the documents that they replace. Reading hides what
-was replaced. After ``MERGE_AFTER`` batches they are merged into a full build.
+A table lies in one folder per full build, partitioned by a hash bucket of the URL or term, and a file ``current`` names the
+folder that holds and its number of buckets. A full build writes a new folder, then the file, then removes the old folder. An
+upsert, delete or update joins the touched buckets with the change and overwrites just these partitions (Spark's dynamic
+partition overwrite). All of them give the same table when they are run a second time, so a batch that a job repeats after a
+failure needs no mark. Writers of one table must not run side by side.
 """
 
 from __future__ import annotations
@@ -19,291 +16,284 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.operators.index import Index, doc_lengths, merge_postings, term_stats
+from fathom.operators.index import Index, merge_postings, term_stats
 from fathom.operators.pages import delete_pages, upsert_pages
+from fathom.operators.phrases import Pairs, pair_counts
+from fathom.operators.term_grams import TermGrams, gram_counts, term_grams
+from fathom.operators.top_blocks import build_blocks
 from fathom.schemas import PAGE, check_schema
 
 BUCKETS = 256
-#: Lists of older states that readers may still use.
-KEEP = 2
-MERGE_AFTER = 8
 #: Bytes that a bucket should hold; ``buckets_for`` derives their number from the size of what is to be stored.
 BUCKET_BYTES = 1 << 30
 
 
-def bucket(col: str | Column, n: int = BUCKETS) -> Column:
-    return F.pmod(F.xxhash64(col), F.lit(n)).cast("int")
+def bucket(n: int, *cols: str | Column) -> Column:
+    return F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
 
 
 def buckets_for(n_bytes: int) -> int:
     return max(8, 1 << math.ceil(math.log2(max(n_bytes / BUCKET_BYTES, 1))))
 
 
-# ---- lists of versions ------------------------------------------------------------------------------------------------
-
-class _Table:
-    """The published lists of a table: ``lists/<number>.json`` with buckets, folder of each bucket, last batch per job."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        self.folder = spark._jvm.org.apache.hadoop.fs.Path
-        self.fs = self.folder(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def numbers(self) -> list[int]:
-        at = self.folder(f"{self.path}/lists")
-        if not self.fs.exists(at):
-            return []
-        names = [s.getPath().getName() for s in self.fs.listStatus(at)]
-        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and not n.startswith("."))
-
-    def read(self, number: int | None = None) -> dict | None:
-        number = number if number is not None else (self.numbers() or [None])[-1]
-        if number is None:
-            return None
-        rows = self.spark.read.option("wholetext", True).text(f"{self.path}/lists/{number:08d}.json").collect()
-        return json.loads(rows[0][0]) | {"number": number}
-
-    def publish(self, state: dict) -> None:
-        """Writers of one table must not run side by side: the second of two with one number fails."""
-        number = state.pop("number", -1) + 1
-        name = f"{self.path}/lists/{number:08d}.json"
-        aside = self.folder(f"{self.path}/lists/.{uuid.uuid4().hex}")
-        out = self.fs.create(aside, False)
-        out.write(bytearray(json.dumps(state).encode()))
-        out.close()
-        if self.fs.exists(self.folder(name)) or not self.fs.rename(aside, self.folder(name)):
-            raise RuntimeError(f"{self.path} was changed by another writer")
-        self._clean()
-
-    def _clean(self) -> None:
-        numbers = self.numbers()
-        for old in numbers[:-KEEP]:
-            self.fs.delete(self.folder(f"{self.path}/lists/{old:08d}.json"), False)
-        used = {v for n in numbers[-KEEP:] for v in self.read(n)["used"]}
-        at = self.folder(f"{self.path}/data")
-        for status in self.fs.listStatus(at) if self.fs.exists(at) else []:
-            if status.getPath().getName().removeprefix("version=") not in used:
-                self.fs.delete(status.getPath(), True)
-
-    def children(self, at: str) -> list[str]:
-        folder = self.folder(f"{self.path}/{at}")
-        return [s.getPath().getName() for s in self.fs.listStatus(folder)] if self.fs.exists(folder) else []
-
-
-def _write(df: DataFrame, path: str, by: str, sort: list[str]) -> None:
+# ---- folders ------------------------------------------------------------------------------------------------------------
+
+def _files(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def _children(spark: SparkSession, path: str) -> list[str]:
+    fs, at = _files(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def _current(spark: SparkSession, path: str) -> dict | None:
+    """{"folder", "buckets"} of the table, or nothing if there is none."""
+    fs, at = _files(spark, f"{path}/current")
+    if not fs.exists(at):
+        return None
+    state = json.loads(spark.read.option("wholetext", True).text(f"{path}/current").first()[0])
+    return state | {"folder": f"{path}/{state['build']}"}
+
+
+def _new_build(spark: SparkSession, path: str, buckets: int, fill) -> None:
+    """``fill`` writes into a new folder, which then becomes the table."""
+    old, build = _current(spark, path), f"build={uuid.uuid4().hex}"
+    fill(f"{path}/{build}")
+    fs, at = _files(spark, f"{path}/current")
+    out = fs.create(at, True)
+    out.write(bytearray(json.dumps({"build": build, "buckets": buckets}).encode()))
+    out.close()
+    if old is not None:
+        fs.delete(_files(spark, old["folder"])[1], True)
+
+
+def _write(df: DataFrame, folder: str, by: str, sort: list[str], dynamic: bool = False) -> None:
     """``rebalance`` gives files of even size: small partitions are joined and large ones split at run time."""
-    df.hint("rebalance", by).sortWithinPartitions(by, *sort).write.partitionBy(by).mode("overwrite").parquet(path)
+    df.hint("rebalance", by).sortWithinPartitions(by, *sort).write.partitionBy(by).mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic" if dynamic else "static").parquet(folder)
+
+
+def _overwrite(df: DataFrame, folder: str, by: str, sort: list[str], touched: list[int]) -> None:
+    """Puts ``df`` in the place of the touched buckets. One that has no rows any more is removed."""
+    spark = df.sparkSession
+    filled = {r[0] for r in df.select(by).distinct().collect()}  # as many numbers as there are touched buckets
+    _write(df, folder, by, sort, dynamic=True)
+    for b in set(touched) - filled:
+        fs, at = _files(spark, f"{folder}/{by}={b}")
+        fs.delete(at, True)
+
+
+def _read(spark: SparkSession, folder: str, by: str, only: list[int] | None = None) -> DataFrame | None:
+    """The table, or nothing if none of the buckets asked for exists."""
+    names = [n for n in _children(spark, folder) if n.startswith(f"{by}=") and (only is None or int(n.removeprefix(f"{by}=")) in set(only))]
+    return spark.read.option("basePath", folder).parquet(*[f"{folder}/{n}" for n in names]) if names else None
+
+
+def _touched(keys: DataFrame, of: Column) -> list[int]:
+    """Numbers of buckets, at most as many as there are."""
+    return sorted(r[0] for r in keys.select(of).distinct().collect())
 
 
 # ---- pages --------------------------------------------------------------------------------------------------------------
 
-def _put_pages(table: _Table, state: dict, df: DataFrame, touched: list[int] | None, job: tuple[str, int] | None) -> None:
-    version = uuid.uuid4().hex
-    _write(df.select(*PAGE.fieldNames(), bucket("url", state["buckets"]).alias("url_bucket")),
-           f"{table.path}/data/version={version}", "url_bucket", ["url"])
-    written = [n.removeprefix("url_bucket=") for n in table.children(f"data/version={version}") if n.startswith("url_bucket=")]
-    places = {} if touched is None else {b: v for b, v in state["places"].items() if int(b) not in set(touched)}
-    state["places"] = places | dict.fromkeys(written, version)
-    state["used"] = sorted({*state["places"].values()})
-    if job is not None:
-        state["jobs"][job[0]] = job[1]
-    table.publish(state)
+def _page_rows(df: DataFrame, buckets: int) -> DataFrame:
+    return df.select(*PAGE.fieldNames(), bucket(buckets, "url").alias("url_bucket"))
 
 
 def write_pages(df: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     """Write the whole table anew; nothing of an earlier one stays, whatever its number of buckets."""
     check_schema(df, PAGE)
-    table = _Table(df.sparkSession, path)
-    old = table.read() or {"number": -1, "jobs": {}}
-    _put_pages(table, {"number": old["number"], "jobs": old["jobs"], "buckets": buckets, "places": {}}, df, None, None)
+    _new_build(df.sparkSession, path.rstrip("/"), buckets,
+               lambda folder: _write(_page_rows(df, buckets), f"{folder}/pages", "url_bucket", ["url"]))
 
 
 def page_buckets(spark: SparkSession, path: str) -> int | None:
-    state = _Table(spark, path).read()
+    state = _current(spark, path.rstrip("/"))
     return state and state["buckets"]
 
 
 def read_pages(spark: SparkSession, path: str, only: list[int] | None = None, with_bucket: bool = False) -> DataFrame:
     """The pages; ``only`` names the buckets to be read."""
-    table = _Table(spark, path)
-    state = table.read()
-    places = {int(b): v for b, v in state["places"].items()} if state else {}
-    places = {b: v for b, v in places.items() if only is None or b in set(only)}
+    state = _current(spark, path.rstrip("/"))
     columns = [*PAGE.fieldNames(), *(["url_bucket"] if with_bucket else [])]
-    if not places:
+    found = state and _read(spark, f"{state['folder']}/pages", "url_bucket", only)
+    if found is None:
         return spark.createDataFrame([], PAGE).withColumn("url_bucket", F.lit(0)).select(*columns)
-    paths = [f"{table.path}/data/version={v}/url_bucket={b}" for b, v in sorted(places.items())]
-    return spark.read.option("basePath", f"{table.path}/data").parquet(*paths).select(*columns)
+    return found.select(*columns)
 
 
 def read_pages_of(spark: SparkSession, path: str, keys: DataFrame, most: int = 1000) -> DataFrame:
     """The pages with these URLs (``url``): only their buckets are read, and of those, if they are few, only the files'
     parts that may hold them."""
-    state = _Table(spark, path).read()
-    pages = read_pages(spark, path, _touched(keys, state["buckets"]) if state else [], with_bucket=True)
+    buckets = page_buckets(spark, path)
+    pages = read_pages(spark, path, _touched(keys, bucket(buckets, "url")) if buckets else [], with_bucket=True)
     few = [r[0] for r in keys.select("url").distinct().limit(most + 1).collect()]
     if len(few) <= most:
         return pages.filter(F.col("url").isin(few))
     return pages.join(keys.select("url").distinct(), "url", "left_semi")
 
 
-def _touched(keys: DataFrame, buckets: int) -> list[int]:
-    """At most ``buckets`` numbers."""
-    return sorted(r[0] for r in keys.select(bucket("url", buckets)).distinct().collect())
-
-
-def _seen(state: dict | None, job: str | None, batch_id: int | None) -> bool:
-    return state is not None and job is not None and state["jobs"].get(job, -1) >= batch_id
-
-
-def upsert_into(batch: DataFrame, path: str, batch_id: int | None = None, job: str | None = None, buckets: int = BUCKETS,
-                **options) -> None:
+def upsert_into(batch: DataFrame, path: str, buckets: int = BUCKETS, **options) -> None:
     """Upsert a batch (one record per URL) into the table at ``path``; only the buckets of its URLs are read and written.
-
-    ``job`` names who writes and ``batch_id`` its rising number: a batch that the job has written already is not written
-    again. Without a job each call is a batch of its own. ``buckets`` holds for a new table.
-    """
-    spark = batch.sparkSession
-    table = _Table(spark, path)
-    state = table.read()
-    if _seen(state, job, batch_id):
-        return
-    state = state or {"number": -1, "jobs": {}, "buckets": buckets, "places": {}}
-    touched = _touched(batch, state["buckets"])
+    ``buckets`` holds for a new table."""
+    spark, path = batch.sparkSession, path.rstrip("/")
+    state = _current(spark, path)
+    if state is None:
+        return write_pages(upsert_pages(read_pages(spark, path), batch, **options), path, buckets)
+    touched = _touched(batch, bucket(state["buckets"], "url"))
     merged = upsert_pages(read_pages(spark, path, touched), batch, **options)
-    _put_pages(table, state, merged, touched, None if job is None else (job, batch_id))
+    # No upsert empties a bucket.
+    _write(_page_rows(merged, state["buckets"]), f"{state['folder']}/pages", "url_bucket", ["url"], dynamic=True)
 
 
-def delete_from(keys: DataFrame, path: str, batch_id: int | None = None, job: str | None = None) -> None:
+def delete_from(keys: DataFrame, path: str) -> None:
     """Delete pages by URL; only the buckets of those URLs are read and rewritten."""
-    spark = keys.sparkSession
-    table = _Table(spark, path)
-    state = table.read()
-    if state is None or _seen(state, job, batch_id):
+    spark, path = keys.sparkSession, path.rstrip("/")
+    state = _current(spark, path)
+    if state is None:
         return
-    touched = _touched(keys, state["buckets"])
-    kept = delete_pages(read_pages(spark, path, touched), keys)
-    _put_pages(table, state, kept, touched, None if job is None else (job, batch_id))
+    touched = _touched(keys, bucket(state["buckets"], "url"))
+    kept = _page_rows(delete_pages(read_pages(spark, path, touched), keys), state["buckets"])
+    _overwrite(kept, f"{state['folder']}/pages", "url_bucket", ["url"], touched)
 
 
 # ---- index --------------------------------------------------------------------------------------------------------------
 
-_PARTS = ("postings", "dictionary", "fields", "gone")
-
-
-def _field_sums(postings: DataFrame) -> DataFrame:
-    return doc_lengths(postings).groupBy("field").agg(F.count("*").alias("n_docs"), F.sum("field_len").alias("total_len"))
-
-
-def _put_index(table: _Table, state: dict, postings: DataFrame, removed: DataFrame | None, gone: DataFrame | None,
-               job: tuple[str, int] | None) -> None:
-    """One layer: postings, and what it changes in the dictionary and the fields' sums (negative for what it replaces)."""
-    spark, version, n = postings.sparkSession, uuid.uuid4().hex, state["buckets"]
-    base = f"{table.path}/data/version={version}"
-    _write(postings.withColumn("term_bucket", bucket("term", n)), f"{base}/postings", "term_bucket", ["field", "term"])
-    some = any(x.startswith("term_bucket=") for x in table.children(f"data/version={version}/postings"))
-    new = spark.read.schema(postings.schema).parquet(f"{base}/postings/term_bucket=*") if some else postings.limit(0)
-    terms, sums = term_stats(new), _field_sums(new)
-    if removed is not None:
-        less = lambda df, keys: df.select(*keys, *[(-F.col(c)).alias(c) for c in df.columns if c not in keys])
-        terms = terms.unionByName(less(term_stats(removed), ["field", "term"])).groupBy("field", "term").agg(
-            F.sum("df").alias("df"), F.sum("total_tf").alias("total_tf"))
-        sums = sums.unionByName(less(_field_sums(removed), ["field"]))
-    _write(terms.withColumn("term_bucket", bucket("term", n)), f"{base}/dictionary", "term_bucket", ["field", "term"])
-    sums.write.mode("overwrite").parquet(f"{base}/fields")
-    if gone is not None:
-        gone.select("doc").distinct().write.mode("overwrite").parquet(f"{base}/gone")
-    state["layers"] = [*([] if gone is None else state["layers"]), version]
-    state["used"] = state["layers"]
-    if job is not None:
-        state["jobs"][job[0]] = job[1]
-    table.publish(state)
-
-
-def write_index(postings: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+#: Parts of a full build that an update can't bring up to date; search does without them.
+EXTRAS = ("blocks", "grams", "gram_counts", "pairs", "pair_counts")
+
+
+def _put_dictionary(spark: SparkSession, folder: str, only: list[int] | None) -> None:
+    """The term dictionary from the stored postings, of all or of the touched buckets."""
+    postings = _read(spark, f"{folder}/postings", "term_bucket", only)
+    if postings is not None:
+        terms = postings.groupBy("field", "term", "term_bucket").agg(F.count("*").alias("df"), F.sum("tf").alias("total_tf"))
+        _write(terms, f"{folder}/dictionary", "term_bucket", ["field", "term"], dynamic=only is not None)
+    for b in only or []:
+        if postings is None or f"term_bucket={b}" not in _children(spark, f"{folder}/postings"):
+            fs, at = _files(spark, f"{folder}/dictionary/term_bucket={b}")
+            fs.delete(at, True)
+
+
+def _lengths(postings: DataFrame, buckets: int) -> DataFrame:
+    return postings.groupBy("field", "doc").agg(F.sum("tf").alias("field_len")).withColumn("doc_bucket", bucket(buckets, "doc"))
+
+
+def _put_fields(spark: SparkSession, folder: str) -> None:
+    """One row for each field: number of documents and their average length."""
+    lengths = _read(spark, f"{folder}/lengths", "doc_bucket")
+    rows = (lengths or spark.createDataFrame([], "field string, field_len bigint")).groupBy("field").agg(
+        F.count("*").alias("n_docs"), F.avg("field_len").alias("avg_len"))
+    rows.coalesce(1).write.mode("overwrite").parquet(f"{folder}/fields")
+
+
+def write_index(postings: DataFrame, path: str, buckets: int = BUCKETS, extras: bool = False, pairs: DataFrame | None = None) -> None:
     """A full build: postings by term hash, sorted by term, so that a query reads few partitions and few row groups.
 
-    The bucket of a very frequent term is split into several files by the rebalance. Nothing of an earlier build stays.
+    The bucket of a very frequent term is split into several files by the rebalance. Nothing of an earlier build stays. With
+    ``extras``, also the blocks for the best results and the dictionary's grams for wildcards; ``pairs`` are the
+    postings of frequent neighbours for phrases (``phrases.pair_postings``).
     """
-    table = _Table(postings.sparkSession, path)
-    old = table.read() or {"number": -1, "jobs": {}}
-    _put_index(table, {"number": old["number"], "jobs": old["jobs"], "buckets": buckets, "layers": []}, postings, None, None, None)
-
-
-def _layers(spark: SparkSession, table: _Table, state: dict, part: str, only: list[int] | None) -> list[DataFrame | None]:
-    out: list[DataFrame | None] = []
-    for version in state["layers"]:
-        at = f"data/version={version}/{part}"
-        names = [n for n in table.children(at) if n.startswith("term_bucket=")
-                 and (only is None or int(n.removeprefix("term_bucket=")) in set(only))]
-        out.append(spark.read.option("basePath", f"{table.path}/{at}").parquet(
-            *[f"{table.path}/{at}/{n}" for n in names]) if names else None)
-    return out
-
-
-def _postings(spark: SparkSession, table: _Table, state: dict, only: list[int] | None = None) -> DataFrame | None:
-    gone = [spark.read.parquet(f"{table.path}/data/version={v}/gone") if "gone" in table.children(f"data/version={v}") else None
-            for v in state["layers"]]
-    whole = None
-    for i, layer in enumerate(_layers(spark, table, state, "postings", only)):
-        if layer is None:
-            continue
-        for later in gone[i + 1:]:
-            layer = layer.join(later, "doc", "left_anti")
-        whole = layer if whole is None else whole.unionByName(layer)
-    return whole
+    spark = postings.sparkSession
+
+    def fill(folder: str) -> None:
+        _write(postings.withColumn("term_bucket", bucket(buckets, "term")), f"{folder}/postings", "term_bucket", ["field", "term"])
+        _put_dictionary(spark, folder, None)
+        stored = _read(spark, f"{folder}/postings", "term_bucket")
+        stored = postings.limit(0) if stored is None else stored
+        _write(_lengths(stored, buckets), f"{folder}/lengths", "doc_bucket", ["field", "doc"])
+        _put_fields(spark, folder)
+        if extras:
+            terms = _read(spark, f"{folder}/dictionary", "term_bucket")
+            terms = term_stats(stored) if terms is None else terms
+            blocks = build_blocks(stored, spark.read.parquet(f"{folder}/fields"))
+            _write(blocks.withColumn("term_bucket", bucket(buckets, "term")), f"{folder}/blocks", "term_bucket", ["field", "term", "block"])
+            grams = term_grams(terms.select("field", "term")).withColumn("gram_bucket", bucket(buckets, "gram"))
+            _write(grams, f"{folder}/grams", "gram_bucket", ["gram", "field", "term"])
+            found = _read(spark, f"{folder}/grams", "gram_bucket")
+            gram_counts(grams if found is None else found).write.parquet(f"{folder}/gram_counts")
+        if pairs is not None:
+            _write(pairs.withColumn("pair_bucket", bucket(buckets, "first", "second")), f"{folder}/pairs", "pair_bucket", ["first", "second", "field"])
+            found = _read(spark, f"{folder}/pairs", "pair_bucket")
+            pair_counts(pairs if found is None else found).write.parquet(f"{folder}/pair_counts")
+
+    _new_build(spark, path.rstrip("/"), buckets, fill)
+
+
+def _grams(spark: SparkSession, folder: str, buckets: int, most: int = 1000) -> TermGrams | None:
+    if "gram_counts" not in _children(spark, folder):
+        return None
+    whole = _read(spark, f"{folder}/grams", "gram_bucket")
+    counts = spark.read.parquet(f"{folder}/gram_counts")
+    none = counts.limit(0).select("field", "gram", F.col("gram").alias("term"))
+
+    def rows_of(asked: DataFrame) -> DataFrame:
+        found = _read(spark, f"{folder}/grams", "gram_bucket", _touched(asked, bucket(buckets, "gram")))
+        if found is None:
+            return none
+        few = [r[0] for r in asked.select("gram").distinct().limit(most + 1).collect()]
+        return found.filter(F.col("gram").isin(few)) if len(few) <= most else found.join(asked, ["field", "gram"], "left_semi")
+
+    return TermGrams(none if whole is None else whole, counts, rows_of)
 
 
 def read_index(spark: SparkSession, path: str, terms: DataFrame | None = None) -> Index:
     """The index; with ``terms`` (field, term) only the buckets in which they lie (at most as many numbers are collected)."""
-    table = _Table(spark, path)
-    state = table.read()
+    path = path.rstrip("/")
+    state = _current(spark, path)
     if state is None:
         raise FileNotFoundError(f"no index at {path}")
-    only = None if terms is None else sorted(
-        r[0] for r in terms.select(bucket("term", state["buckets"])).distinct().collect())
-    postings = _postings(spark, table, state, only)
-    terms_of = [d for d in _layers(spark, table, state, "dictionary", only) if d is not None]
-    empty = only is not None and (postings is None or not terms_of)
-    if empty:  # none of the terms is known: any bucket does, its rows do not join
+    folder, buckets = state["folder"], state["buckets"]
+    only = None if terms is None else _touched(terms, bucket(buckets, "term"))
+    parts = {name: _read(spark, f"{folder}/{name}", "term_bucket", only) for name in ("postings", "dictionary", "blocks")}
+    if only is not None and parts["postings"] is None:  # none of the terms is known: any bucket does, its rows do not join
         return read_index(spark, path).limited_to_none()
-    dictionary = terms_of[0]
-    for more in terms_of[1:]:
-        dictionary = dictionary.unionByName(more)
-    if len(terms_of) > 1:
-        dictionary = dictionary.groupBy("field", "term", "term_bucket").agg(
-            F.sum("df").alias("df"), F.sum("total_tf").alias("total_tf")).filter("df > 0")
-    fields = spark.read.parquet(*[f"{table.path}/data/version={v}/fields" for v in state["layers"]])
-    stats = fields.groupBy("field").agg(F.sum("n_docs").alias("n_docs"), F.sum("total_len").alias("total_len")).filter(
-        "n_docs > 0").select("field", "n_docs", (F.col("total_len") / F.col("n_docs")).alias("avg_len"))
-    return Index(postings, dictionary, stats, lambda asked: read_index(spark, path, asked))
-
-
-def update_index(new: DataFrame, touched: DataFrame, path: str, batch_id: int | None = None, job: str | None = None,
-                 buckets: int = BUCKETS) -> None:
+    if parts["postings"] is None:
+        empty = "field string, term string, doc string, tf int, field_len int, positions array<int>, offsets array<struct<start:int,end:int>>"
+        parts |= {"postings": spark.createDataFrame([], empty), "dictionary": spark.createDataFrame([], "field string, term string, df bigint, total_tf bigint")}
+    beside = _read(spark, f"{folder}/pairs", "pair_bucket")
+    pairs = None if beside is None else Pairs(beside, spark.read.parquet(f"{folder}/pair_counts"))
+    return Index(parts["postings"], parts["dictionary"], spark.read.parquet(f"{folder}/fields"), lambda asked: read_index(spark, path, asked),
+                 parts["blocks"], _grams(spark, folder, buckets), pairs)
+
+
+def update_index(new: DataFrame, touched: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     """Replace the postings of the documents in ``touched`` (doc) by ``new`` (which may be empty: a delete).
 
-    Written is a layer of the batch's size; of the old postings only document, length and term are read. Every
-    ``MERGE_AFTER`` layers all are merged into a full build.
+    Read first are the documents' and buckets' columns of the postings; rewritten are the buckets of the documents' old and new
+    terms. A batch of many documents touches most buckets, so an index is best brought up to date by few large batches.
     """
-    spark = new.sparkSession
-    table = _Table(spark, path)
-    state = table.read()
-    if _seen(state, job, batch_id):
-        return
-    mark = None if job is None else (job, batch_id)
+    spark, path = new.sparkSession, path.rstrip("/")
+    state = _current(spark, path)
     if state is None:
-        return _put_index(table, {"number": -1, "jobs": {}, "buckets": buckets, "layers": []}, new, None, None, mark)
-    old = _postings(spark, table, state)
-    old = new.limit(0).withColumn("term_bucket", F.lit(0)) if old is None else old
-    if len(state["layers"]) >= MERGE_AFTER:
-        return _put_index(table, state, merge_postings(old.drop("term_bucket"), touched, new), None, None, mark)
-    removed = old.select("doc", "field", "term", "tf", "field_len").join(touched.select("doc").distinct(), "doc", "left_semi")
-    return _put_index(table, state, new, removed, touched, mark)
-
-
-def delete_from_index(keys: DataFrame, path: str, batch_id: int | None = None, job: str | None = None) -> None:
+        return write_index(new, path, buckets)
+    folder, buckets = state["folder"], state["buckets"]
+    new = new.withColumn("term_bucket", bucket(buckets, "term"))
+    docs = touched.select("doc").distinct()
+    whole = _read(spark, f"{folder}/postings", "term_bucket")
+    changed = new.select("term_bucket")
+    if whole is not None:
+        changed = changed.unionByName(whole.join(docs, "doc", "left_semi").select("term_bucket"))
+    only = _touched(changed, F.col("term_bucket"))
+    old = _read(spark, f"{folder}/postings", "term_bucket", only)
+    merged = new if old is None else merge_postings(old, docs, new)
+    for name in EXTRAS:
+        fs, at = _files(spark, f"{folder}/{name}")
+        fs.delete(at, True)
+    _overwrite(merged, f"{folder}/postings", "term_bucket", ["field", "term"], only)
+    _put_dictionary(spark, folder, only)
+    own = bucket(buckets, "doc")
+    here = _touched(docs, own)
+    lengths = _read(spark, f"{folder}/lengths", "doc_bucket", here)
+    fresh = _lengths(new, buckets)
+    _overwrite(fresh if lengths is None else lengths.join(docs, "doc", "left_anti").unionByName(fresh),
+               f"{folder}/lengths", "doc_bucket", ["field", "doc"], here)
+    _put_fields(spark, folder)
+
+
+def delete_from_index(keys: DataFrame, path: str) -> None:
     """Deleted pages (url) are no longer found."""
-    spark = keys.sparkSession
-    postings = read_index(spark, path).postings.drop("term_bucket")
-    update_index(postings.limit(0), keys.select(F.col("url").alias("doc")), path, batch_id, job)
+    postings = read_index(keys.sparkSession, path).postings.drop("term_bucket")
+    update_index(postings.limit(0), keys.select(F.col("url").alias("doc")), path)

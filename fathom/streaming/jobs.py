@@ -33,11 +33,6 @@ def start(stream: DataFrame, work: BatchWork, checkpoint: str, mode: str = "appe
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def _job(df: DataFrame) -> str:
-    """The stream's own name: kept in its checkpoint, and another one for a stream with a new checkpoint."""
-    return df.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "batch"
-
-
 def latest_by_key(path: str, keys: list[str]) -> BatchWork:
     """Sink for update mode: a table with the last row of each key. Each batch writes the whole (small) table anew under its
     number, from that of the batch before."""
@@ -61,7 +56,7 @@ def ingest(path: str, index_path: str | None = None, buckets: int = page_store.B
     date with the changed documents. Root pages to be asked for instead of template pages go to ``requests_path``.
     """
     def work(df: DataFrame, batch_id: int) -> None:
-        spark, job = df.sparkSession, _job(df)
+        spark = df.sparkSession
         if rules is not None:
             df, instead = screened(df, rules)
             if requests_path is not None:
@@ -69,12 +64,12 @@ def ingest(path: str, index_path: str | None = None, buckets: int = page_store.B
         # Decides only between fetches of the same moment; a hash of the content is the same in a second run.
         records = extract_pages(df).withColumn("seq", F.xxhash64("title", "content"))
         batch = collapse_fetches(records)
-        page_store.upsert_into(batch, path, batch_id, job, buckets)
+        page_store.upsert_into(batch, path, buckets)
         if index_path is not None:
             changed = df.select("url").distinct()
             pages = page_store.read_pages_of(spark, path, changed).drop("url_bucket")
             postings = build_postings(pages).unionByName(exact_terms(pages))
-            page_store.update_index(postings, changed.withColumnRenamed("url", "doc"), index_path, batch_id, job, buckets)
+            page_store.update_index(postings, changed.withColumnRenamed("url", "doc"), index_path, buckets)
     return work
 
 

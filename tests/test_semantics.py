@@ -300,8 +300,8 @@ def test_page_store(spark, tmp_path):
     path = str(tmp_path / "pages")
     page_store.write_pages(_records(spark, [(f"u{i}", 1, "a", 1, False) for i in range(20)]), path, buckets=4)
     batch = _records(spark, [("u3", 0, "b", 2, False), ("new", 2, "c", 2, False)])
-    page_store.upsert_into(batch, path, 1, "job")
-    page_store.upsert_into(batch, path, 1, "job")  # the same batch again
+    page_store.upsert_into(batch, path)
+    page_store.upsert_into(batch, path)  # the same batch again
     got = {r.url: (r.depth, r.title) for r in page_store.read_pages(spark, path).collect()}
     assert len(got) == 21 and got["u3"] == (0, "b") and got["new"] == (2, "c") and got["u4"] == (1, "a")
     page_store.delete_from(spark.createDataFrame([(f"u{i}",) for i in range(20)], "url string"), path)
@@ -309,19 +309,24 @@ def test_page_store(spark, tmp_path):
 
 
 def test_page_store_loses_nothing(spark, tmp_path):
-    """Batches of two jobs under one number, a smaller rebuild, another number of buckets, removal of old versions."""
+    """Batches one after the other, a smaller rebuild, another number of buckets, removal of old builds, emptied buckets."""
     path = str(tmp_path / "pages")
     urls_of = lambda: sorted(r.url for r in page_store.read_pages(spark, path).collect())
-    for job, url in (("one", "u1"), ("two", "u2"), (None, "u3"), (None, "u4")):
-        page_store.upsert_into(_records(spark, [(url, 1, "a", 1, False)]), path, 0, job, buckets=4)
+    for url in ("u1", "u2", "u3", "u4"):
+        page_store.upsert_into(_records(spark, [(url, 1, "a", 1, False)]), path, buckets=4)
     assert urls_of() == ["u1", "u2", "u3", "u4"] and page_store.page_buckets(spark, path) == 4
     page_store.write_pages(_records(spark, [(f"v{i}", 1, "a", 1, False) for i in range(9)]), path, buckets=8)
     page_store.write_pages(_records(spark, [("v1", 1, "a", 1, False)]), path, buckets=2)
     assert urls_of() == ["v1"]
     page_store.upsert_into(_records(spark, [("v2", 1, "a", 1, False)]), path, buckets=64)  # the table's own number counts
     assert urls_of() == ["v1", "v2"] and page_store.page_buckets(spark, path) == 2
-    assert len(list((tmp_path / "pages/lists").glob("0*.json"))) == page_store.KEEP
-    assert len(list((tmp_path / "pages/data").iterdir())) <= page_store.KEEP + 1
+    assert len(list((tmp_path / "pages").glob("build=*"))) == 1
+    page_store.delete_from(spark.createDataFrame([("v1",)], "url string"), path)
+    assert urls_of() == ["v2"]
+    page_store.delete_from(spark.createDataFrame([("v2",)], "url string"), path)
+    assert urls_of() == []
+    page_store.upsert_into(_records(spark, [("v3", 1, "a", 1, False)]), path)
+    assert urls_of() == ["v3"]
 
 
 def test_index_store_loses_nothing(spark, tmp_path):
@@ -345,14 +350,13 @@ def test_index_store_loses_nothing(spark, tmp_path):
             assert a == b
 
     check()
-    for k in range(page_store.MERGE_AFTER + 2):
+    for k in range(3):
         change = {"d1": f"common new{k}", f"e{k}": "other common"}
         docs |= change
         touched = spark.createDataFrame([(d,) for d in change], "doc string")
         for _ in range(2):  # run again after a failure
-            page_store.update_index(posts(list(change.items())), touched, path, k, "job")
-        if k in (0, page_store.MERGE_AFTER + 1):
-            check()
+            page_store.update_index(posts(list(change.items())), touched, path)
+        check()
     page_store.delete_from_index(spark.createDataFrame([("d1",), ("e0",)], "url string"), path)
     docs = {d: t for d, t in docs.items() if d not in ("d1", "e0")}
     check()
