@@ -11,13 +11,16 @@ from pyspark.sql import functions as F
 
 from fathom import config
 from fathom.functions import urls
+from fathom.plans.lineage import cut_lineage
 
 # Length of the stretches into which one client's time line is cut, in multiples of the limit.
 CHUNK_LIMITS = 24
+# Stretches that are put together at a time, as a power of two.
+FAN = 5
 STEPS_TYPE = "struct<upto:array<bigint>,leave:array<bigint>>"
 
 
-def _accepted_from(secs: np.ndarray, start: int, limit: int) -> list[int]:
+def accepted_from(secs: np.ndarray, start: int, limit: int) -> list[int]:
     """Accepted seconds of a sorted stretch, if nothing may be accepted before ``start``."""
     out, i = [], int(np.searchsorted(secs, start))
     while i < len(secs):
@@ -58,23 +61,74 @@ def _accepted_udf(limit: int):
     @F.pandas_udf("array<bigint>")
     def accepted(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for start, secs in batches:
-            yield pd.Series([_accepted_from(np.asarray(s), a, limit) for a, s in zip(start, secs)])
+            yield pd.Series([accepted_from(np.asarray(s), a, limit) for a, s in zip(start, secs)])
 
     return accepted
 
 
-def _starts(chunks: Column, first: Column, span: int) -> Column:
-    """Fold over one client's stretches in time order: when each may accept. Stretches are few and carry only steps."""
+def _composed(sizes: np.ndarray, upto: np.ndarray, leave: np.ndarray, anywhere: bool) -> tuple[list[int], list[int]]:
+    """One step function after the other, in time order, as a single one; ``sizes`` says how many steps each has."""
+    ends = np.cumsum(sizes)
+    u, v = upto[:ends[0]], leave[:ends[0]]
+    for low, high in zip(ends[:-1], ends[1:]):
+        next_u, next_v = upto[low:high], leave[low:high]
+        at = np.searchsorted(next_u, v)
+        v = np.where(at < len(next_u), next_v[np.minimum(at, len(next_u) - 1)], v)
+        if anywhere:  # a start after all of the earlier stretches passes them by
+            late = next_u > u[-1]
+            u, v = np.append(u, next_u[late]), np.append(v, next_v[late])
+        last = np.append(v[1:] != v[:-1], True)
+        u, v = u[last], v[last]
+    return u.tolist(), v.tolist()
+
+
+def _composed_udf(anywhere: bool):
+    @F.pandas_udf(STEPS_TYPE)
+    def composed(sizes: pd.Series, upto: pd.Series, leave: pd.Series) -> pd.DataFrame:
+        rows = [_composed(*map(np.asarray, row), anywhere) for row in zip(sizes, upto, leave)]
+        return pd.DataFrame(rows, columns=["upto", "leave"])
+
+    return composed
+
+
+def _starts(nodes: Column, first: Column) -> Column:
+    """Fold over the at most ``2 ** FAN`` children of a node in time order: when each may accept."""
     def follow(acc: Column, c: Column) -> Column:
-        begin = c["chunk"] * span
-        may = F.greatest(acc["may"], begin)
-        step = F.get(F.filter(F.arrays_zip(c["steps"]["upto"], c["steps"]["leave"]), lambda s: s["upto"] >= may), F.lit(0))
-        return F.struct(F.coalesce(step["leave"], may).alias("may"), F.concat(
-            acc["out"], F.array(F.struct(c["chunk"].alias("chunk"), may.alias("start")))).alias("out"))
+        step = F.get(F.filter(F.arrays_zip(c["steps"]["upto"], c["steps"]["leave"]), lambda s: s["upto"] >= acc["may"]), F.lit(0))
+        return F.struct(F.coalesce(step["leave"], acc["may"]).alias("may"), F.concat(
+            acc["out"], F.array(F.struct(c["node"].alias("node"), acc["may"].alias("start")))).alias("out"))
 
     zero = F.struct(first.cast("bigint").alias("may"),
-                    F.array().cast("array<struct<chunk:bigint,start:bigint>>").alias("out"))
-    return F.aggregate(chunks, zero, follow, lambda acc: acc["out"])
+                    F.array().cast("array<struct<node:bigint,start:bigint>>").alias("out"))
+    return F.aggregate(nodes, zero, follow, lambda acc: acc["out"])
+
+
+def _stretch_starts(steps: DataFrame, who: list[str], stretches: int, first: DataFrame | None) -> DataFrame:
+    """(who, node, start): when each stretch of ``steps`` (who, node, steps) may accept from.
+
+    Step functions compose whatever the brackets, so they are put together in a tree, ``2 ** FAN`` at a time, and the starts
+    handed down again: two rounds for each level, in which no row holds more than one family.
+    """
+    levels = 1
+    while stretches > 1 << (FAN * levels):
+        levels += 1
+    families = []
+    for level in range(levels):
+        family = steps.groupBy(*who, F.shiftright("node", FAN).alias("parent")).agg(
+            F.sort_array(F.collect_list(F.struct("node", "steps"))).alias("c"))
+        families.append(cut_lineage(family) if levels > 1 else family)
+        if level + 1 < levels:
+            parts = [F.transform("c", lambda x: F.size(x["steps"]["upto"])), F.flatten(F.transform("c", lambda x: x["steps"]["upto"])),
+                     F.flatten(F.transform("c", lambda x: x["steps"]["leave"]))]
+            steps = families[-1].select(*who, F.col("parent").alias("node"), _composed_udf(first is not None)(*parts).alias("steps"))
+    starts = families[-1].select(*who, "c", F.lit(0).cast("bigint").alias("may"))
+    if first is not None:
+        starts = families[-1].join(first, "ip", "left").select(*who, "c", F.coalesce("may", F.lit(0)).cast("bigint").alias("may"))
+    starts = starts.select(*who, F.inline(_starts(F.col("c"), F.col("may"))))
+    for family in reversed(families[:-1]):
+        given = starts.select(*who, F.col("node").alias("parent"), F.col("start").alias("may"))
+        starts = family.join(given, [*who, "parent"]).select(*who, F.inline(_starts(F.col("c"), F.col("may"))))
+    return starts
 
 
 def rate_limit(subs: DataFrame, limit_s: int = config.RATE_LIMIT_S, drain_every_s: int | None = None,
@@ -83,9 +137,10 @@ def rate_limit(subs: DataFrame, limit_s: int = config.RATE_LIMIT_S, drain_every_
     accepted one; rejected rows do not count. ``last`` (ip, last_timestamp) holds what was accepted before ``subs``.
 
     The rule is sequential, and one client may send most of the rows. So its time line is cut into stretches of a day;
-    each stretch is summarised, in parallel, as a step function from "may accept from" to the same for the next. Only
-    these short summaries are folded per client. Then each stretch, knowing its start, lists its accepted seconds (at
-    most one per ``limit_s``), and rows join those by time slot.
+    each stretch is summarised, in parallel, as a step function from "may accept from" to the same for the next. These
+    short summaries are composed in a tree. Then each stretch, knowing its start, lists its accepted seconds (at
+    most one per ``limit_s``), and rows join those by time slot. The input is read twice: once for id, client and time,
+    which are kept, and once for the rows.
     """
     epoch = F.lit(0) if drain_every_s is None else F.floor(F.col("timestamp") / F.lit(drain_every_s))
     if last is not None and drain_every_s is not None:
@@ -96,18 +151,19 @@ def rate_limit(subs: DataFrame, limit_s: int = config.RATE_LIMIT_S, drain_every_
     who = ["ip", "__epoch"]
     rows = subs.withColumn("__epoch", epoch.cast("bigint")).withColumn(
         "__slot", F.floor(F.col("timestamp") / F.lit(limit_s)))
+    narrow = cut_lineage(rows.select("id", *who, "timestamp"))
     # A second counts once per client, whatever the number of rows: at most ``span`` values per stretch.
-    chunks = rows.groupBy(*who, F.floor(F.col("timestamp") / F.lit(span)).alias("chunk")).agg(
-        F.sort_array(F.collect_set("timestamp")).alias("secs"))
-    steps = chunks.select(*who, "chunk", _steps_udf(limit_s, span, last is not None)("chunk", "secs").alias("steps"))
-    clients = steps.groupBy(*who).agg(F.sort_array(F.collect_list(F.struct("chunk", "steps"))).alias("c"))
-    if last is None:
-        clients = clients.withColumn("may", F.lit(0))
-    else:
-        clients = clients.join(last.select("ip", (F.col("last_timestamp") + limit_s).alias("may")), "ip", "left")
-    starts = clients.select(*who, F.inline(_starts(F.col("c"), F.coalesce("may", F.lit(0)), span)))
-    accepted = chunks.join(starts, [*who, "chunk"]).select(
-        *who, F.explode(_accepted_udf(limit_s)("start", "secs")).alias("at"))
+    chunks = cut_lineage(narrow.groupBy(*who, F.floor(F.col("timestamp") / F.lit(span)).alias("chunk")).agg(
+        F.sort_array(F.collect_set("timestamp")).alias("secs")))
+    origin, end = chunks.agg(F.min("chunk"), F.max("chunk")).first()
+    if origin is None:  # no rows
+        return subs.select(*subs.columns, F.lit(False).alias("accepted"), F.lit(0).cast("bigint").alias("wait_s"))
+    steps = chunks.select(*who, (F.col("chunk") - origin).alias("node"), _steps_udf(limit_s, span, last is not None)(
+        "chunk", "secs").alias("steps"))
+    first = None if last is None else last.select("ip", (F.col("last_timestamp") + limit_s).alias("may"))
+    starts = _stretch_starts(steps, who, end - origin + 1, first).withColumn("chunk", F.col("node") + origin)
+    accepted = cut_lineage(chunks.join(starts, [*who, "chunk"]).select(
+        *who, F.explode(_accepted_udf(limit_s)("start", "secs")).alias("at")))
     here = F.floor(F.col("at") / F.lit(limit_s))
     known = accepted if last is None else accepted.unionByName(
         last.select("ip", F.lit(0).cast("bigint").alias("__epoch"), F.col("last_timestamp").alias("at")))
@@ -115,7 +171,7 @@ def rate_limit(subs: DataFrame, limit_s: int = config.RATE_LIMIT_S, drain_every_
         *who, "__slot").agg(F.max(F.when(F.col("__slot") == F.col("own"), F.col("at"))).alias("__cur"),
                             F.max(F.when(F.col("__slot") > F.col("own"), F.col("at"))).alias("__prev"))
     # The first row of each accepted second is the accepted one; it is found by its id, which spreads evenly.
-    firsts = rows.groupBy(*who, "timestamp").agg(F.min("id").alias("id")).join(
+    firsts = narrow.groupBy(*who, "timestamp").agg(F.min("id").alias("id")).join(
         accepted.withColumnRenamed("at", "timestamp"), [*who, "timestamp"]).select("id", F.lit(True).alias("__first"))
     seen = rows.join(slots, [*who, "__slot"], "left").join(firsts, "id", "left")
     before = F.when(F.col("__cur") <= F.col("timestamp"), F.col("__cur")).otherwise(F.col("__prev"))
@@ -140,7 +196,8 @@ def submit_urls(subs: DataFrame, limit_s: int = config.RATE_LIMIT_S, drain_every
     parsed = subs.withColumn("url", urls.url_origin(F.col("url")))
     bad = parsed.filter("url is null").select("id", "url", F.lit("bad_url").alias("status"),
                                               F.lit(0).cast("bigint").alias("wait_s"))
-    limited = rate_limit(parsed.filter("url is not null"), limit_s, drain_every_s)
+    # Read for the queue and for the answer.
+    limited = cut_lineage(rate_limit(parsed.filter("url is not null"), limit_s, drain_every_s))
     queued = unique_pending(limited.filter("accepted").drop("accepted", "wait_s"), drain_every_s=drain_every_s)
     outcomes = queued.select("id", F.when(F.col("duplicate"), "duplicate").otherwise("accepted").alias("status"))
     good = limited.join(outcomes, "id", "left").select(
