@@ -11,27 +11,33 @@ DENIED_URLS = [r"grep\.geek/\?.*(s=DRP|su=title|cc=1).*"]
 
 
 
+def _attribute(name: str, value: str) -> str:
+    """An attribute in a tag; in ``value``, ``@`` stands for any character that the quotes allow."""
+    quoted = [f"{q}{value.replace('@', f'[^{q}]')}{q}" for q in "\"'"]
+    bare = value.replace("@", r"""[^\s"'>]""")
+    return rf"""(?is)\s{name}\s*=\s*(?:{quoted[0]}|{quoted[1]}|{bare}(?=[\s>]))"""
+
+
 def _id(value: str) -> str:
-    return rf"""\sid\s*=\s*(?:"{value}"|'{value}'|{value}[\s>])"""
+    return _attribute("id", value)
 
 
-def _class(*values: str) -> str:
-    """An element with these classes, in this order."""
-    inside = [rf"(?:[^{q}]*\s)?" + rf"\s(?:[^{q}]*\s)?".join(values) + rf"(?:\s[^{q}]*)?" for q in "\"'"]
-    return rf"""\sclass\s*=\s*(?:"{inside[0]}"|'{inside[1]}'|{values[0]}[\s>])"""
+def _class(value: str) -> str:
+    """One of the element's classes."""
+    return _attribute("class", rf"(?:@*\s)?{value}(?:\s@*)?")
 
 
-# Page templates that are not indexed: name, pattern on the markup, and whether the site's root page may stay. The ids,
-# classes and elements are fixed values; each pattern asks for the elements in the order in which they enclose each other.
+# Page templates that are not indexed: name, elements, and whether the site's root page may stay. Each element is ``in`` the
+# one before it (at any depth), or the ``next`` one after its end, and has all the attributes. Elements and attributes are fixed values.
 TEMPLATE_RULES = [
-    ("reddit frontend", rf"(?is)<span\b[^>]*{_id('lib')}[^<]*(?:<[^s/][^<]*|</[^s][^<]*)*</span\s*>\s*<span\b[^>]*{_id('reddit')}", True),
-    ("apache manual", rf"(?is)<div\b[^>]*{_id('page-header')}.*?<p\b[^>]*{_class('apache')}", False),
-    ("apache default page",
-     rf"""(?is)<div\b[^>]*\sclass\s*=\s*(?:"[^"]*_page"|'[^']*_page'|[^\s"'>]*_page[\s>]).*?<div\b[^>]*"""
-     rf"(?:{_class('page_header', 'floating_element')}|{_class('floating_element', 'page_header')}).*?<img\b[^>]*{_class('floating_element')}", False),
-    ("cgit", rf"(?is)<div\b[^>]*{_id('cgit')}.*?<table\b[^>]*{_id('header')}.*?<tr\b.*?<td\b[^>]*{_class('logo')}.*?<a\b.*?<img\b", True),
-    ("gitea", rf"(?is)<footer\b.*?<div\b[^>]*(?:{_class('ui', 'container')}|{_class('container', 'ui')}).*?<div\b[^>]*"
-     rf"""(?:{_class('ui', 'left')}|{_class('left', 'ui')}).*?<a\b[^>]*\shref\s*=\s*(?:"[^"]*gitea|'[^']*gitea|[^\s"'>]*gitea)""", True),
+    ("reddit frontend", [("in", "span", [_id("lib")]), ("next", "span", [_id("reddit")])], True),
+    ("apache manual", [("in", "div", [_id("page-header")]), ("in", "p", [_class("apache")])], False),
+    ("apache default page", [("in", "div", [_attribute("class", "@*_page")]), ("in", "div", [_class("page_header"), _class("floating_element")]),
+                             ("in", "img", [_class("floating_element")])], False),
+    ("cgit", [("in", "div", [_id("cgit")]), ("in", "table", [_id("header")]), ("in", "tbody", []), ("in", "tr", []), ("in", "td", [_class("logo")]),
+              ("in", "a", []), ("in", "img", [])], True),
+    ("gitea", [("in", "footer", []), ("in", "div", [_class("ui"), _class("container")]), ("in", "div", [_class("ui"), _class("left")]),
+               ("in", "a", [_attribute("href", "@*gitea@*")])], True),
 ]
 
 # Content types that are indexed, and the type of a URL without a known extension.

@@ -7,10 +7,14 @@ from html.entities import name2codepoint
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from fathom.functions.rows import indexes, let, prefix_sums
+
 COMMENT = r"(?s)<!--.*?-->"
 SCRIPT = r"(?is)<script\b[^>]*>.*?</script\s*>"
 STYLE = r"(?is)<style\b[^>]*>.*?</style\s*>"
 TAG = r"</?[A-Za-z!?][^>]*>"
+#: A tag with its attributes, whose quotes may hold any character.
+ELEMENT = r"""</?[A-Za-z](?:[^>"']|"[^"]*+"|'[^']*+')*+>"""
 BREAK = "\x01"
 TITLE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
 HEADING = r"(?is)<h1\b[^>]*>([^<]+)"
@@ -24,6 +28,68 @@ BLANKS = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0     　" + "".join(
     map(chr, range(0x2000, 0x200B)))
 
 
+Step = tuple[str, str, list[str]]
+
+
+def _opens(tag: Column, step: Step) -> Column:
+    """The tag begins an element of the step: its name, and all its attributes."""
+    _, name, attributes = step
+    found = tag.rlike(rf"(?i)^<{name}(?![\w-])")
+    for pattern in attributes:
+        found = found & tag.rlike(pattern)
+    return found
+
+
+def _matching(tags: Column, step: Step) -> Column:
+    return F.filter(indexes(tags), lambda i: _opens(F.get(tags, i), step))
+
+
+def _ends(tags: Column, name: str, starts: Column) -> Column:
+    """Begin and end (number of the closing tag, or of no tag) of the elements ``name`` that begin at ``starts``.
+
+    Tags of the name are counted up and down; an element ends where the count is back at what it was before. One that is never
+    closed lasts to the end of the page.
+    """
+    def change(t: Column) -> Column:
+        return F.when(t.rlike(rf"(?i)^<{name}(?![\w-])"), 1).when(t.rlike(rf"(?i)^</{name}(?![\w-])"), -1).otherwise(0)
+
+    def one(before: Column) -> Column:
+        def end(i: Column) -> Column:
+            return F.get(F.filter(indexes(tags), lambda j: (j > i) & (F.get(before, j + 1) <= F.get(before, i))), F.lit(0))
+        return F.transform(starts, lambda i: F.struct(i.alias("begin"), F.coalesce(end(i), F.size(tags)).alias("end")))
+
+    # One more place than there are tags: what the count is after the last.
+    return let(prefix_sums(F.concat(F.transform(tags, change), F.array(F.lit(0)))), one)
+
+
+def has_nested(html: Column, steps: list[Step]) -> Column:
+    """The page has elements that stand to each other as ``steps`` say.
+
+    Nearly all pages lack one of the tags; only the others' tags are numbered and paired.
+    """
+    def spans(tags: Column) -> Column:
+        """Elements that fit each step by themselves."""
+        return F.array(*[_ends(tags, step[1], _matching(tags, step)) for step in steps])
+
+    def chained(found: Column) -> Column:
+        """Whether a last one is left, when each step keeps the elements that stand to one of the step before as it says."""
+        after_end = F.array(*[F.lit(how == "next") for how, _, _ in steps])
+
+        def follow(before: Column, k: Column) -> Column:
+            return F.filter(F.get(found, k), lambda own: F.exists(before, lambda x: F.when(
+                F.get(after_end, k), own["begin"] == x["end"] + 1).otherwise((x["begin"] < own["begin"]) & (own["begin"] < x["end"]))))
+
+        return F.size(F.aggregate(F.sequence(F.lit(1), F.lit(len(steps) - 1)), F.get(found, F.lit(0)), follow)) > 0
+
+    possible = F.lit(True)
+    for _, name, attributes in steps:
+        possible = possible & html.rlike(rf"(?i)<{name}(?![\w-])")
+        for pattern in attributes:
+            possible = possible & html.rlike(pattern)
+    tags = F.regexp_extract_all(without_noise(html), F.lit(ELEMENT), F.lit(0))
+    return F.when(possible, let(let(tags, spans), chained)).otherwise(False)
+
+
 def without_noise(html: Column) -> Column:
     """Markup without comments, scripts and styles."""
     for pattern in (COMMENT, SCRIPT, STYLE):

@@ -55,12 +55,18 @@ def extract_pages(fetches: DataFrame, at: str = "fetched_at", body: str = "body"
         now.alias("created_at"), now.alias("last_updated"), "dead_since")
 
 
-def template_action(df: DataFrame, rules: list[tuple[str, str, bool]] = config.TEMPLATE_RULES,
-                    body: str = "body") -> DataFrame:
-    """Adds ``rule`` (first known page template that fits, or NULL) and ``action``: keep, to_root or drop."""
+Rule = tuple[str, str | list[html.Step], bool]
+
+
+def template_action(df: DataFrame, rules: list[Rule] = config.TEMPLATE_RULES, body: str = "body") -> DataFrame:
+    """Adds ``rule`` (first known page template that fits, or NULL) and ``action``: keep, to_root or drop.
+
+    A rule has a pattern on the markup, or the elements that a page of the template has inside each other.
+    """
     rule = F.lit(None).cast("string")
-    for name, pattern, _ in reversed(rules):
-        rule = F.when(F.col(body).rlike(pattern), name).otherwise(rule)
+    for name, fits, _ in reversed(rules):
+        found = F.col(body).rlike(fits) if isinstance(fits, str) else html.has_nested(F.col(body), fits)
+        rule = F.when(found, name).otherwise(rule)
     df = df.withColumn("rule", rule).withColumn("__root_ok", F.col("rule").isin(*[n for n, _, ok in rules if ok]))
     action = F.when(F.col("rule").isNull(), "keep").when(~F.col("__root_ok"), "drop").when(
         urls.is_root(F.col("url")), "keep").otherwise("to_root")

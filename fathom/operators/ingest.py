@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fathom import config
 from fathom.functions import urls
-from fathom.operators.extract import template_action
+from fathom.operators.extract import Rule, template_action
 from fathom.operators.url_filters import filter_mimetypes, filter_tlds, filter_url_patterns
 
 
@@ -21,7 +21,7 @@ class CrawlRules:
     deny: list[str] | None = field(default_factory=lambda: config.DENIED_URLS)
     tlds: list[str] | None = field(default_factory=lambda: config.ALLOWED_TLDS)
     mimetypes: list[str] | None = field(default_factory=lambda: config.ALLOWED_MIMETYPES)
-    templates: list[tuple[str, str, bool]] | None = field(default_factory=lambda: config.TEMPLATE_RULES)
+    templates: list[Rule] | None = field(default_factory=lambda: config.TEMPLATE_RULES)
     max_depth: int | None = config.DEPTH_LIMIT
 
 
