@@ -11,22 +11,30 @@ from fathom.catalog import url_queries as uq
 from fathom.functions import urls
 from fathom.operators.accounting import with_interval
 from fathom.sources import page_store
-from fathom.streaming import jobs
+from fathom.streaming import jobs, keyed
 
 
 PARTS = 4
+#: Files of a micro-batch, each written by a task of its own.
+FILES = 8
 
 
 def _source(spark, sf, name):
-    """The table as a stream of ``PARTS`` micro-batches, in the order of time or key."""
+    """The table as a stream of ``PARTS`` micro-batches, in the order of time or key: one read, one write of files in that order.
+
+    The file source takes files by their time, so they get times in the order of their names. Rows of one moment are dealt by a hash.
+    """
     df = spark.read.parquet(f"{sf}/{name}.parquet")
-    key = {"events": F.col("ts").cast("timestamp").cast("double"), "pages": F.col("page_id").cast("double")}[name]
-    low, high = df.agg(F.min(key), F.max(key)).first()
-    part = F.least(F.floor((key - low) / ((high - low) / PARTS + 1e-9)), F.lit(PARTS - 1))
+    key = {"events": "ts", "pages": "page_id"}[name]
     place = cq.new_folder(spark, "source")
-    for k in range(PARTS):
-        df.filter(part == k).coalesce(1).write.parquet(f"{place}/part={k}")
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/part=*")
+    df.repartitionByRange(PARTS * FILES, F.col(key), F.xxhash64(*df.columns)).write.parquet(place)
+    at = spark._jvm.org.apache.hadoop.fs.Path(place)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = sorted((s for s in fs.listStatus(at) if s.getPath().getName().startswith("part-")), key=lambda s: s.getPath().getName())
+    first = min((s.getModificationTime() for s in files), default=0) - 1000 * len(files)
+    for i, status in enumerate(files):
+        fs.setTimes(status.getPath(), first + 1000 * i, -1)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", FILES).parquet(place)
 
 
 class _StreamTables:
@@ -49,19 +57,26 @@ def _work(spark) -> str:
     return cq.new_folder(spark, "stream")
 
 
+def _written(spark, path, schema):
+    """What the micro-batches wrote; no folder was made if there was none."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path}/batch=*")
+
+
 def _run(spark, stream):
     """Run over all that is there, into parquet, and read that back."""
     work = _work(spark)
     jobs.start(stream, jobs.into_parquet(f"{work}/out"), f"{work}/checkpoint").awaitTermination()
-    return spark.read.schema(T.StructType(stream.schema.fields)).parquet(f"{work}/out/batch=*")
+    return _written(spark, f"{work}/out", T.StructType(stream.schema.fields))
 
 
 def _latest(spark, stream, keys):
     """The same in update mode: the last row of each key."""
     work = _work(spark)
-    query = jobs.start(stream, jobs.latest_by_key(f"{work}/out", keys), f"{work}/checkpoint", "update")
-    query.awaitTermination()
-    return spark.read.schema(T.StructType(stream.schema.fields)).parquet(f"{work}/out/batch={query.lastProgress['batchId']}")
+    jobs.start(stream, jobs.latest_by_key(f"{work}/out", keys, buckets=8), f"{work}/checkpoint", "update").awaitTermination()
+    return page_store.read_rows(spark, f"{work}/out", T.StructType(stream.schema.fields))
 
 
 def st1(spark, sf):
@@ -81,7 +96,13 @@ def st2(spark, sf):
     work = _work(spark)
     jobs.stream_rate_limit(_submissions(spark, sf), f"{work}/out", f"{work}/state", f"{work}/checkpoint",
                            7200).awaitTermination()
-    return spark.read.parquet(f"{work}/out/batch=*").select("id", "ip", "accepted", "wait_s")
+    kind = "id bigint, ip bigint, accepted boolean, wait_s bigint"
+    return _written(spark, f"{work}/out", T.StructType.fromDDL(kind))
+
+
+def st2_keyed(spark, sf):
+    """The same by state per client."""
+    return _run(spark, keyed.keyed_rate_limit(_submissions(spark, sf), 7200)).select("id", "ip", "accepted", "wait_s")
 
 
 def st3(spark, sf):
@@ -98,7 +119,7 @@ def st5(spark, sf):
     work, pending = _work(spark), _submissions(spark, sf)
     for _ in range(2):  # the second run finds nothing left
         jobs.stream_drain(pending, f"{work}/out", f"{work}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{work}/out/batch=*").select("id", "url", "priority", "dont_filter", "refresh_robots")
+    return _written(spark, f"{work}/out", T.StructType(jobs.drained(pending).schema.fields))
 
 
 def st6(spark, sf):
@@ -108,12 +129,13 @@ def st6(spark, sf):
     return kept.select(urls.canonical_url(F.col("url")).alias("url"), "normalised", "dont_filter")
 
 
-QUERIES = {"st1_stream_ingest": st1, "st2_stream_rate_limit": st2, "st3_stream_bandwidth": st3,
+QUERIES = {"st1_stream_ingest": st1, "st2_stream_rate_limit": st2, "st2_keyed_rate_limit": st2_keyed, "st3_stream_bandwidth": st3,
            "st4_stream_queue_totals": st4, "st5_stream_drain": st5, "st6_stream_dedupe": st6}
 
 ORACLE = {
     "st1_stream_ingest": uq.ORACLE["e8_extract_pages"],
     "st2_stream_rate_limit": cq.ORACLE["b1_rate_limit"],
+    "st2_keyed_rate_limit": cq.ORACLE["b1_rate_limit"],
     "st3_stream_bandwidth": cq.ORACLE["a1_bandwidth_report"],
     "st4_stream_queue_totals": cq.ORACLE["a2_queue_totals"],
     "st5_stream_drain": f"""SELECT id, {cq._ORIGIN} AS url, 1 AS priority, true AS dont_filter, true AS refresh_robots

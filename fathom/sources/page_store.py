@@ -15,6 +15,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from fathom.operators.index import Index, merge_postings, term_stats
 from fathom.operators.pages import delete_pages, upsert_pages
@@ -159,6 +160,32 @@ def delete_from(keys: DataFrame, path: str) -> None:
     _overwrite(kept, f"{state['folder']}/pages", "url_bucket", ["url"], touched)
 
 
+# ---- rows by key ---------------------------------------------------------------------------------------------------------
+
+def upsert_rows(batch: DataFrame, path: str, keys: list[str], buckets: int = BUCKETS) -> None:
+    """Puts the rows of ``batch``, one for each key, in the place of those with the same key. Only the buckets of the batch's
+    keys are read and written; a null is a key like any other."""
+    spark, path = batch.sparkSession, path.rstrip("/")
+    state = _current(spark, path)
+    rows = batch.withColumn("bucket", bucket(state["buckets"] if state else buckets, *keys))
+    if state is None:
+        return _new_build(spark, path, buckets, lambda folder: _write(rows, f"{folder}/rows", "bucket", keys))
+    touched = _touched(rows, F.col("bucket"))
+    old = _read(spark, f"{state['folder']}/rows", "bucket", touched)
+    if old is not None:
+        same = F.lit(True)
+        for k in keys:
+            same = same & F.col(f"old.{k}").eqNullSafe(F.col(f"new.{k}"))
+        rows = rows.unionByName(old.alias("old").join(rows.select(*keys).alias("new"), same, "left_anti"))
+    _write(rows, f"{state['folder']}/rows", "bucket", keys, dynamic=True)
+
+
+def read_rows(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    state = _current(spark, path.rstrip("/"))
+    found = state and _read(spark, f"{state['folder']}/rows", "bucket")
+    return spark.createDataFrame([], schema) if found is None else found.select(*schema.fieldNames())
+
+
 # ---- index --------------------------------------------------------------------------------------------------------------
 
 #: Parts of a full build that an update can't bring up to date; search does without them.

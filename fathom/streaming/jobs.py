@@ -21,6 +21,7 @@ from fathom.operators.ingest import CrawlRules, screened
 from fathom.operators.pages import collapse_fetches
 from fathom.operators.submissions import rate_limit
 from fathom.operators.url_filters import fingerprint
+from fathom.plans.lineage import cut_lineage
 from fathom.sources import page_store
 
 BatchWork = Callable[[DataFrame, int], None]
@@ -33,14 +34,11 @@ def start(stream: DataFrame, work: BatchWork, checkpoint: str, mode: str = "appe
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def latest_by_key(path: str, keys: list[str]) -> BatchWork:
-    """Sink for update mode: a table with the last row of each key. Each batch writes the whole (small) table anew under its
-    number, from that of the batch before."""
+def latest_by_key(path: str, keys: list[str], buckets: int = page_store.BUCKETS) -> BatchWork:
+    """Sink for update mode: a table with the last row of each key. A batch reads and writes the buckets of its own keys."""
     def work(df: DataFrame, batch_id: int) -> None:
-        if batch_id > 0:
-            before = df.sparkSession.read.schema(df.schema).parquet(f"{path}/batch={batch_id - 1}")
-            df = df.unionByName(before.join(df.select(*keys), keys, "left_anti"))
-        df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        # Written once: the batch is read for its buckets, for the rows that it replaces, and for the rows themselves.
+        page_store.upsert_rows(cut_lineage(df), path, keys, buckets)
     return work
 
 
