@@ -16,9 +16,11 @@ from pyspark.sql import functions as F
 
 from fathom.functions import text as tx
 from fathom.functions.rows import let, run_starts
+from fathom.operators.index import WITH_OFFSETS
 from fathom.operators.ranking import KEYS, SMALL_ROWS
 from fathom.plans.layout import spread
 from fathom.plans.lineage import cut_lineage
+from fathom.schemas import SHADOW_PREFIX
 
 #: A word is frequent in a field if at least this share of the documents has it.
 FREQUENT = 0.2
@@ -34,17 +36,22 @@ def frequent_terms(dictionary: DataFrame, stats: DataFrame, share: float = FREQU
 
 
 def _beside(toks: Column, known: list[str]) -> Column:
-    """Pairs of tokens of ``known`` terms at neighbouring places: tokens stand in the order of places, each of which has one."""
+    """Pairs of tokens of ``known`` terms at neighbouring places; tokens stand in the order of places."""
     def wanted(arr: Column) -> Column:
         return F.filter(arr, lambda t: t["term"].isin(known))
 
     def found(a: Column, heads: Column) -> Column:
-        def at(pos: Column) -> Column:
-            return F.coalesce(F.get(heads, pos), F.size(a))
+        def at(k: Column) -> Column:
+            return F.coalesce(F.get(heads, k), F.size(a))
 
-        return F.flatten(F.transform(wanted(a), lambda t: F.transform(
-            wanted(F.slice(a, at(t["pos"] + 1) + 1, at(t["pos"] + 2) - at(t["pos"] + 1))),
-            lambda b: F.struct(t["term"].alias("first"), b["term"].alias("second"), t["pos"].alias("pos")))))
+        def one(h: Column, k: Column) -> Column:
+            here, after = wanted(F.slice(a, h + 1, at(k + 1) - h)), wanted(F.slice(a, at(k + 1) + 1, at(k + 2) - at(k + 1)))
+            pairs = F.flatten(F.transform(here, lambda t: F.transform(after, lambda b: F.struct(
+                t["term"].alias("first"), b["term"].alias("second"), t["pos"].alias("pos")))))
+            # Repeats in a title have no place of their own.
+            return F.when(F.get(a, at(k + 1))["pos"] == F.get(a, h)["pos"] + 1, pairs).otherwise(F.array().cast(PAIR))
+
+        return F.flatten(F.transform(heads, one))
 
     return let(toks, lambda a: let(run_starts(a, lambda x, y: x["pos"] == y["pos"]), lambda heads: found(a, heads)))
 
@@ -55,7 +62,7 @@ def pair_postings(pages: DataFrame, frequent: DataFrame, key: str = "url", field
     known = {f: [r.term for r in frequent.filter(F.col("field") == f).collect()] for f in fields}  # ``most`` at most
     parts = []
     for f in fields:
-        df = tx.analyzed(df, f, f)
+        df = tx.analyzed(df, f, f, f.removeprefix(SHADOW_PREFIX) in WITH_OFFSETS)
         pairs = _beside(F.col(f), known[f]) if known[f] else F.array().cast(PAIR)
         parts.append(F.struct(F.lit(f).alias("field"), pairs.alias("pairs")))
     pairs = df.select("doc", F.inline(F.array(*parts))).select("doc", "field", F.inline("pairs"))

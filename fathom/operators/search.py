@@ -18,11 +18,12 @@ from fathom.functions.text import wildcard_regex
 from fathom.operators import term_grams
 from fathom.operators.index import BOOSTS, Index, make_index, make_index_of
 from fathom.operators.ranking import COORD, KEYS, SMALL_ROWS, bm25_weight
-from fathom.operators.snippets import snippet_or_fallback, with_snippet
+from fathom.operators.snippets import snippet_or_fallback, with_snippet, with_snippet_of
 from fathom.operators.top_blocks import top_scores
 from fathom.plans.lineage import cut_lineage
 
 PAGE_LEN = 10
+PLACES = "array<struct<pos:int,start:int,end:int,term:string>>"
 # Most terms that are written into a filter.
 MOST_TERMS = 1000
 
@@ -373,6 +374,19 @@ def _index_for(fields: list[str], pages, key: str, index: Index | None, terms: D
     return make_index(pages, key, tuple(fields))
 
 
+def _has_offsets(index: Index, field: str = "content") -> bool:
+    return "offsets" in index.postings.columns and field in {r[0] for r in index.stats.select("field").collect()}  # one row per field
+
+
+def _places(hits: DataFrame, index: Index, small: bool, field: str = "content") -> DataFrame:
+    """query_id, doc, places of the query's terms (hits: query_id, doc, terms) in the hits' texts, from the index."""
+    asked = hits.select(*KEYS, F.explode("terms").alias("term"))
+    own = index.postings.filter(F.col("field") == field).select("term", "doc", "positions", "offsets")
+    found = own.join(F.broadcast(asked) if small else asked, ["term", "doc"])
+    return found.groupBy(*KEYS).agg(F.flatten(F.collect_list(F.transform(F.arrays_zip("positions", "offsets"), lambda x: F.struct(
+        x["positions"].alias("pos"), x["offsets"]["start"].alias("start"), x["offsets"]["end"].alias("end"), F.col("term").alias("term"))))).alias("places"))
+
+
 def search(queries: DataFrame, pages: DataFrame | Callable[[DataFrame], DataFrame], pagenum: int = 1, pagelen: int = PAGE_LEN, key: str = "url",
            index: Index | None = None, text: str = "q", c: float = COORD, strict_phrase: bool = False) -> DataFrame:
     """Search text to result page: (query_id, rn, url, title, depth, snippet, score).
@@ -405,7 +419,14 @@ def search(queries: DataFrame, pages: DataFrame | Callable[[DataFrame], DataFram
         pages = pages(hits.select(F.col("doc").alias(key)).distinct())
     text_of = pages.withColumnRenamed(key, "doc").select("doc", "title", "depth", "content", "description")
     hits = hits.join(words, "query_id")
-    shown = (F.broadcast(hits) if small else hits).join(text_of, "doc")
-    return with_snippet(shown, "content", "terms", "snippet", strict_phrase=strict_phrase).select(
+    if not strict_phrase and _has_offsets(index):
+        hits = cut_lineage(hits)
+        shown = (F.broadcast(hits) if small else hits).join(text_of, "doc").join(_places(hits, index, small), KEYS, "left").withColumn(
+            "places", F.coalesce("places", F.array().cast(PLACES)))
+        shown = with_snippet_of(shown, "content", "places", "snippet")
+    else:
+        shown = (F.broadcast(hits) if small else hits).join(text_of, "doc")
+        shown = with_snippet(shown, "content", "terms", "snippet", strict_phrase=strict_phrase)
+    return shown.select(
         "query_id", "rn", F.col("doc").alias("url"), "title", "depth",
         snippet_or_fallback(F.col("snippet"), F.col("description"), F.col("content")).alias("snippet"), "score")

@@ -138,6 +138,32 @@ def with_snippet(df: DataFrame, content: str, words: str, out: str, top: int = T
         out, lambda f: mark_and_escape(F.col(content), f)), between))
 
 
+def spans_of_postings(places: Column) -> Column:
+    """Spans of matching tokens from what an index stores of them (``array<struct<pos,start,end,term>>``), as of
+    :func:`matched_spans`: a whole token holds its parts, so it stands first among those of its place and hides them."""
+    def widest(a: Column) -> Column:
+        def one(heads: Column) -> Column:
+            def cut(h: Column, k: Column) -> Column:
+                run = F.slice(a, h + 1, F.coalesce(F.get(heads, k + 1), F.size(a)) - h)
+                first = F.get(a, h)
+                return F.when(F.forall(run, lambda x: x["end"] <= first["end"]), F.slice(run, 1, 1)).otherwise(run)
+            return F.flatten(F.transform(heads, cut))
+
+        return let(run_starts(a, lambda x, y: x["pos"] == y["pos"]), one)
+
+    ordered = F.sort_array(F.transform(places, lambda p: F.struct(
+        p["pos"].alias("pos"), p["start"].alias("start"), (-p["end"]).alias("back"), p["end"].alias("end"), p["term"].alias("term"))))
+    return let(ordered, widest)
+
+
+def with_snippet_of(df: DataFrame, content: str, places: str, out: str, top: int = TOP, between: str = "...",
+                    surround: int = SURROUND, max_chars: int = MAX_CHARS) -> DataFrame:
+    """Like :func:`with_snippet`, from stored places of the terms; the text is not analysed again."""
+    df = df.withColumn(out, spans_of_postings(F.col(places)))
+    df = df.withColumn(out, best_fragments(fragments(F.col(out), F.length(content), surround, max_chars), top))
+    return df.withColumn(out, F.array_join(F.transform(out, lambda f: mark_and_escape(F.col(content), f)), between))
+
+
 def snippet_or_fallback(found: Column, description: Column, content: Column) -> Column:
     """The snippet, else the description, else the start of the text."""
     def filled(c: Column) -> Column:
