@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from fathom import config
 from fathom.functions import html, urls
 from fathom.functions import text as tx
 from fathom.operators import analysis, extract, graph, robots, search, snippets, submissions, url_filters
@@ -111,6 +112,21 @@ def test_template_rules(spark):
     assert rows == {"http://a/": "keep", "http://a/x": "to_root", "http://a/y": "keep"}
 
 
+def test_elements_inside_each_other(spark):
+    apache, reddit = config.TEMPLATE_RULES[1][1], config.TEMPLATE_RULES[0][1]
+    head = '<DIV id="page-header">'
+    pages = [(f"{head}<p class='a apache'></div>", apache, True), (f"{head}</div><p class=apache>", apache, False),
+             (f"{head}<div><div></div></div><p class=apache></div>", apache, True), (f"{head}<div></div></div><div><p class=apache>", apache, False),
+             (f"{head}<p><b title='</div>'><p class=apache >", apache, True), (f"{head}<script>'</div>'</script><p class=apache>", apache, True),
+             (f"</div></div>{head}</div>{head}x<p class=apache>", apache, True), (f"<p class=apache>{head}</div>", apache, False),
+             ("<span id=lib><span>x</span></span> text <span class=y id='reddit'>", reddit, True), ("<span id=lib><span id=reddit>", reddit, False),
+             ("<span id=lib></span><i></i><span id=reddit>", reddit, False), ("<spanx id=lib></spanx><span id=reddit>", reddit, False),
+             (None, apache, False), ("", apache, False), (head * 300 + "</div>" * 300 + "<p class=apache>", apache, False)]
+    for body, steps, want in pages:
+        df = spark.createDataFrame([(body,)], "body string")
+        assert bool(df.select(html.has_nested(F.col("body"), steps)).first()[0]) == want, body
+
+
 def test_totals(spark):
     scores = spark.createDataFrame([(1, f"d{i:02}", float(-i)) for i in range(23)], "query_id int, doc string, score double")
     queries = spark.createDataFrame([(1, "a"), (2, "b"), (3, "*")], "query_id int, q string")
@@ -203,6 +219,34 @@ def test_rate_limit_of_one_busy_client(spark):
     assert got == _by_hand(late, 700, last)[0]
 
 
+def test_rate_limit_over_many_stretches(spark):
+    """Clients over some thousand stretches: three levels of families, with and without earlier rows."""
+    rng = random.Random(12)
+    rows = []
+    for ip, gap in ((1, 5000), (2, 300), (3, 40_000)):
+        t = rng.randint(0, 4000)
+        for _ in range(1500):
+            t += rng.choice([0, 1, rng.randint(1, gap), rng.randint(1, gap) * rng.choice([1, 30])])
+            rows.append((len(rows), ip, t))
+    limit = 600
+    df = spark.createDataFrame([(i, "u", ip, t) for i, ip, t in rows], "id bigint, url string, ip bigint, timestamp bigint")
+    assert max(t for *_, t in rows) > limit * submissions.CHUNK_LIMITS << submissions.FAN * 2
+    got = {r.id: (r.accepted, r.wait_s) for r in submissions.rate_limit(df, limit).collect()}
+    assert got == _by_hand(rows, limit)[0]
+    last = {1: rows[100][2], 2: 10**9}
+    late = spark.createDataFrame(list(last.items()), "ip bigint, last_timestamp bigint")
+    later = [r for r in rows if r[2] > last.get(r[1], 0) or r[1] == 2]
+    accepted = {r.id for r in submissions.rate_limit(df.join(spark.createDataFrame([(r[0],) for r in later], "id bigint"), "id"), limit, last=late)
+                .filter("accepted").collect()}
+    want, free = set(), {ip: t + limit for ip, t in last.items()}
+    for i, ip, t in sorted(later, key=lambda r: (r[2], r[0])):
+        if t >= free.get(ip, 0):
+            want.add(i)
+            free[ip] = t + limit
+    assert accepted == want
+    assert submissions.rate_limit(df.limit(0), limit).count() == 0
+
+
 def test_equal_rows_of_one_key_are_split(spark, tmp_path):
     """A URL that very many rows ask for is dealt to several tasks at run time."""
     asked = spark.range(60_000).select(F.when(F.col("id") < 50_000, "http://hot.geek/").otherwise(
