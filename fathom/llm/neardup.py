@@ -5,14 +5,18 @@ count of its leading zeros and ``MANTISSA`` bits after them (16 bits a register)
 a band are candidates; their Jaccard similarity is estimated from equal registers, less those expected to be equal by
 chance, and pairs far below the limit are dropped. What is left is verified on the full shingle sets.
 
-No group is ever expanded into all pairs. Texts with equal sets first become one vertex. In a band's bucket all are
-compared with one of them (a hub). Links so far give classes; buckets whose members all fell into one class are settled,
-in the others another hub is taken. What is still in different classes of a bucket after ``ROUNDS`` hubs is settled
-exactly: an inverted index of each set's rarest shingles, with bounds by size and place, yields the pairs left to verify.
+No group is ever expanded into all pairs. Texts with equal sets first become one vertex. A vertex is *central* in the degree of
+how many others it meets over all bands: in a group of copies of one text, edited here and there, that is the text with
+the fewest edits, to which most of the others are linked. So each vertex is first compared with the most central one that it
+meets, one pair for each vertex. Links so far give classes. In buckets with several classes left, all are compared with the
+``HUBS`` most central ones. Buckets of ``HUBS + 1`` are then settled; what is still in different classes of a larger bucket is
+settled exactly by an inverted index of each set's rarest shingles, with bounds by size and place. There, shingles that no other set
+has count against a set, so that one that is far from the central text of its group meets nothing.
 
 Cases: texts without words (null, empty, blanks) have an empty set and are linked with nothing; texts under
 ``WORDS`` words have one shingle, the whole sequence; rows that repeat an id are one vertex for each set, and versions of
-one id are linked; a row without id has no class and is kept; further columns are not looked at.
+one id are linked; a row without id has no class (null) and is kept, whatever its text; further columns are not looked at, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathom.llm.shared import LOWER, distinct_sorted, hashed, mixed, multipliers, pieces, stored, words
+from fathom.llm.shared import LOWER, distinct_sorted, hashed, mixed, multipliers, pieces, stored, unused, words
 
 WORDS = 5
 LIMIT = 75  # per cent
@@ -32,7 +36,7 @@ BUCKET_BITS = 7
 BUCKETS = 1 << BUCKET_BITS
 MANTISSA = 10
 ROWS = 4  # registers of a band
-ROUNDS = 3
+HUBS = 3  # members of a bucket with which all others are compared
 #: Estimates this far under the limit are dropped: five standard deviations of BUCKETS registers.
 SLACK = 5 * (0.75 * 0.25 / BUCKETS) ** 0.5
 #: Sets up to this size have too few full registers for an estimate and are verified at once.
@@ -109,7 +113,7 @@ def sketches(docs: DataFrame) -> DataFrame:
             own = registers(sets)
             yield pa.RecordBatch.from_pydict({
                 "doc_id": piece.column("doc_id"), "n": pa.array([len(s) for s in sets], pa.int64()),
-                "digest": pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
+                "digest": pa.array([_digest(s) for s in sets], pa.binary()),
                 "registers": pa.array([r.tobytes() for r in own], pa.binary()),
                 "bands": pa.array(band_keys(own), pa.list_(pa.int64()))})
 
@@ -117,42 +121,49 @@ def sketches(docs: DataFrame) -> DataFrame:
         run, "doc_id long, n long, digest binary, registers binary, bands array<long>")
 
 
-def classes_of(links: DataFrame) -> DataFrame:
+def classes_of(links: DataFrame, rounds: int | None = None) -> DataFrame:
     """Smallest vertex reachable from each vertex of ``links`` (a, b): rows (v, c).
 
-    Each round takes the smallest label among the neighbours and then that label's own label, which halves distances.
+    Each round takes the smallest label among the neighbours and then that label's own label, which halves distances. After
+    ``rounds`` of them, some vertices of a class may still have different labels; none has that of another class.
     """
-    both = stored(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
+    both = stored(links.select("a", "b").union(links.select("b", "a")), "edges")
     labels = stored(both.groupBy(F.col("a").alias("v")).agg(F.least(F.col("v"), F.min("b")).alias("c")), "labels")
-    while True:
+    while rounds is None or rounds > 0:
         near = both.join(labels, both["b"] == labels["v"]).groupBy(F.col("a").alias("w")).agg(F.min("c").alias("near"))
         lower = labels.join(near, labels["v"] == near["w"], "left").select("v", "c", F.least("c", "near").alias("d"))
         own = lower.select(F.col("v").alias("u"), F.col("d").alias("e"))
         after = stored(lower.join(own, F.col("d") == F.col("u"), "left").select(
             "v", F.least("d", "e").alias("c"), (F.least("d", "e") != F.col("c")).alias("moved")), "labels")
-        moved = after.filter("moved").limit(1).count()
         labels = after.select("v", "c")
-        if not moved:
+        if rounds is not None:
+            rounds -= 1
+        elif not after.filter("moved").limit(1).count():
             return labels
+    return labels
+
+
+#: Pairs of vertices: digests, and their first documents.
+PAIR = "a binary, b binary, x long, y long"
 
 
 def _screened(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose estimate does not rule them out."""
-    one = sketch.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("registers").alias("ra"))
-    two = sketch.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("registers").alias("rb"))
+    """Pairs whose estimate does not rule them out."""
+    one = sketch.select(F.col("digest").alias("a"), F.col("n").alias("na"), F.col("registers").alias("ra"))
+    two = sketch.select(F.col("digest").alias("b"), F.col("n").alias("nb"), F.col("registers").alias("rb"))
 
     def run(batches):
         for batch in batches:
             na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
             ra, rb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, BUCKETS) for c in ("ra", "rb"))
             good = (np.minimum(na, nb) <= SMALL) | (estimated(ra, rb, na, nb) >= LIMIT / 100 - SLACK) if len(na) else np.zeros(0, bool)
-            yield pa.RecordBatch.from_pydict({c: batch.column(c).filter(pa.array(good)) for c in ("a", "b")})
+            yield pa.RecordBatch.from_pydict({c: batch.column(c).filter(pa.array(good)) for c in ("a", "b", "x", "y")})
 
-    return pairs.join(one, "a").join(two, "b").mapInArrow(run, "a long, b long")
+    return pairs.join(one, "a").join(two, "b").mapInArrow(run, PAIR)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose full sets are similar enough."""
+    """Pairs whose full sets are similar enough."""
 
     def run(batches):
         for batch in batches:
@@ -162,22 +173,29 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 at = np.minimum(np.searchsorted(y, x), len(y) - 1)
                 common = int((y[at] == x).sum())
                 keep.append(100 * common >= LIMIT * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_pydict({c: batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")})
+            yield pa.RecordBatch.from_pydict({c: batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b", "x", "y")})
+
+    one, two = (sets.select(F.col("digest").alias(v), F.col("members").alias(f"s{v}")) for v in ("a", "b"))
+    return pairs.join(one, "a").join(two, "b").mapInArrow(run, PAIR)
+
 
-    one, two = (sets.select(F.col("doc_id").alias(v), F.col("members").alias(f"s{v}")) for v in ("a", "b"))
-    return pairs.join(one, "a").join(two, "b").mapInArrow(run, "a long, b long")
+def _digest(own: np.ndarray) -> bytes:
+    return hashlib.blake2b(own.tobytes(), digest_size=16).digest()
 
 
-def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Full shingle sets of the documents in ``ids``."""
+def _sets(docs: DataFrame, ids: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Full shingle sets (digest, members) of ``wanted`` (digest), found in the documents ``ids``."""
 
     def run(batches):
         for piece in pieces(batches):
-            yield pa.RecordBatch.from_pydict({"doc_id": piece.column("doc_id"), "members": pa.array(
-                [s.tobytes() for s in shingle_sets(piece.column("text"))], pa.binary())})
+            sets = shingle_sets(piece.column("text"))
+            yield pa.RecordBatch.from_pydict({"digest": pa.array([_digest(s) for s in sets], pa.binary()),
+                                              "members": pa.array([s.tobytes() for s in sets], pa.binary())})
 
-    wanted = docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi")
-    return wanted.mapInArrow(run, "doc_id long, members binary")
+    # Merged at any size: the ids are as many as there are texts that meet others.
+    found = docs.select(F.col("doc_id").cast("long"), "text").join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(
+        run, "digest binary, members binary")
+    return found.join(wanted, "digest", "left_semi").dropDuplicates(["digest", "members"])
 
 
 def _compatible(x: F.Column, y: F.Column) -> F.Column:
@@ -186,7 +204,7 @@ def _compatible(x: F.Column, y: F.Column) -> F.Column:
 
 
 def _prefix_pairs(left: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (x, y) of different classes among ``left`` (doc_id, n, c) that may be similar; none that is similar is missing.
+    """Pairs of different classes among ``left`` (number, digest, first, n, c) that may be similar; none that is similar is missing.
 
     Shingles are ranked from rare to frequent. Two similar sets share a shingle among the first quarter of each, and
     where it stands bounds what they can have in common. A passage that many texts share is frequent, so it
@@ -196,24 +214,48 @@ def _prefix_pairs(left: DataFrame, sets: DataFrame) -> DataFrame:
     def spread(batches):
         for batch in batches:
             own = [np.frombuffer(m, np.int64) for m in batch.column("members").to_pylist()]
-            sizes = [len(x) for x in own]
-            rows = np.repeat(np.arange(len(own)), sizes)
-            yield pa.RecordBatch.from_pydict({c: batch.column(c).take(pa.array(rows)) for c in ("doc_id", "n", "c")} | {
-                "shingle": pa.array(np.concatenate([np.zeros(0, np.int64), *own]))})
+            rows = np.repeat(np.arange(len(own)), [len(x) for x in own])
+            yield pa.RecordBatch.from_pydict({"number": batch.column("number").take(pa.array(rows)), "shingle": pa.array(
+                np.concatenate([np.zeros(0, np.int64), *own]))})
 
-    every = stored(left.join(sets, "doc_id").mapInArrow(spread, "doc_id long, n long, c long, shingle long"), "shingles")
+    every = stored(left.join(sets, "digest").select("number", "members").mapInArrow(spread, "number long, shingle long"), "shingles")
     times = every.groupBy("shingle").agg(F.count("*").alias("times"))
     # A set's rare shingles take up places; only those that others have too can meet.
-    place = F.row_number().over(Window.partitionBy("doc_id", "n").orderBy("times", "shingle")) - 1
+    place = (F.row_number().over(Window.partitionBy("number").orderBy("times", "shingle")) - 1).alias("place")
+    ranked = every.join(times, "shingle").select("number", "shingle", "times", place)
     first = F.col("n") - F.ceil(F.col("n") * LIMIT / 100) + 1
-    front = every.join(times, "shingle").withColumn("place", place).filter((F.col("place") < first) & (F.col("times") > 1))
-    front = stored(front.select("shingle", "doc_id", "n", "c", "place"), "prefixes")
-    other = front.toDF("shingle", "y", "m", "d", "at")
+    front = ranked.join(left.select("number", "n", "c"), "number").filter((F.col("place") < first) & (F.col("times") > 1))
+    front = stored(front.select("shingle", "number", "n", "c", "place"), "prefixes")
+    other = front.toDF("shingle", "other", "m", "d", "at")
     needed = LIMIT * (F.col("n") + F.col("m")) / (100 + LIMIT)
     possible = 1 + F.least(F.col("n") - F.col("place") - 1, F.col("m") - F.col("at") - 1)
-    return front.join(other, "shingle").filter(
-        (F.col("c") < F.col("d")) & _compatible(F.col("n"), F.col("m")) & (possible >= needed - 1e-6)).select(
-        F.col("doc_id").alias("x"), "y")
+    pairs = front.join(other, "shingle").filter(
+        (F.col("c") < F.col("d")) & _compatible(F.col("n"), F.col("m")) & (possible >= needed - 1e-6)).select("number", "other").distinct()
+    name = left.select("number", F.struct("digest", "first").alias("name"))
+    named = pairs.join(name.toDF("number", "one"), "number").join(name.toDF("other", "two"), "other")
+    return named.select(*_ordered(F.col("one"), F.col("two")))
+
+
+def _with_classes(members: DataFrame, classes: DataFrame) -> DataFrame:
+    return members.join(classes, F.col("first") == F.col("v"), "left").withColumn("c", F.coalesce("c", "first")).drop("v")
+
+
+def _open(members: DataFrame) -> DataFrame:
+    """key and times (number of members) of the buckets with more than one class."""
+    return members.groupBy("key").agg((F.min("c") != F.max("c")).alias("open"), F.count("*").alias("times")).filter("open").drop("open")
+
+
+def _hubs(members: DataFrame) -> DataFrame:
+    """key, hub, m, d: digest, size and class of the ``HUBS`` most central members of each bucket. Tasks send no more of a bucket."""
+    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("central"), F.desc("digest")))
+    return members.withColumn("rank", rank).filter(F.col("rank") <= HUBS).select(
+        "key", F.struct("digest", "first").alias("hub"), F.col("n").alias("m"), F.col("c").alias("d"))
+
+
+def _ordered(one: F.Column, two: F.Column) -> list[F.Column]:
+    """Two vertices (digest, first) as a pair."""
+    low, high = F.least(one, two), F.greatest(one, two)
+    return [low["digest"].alias("a"), high["digest"].alias("b"), low["first"].alias("x"), high["first"].alias("y")]
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -222,55 +264,61 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # A table of its own, so that the joins with it can split a digest that very many copies share.
     firsts = stored(sketch.filter("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("first")), "firsts")
     copies = stored(sketch.select("doc_id", "n", "digest").join(firsts, "digest", "left"), "copies")
-    mine = sketch.select("doc_id", "n", "registers", "bands", "digest").join(
-        firsts, "digest").filter(F.col("doc_id") == F.col("first")).drop("digest", "first").dropDuplicates(["doc_id", "n", "registers"])
-    members = mine.select("doc_id", "n", F.explode("bands").alias("key"))
-    shared = members.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1").select("key")
-    members = stored(members.join(shared, "key"), "members")
-    wanted = members.select("doc_id").distinct()
-    sets = stored(_sets(docs, wanted).dropDuplicates(["doc_id", "members"]), "sets")
-    screen = stored(sketch.select("doc_id", "n", "registers").join(wanted, "doc_id", "left_semi").distinct(), "registers")
+    vertices = sketch.join(firsts, "digest").filter(F.col("doc_id") == F.col("first")).select(
+        "digest", "first", "n", "registers", "bands").dropDuplicates(["digest"])
+    vertices = stored(vertices, "vertices")
+    listed = vertices.select("digest", "first", "n", F.explode("bands").alias("key"))
+    shared = stored(listed.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1"), "keys")
+    met = stored(listed.join(shared, "key"), "met")
+    central = met.groupBy("digest").agg(F.sum("times").alias("central"))
+    members = stored(met.select("digest", "first", "n", "key").join(central, "digest"), "members")
+    wanted = members.select("digest", "first").distinct()
+    sets = stored(_sets(docs, wanted.select(F.col("first").alias("doc_id")).distinct(), wanted.select("digest")), "sets")
+    me = F.struct("digest", "first")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Verified pairs as links between first documents."""
+        found = _verified(pairs, sets).filter("x != y")
+        return stored(found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), "links")
 
     versions = copies.filter("first IS NOT NULL AND doc_id != first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
     several = sketch.filter("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).filter("x != y")
-    links = versions.join(several.select(F.col("doc_id").alias("a")), "a", "left_semi").select("a", "b")
-    links, tested, classes = stored(links, "links"), None, None
-    for turn in range(ROUNDS + 1):
-        if classes is None:
-            own = members.withColumn("c", F.col("doc_id"))
-        else:
-            own = members.join(classes, F.col("doc_id") == F.col("v"), "left").select(
-                "doc_id", "n", "key", F.coalesce("c", "doc_id").alias("c"))
-        order = F.xxhash64(F.lit(turn), F.col("doc_id"))
-        hubs = own.groupBy("key").agg(F.min_by(F.struct("doc_id", "n", "c"), order).alias("hub"),
-                                      (F.min("c") != F.max("c")).alias("open")).filter("open")
-        if turn < ROUNDS:
-            pairs = own.join(hubs.select("key", "hub"), "key").filter(
-                (F.col("c") != F.col("hub.c")) & _compatible(F.col("n"), F.col("hub.n"))).select(
-                F.col("hub.doc_id").alias("x"), F.col("doc_id").alias("y"))
-        else:
-            left = own.join(hubs.select("key"), "key").select("doc_id", "n", "c").distinct()
-            pairs = _prefix_pairs(stored(left, "open"), sets)
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        if not pairs.limit(1).count():
-            continue
-        candidates = _screened(pairs, screen) if turn < ROUNDS else pairs
-        found = stored(_verified(candidates, sets).distinct(), "links")
-        tested = pairs if tested is None else tested.union(pairs)
-        if found.limit(1).count():
-            links = links.union(found)
-            classes = classes_of(links)
-    if classes is None:
-        classes = classes_of(links)
+    links = stored(versions.join(several.select(F.col("doc_id").alias("a")), "a", "left_semi").select("a", "b"), "links")
+
+    # Each vertex with the most central one that it meets.
+    top = F.struct("central", "digest", "first", "n")
+    hubs = members.groupBy("key").agg(F.max(top).alias("hub"))
+    near = members.join(hubs, "key").filter((F.col("digest") != F.col("hub.digest")) & _compatible(F.col("n"), F.col("hub.n")))
+    best = near.groupBy("digest", "first").agg(F.max("hub").alias("hub"))
+    tested = stored(best.select(*_ordered(me, F.struct("hub.digest", "hub.first"))).distinct(), "pairs")
+    links = links.union(linked(_screened(tested, vertices)))
+
+    # All of a bucket with its most central ones, where more than one class is left.
+    own = stored(_with_classes(members, classes_of(links, 1)), "members")
+    open_ones = _open(own)
+    central_ones = stored(open_ones.join(_hubs(own), "key"), "hubs")
+    near = own.join(central_ones, "key").filter((F.col("c") != F.col("d")) & _compatible(F.col("n"), F.col("m")))
+    pairs = near.select(*_ordered(me, F.col("hub"))).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    tested = tested.union(pairs := stored(pairs.select(*tested.columns), "pairs"))
+    links = links.union(linked(_screened(pairs, vertices)))
+
+    # What is left in larger buckets, but for those with which all others have been compared. Numbers of eight bytes stand for
+    # the sets while their shingles are dealt; they are fixed by being written once.
+    large = open_ones.filter(F.col("times") > HUBS + 1).select("key")
+    done = central_ones.select("key", F.col("hub.digest").alias("digest"))
+    left = own.join(large, "key").join(done, ["key", "digest"], "left_anti").select("digest", "first", "n", "c").distinct()
+    left = stored(left.withColumn("number", F.monotonically_increasing_id()), "open")
+    if left.limit(1).count():
+        pairs = _prefix_pairs(left, sets).join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        links = links.union(linked(pairs.select(*tested.columns)))
+    classes = classes_of(links)
     label = copies.join(classes, copies["first"] == classes["v"], "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "first", "doc_id").alias("component_id"))
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "first", "doc_id")).alias("component_id"))
     return label.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows whose document stands for its class, with their columns as they were."""
-    gone = near_duplicates(docs).filter("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
+    name = unused("gone", docs)
+    gone = near_duplicates(docs).filter("NOT kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == F.col(name), "left_anti")
