@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.shared import stored
+from fathom.llm.shared import stored, unused
 
 WIDTH = 3
 
@@ -49,15 +49,17 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     return later.groupBy("doc_id", "of").agg(covered.alias("covered"))
 
 
-def without_repeated_lines(docs: DataFrame) -> DataFrame:
-    """All rows and columns of ``docs``; ``__text`` has the text that stays, ``__removed`` the number of lines that went."""
-    gone = repeated_lines(docs).select(F.col("doc_id").alias("__id"), F.col("of").alias("__of"), F.col("covered").alias("__covered"))
-    joined = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("__id")) & (F.md5(docs["text"]) == F.col("__of")), "left")
+def without_repeated_lines(docs: DataFrame, left: str = "__text", removed: str = "__removed") -> DataFrame:
+    """All rows and columns of ``docs``; ``left`` has the text that stays, ``removed`` the number of lines that went. The caller
+    names both; ``docs`` must not have columns of these names."""
+    at, of, gone_lines = (unused(name, docs) for name in ("id", "of", "covered"))
+    gone = repeated_lines(docs).select(F.col("doc_id").alias(at), F.col("of").alias(of), F.col("covered").alias(gone_lines))
+    joined = docs.join(gone, docs["doc_id"].eqNullSafe(F.col(at)) & (F.md5(docs["text"]) == F.col(of)), "left")
     lines = F.split("text", "\n")
     every = F.sequence(F.lit(0), F.size(lines) - 1)
-    kept = F.array_except(every, F.col("__covered"))
+    kept = F.array_except(every, F.col(gone_lines))
     shorter = F.array_join(F.transform(kept, lambda at: F.get(lines, at)), "\n")
-    changed = F.col("__covered").isNotNull()
+    changed = F.col(gone_lines).isNotNull()
     return joined.select(
-        *[docs[c] for c in docs.columns], F.when(changed, shorter).otherwise(F.col("text")).alias("__text"),
-        F.when(changed, F.size(lines) - F.size(kept)).otherwise(F.lit(0)).cast("long").alias("__removed"))
+        *[docs[c] for c in docs.columns], F.when(changed, shorter).otherwise(F.col("text")).alias(left),
+        F.when(changed, F.size(lines) - F.size(kept)).otherwise(F.lit(0)).cast("long").alias(removed))

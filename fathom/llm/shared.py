@@ -37,6 +37,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(name: str, *tables: DataFrame) -> str:
+    """``name``, lengthened until no column of the tables has it; Spark does not look at case."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts, and len + 1 offsets. A null text is empty."""
     column = pc.fill_null(texts, "").cast(pa.large_binary())
