@@ -10,22 +10,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.llm import bpe, decontam, linededup, neardup, quality
-from fathom.llm.shared import stored, table
+from fathom.llm.shared import stored, table, unused
+
+
+def _own(docs: DataFrame) -> list:
+    """The columns of ``docs``, whatever their names."""
+    return [F.col(f"`{c}`") for c in docs.columns]
 
 
 def good_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
-    return quality.judged(docs, table(spark, sf_dir, "labels")).filter("__kept").select(*docs.columns)
+    names = tuple(unused(name, docs) for name in ("perplexity", "threshold", "kept"))
+    return quality.judged(docs, table(spark, sf_dir, "labels"), names=names).filter(F.col(names[2])).select(*_own(docs))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts lose windows of lines that occurred before; a text that loses all its lines goes. ``n_chars`` follows the text."""
-    done = linededup.without_repeated_lines(docs).filter("__removed = 0 OR __text != ''")
-    changed = F.col("__removed") > 0
+    left, removed = unused("left", docs), unused("removed", docs)
+    changed = F.col(removed) > 0
+    done = linededup.without_repeated_lines(docs, left, removed).filter(~changed | (F.col(left) != ""))
     return done.withColumns({
-        "text": F.col("__text"),
-        "n_chars": F.when(changed, F.length("__text").cast("long")).otherwise(F.col("n_chars")),
-    }).select(*docs.columns)
+        "text": F.col(left),
+        "n_chars": F.when(changed, F.length(left).cast("long")).otherwise(F.col("n_chars")),
+    }).select(*_own(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
