@@ -1,9 +1,10 @@
 """Licence scan by a positional index of rare words.
 
-Templates are word sequences with mandatory key phrases. Each has postings (word, position in the template). Only words that
-are rare in the corpus count; document frequencies are counted over all texts. All of these words that stand in a text are
-looked up; a template is a candidate at a place if several of them agree on where it would start. It is accepted if all
-its key phrases stand inside that place. The base phrases are found the same way: from the places of their rarest
+Templates are word sequences with mandatory key phrases: one-line notices and whole short licences. Each has postings (word,
+position in the template). Only words that are rare in the corpus count; document frequencies are counted over all texts.
+All of these words that stand in a text are looked up; a template is a candidate at a place if several of the same text's
+words agree on where it would start, which may lie before the text if the text begins inside the template. It is
+accepted if all its key phrases stand inside that place. Votes belong to their text, so the texts beside it do not matter. The base phrases are found the same way: from the places of their rarest
 word, by relative position, and counted everywhere.
 
 Everything but the counting of document frequencies (one row per licence word and task) happens where the texts lie.
@@ -47,6 +48,30 @@ TEMPLATES = {
     "mit-notice": ("released under the mit license", ("mit license",)),
     "mpl-2.0": ("this source code form is subject to the terms of the mozilla public license", ("mozilla public license",)),
     "unlicense": ("this is free and unencumbered software released into the public domain", ("unencumbered software",)),
+    "apache-2.0-header": (
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license "
+        "you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or "
+        "agreed to in writing software distributed under the license is distributed on an as is basis without warranties or "
+        "conditions of any kind either express or implied see the license for the specific language governing permissions and "
+        "limitations under the license", ("apache license version 2 0", "unless required by applicable law")),
+    "bsd-2-text": (
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the "
+        "following conditions are met 1 redistributions of source code must retain the above copyright notice this list of "
+        "conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this "
+        "list of conditions and the following disclaimer in the documentation and or other materials provided with the "
+        "distribution", ("redistributions of source code must retain", "redistributions in binary form must reproduce")),
+    "isc-text": (
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted "
+        "provided that the above copyright notice and this permission notice appear in all copies the software is provided as is "
+        "and the author disclaims all warranties with regard to this software including all implied warranties of "
+        "merchantability and fitness", ("provided that the above copyright notice and this permission notice appear in all copies",)),
+    "mit-text": (
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
+        "documentation files the software to deal in the software without restriction including without limitation the rights to "
+        "use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom "
+        "the software is furnished to do so subject to the following conditions the above copyright notice and this permission "
+        "notice shall be included in all copies or substantial portions of the software",
+        ("permission is hereby granted", "sublicense and or sell copies", "substantial portions of the software")),
 }
 #: Words in more than this share of texts are not looked up (but each template keeps its ``LEAST_RARE`` rarest).
 COMMON = 0.02
@@ -118,18 +143,18 @@ class Index:
             start = start[own[start + k] == i]
         return start[doc[start] == doc[start + len(ids) - 1]]
 
-    def places(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(template, start among all words) on which enough rare licence words agree."""
+    def places(self, own: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(template, start among all words, text) on which enough rare licence words of the text agree."""
         at = np.flatnonzero(own >= 0)
         at = at[np.isin(own[at], np.unique(self.posting_word))]
         low, high = (np.searchsorted(self.posting_word, own[at], side) for side in ("left", "right"))
         n = high - low
         posting = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        votes = np.stack([self.posting_template[posting], np.repeat(at, n) - self.posting_place[posting]], 1)
+        votes = np.stack([self.posting_template[posting], np.repeat(at, n) - self.posting_place[posting], np.repeat(doc[at], n)], 1)
         places, agree = np.unique(votes, axis=0, return_counts=True) if len(votes) else (votes, np.zeros(0, int))
         needed = np.minimum(AGREE, np.bincount(self.posting_template, minlength=len(_TEXTS)))
         good = agree >= needed[places[:, 0]]
-        return places[good, 0], places[good, 1]
+        return places[good, 0], places[good, 1], places[good, 2]
 
 
 def scanned(docs: DataFrame, index: Index) -> DataFrame:
@@ -155,10 +180,8 @@ def scanned(docs: DataFrame, index: Index) -> DataFrame:
                     base[d].add(label)
             starts_of: dict[tuple[str, ...], np.ndarray] = {}
             labels = list(_TEXTS)
-            for t, start in zip(*(x.tolist() for x in index.places(own))):
+            for t, start, d in zip(*(x.tolist() for x in index.places(own, doc))):
                 text, phrases = _TEXTS[labels[t]]
-                at = max(start, 0)
-                d = doc[min(at + len(text) // 2, len(doc) - 1)] if start < 0 else doc[at]
                 low, high = max(start, offsets[d]), min(start + len(text), offsets[d + 1])
                 verified = True
                 for p in phrases:
