@@ -1,10 +1,13 @@
 """Secret scan: fixed patterns, and a linear-chain conditional random field for what they miss.
 
 The field tags each token of a line as begin, inside or outside of a secret. It sees the token's shape (length, share of
-digits, case, hexadecimal or not), the kinds of the two tokens before and of the one after (keyword, quote, sign, number,
+share of
+digits, case, hexadecimal or not), the kinds of itself, of the two tokens before and of the one after (keyword, quote, sign, number,
 word, ...), whether it touches the token before, and how many digits and signs the whole text has. It is trained on
-windows of at most ``TRAIN_DOCS`` texts, half of them with pattern matches, which serve as labels; training maximises the
-conditional likelihood. Decoding is by Viterbi, for many lines side by side. A line in which no token could gain from
+windows of at most ``TRAIN_DOCS`` texts, half of them with pattern matches, which serve as labels. Trained on these alone it
+would only repeat the patterns. So each match is also shown with its evidence taken away: another keyword or none, another
+sign between, and an invented value of other letters and length, which no pattern finds; and the same surroundings with an
+ordinary word or number in the value's place, which is no secret. Training maximises the conditional likelihood. Decoding is by Viterbi, for many lines side by side. A line in which no token could gain from
 being inside a secret is all outside, which is exact, so it is not decoded.
 
 The patterns' spans always stay; a span of the field is added if it touches none of them and has ``SHORTEST`` characters.
@@ -17,7 +20,9 @@ looked at.
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,7 +35,7 @@ from fathom.llm.shared import LOWER, flat, mixed, multipliers, pieces, stored
 TRAIN_DOCS = 1000
 WINDOWS_OF_TEXT = 4
 AROUND = 24
-STEPS = 100
+STEPS = 150
 SHORTEST = 6
 #: Fixed patterns by kind, in the order in which kinds are listed; the least length is of group 2 or of the match.
 PATTERNS = {
@@ -39,6 +44,14 @@ PATTERNS = {
     "hex": (re.compile(r"[0-9a-f]{24,}"), 24),
 }
 KINDS = [*PATTERNS, "crf"]
+#: What stands before invented values, and between it and them; and the alphabets of their stretches.
+HINTS = ("pwd", "passphrase", "auth", "bearer", "credential", "key", "login with", "use", "")
+BETWEEN = (" ", ": ", " = ", " is ", " => ", ":", "=", " '", ' "')
+ALPHABETS = ("ABCDEF0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyz0123456789",
+             "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+ALTERED_OF_TEXT = 4
+#: Characters around an altered match that are kept.
+EXCERPT = 200
 _HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _KEYWORDS = ("password", "passwd", "pwd", "passphrase", "secret", "token", "apikey", "api_key", "key", "auth", "bearer", "credential")
 
@@ -50,9 +63,10 @@ _CLASS = np.where(_B <= 32, 0, np.where(_DIGIT | _UPPER | _LOWERCASE | _HIGH | (
 _PLACE = multipliers(32, 21)
 _SHAPES = 9 * 5 * 5 * 2 + 256
 _BEGIN_LINE, _WORD, _OTHER_WORD, _NUMBER, _LONG, _KEYWORD, _QUOTE, _COLON, _EQUALS, _SIGN = range(10)
-#: Number of values of each feature: shape, kind before, kind two before, kind after, touches, text.
-_SIZES = (_SHAPES, 10, 10, 10, 2, 9)
+#: Number of values of each feature: shape, kind, kind before, kind two before, kind after, touches, text.
+_SIZES = (_SHAPES, 10, 10, 10, 10, 2, 9)
 _AT = np.concatenate([[0], np.cumsum(_SIZES)])
+_TOUCHES = 5
 _O, _Bg, _I = 0, 1, 2
 _NEVER = -1e9
 
@@ -141,7 +155,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> Tokens | None:
     of_text = np.maximum(np.bincount(doc, size, m), 1)
     level = lambda x: np.searchsorted([0.01, 0.05], np.bincount(doc, x, m) / of_text, "right")
     text = (level(digits) * 3 + level(np.where(sign, size, 0)))[doc]
-    columns = [shape, beside(1), beside(2), beside(-1), touches.astype(np.int64), text]
+    columns = [shape, own, beside(1), beside(2), beside(-1), touches.astype(np.int64), text]
     return Tokens(starts, ends, doc, line, np.stack([c + a for c, a in zip(columns, _AT[:-1])], 1))
 
 
@@ -154,9 +168,11 @@ class Field:
     first: np.ndarray
 
     def emissions(self, features: np.ndarray) -> np.ndarray:
-        out = self.emit[features[:, 0]]
+        out = self.emit[features[:, 0]].copy()
         for k in range(1, features.shape[1]):
             out = out + self.emit[features[:, k]]
+        # No secret has a gap: a token is inside only if it touches the one before.
+        out[features[:, _TOUCHES] == _AT[_TOUCHES], _I] += _NEVER
         return out
 
     def viterbi(self, emissions: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -197,7 +213,7 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis, keepdims=True))).squeeze(axis)
 
 
-def fit(features: np.ndarray, tags: np.ndarray, sizes: np.ndarray, steps: int = STEPS, penalty: float = 1e-3) -> Field:
+def fit(features: np.ndarray, tags: np.ndarray, sizes: np.ndarray, steps: int = STEPS, penalty: float = 1e-5) -> Field:
     """Maximises the conditional log-likelihood of windows laid end to end (adaptive gradient steps)."""
     order = np.argsort(-sizes, kind="stable")
     starts = (np.cumsum(sizes) - sizes)[order]
@@ -253,6 +269,65 @@ def _characters(data: np.ndarray, offsets: np.ndarray, at: np.ndarray, doc: np.n
     return before[at] - before[offsets[doc]]
 
 
+def _invented(rng: random.Random) -> str:
+    """A value as secrets look: one long stretch, or several joined by signs; letters and digits mixed."""
+    letters = rng.choice(ALPHABETS)
+    parts = rng.choice([1, 1, 1, 2, 3, 4])
+    sizes = [rng.randint(16, 40)] if parts == 1 else [rng.randint(5, 14) for _ in range(parts)]
+    while True:
+        value = rng.choice("-_.").join("".join(rng.choice(letters) for _ in range(n)) for n in sizes)
+        if any(c.isdigit() for c in value) and any(c.isalpha() for c in value):
+            return value
+
+
+def altered(text: str, seed: str) -> list[tuple[str, int, int]]:
+    """Excerpts around the pattern matches of a text without the patterns' evidence: (excerpt, start, end) of an invented
+    secret; of an ordinary word in its place the span is empty."""
+    rng, out = random.Random(seed), []
+    plain = re.findall(r"[^\W_]+", text)[:1000]
+    for _, low, high in pattern_spans(text)[:ALTERED_OF_TEXT]:
+        before, after = text[max(low - EXCERPT, 0):low], text[high:high + EXCERPT]
+        for secret in (True, False):
+            lead = rng.choice(HINTS) + rng.choice(BETWEEN)
+            value = _invented(rng) if secret else rng.choice([rng.choice(plain), str(rng.randint(0, 10 ** rng.randint(1, 8)))])
+            start = len(before) + len(lead)
+            made = before + lead + value + (lead[-1] if lead[-1] in "'\"" else "") + after
+            out.append((made, start, start + len(value) if secret else start))
+    return out
+
+
+def marked_windows(texts: list[str], marked: list[list[tuple[int, int]]], centres: list[int | None],
+                   level: np.ndarray | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(text, place, features, tags) of windows around the marked spans of each text, or ``centres``; ``level`` is the text
+    feature where it is not the texts' own."""
+    data, offsets = flat(pa.array(texts, pa.string()))
+    own = tokens(data, offsets)
+    if own is None:
+        return
+    first, last = (_characters(data, offsets, x, own.doc) for x in (own.starts, own.ends))
+    tags = np.zeros(len(first), np.int8)
+    bounds = np.searchsorted(own.doc, np.arange(len(texts) + 1))
+    for doc in range(len(texts)):
+        a, b = bounds[doc], bounds[doc + 1]
+        marks = []
+        for low, high in marked[doc]:
+            i, j = a + np.searchsorted(last[a:b], low, "right"), a + np.searchsorted(first[a:b], high, "left")
+            if j > i:
+                tags[i] = _Bg
+                tags[i + 1:j] = _I
+                marks.append(i)
+        marks = marks[:WINDOWS_OF_TEXT] or list(range(a, b, 4 * AROUND))[:WINDOWS_OF_TEXT]
+        if centres[doc] is not None and b > a:
+            marks = [min(a + int(np.searchsorted(last[a:b], centres[doc], "right")), b - 1)]
+        for i in marks:
+            low, high = max(a, i - AROUND), min(b, i + AROUND)
+            line = low + np.flatnonzero(own.line[low:high] == own.line[i])
+            features = own.features[line].copy()
+            if level is not None:
+                features[:, -1] = level[doc]
+            yield doc, int(i - a), features, tags[line]
+
+
 def _training_windows(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
     """Features, tags and sizes of windows around matches and of the first windows of texts without."""
 
@@ -268,36 +343,25 @@ def _training_windows(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
     def cut(batches):
         for piece in pieces(batches):
-            data, offsets = flat(piece.column("text"))
-            own = tokens(data, offsets)
-            if own is None:
-                continue
-            first, last = (_characters(data, offsets, x, own.doc) for x in (own.starts, own.ends))
-            tags = np.zeros(len(first), np.int8)
-            bounds = np.searchsorted(own.doc, np.arange(piece.num_rows + 1))
-            rows = []
-            for doc, text in enumerate(piece.column("text").to_pylist()):
-                a, b = bounds[doc], bounds[doc + 1]
-                marks = []
-                for kind, low, high in pattern_spans(text or ""):
-                    if kind == "assign":
-                        low = PATTERNS[kind][0].match(text, low).start(2)
-                    i, j = a + np.searchsorted(last[a:b], low, "right"), a + np.searchsorted(first[a:b], high, "left")
-                    if j > i:
-                        tags[i] = _Bg
-                        tags[i + 1:j] = _I
-                        marks.append(i)
-                marks = marks[:WINDOWS_OF_TEXT] or list(range(a, b, 4 * AROUND))[:WINDOWS_OF_TEXT]
-                for i in marks:
-                    low, high = max(a, i - AROUND), min(b, i + AROUND)
-                    line = own.line[low:high] == own.line[i]
-                    rows.append((piece.column("doc_id")[doc].as_py(), int(i - a), low + np.flatnonzero(line)))
+            texts = [t or "" for t in piece.column("text").to_pylist()]
+            ids = piece.column("doc_id").to_pylist()
+            spans = [pattern_spans(t) for t in texts]
+            marked = [[(PATTERNS[k][0].match(t, low).start(2) if k == "assign" else low, high) for k, low, high in s] for t, s in zip(texts, spans)]
+            rows = [(ids[d], 0, at, f, t) for d, at, f, t in marked_windows(texts, marked, [None] * len(texts))]
+            levels = {i: f[0, -1] for i, _, _, f, _ in rows}
+            made = [(i, m) for i, t, s in zip(ids, texts, spans) if s and i in levels for m in altered(t, str(i))]
+            if made:
+                marks = [[(low, high)] if high > low else [] for _, (_, low, high) in made]
+                found = marked_windows([m[0] for _, m in made], marks, [m[1] for _, m in made], np.array([levels[i] for i, _ in made]))
+                rows += [(made[d][0], d + 1, at, f, t) for d, at, f, t in found]
             yield pa.RecordBatch.from_pydict({
-                "doc_id": pa.array([r[0] for r in rows], pa.int64()), "at": pa.array([r[1] for r in rows], pa.int64()),
-                "features": pa.array([own.features[r[2]].astype(np.int32).tobytes() for r in rows], pa.binary()),
-                "tags": pa.array([tags[r[2]].tobytes() for r in rows], pa.binary())})
+                "doc_id": pa.array([r[0] for r in rows], pa.int64()), "made": pa.array([r[1] for r in rows], pa.int64()),
+                "at": pa.array([r[2] for r in rows], pa.int64()),
+                "features": pa.array([r[3].astype(np.int32).tobytes() for r in rows], pa.binary()),
+                "tags": pa.array([r[4].tobytes() for r in rows], pa.binary())})
 
-    rows = chosen.mapInArrow(cut, "doc_id long, at long, features binary, tags binary").orderBy("doc_id", "at").collect()
+    rows = chosen.mapInArrow(cut, "doc_id long, made long, at long, features binary, tags binary").orderBy(
+        "doc_id", "at", "features", "tags").collect()
     if not any(set(r["tags"]) & {_Bg} for r in rows):
         return None
     features = np.concatenate([np.frombuffer(r["features"], np.int32).reshape(-1, len(_SIZES)) for r in rows]).astype(np.int64)
