@@ -2,10 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from fathom import config
+from fathom.catalog import stream_queries
 from fathom.functions import html, urls
 from fathom.functions import text as tx
 from fathom.operators import analysis, extract, graph, robots, search, snippets, submissions, url_filters
@@ -15,7 +17,7 @@ from fathom.operators.ingest import CrawlRules, screened
 from fathom.plans import skew
 from fathom.schemas import PAGE, SchemaMismatch, check_schema
 from fathom.sources import page_store, tables
-from fathom.streaming import jobs
+from fathom.streaming import jobs, keyed
 
 
 def one(spark, expr):
@@ -87,7 +89,6 @@ def test_filters(spark):
         "http://grep.geek/?q=x&s=DRP", "http://grep.geek/?q=x", "http://a.libre:8080/", "http://a.com/", "ftp://a.libre/")],
         "url string")
     urls_of = lambda d: [r.url for r in d.select("url").collect()]
-    from fathom import config
     assert "http://grep.geek/?q=x&s=DRP" not in urls_of(url_filters.filter_url_patterns(df, deny=config.DENIED_URLS))
     assert len(urls_of(url_filters.filter_tlds(df, config.ALLOWED_TLDS))) == 3
     with pytest.raises(ValueError):
@@ -500,3 +501,39 @@ def test_ingest_with_index(spark, tmp_path):
     hits = search.search(queries, page_store.read_pages(spark, pages), index=stored).collect()
     assert sorted((h.query_id, h.url) for h in hits) == [(1, "http://a/2"), (2, "http://a/1")]
     assert [h.snippet for h in hits if h.query_id == 2] == ["green <strong>dog</strong>"]
+
+
+def test_streams_over_empty_tables(spark, tmp_path):
+    for name in ("events", "pages"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    found = {name: run for name, run in stream_queries.QUERIES.items()}
+    assert {name: run(spark, str(tmp_path)).count() for name, run in found.items()} == dict.fromkeys(found, 0)
+
+
+def test_stream_source_has_many_files_and_one_order(spark, tmp_path):
+    """Micro-batches follow each other in time, each of several files; no row is lost, null keys included."""
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.unionByName(events.limit(3).withColumn("ts", F.lit(None).cast("timestamp_ntz"))).write.parquet(str(tmp_path / "events.parquet"))
+    seen = []
+    stream = stream_queries._source(spark, str(tmp_path), "events")
+    named = stream.withColumn("file", F.input_file_name())
+    jobs.start(named, lambda df, n: seen.append([(r.file, r.ts) for r in df.select("file", "ts").collect()]), str(tmp_path / "c")).awaitTermination()
+    assert len(seen) == stream_queries.PARTS and all(len({f for f, _ in part}) > 1 for part in seen)
+    seen = [(part, [ts for _, ts in part]) for part in seen]
+    assert sum(len(ts) for _, ts in seen) == events.count() + 3
+    spans = [(min(t for t in ts if t), max(t for t in ts if t)) for _, ts in seen]
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+
+
+def test_keyed_rate_limit_resumes_and_forgets(spark, tmp_path):
+    """Two runs of one stream: the second goes on from the first one's state, of which clients that no longer matter are gone."""
+    rows = [(i, f"u{i}", 1 + i % 5 if i < 300 else 9, 1000 + 37 * i) for i in range(600)]
+    subs = spark.createDataFrame(rows, "id bigint, url string, ip bigint, timestamp bigint")
+    for run in range(2):
+        subs.filter(F.col("id").between(300 * run, 300 * run + 299)).coalesce(1).write.parquet(str(tmp_path / f"in/{run}"))
+        stream = spark.readStream.schema(subs.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+        jobs.start(keyed.keyed_rate_limit(stream, 500, 100), jobs.into_parquet(str(tmp_path / "out")), str(tmp_path / "c")).awaitTermination()
+    out = spark.read.parquet(str(tmp_path / "out/batch=*"))
+    assert {r.id: (r.accepted, r.wait_s) for r in out.collect()} == _by_hand([(i, ip, t) for i, _, ip, t in rows], 500)[0]
+    accepted, wait, last = keyed.decided(np.array([1, 2, 3]), np.array([10, 10, 700]), 100, 500)
+    assert accepted.tolist() == [False, False, True] and wait.tolist() == [500, 500, 0] and last == 700
