@@ -283,9 +283,11 @@ def _invented(rng: random.Random) -> str:
 def altered(text: str, seed: str) -> list[tuple[str, int, int]]:
     """Excerpts around the pattern matches of a text without the patterns' evidence: (excerpt, start, end) of an invented
     secret; of an ordinary word in its place the span is empty."""
-    rng, out = random.Random(seed), []
-    plain = re.findall(r"[^\W_]+", text)[:1000]
-    for _, low, high in pattern_spans(text)[:ALTERED_OF_TEXT]:
+    rng, out, spans = random.Random(seed), [], pattern_spans(text)
+    ends = [0, *[high for _, _, high in spans]]
+    outside = " ".join(text[a:max(a, b)] for a, b in zip(ends, [*[low for _, low, _ in spans], len(text)]))
+    plain = re.findall(r"[^\W_]+", outside) or ["it"]
+    for _, low, high in spans[:ALTERED_OF_TEXT]:
         before, after = text[max(low - EXCERPT, 0):low], text[high:high + EXCERPT]
         for secret in (True, False):
             lead = rng.choice(HINTS) + rng.choice(BETWEEN)
