@@ -159,7 +159,8 @@ def _screened(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
             good = (np.minimum(na, nb) <= SMALL) | (estimated(ra, rb, na, nb) >= LIMIT / 100 - SLACK) if len(na) else np.zeros(0, bool)
             yield pa.RecordBatch.from_pydict({c: batch.column(c).filter(pa.array(good)) for c in ("a", "b", "x", "y")})
 
-    return pairs.join(one, "a").join(two, "b").mapInArrow(run, PAIR)
+    # Merged at any size, here and below: pairs are as many as there are texts.
+    return pairs.hint("merge").join(one, "a").hint("merge").join(two, "b").mapInArrow(run, PAIR)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -176,7 +177,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict({c: batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b", "x", "y")})
 
     one, two = (sets.select(F.col("digest").alias(v), F.col("members").alias(f"s{v}")) for v in ("a", "b"))
-    return pairs.join(one, "a").join(two, "b").mapInArrow(run, PAIR)
+    return pairs.hint("merge").join(one, "a").hint("merge").join(two, "b").mapInArrow(run, PAIR)
 
 
 def _digest(own: np.ndarray) -> bytes:
@@ -195,7 +196,7 @@ def _sets(docs: DataFrame, ids: DataFrame, wanted: DataFrame) -> DataFrame:
     # Merged at any size: the ids are as many as there are texts that meet others.
     found = docs.select(F.col("doc_id").cast("long"), "text").join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(
         run, "digest binary, members binary")
-    return found.join(wanted, "digest", "left_semi").dropDuplicates(["digest", "members"])
+    return found.join(wanted, "digest", "left_semi").dropDuplicates(["digest"])
 
 
 def _compatible(x: F.Column, y: F.Column) -> F.Column:
@@ -268,10 +269,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "digest", "first", "n", "registers", "bands").dropDuplicates(["digest"])
     vertices = stored(vertices, "vertices")
     listed = vertices.select("digest", "first", "n", F.explode("bands").alias("key"))
-    shared = stored(listed.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1"), "keys")
+    # Two sets alone in a bucket whose sizes rule them out need not be looked at.
+    shared = listed.groupBy("key").agg(F.count("*").alias("times"), F.min("n").alias("low"), F.max("n").alias("high")).filter(
+        (F.col("times") > 2) | ((F.col("times") == 2) & _compatible(F.col("low"), F.col("high"))))
+    shared = stored(shared.select("key", "times"), "keys")
     met = stored(listed.join(shared, "key"), "met")
     central = met.groupBy("digest").agg(F.sum("times").alias("central"))
-    members = stored(met.select("digest", "first", "n", "key").join(central, "digest"), "members")
+    # Members, too, are merged with what is drawn from them at any size.
+    members = stored(met.select("digest", "first", "n", "key").hint("merge").join(central, "digest"), "members")
     wanted = members.select("digest", "first").distinct()
     sets = stored(_sets(docs, wanted.select(F.col("first").alias("doc_id")).distinct(), wanted.select("digest")), "sets")
     me = F.struct("digest", "first")
@@ -288,7 +293,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # Each vertex with the most central one that it meets.
     top = F.struct("central", "digest", "first", "n")
     hubs = members.groupBy("key").agg(F.max(top).alias("hub"))
-    near = members.join(hubs, "key").filter((F.col("digest") != F.col("hub.digest")) & _compatible(F.col("n"), F.col("hub.n")))
+    near = members.hint("merge").join(hubs, "key").filter((F.col("digest") != F.col("hub.digest")) & _compatible(F.col("n"), F.col("hub.n")))
     best = near.groupBy("digest", "first").agg(F.max("hub").alias("hub"))
     tested = stored(best.select(*_ordered(me, F.struct("hub.digest", "hub.first"))).distinct(), "pairs")
     links = links.union(linked(_screened(tested, vertices)))
@@ -297,7 +302,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     own = stored(_with_classes(members, classes_of(links, 1)), "members")
     open_ones = _open(own)
     central_ones = stored(open_ones.join(_hubs(own), "key"), "hubs")
-    near = own.join(central_ones, "key").filter((F.col("c") != F.col("d")) & _compatible(F.col("n"), F.col("m")))
+    near = own.hint("merge").join(central_ones, "key").filter((F.col("c") != F.col("d")) & _compatible(F.col("n"), F.col("m")))
     pairs = near.select(*_ordered(me, F.col("hub"))).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
     tested = tested.union(pairs := stored(pairs.select(*tested.columns), "pairs"))
     links = links.union(linked(_screened(pairs, vertices)))
