@@ -103,31 +103,34 @@ def variants(t: Column, offsets: bool = True) -> Column:
     return F.concat(F.array(original, joined), parts)
 
 
-def with_variants(toks: Column, offsets: bool = True) -> Column:
-    return F.flatten(F.transform(toks, lambda t: variants(t, offsets)))
+def each_variant(t: Column, offsets: bool = True) -> Column:
+    """Variants of one token. One that is a single part, the common case, is its own joined form and part; only others are
+    taken apart."""
+    itself = F.array(*[_token(t["pos"], t["start"], t["end"], t["text"], kind) for kind in ("original", "joined", "part")])
+    return F.when(t["text"].rlike(ONE_PART), itself).otherwise(variants(t, offsets))
 
 
-def dedupe(toks: Column, offsets: bool = True) -> Column:
-    """Keep the first of the tokens that agree in text and offsets (in text alone if there are no offsets)."""
-    def keyed(arr: Column) -> Column:
-        return F.sort_array(F.transform(arr, lambda t, i: F.struct(
-            t["text"].alias("text"),
-            (t["start"] if offsets else F.lit(0)).alias("s"),
-            (t["end"] if offsets else F.lit(0)).alias("e"),
-            i.alias("i"), t.alias("t"))))
+def each_new_variant(t: Column, offsets: bool = True) -> Column:
+    """Variants of one token that differ in text or offsets (in text alone if there are no offsets). With offsets, variants of
+    other tokens can't be equal to them."""
+    itself = F.array(_token(t["pos"], t["start"], t["end"], t["text"], "original"))
+    return F.when(t["text"].rlike(ONE_PART), itself).otherwise(_new_variants(t, offsets))
 
-    def same(a: Column, b: Column) -> Column:
-        return (a["text"] == b["text"]) & (a["s"] == b["s"]) & (a["e"] == b["e"])
 
-    return let(keyed(toks), lambda a: F.transform(
-        F.sort_array(F.transform(run_starts(a, same), lambda h: F.struct(
-            F.get(a, h)["i"].alias("i"), F.get(a, h)["t"].alias("t")))),
-        lambda x: x["t"]))
+def distinct_variants(toks: Column) -> Column:
+    """Tokens and variants of a text that is indexed without offsets: the first of those that agree in text, in their order."""
+    def first(toks: Column, a: Column) -> Column:
+        heads = run_starts(a, lambda x, y: x["text"] == y["text"])
+        return F.transform(F.array_sort(F.transform(heads, lambda h: F.get(a, h)["i"])), lambda i: F.get(toks, i))
 
+    several = F.flatten(F.transform(toks, lambda t: each_new_variant(t, False)))
+    return let(several, lambda all_: let(F.sort_array(F.transform(all_, lambda t, i: F.struct(
+        t["text"].alias("text"), i.alias("i")))), lambda a: first(all_, a)))
 
-def _new_variants(t: Column) -> Column:
+
+def _new_variants(t: Column, offsets: bool = True) -> Column:
     """Variants of one token without repeats: only the joined form or a single part can repeat the token itself."""
-    return F.filter(variants(t), lambda v, i: (i == 0) | (v["text"] != t["text"]) | (v["start"] != t["start"])
+    return F.filter(variants(t, offsets), lambda v, i: (i == 0) | (v["text"] != t["text"]) | (v["start"] != t["start"])
                     | (v["end"] != t["end"]))
 
 
@@ -157,7 +160,7 @@ def _analysed(words: Column, starts: Column) -> Column:
         start = F.get(starts, i)
         itself = F.array(_normal(i, start, start + F.length(w), w, F.lit("original")))
         return F.when(w.rlike(ONE_PART), itself).otherwise(
-            normal_terms(let(_plain_token(i, start, w), _new_variants)))
+            normal_terms(let(_plain_token(i, start, w), lambda t: _new_variants(t))))
 
     return F.flatten(F.transform(words, one))
 
@@ -167,7 +170,7 @@ def analyzed(df: DataFrame, col: str, out: str, offsets: bool = True) -> DataFra
     text = F.coalesce(F.col(col), F.lit(""))
     if offsets:
         return df.withColumn(out, _with_starts(text, TOKEN_AND_GAP, LEADING_GAP, _analysed))
-    df = df.withColumn(out, dedupe(with_variants(tokens_without_offsets(text), offsets), offsets))
+    df = df.withColumn(out, distinct_variants(tokens_without_offsets(text)))
     return df.withColumn(out, normal_terms(F.col(out)))
 
 
@@ -178,7 +181,7 @@ def term_list(df: DataFrame, col: str, out: str, offsets: bool = True) -> DataFr
 
     def one(w: Column) -> Column:
         # Offsets inside the token tell its variants apart as well as offsets in the text.
-        several = let(_plain_token(F.lit(0), F.lit(0), w), _new_variants)
+        several = let(_plain_token(F.lit(0), F.lit(0), w), lambda t: _new_variants(t))
         return F.when(w.rlike(ONE_PART), F.array(normal_term(w))).otherwise(
             F.transform(several, lambda v: normal_term(v["text"])))
 
@@ -208,6 +211,15 @@ def occurrences(toks: Column) -> Column:
         run_starts(a, lambda x, y: x["term"] == y["term"]), lambda heads: cut(a, heads)))
 
 
+def frequencies(terms: Column) -> Column:
+    """One text's terms (array of strings) counted: ``array<struct<term,tf>>``."""
+    def cut(a: Column, heads: Column) -> Column:
+        return F.transform(heads, lambda h, k: F.struct(
+            F.get(a, h).alias("term"), (F.coalesce(F.get(heads, k + 1), F.size(a)) - h).alias("tf")))
+
+    return let(F.sort_array(terms), lambda a: let(run_starts(a, lambda x, y: x == y), lambda heads: cut(a, heads)))
+
+
 def wildcard_regex(pattern: Column) -> Column:
     """``*`` and ``?`` of a pattern as a regular expression; everything else literal."""
     quoted = F.regexp_replace(pattern, r"([.\\+^$|(){}\[\]])", r"\\$1")

@@ -19,12 +19,13 @@ def tokenize(df: DataFrame, col: str, keep: list[str]) -> DataFrame:
 
 def with_variants(df: DataFrame, col: str, keep: list[str]) -> DataFrame:
     """Every token with all its variants, repeats included."""
-    return _rows(spread(df), keep, tx.with_variants(tx.tokens(F.col(col))))
+    return _rows(spread(df), keep, F.flatten(F.transform(tx.tokens(F.col(col)), lambda t: tx.each_variant(t))))
 
 
 def dedupe_tokens(df: DataFrame, col: str, keep: list[str], offsets: bool = True) -> DataFrame:
-    toks = tx.tokens(F.col(col)) if offsets else tx.tokens_without_offsets(F.col(col))
-    return _rows(spread(df), keep, tx.dedupe(tx.with_variants(toks, offsets), offsets))
+    if offsets:
+        return _rows(spread(df), keep, F.flatten(F.transform(tx.tokens(F.col(col)), lambda t: tx.each_new_variant(t))))
+    return _rows(spread(df), keep, tx.distinct_variants(tx.tokens_without_offsets(F.col(col))))
 
 
 def analyze(df: DataFrame, col: str, keep: list[str], offsets: bool = True) -> DataFrame:
