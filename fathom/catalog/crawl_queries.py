@@ -217,7 +217,7 @@ def new_folder(spark, name):
 def s6(spark, sf):
     """Write the index of the documents; read postings and dictionary back."""
     path = new_folder(spark, "index")
-    page_store.write_index(build_postings(inp.doc_pages(spark, sf), fields=("title", "content")), path, buckets=8)
+    page_store.write_index(build_postings(inp.doc_pages(spark, sf), fields=("title", "content"), main=True), path, buckets=8)
     ix = page_store.read_index(spark, path)
     return ix.postings.select("field", "term", "doc", "tf", "field_len").join(
         ix.dictionary.select("field", "term", "df", "total_tf"), ["field", "term"])

@@ -11,7 +11,9 @@ The results are those of scoring everything, ties by document included: a block
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.operators.index import BOOSTS, Index
@@ -29,7 +31,8 @@ POSTING = "array<struct<doc:string,tf:int,field_len:int>>"
 
 def numbered(postings: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
     """doc, block: documents by their most frequent term and its share of the text, cut into blocks."""
-    main = postings.groupBy("doc").agg(F.max_by(F.struct(
+    best = postings.filter("main") if "main" in postings.columns else postings
+    main = best.groupBy("doc").agg(F.max_by(F.struct(
         F.col("field"), F.col("term"), (F.col("tf") / F.col("field_len")).alias("share")), F.struct("tf", "field", "term")).alias("main"))
     ordered = main.select("doc", "main.field", "main.term", "main.share").repartitionByRange(
         "field", "term", F.desc("share"), "doc").sortWithinPartitions("field", "term", F.desc("share"), "doc")
@@ -37,17 +40,26 @@ def numbered(postings: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
     return cut_lineage(ordered.select("doc", F.shiftright(F.monotonically_increasing_id(), bits).alias("block")))
 
 
-def build_blocks(postings: DataFrame, stats: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
+def build_blocks(postings: DataFrame, stats: DataFrame, bucket: Callable[[str], Column] | None = None, buckets: int = 1,
+                 bits: int = BLOCK_BITS) -> DataFrame:
     """field, term, block, best (highest weight, without the term's own factor), n, postings: at most ``2 ** bits``.
 
     ``postings`` and ``stats`` are those of an index. Weights depend on the average length of a field, so blocks belong to the
-    index that they were built with.
+    index that they were built with. With ``bucket``, a store's number for a term, there is a column ``term_bucket`` too, and
+    rows are dealt by it and slices of blocks, so that they can be written without another shuffle; a frequent term is
+    in many slices.
     """
-    read = postings.select("field", "term", "doc", "tf", "field_len").join(F.broadcast(stats), "field")
-    placed = read.withColumn("weight", tf_weight()).join(numbered(postings, bits), "doc")
-    return placed.groupBy("field", "term", "block").agg(
+    read = postings.select("field", "term", "doc", "tf", "field_len")
+    placed, keys = read.join(numbered(postings, bits), "doc"), ["field", "term", "block"]
+    if bucket is not None:
+        tasks = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        slices, keys = -(-4 * tasks // buckets), [*keys, "term_bucket", "slice"]
+        placed = placed.withColumns({"term_bucket": bucket("term"), "slice": F.pmod(F.xxhash64("block"), F.lit(slices))}).repartition(
+            "term_bucket", "slice")
+    weighed = placed.join(F.broadcast(stats), "field").withColumn("weight", tf_weight())
+    return weighed.groupBy(*keys).agg(
         F.max("weight").alias("best"), F.count("*").cast("int").alias("n"),
-        F.sort_array(F.collect_list(F.struct("doc", "tf", "field_len"))).cast(POSTING).alias("postings"))
+        F.sort_array(F.collect_list(F.struct("doc", "tf", "field_len"))).cast(POSTING).alias("postings")).drop("slice")
 
 
 def weighed_terms(terms: DataFrame, dictionary: DataFrame, stats: DataFrame) -> DataFrame:

@@ -70,9 +70,17 @@ def _new_build(spark: SparkSession, path: str, buckets: int, fill) -> None:
         fs.delete(_files(spark, old["folder"])[1], True)
 
 
-def _write(df: DataFrame, folder: str, by: str, sort: list[str], dynamic: bool = False) -> None:
-    """``rebalance`` gives files of even size: small partitions are joined and large ones split at run time."""
-    df.hint("rebalance", by).sortWithinPartitions(by, *sort).write.partitionBy(by).mode("overwrite").option(
+def _write(df: DataFrame, folder: str, by: str, sort: list[str], dynamic: bool = False, dealt: bool = False) -> None:
+    """``rebalance`` gives files of even size: small partitions are joined and large ones split at run time. Rows that are
+    ``dealt`` out already are written where they lie. Offsets travel as two arrays of numbers, at a third of the size of
+    an array of pairs."""
+    packed = "offsets" in df.columns
+    if packed:
+        df = df.withColumns({"start": F.col("offsets.start"), "end": F.col("offsets.end")}).drop("offsets")
+    df = (df if dealt else df.hint("rebalance", by)).sortWithinPartitions(by, *sort)
+    if packed:
+        df = df.withColumn("offsets", F.arrays_zip("start", "end")).drop("start", "end")
+    df.write.partitionBy(by).mode("overwrite").option("compression", "zstd").option(
         "partitionOverwriteMode", "dynamic" if dynamic else "static").parquet(folder)
 
 
@@ -205,6 +213,9 @@ def _put_dictionary(spark: SparkSession, folder: str, only: list[int] | None) ->
 
 
 def _lengths(postings: DataFrame, buckets: int) -> DataFrame:
+    """Of postings with the mark ``main`` only the marked rows are read: one for each field and document."""
+    if "main" in postings.columns:
+        postings = postings.filter("main").select("field", "doc", F.col("field_len").alias("tf"))
     return postings.groupBy("field", "doc").agg(F.sum("tf").alias("field_len")).withColumn("doc_bucket", bucket(buckets, "doc"))
 
 
@@ -216,14 +227,15 @@ def _put_fields(spark: SparkSession, folder: str) -> None:
     rows.coalesce(1).write.mode("overwrite").parquet(f"{folder}/fields")
 
 
-def write_index(postings: DataFrame, path: str, buckets: int = BUCKETS, extras: bool = False, pairs: DataFrame | None = None) -> None:
+def write_index(postings: DataFrame, path: str, buckets: int = BUCKETS, extras: bool | tuple[str, ...] = False, pairs: DataFrame | None = None) -> None:
     """A full build: postings by term hash, sorted by term, so that a query reads few partitions and few row groups.
 
     The bucket of a very frequent term is split into several files by the rebalance. Nothing of an earlier build stays. With
-    ``extras``, also the blocks for the best results and the dictionary's grams for wildcards; ``pairs`` are the
-    postings of frequent neighbours for phrases (``phrases.pair_postings``).
+    ``extras``, also the blocks for the best results and the dictionary's grams for wildcards, or those of them that are named
+    (``blocks``, ``grams``); ``pairs`` are the postings of frequent neighbours for phrases (``phrases.pair_postings``).
+    Postings with the mark ``main`` need not be grouped for lengths and the blocks' order.
     """
-    spark = postings.sparkSession
+    spark, more = postings.sparkSession, ("blocks", "grams") if extras is True else extras or ()
 
     def fill(folder: str) -> None:
         _write(postings.withColumn("term_bucket", bucket(buckets, "term")), f"{folder}/postings", "term_bucket", ["field", "term"])
@@ -232,11 +244,12 @@ def write_index(postings: DataFrame, path: str, buckets: int = BUCKETS, extras:
         stored = postings.limit(0) if stored is None else stored
         _write(_lengths(stored, buckets), f"{folder}/lengths", "doc_bucket", ["field", "doc"])
         _put_fields(spark, folder)
-        if extras:
+        if "blocks" in more:
+            blocks = build_blocks(stored, spark.read.parquet(f"{folder}/fields"), lambda term: bucket(buckets, term), buckets)
+            _write(blocks, f"{folder}/blocks", "term_bucket", ["field", "term", "block"], dealt=True)
+        if "grams" in more:
             terms = _read(spark, f"{folder}/dictionary", "term_bucket")
             terms = term_stats(stored) if terms is None else terms
-            blocks = build_blocks(stored, spark.read.parquet(f"{folder}/fields"))
-            _write(blocks.withColumn("term_bucket", bucket(buckets, "term")), f"{folder}/blocks", "term_bucket", ["field", "term", "block"])
             grams = term_grams(terms.select("field", "term")).withColumn("gram_bucket", bucket(buckets, "gram"))
             _write(grams, f"{folder}/grams", "gram_bucket", ["gram", "field", "term"])
             found = _read(spark, f"{folder}/grams", "gram_bucket")
@@ -280,6 +293,7 @@ def read_index(spark: SparkSession, path: str, terms: DataFrame | None = None) -
     if parts["postings"] is None:
         empty = "field string, term string, doc string, tf int, field_len int, positions array<int>, offsets array<struct<start:int,end:int>>"
         parts |= {"postings": spark.createDataFrame([], empty), "dictionary": spark.createDataFrame([], "field string, term string, df bigint, total_tf bigint")}
+    parts["postings"] = parts["postings"].drop("main")
     beside = _read(spark, f"{folder}/pairs", "pair_bucket")
     pairs = None if beside is None else Pairs(beside, spark.read.parquet(f"{folder}/pair_counts"))
     return Index(parts["postings"], parts["dictionary"], spark.read.parquet(f"{folder}/fields"), lambda asked: read_index(spark, path, asked),
@@ -297,7 +311,7 @@ def update_index(new: DataFrame, touched: DataFrame, path: str, buckets: int = B
     if state is None:
         return write_index(new, path, buckets)
     folder, buckets = state["folder"], state["buckets"]
-    new = new.withColumn("term_bucket", bucket(buckets, "term"))
+    new = new.drop("main").withColumn("term_bucket", bucket(buckets, "term"))
     docs = touched.select("doc").distinct()
     whole = _read(spark, f"{folder}/postings", "term_bucket")
     changed = new.select("term_bucket")
@@ -305,7 +319,7 @@ def update_index(new: DataFrame, touched: DataFrame, path: str, buckets: int = B
         changed = changed.unionByName(whole.join(docs, "doc", "left_semi").select("term_bucket"))
     only = _touched(changed, F.col("term_bucket"))
     old = _read(spark, f"{folder}/postings", "term_bucket", only)
-    merged = new if old is None else merge_postings(old, docs, new)
+    merged = new if old is None else merge_postings(old.drop("main"), docs, new)
     for name in EXTRAS:
         fs, at = _files(spark, f"{folder}/{name}")
         fs.delete(at, True)

@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from fathom.functions import text as tx
-from fathom.operators import analysis
+from fathom.operators import analysis, index
+from fathom.sources import page_store
 
 ODD = ["", "  ...", "wi-fi WiFi wi-fi a.b a.b", "x x X 1a2 _ __ 9", "don't Don't éaux-é ONE", None]
 
@@ -42,3 +43,28 @@ def test_variants_of_odd_texts_and_no_sort_of_a_text(spark):
     # Only variants of one token are compared; common tokens are not taken apart.
     assert "sort_array" not in _plan(deduped)
     assert "RLIKE" in _plan(analysis.with_variants(docs, "t", ["id"]))
+
+
+def test_marked_postings_give_the_same_store(spark, tmp_path):
+    texts = {"u1": "the cat the dog", "u2": "wi-fi wi-fi cat", "u3": "", "u4": "b a", "u5": "dog"}
+    pages = spark.createDataFrame([(u, t, t[:3]) for u, t in texts.items()], "url string, content string, title string")
+    both, stores = ("title", "content"), []
+    for name, marked in (("plain", False), ("marked", True)):
+        postings = index.build_postings(pages, fields=both, main=marked)
+        page_store.write_index(postings, f"{tmp_path}/{name}", buckets=2, extras=True)
+        stores.append(page_store.read_index(spark, f"{tmp_path}/{name}"))
+    plain, marked = stores
+    rows = lambda df: sorted(map(repr, df.collect()))
+    for part in ("postings", "dictionary", "stats"):
+        columns = getattr(plain, part).columns
+        assert getattr(marked, part).columns == columns and rows(getattr(marked, part)) == rows(getattr(plain, part).select(columns))
+    assert rows(marked.grams.grams) == rows(plain.grams.grams)
+    inside = lambda ix: ix.blocks.select("field", "term", "best", "n", "postings")
+    assert rows(inside(marked)) == rows(inside(plain))
+    marks = index.build_frequencies(pages, fields=both, main=True).filter("main").collect()
+    assert {(m.doc, m.field): m.term for m in marks if m.field == "content"} == {
+        ("u1", "content"): "the", ("u2", "content"): "wifi", ("u4", "content"): "b", ("u5", "content"): "dog"}
+    frequencies = index.build_frequencies(pages, fields=both)
+    assert "Aggregate" not in _plan(frequencies)  # counted inside the row: no shuffle
+    same = index.build_postings(pages, fields=both).select(frequencies.columns)
+    assert rows(frequencies) == rows(same)
