@@ -79,7 +79,7 @@ def i2(spark, sf):
 
 
 def _content(spark, sf):
-    return index.build_postings(inp.doc_pages(spark, sf), fields=("content",))
+    return index.build_frequencies(inp.doc_pages(spark, sf), fields=("content",))
 
 
 def i3(spark, sf):
@@ -87,7 +87,7 @@ def i3(spark, sf):
 
 
 def i3_fields(spark, sf):
-    s = index.field_stats(index.doc_lengths(index.build_postings(inp.doc_pages(spark, sf))))
+    s = index.field_stats(index.doc_lengths(index.build_frequencies(inp.doc_pages(spark, sf), fields=("title", "content", "description"))))
     return s.select("field", "n_docs", F.round("avg_len", 6).alias("avg_len"))
 
 
@@ -101,7 +101,7 @@ def i5(spark, sf):
     old = pages.filter("depth < 4").withColumn(
         "content", F.when(F.col("depth") == 3, F.lit("stale words")).otherwise(F.col("content")))
     batch = pages.filter("depth >= 3")
-    build = lambda p: index.build_postings(p, fields=("content",)).drop("positions", "offsets")
+    build = lambda p: index.build_frequencies(p, fields=("content",))
     merged = index.merge_postings(build(old), batch.select(F.col("url").alias("doc")), build(batch))
     return merged.select("doc", "field", "term", "tf", "field_len")
 
