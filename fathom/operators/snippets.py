@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from fathom.functions import batches as batch_text
 from fathom.functions.rows import let, run_starts
-from fathom.functions.text import analyzed
 
+TOKENS = ArrayType(StructType([StructField(n, IntegerType()) for n in ("pos", "start", "end")] + [StructField(n, StringType()) for n in ("term", "kind")]))
 SURROUND, MAX_CHARS, TOP, FALLBACK_CHARS = 25, 200, 3, 170
 
 
@@ -114,15 +119,33 @@ def _of_sequences(toks: Column, sequences: Column) -> Column:
         F.size(s) == 1, F.filter(toks, lambda t: t["term"] == F.get(s, F.lit(0)))).otherwise(_phrase_only(toks, s)))))
 
 
+def _matching(df: DataFrame, content: str, words: Column, out: str) -> DataFrame:
+    """Add ``out``: those analysed tokens of ``content`` whose terms are in the row's own ``words``."""
+    df = df.drop(out).withColumn("__terms", words)
+
+    def run(batches):
+        for piece in batch_text.pieces(batches, [content]):
+            toks, asked = batch_text.analyzed(piece.column(content)), piece.column("__terms")
+            place = {t: i for i, t in enumerate(toks.terms)}
+            code = np.array([place.get(w, -1) for w in asked.flatten().to_pylist()], np.int64)
+            key = pc.list_parent_indices(asked).to_numpy(zero_copy_only=False) * len(place) + code
+            t = toks.of(np.isin(toks.doc * len(place) + toks.code, key[code >= 0]))
+            bounds = pa.array(np.searchsorted(t.doc, np.arange(piece.num_rows + 1)).astype(np.int32))
+            parts = [pa.array(a.astype(np.int32)) for a in (t.pos, t.start, t.end)]
+            parts += [pa.array(toks.terms, pa.string()).take(pa.array(t.code)), pa.array(["original", "part"]).take(pa.array(t.part.astype(np.int8)))]
+            found = pa.ListArray.from_arrays(bounds, pa.StructArray.from_arrays(parts, ["pos", "start", "end", "term", "kind"]))
+            yield pa.RecordBatch.from_arrays([*piece.columns, found], [*piece.schema.names, out])
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(out, TOKENS)])).drop("__terms")
+
+
 def with_fragments(df: DataFrame, content: str, words: str, out: str, surround: int = SURROUND,
                    max_chars: int = MAX_CHARS, strict_phrase: bool = False, sequences: bool = False) -> DataFrame:
     """Add ``out``: the fragments of ``content`` around the terms in the array ``words``.
 
     With ``sequences`` that is an array of arrays, each a term or the terms of a phrase, which count only together.
     """
-    terms = F.flatten(words) if sequences else F.col(words)
-    df = analyzed(df, content, out).withColumn("__terms", terms).withColumn(
-        out, F.filter(out, lambda t: F.array_contains(F.col("__terms"), t["term"]))).drop("__terms")
+    df = _matching(df, content, F.flatten(words) if sequences else F.col(words), out)
     if sequences:
         df = df.withColumn(out, let(F.col(out), lambda toks: _of_sequences(toks, F.col(words))))
     df = df.withColumn(out, matched_spans(F.col(out), F.col(words), strict_phrase))
