@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import math
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -227,12 +228,13 @@ def _put_fields(spark: SparkSession, folder: str) -> None:
     rows.coalesce(1).write.mode("overwrite").parquet(f"{folder}/fields")
 
 
-def write_index(postings: DataFrame, path: str, buckets: int = BUCKETS, extras: bool | tuple[str, ...] = False, pairs: DataFrame | None = None) -> None:
+def write_index(postings: DataFrame, path: str, buckets: int = BUCKETS, extras: bool | tuple[str, ...] = False, pairs: DataFrame | Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> None:
     """A full build: postings by term hash, sorted by term, so that a query reads few partitions and few row groups.
 
     The bucket of a very frequent term is split into several files by the rebalance. Nothing of an earlier build stays. With
     ``extras``, also the blocks for the best results and the dictionary's grams for wildcards, or those of them that are named
-    (``blocks``, ``grams``); ``pairs`` are the postings of frequent neighbours for phrases (``phrases.pair_postings``).
+    (``blocks``, ``grams``); ``pairs`` are the postings of frequent neighbours for phrases (``phrases.pair_postings``), or a function that makes
+    them from the stored dictionary and field statistics.
     Postings with the mark ``main`` need not be grouped for lengths and the blocks' order.
     """
     spark, more = postings.sparkSession, ("blocks", "grams") if extras is True else extras or ()
@@ -255,9 +257,11 @@ def write_index(postings: DataFrame, path: str, buckets: int = BUCKETS, extras:
             found = _read(spark, f"{folder}/grams", "gram_bucket")
             gram_counts(grams if found is None else found).write.parquet(f"{folder}/gram_counts")
         if pairs is not None:
-            _write(pairs.withColumn("pair_bucket", bucket(buckets, "first", "second")), f"{folder}/pairs", "pair_bucket", ["first", "second", "field"])
+            terms = _read(spark, f"{folder}/dictionary", "term_bucket")
+            beside = pairs(term_stats(stored) if terms is None else terms, spark.read.parquet(f"{folder}/fields")) if callable(pairs) else pairs
+            _write(beside.withColumn("pair_bucket", bucket(buckets, "first", "second")), f"{folder}/pairs", "pair_bucket", ["first", "second", "field"])
             found = _read(spark, f"{folder}/pairs", "pair_bucket")
-            pair_counts(pairs if found is None else found).write.parquet(f"{folder}/pair_counts")
+            pair_counts(beside if found is None else found).write.parquet(f"{folder}/pair_counts")
 
     _new_build(spark, path.rstrip("/"), buckets, fill)
 
