@@ -29,9 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathom.functions import text as tx
-from fathom.operators.index import Index, make_index
+from fathom.operators.index import Index
 from fathom.operators.ranking import COORD, KEYS
-from fathom.operators.search import KINDS, PAGE_LEN, clause_hits, clause_terms, page_totals_of, search_page
+from fathom.operators.search import KINDS, PAGE_LEN, clause_hits, clause_terms, index_of_clauses, page_totals_of, search_page
 from fathom.operators.snippets import snippet_or_fallback, with_snippet
 from fathom.plans.lineage import cut_lineage
 
@@ -93,6 +93,11 @@ def _climbed(hits: DataFrame, placed: DataFrame, depth: int) -> DataFrame:
     return here.select("query_id", "doc", "score", "matched")
 
 
+def index_of_nodes(nodes: DataFrame, pages: DataFrame, fields: tuple[str, ...], key: str = "url") -> Index:
+    """An index of what the leaves name, for :func:`tree_scores` over a page table that has no stored one."""
+    return index_of_clauses(nodes.filter("kind <> 'group'").withColumn("clause", _leaf_id()), pages, fields, key)
+
+
 def tree_scores(nodes: DataFrame, pages: DataFrame, index: Index, key: str = "url", c: float = COORD) -> tuple[DataFrame, DataFrame]:
     """Ranked answers to a table of trees: (query_id, doc, matched, score), and the terms that the queries name.
 
@@ -285,7 +290,7 @@ def _index_of(nodes: DataFrame, pages: DataFrame, key: str, default: str) -> Ind
     fields = sorted({f for f, k in named if k != "number"}) or [default]
     if unknown := ({f for f, _ in named} | set(fields)) - set(pages.columns):
         raise ValueError(f"no such fields: {sorted(unknown)}")
-    return make_index(pages, key, tuple(fields), positions=any(k == "phrase" for _, k in named))
+    return index_of_nodes(nodes, pages, tuple(fields), key)
 
 
 def search_trees(nodes: DataFrame, pages: DataFrame, pagenum: int = 1, pagelen: int = PAGE_LEN, key: str = "url",
