@@ -1,13 +1,13 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model is over whole code points (order 4); each one is a symbol of its own, whatever its script. It is trained on a
-sample of trusted rows, at most ``TRAIN_DOCS``, whole texts. Tasks send their distinct n-grams with counts; contexts and
-continuation counts are joined shard by shard. The finished table, which is as large as the sample has n-grams, then meets
-the documents where they lie: scoring shuffles no text. Windows of the ``_SYMBOLS`` - 2 commonest characters are read from a
+The model is over whole code points (order 4); each one is a symbol of its own, whatever its script. It is trained on
+all trusted rows but a fifth by hash, whole texts. Tasks send their distinct n-grams with counts; contexts and
+continuation counts are joined shard by shard. The finished table, which is as large as these texts have different n-grams of
+four characters, then meets the documents where they lie: scoring shuffles no text. Windows of the ``_SYMBOLS`` - 2 commonest characters are read from a
 dense copy of the table, all others are looked up.
 
 A document goes if its perplexity is above a quantile of its own language's trusted documents; all of them count but those
-the model was trained on. A short text says little, so each text is scored together with ``PRIOR`` characters of its
+the model was trained on, so that is the fifth left out. A short text says little, so each text is scored together with ``PRIOR`` characters of its
 language's mean. Trusted are rows labelled as good; whether they are toxic is another label, which is not looked at.
 
 Cases: null and empty texts have the mean and stay; a language with under ``LEAST_HELD`` such documents uses all languages'
@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 
 from fathom.llm.shared import flat, pieces, stored, unused
 
-TRAIN_DOCS = 20_000
+#: Most trusted ids, 8 bytes each, that are sent to the documents instead of being joined to them.
+MOST_SENT = 2_000_000
 QUANTILE = 0.998
 #: Parts of an octave to which perplexities are counted for the quantile.
 BINS = 4096
@@ -155,9 +156,10 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.filter(F.col("quality") == 1).select("doc_id").distinct()
 
 
-def sample_ids(labels: DataFrame, most: int = TRAIN_DOCS) -> DataFrame:
-    """At most ``most`` trusted ids, picked by a hash; so few that sending them to the documents is safe."""
-    return trusted_ids(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+def sample_ids(labels: DataFrame, most: int | None = None) -> DataFrame:
+    """All trusted ids, or ``most`` of them, picked by a hash, if a caller asks for a smaller model."""
+    ids = trusted_ids(labels)
+    return ids if most is None else ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
 def _held_out() -> F.Column:
@@ -247,20 +249,22 @@ def _limits(texts: DataFrame, quantile: float) -> DataFrame:
         F.min("limit").alias("limit"))
 
 
-def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, most: int = TRAIN_DOCS,
+def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, most: int | None = None,
            names: tuple[str, str, str] = ("__perplexity", "__threshold", "__kept")) -> DataFrame:
     """``docs`` with three more columns that the caller names: perplexity (per character), threshold of the language, kept."""
     perplexity, threshold, kept = names
     symbols, log = unused("symbols", docs), unused("log", docs)
     given = docs.select("doc_id", "text", "lang")
-    chosen = stored(sample_ids(labels, most), "trained")
-    model = train(given.join(F.broadcast(chosen), "doc_id", "left_semi"))
+    trusted = stored(trusted_ids(labels), "trusted")
+    chosen = trusted if most is None else stored(sample_ids(labels, most), "trained")
+    ids = F.broadcast(chosen) if chosen.count() <= MOST_SENT else chosen  # more are joined, which shuffles the texts once a pass
+    model = train(given.join(ids, "doc_id", "left_semi"))
     if model is None:
         return docs.withColumns({perplexity: F.lit(None).cast("double"), threshold: F.lit(None).cast("double"), kept: F.lit(True)})
     # All trusted rows but those of the training, joined by id after scoring, so that no text is shuffled.
-    numbers = with_log_probability(given, model).select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "__symbols", "__log")
-    held = stored(numbers.join(F.broadcast(chosen.filter(~_held_out())), "doc_id", "left_anti")
-                  .join(stored(trusted_ids(labels), "trusted"), "doc_id", "left_semi").drop("doc_id"), "held-out")
+    numbers = with_log_probability(given.filter(_held_out()) if most is None else given, model).select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "__symbols", "__log")
+    left = numbers if most is None else numbers.join(chosen.filter(~_held_out()), "doc_id", "left_anti")
+    held = stored(left.join(trusted, "doc_id", "left_semi").drop("doc_id"), "held-out")
     mean = F.sum("__log") / F.greatest(F.sum("__symbols"), F.lit(1))
     overall = held.agg(mean.alias("mean")).first()["mean"]
     overall = -2.0 if overall is None else overall

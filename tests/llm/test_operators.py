@@ -174,6 +174,18 @@ def test_quality_on_held_out_labels(spark, docs):
     assert sum(good) >= 0.97 * len(good) and sum(bad) <= 0.2 * len(bad)
 
 
+def test_quality_learns_from_all_trusted_rows(spark):
+    labels = spark.range(25_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    assert quality.sample_ids(labels).count() == 25_000
+    # A character that only some of them hold is known, unless none of its texts was learned from.
+    docs = labels.select("doc_id", F.when(F.xxhash64("doc_id") > 5 * 10**18, "xyz q").otherwise("abc ab").alias("text"), F.lit("en").alias("lang"),
+                         F.lit("s").alias("source"), F.lit(5).cast("long").alias("n_chars"))
+    model = quality.train(docs.join(quality.sample_ids(labels), "doc_id", "left_semi"))
+    assert {chr(c) for c in model.letters} == set("abcxyzq ")
+    by_text = {(r.text, r.mean, r.limit) for r in quality.judged(docs, labels).select("text", F.col("__perplexity").alias("mean"), F.col("__threshold").alias("limit")).collect()}
+    assert len(by_text) == 2 and all(mean <= limit for _, mean, limit in by_text)
+
+
 def test_quality_on_odd_rows(spark, odd, none, docs):
     labels = table(spark, SF, "labels")
     labels = labels.select(F.col("doc_id") + 100, "quality", "toxic").toDF("doc_id", "quality", "toxic")
