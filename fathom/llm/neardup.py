@@ -3,15 +3,19 @@
 One 64-bit hash per shingle; its top bits choose one of ``BUCKETS`` registers, the smallest rest in a bucket is kept as the
 count of its leading zeros and ``MANTISSA`` bits after them (16 bits a register). Texts that agree in all registers of
 a band are candidates; their Jaccard similarity is estimated from equal registers, less those expected to be equal by
-chance, and pairs far below the limit are dropped. What is left is verified on the full shingle sets.
+chance, and pairs far below the limit are dropped. Each register that differs stands for a shingle that only one of the two
+has, so pairs with too many of them are dropped for certain, whatever their size. What is left is verified on the full shingle
+sets; these are made for the texts of such pairs alone, where the texts lie: a table of bits, of bounded size, picks them, so no
+text is shuffled.
 
 No group is ever expanded into all pairs. Texts with equal sets first become one vertex. A vertex is *central* in the degree of
 how many others it meets over all bands: in a group of copies of one text, edited here and there, that is the text with
 the fewest edits, to which most of the others are linked. So each vertex is first compared with the most central one that it
 meets, one pair for each vertex. Links so far give classes. In buckets with several classes left, all are compared with the
 ``HUBS`` most central ones. Buckets of ``HUBS + 1`` are then settled; what is still in different classes of a larger bucket is
-settled exactly by an inverted index of each set's rarest shingles, with bounds by size and place. There, shingles that no other set
-has count against a set, so that one that is far from the central text of its group meets nothing.
+settled exactly by an inverted index of each set's rarest shingles, with bounds by size, place and parity bits. There, shingles that
+no other set has count against a set, so that one that is far from the central text of its group meets nothing; and two sets whose
+bits differ in too many places are no pair. Up to about ``64 * PARITY / 4`` shingles, that leaves little but links.
 
 Cases: texts without words (null, empty, blanks) have an empty set and are linked with nothing; texts under
 ``WORDS`` words have one shingle, the whole sequence; rows that repeat an id are one vertex for each set, and versions of
@@ -41,6 +45,11 @@ HUBS = 3  # members of a bucket with which all others are compared
 SLACK = 5 * (0.75 * 0.25 / BUCKETS) ** 0.5
 #: Sets up to this size have too few full registers for an estimate and are verified at once.
 SMALL = 64
+#: Longs of parity bits that stand for a set, and the uses of a shingle from which they are looked at.
+PARITY = 32
+OFTEN = 16
+#: Rows, at most, of the table of bits that picks documents; each has 64 bits.
+SLOTS = 1 << 20
 _EDGES = (np.arange(BUCKETS, dtype=np.uint64) << np.uint64(64 - BUCKET_BITS))
 _M = multipliers(WORDS, 5)
 
@@ -157,6 +166,7 @@ def _screened(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
             na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
             ra, rb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, BUCKETS) for c in ("ra", "rb"))
             good = (np.minimum(na, nb) <= SMALL) | (estimated(ra, rb, na, nb) >= LIMIT / 100 - SLACK) if len(na) else np.zeros(0, bool)
+            good &= (100 + LIMIT) * (ra != rb).sum(axis=1) <= (100 - LIMIT) * (na + nb)
             yield pa.RecordBatch.from_pydict({c: batch.column(c).filter(pa.array(good)) for c in ("a", "b", "x", "y")})
 
     # Merged at any size, here and below: pairs are as many as there are texts.
@@ -184,8 +194,18 @@ def _digest(own: np.ndarray) -> bytes:
     return hashlib.blake2b(own.tobytes(), digest_size=16).digest()
 
 
-def _sets(docs: DataFrame, ids: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Full shingle sets (digest, members) of ``wanted`` (digest), found in the documents ``ids``."""
+def _picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and text of the documents ``ids`` (doc_id), and a few others. The bits that stand for the ids are sent to the documents."""
+    code = F.xxhash64(F.col("doc_id").cast("long"))
+    slot = F.pmod(code, F.lit(SLOTS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(code, 58).cast("int"))
+    bits = stored(ids.groupBy(slot.alias("slot")).agg(F.bit_or(bit).alias("bits")), "bits")
+    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    return rows.join(F.broadcast(bits), slot == F.col("slot")).filter(F.col("bits").bitwiseAND(bit) != 0).select("doc_id", "text")
+
+
+def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Full shingle sets (digest, members) of the vertices ``wanted`` (digest, first)."""
 
     def run(batches):
         for piece in pieces(batches):
@@ -193,10 +213,8 @@ def _sets(docs: DataFrame, ids: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"digest": pa.array([_digest(s) for s in sets], pa.binary()),
                                               "members": pa.array([s.tobytes() for s in sets], pa.binary())})
 
-    # Merged at any size: the ids are as many as there are texts that meet others.
-    found = docs.select(F.col("doc_id").cast("long"), "text").join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(
-        run, "digest binary, members binary")
-    return found.join(wanted, "digest", "left_semi").dropDuplicates(["digest"])
+    found = _picked(docs, wanted.select(F.col("first").alias("doc_id"))).mapInArrow(run, "digest binary, members binary")
+    return found.hint("merge").join(wanted.select("digest"), "digest", "left_semi").dropDuplicates(["digest"])
 
 
 def _compatible(x: F.Column, y: F.Column) -> F.Column:
@@ -204,34 +222,62 @@ def _compatible(x: F.Column, y: F.Column) -> F.Column:
     return 100 * F.least(x, y) >= LIMIT * F.greatest(x, y)
 
 
+def parities(sets: list[np.ndarray]) -> np.ndarray:
+    """``PARITY`` longs for each set: bits that tell whether an odd number of its shingles fell there.
+
+    Two sets' bits differ in no more places than there are shingles that only one of them has.
+    """
+    out = np.zeros((len(sets), 64 * PARITY), np.uint8)
+    for row, own in enumerate(sets):
+        out[row] = np.bincount((own % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(out, axis=1).view(np.int64)
+
+
+def _near_enough(n: F.Column, m: F.Column, bits: F.Column, other: F.Column) -> F.Column:
+    """Sets of these sizes and parity bits can be similar enough; without bits, they may be."""
+    differing = F.aggregate(F.zip_with(bits, other, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    return F.coalesce((100 + LIMIT) * differing <= (100 - LIMIT) * (n + m), F.lit(True))
+
+
 def _prefix_pairs(left: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs of different classes among ``left`` (number, digest, first, n, c) that may be similar; none that is similar is missing.
 
     Shingles are ranked from rare to frequent. Two similar sets share a shingle among the first quarter of each, and
     where it stands bounds what they can have in common. A passage that many texts share is frequent, so it
-    stands at the end and brings no pairs unless it is nearly all there is to the texts.
+    stands at the end and brings no pairs unless it is nearly all there is to the texts. Sets that share a shingle with
+    many others bring their parity bits along, so that the members of a large group are no pairs because they share a few.
     """
 
     def spread(batches):
         for batch in batches:
-            own = [np.frombuffer(m, np.int64) for m in batch.column("members").to_pylist()]
-            rows = np.repeat(np.arange(len(own)), [len(x) for x in own])
-            yield pa.RecordBatch.from_pydict({"number": batch.column("number").take(pa.array(rows)), "shingle": pa.array(
-                np.concatenate([np.zeros(0, np.int64), *own]))})
-
-    every = stored(left.join(sets, "digest").select("number", "members").mapInArrow(spread, "number long, shingle long"), "shingles")
-    times = every.groupBy("shingle").agg(F.count("*").alias("times"))
-    # A set's rare shingles take up places; only those that others have too can meet.
-    place = (F.row_number().over(Window.partitionBy("number").orderBy("times", "shingle")) - 1).alias("place")
-    ranked = every.join(times, "shingle").select("number", "shingle", "times", place)
+            own = [np.frombuffer(m, np.uint64) for m in batch.column("members").to_pylist()]
+            offsets = pa.array(np.cumsum([0, *map(len, own)]), pa.int32())
+            bits = pa.array(parities(own).reshape(-1))
+            yield pa.RecordBatch.from_pydict({
+                "number": batch.column("number"),
+                "shingles": pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.uint64), *own]).view(np.int64))),
+                "bits": pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1) * PARITY, pa.int32()), bits)})
+
+    held = stored(left.join(sets, "digest").select("number", "members").mapInArrow(
+        spread, "number long, shingles array<long>, bits array<long>"), "shingles")
+    every = held.select("number", F.explode("shingles").alias("shingle"))
+    times = every.groupBy("shingle").agg(F.count("*").alias("times")).filter("times > 1")
+    # Only shingles that others have too can meet; those of its own take up a set's first places.
+    own = Window.partitionBy("number")
+    after = F.row_number().over(own.orderBy("times", "shingle")) - 1
+    ranked = every.join(times, "shingle").select("number", "shingle", "times", after.alias("after"), F.count("*").over(own).alias("shared"))
+    place = F.col("n") - F.col("shared") + F.col("after")
     first = F.col("n") - F.ceil(F.col("n") * LIMIT / 100) + 1
-    front = ranked.join(left.select("number", "n", "c"), "number").filter((F.col("place") < first) & (F.col("times") > 1))
-    front = stored(front.select("shingle", "number", "n", "c", "place"), "prefixes")
-    other = front.toDF("shingle", "other", "m", "d", "at")
+    front = ranked.join(left.select("number", "n", "c"), "number").withColumn("place", place).filter(F.col("place") < first)
+    front = front.join(held.select("number", "bits"), "number").select(
+        "shingle", "number", "n", "c", "place", F.when(F.col("times") >= OFTEN, F.col("bits")).alias("bits"))
+    front = stored(front, "prefixes")
+    other = front.toDF("shingle", "other", "m", "d", "at", "its")
     needed = LIMIT * (F.col("n") + F.col("m")) / (100 + LIMIT)
     possible = 1 + F.least(F.col("n") - F.col("place") - 1, F.col("m") - F.col("at") - 1)
     pairs = front.join(other, "shingle").filter(
-        (F.col("c") < F.col("d")) & _compatible(F.col("n"), F.col("m")) & (possible >= needed - 1e-6)).select("number", "other").distinct()
+        (F.col("c") < F.col("d")) & _compatible(F.col("n"), F.col("m")) & (possible >= needed - 1e-6)
+        & _near_enough(F.col("n"), F.col("m"), F.col("bits"), F.col("its"))).select("number", "other").distinct()
     name = left.select("number", F.struct("digest", "first").alias("name"))
     named = pairs.join(name.toDF("number", "one"), "number").join(name.toDF("other", "two"), "other")
     return named.select(*_ordered(F.col("one"), F.col("two")))
@@ -263,27 +309,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links), kept (the document stands for its class)."""
     sketch = stored(sketches(docs), "sketches")
     # A table of its own, so that the joins with it can split a digest that very many copies share.
-    firsts = stored(sketch.filter("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("first")), "firsts")
-    copies = stored(sketch.select("doc_id", "n", "digest").join(firsts, "digest", "left"), "copies")
-    vertices = sketch.join(firsts, "digest").filter(F.col("doc_id") == F.col("first")).select(
-        "digest", "first", "n", "registers", "bands").dropDuplicates(["digest"])
-    vertices = stored(vertices, "vertices")
-    listed = vertices.select("digest", "first", "n", F.explode("bands").alias("key"))
+    vertices = sketch.filter("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(
+        F.min("doc_id").alias("first"), *[F.first(c).alias(c) for c in ("n", "registers", "bands")])
+    # Numbers stand for the vertices while their bands are dealt; they are fixed by being written once.
+    vertices = stored(vertices.withColumn("number", F.monotonically_increasing_id()), "vertices")
+    copies = stored(sketch.select("doc_id", "n", "digest").join(vertices.select("digest", "first"), "digest", "left"), "copies")
+    listed = vertices.select("number", "n", F.explode("bands").alias("key"))
     # Two sets alone in a bucket whose sizes rule them out need not be looked at.
     shared = listed.groupBy("key").agg(F.count("*").alias("times"), F.min("n").alias("low"), F.max("n").alias("high")).filter(
         (F.col("times") > 2) | ((F.col("times") == 2) & _compatible(F.col("low"), F.col("high"))))
     shared = stored(shared.select("key", "times"), "keys")
-    met = stored(listed.join(shared, "key"), "met")
-    central = met.groupBy("digest").agg(F.sum("times").alias("central"))
+    met = stored(listed.select("number", "key").join(shared, "key"), "met")
+    central = vertices.select("number", "digest", "first", "n").join(met.groupBy("number").agg(F.sum("times").alias("central")), "number")
     # Members, too, are merged with what is drawn from them at any size.
-    members = stored(met.select("digest", "first", "n", "key").hint("merge").join(central, "digest"), "members")
-    wanted = members.select("digest", "first").distinct()
-    sets = stored(_sets(docs, wanted.select(F.col("first").alias("doc_id")).distinct(), wanted.select("digest")), "sets")
+    members = stored(met.select("number", "key").hint("merge").join(central, "number").drop("number"), "members")
     me = F.struct("digest", "first")
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Verified pairs as links between first documents."""
-        found = _verified(pairs, sets).filter("x != y")
+        pairs = stored(pairs, "screened")
+        wanted = pairs.select(F.col("a").alias("digest"), F.col("x").alias("first")).union(pairs.select("b", "y")).distinct()
+        found = _verified(pairs, stored(_sets(docs, wanted), "sets")).filter("x != y")
         return stored(found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), "links")
 
     versions = copies.filter("first IS NOT NULL AND doc_id != first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
@@ -314,7 +360,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     left = own.join(large, "key").join(done, ["key", "digest"], "left_anti").select("digest", "first", "n", "c").distinct()
     left = stored(left.withColumn("number", F.monotonically_increasing_id()), "open")
     if left.limit(1).count():
-        pairs = _prefix_pairs(left, sets).join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        pairs = _prefix_pairs(left, _sets(docs, left.select("digest", "first"))).join(tested.select("a", "b"), ["a", "b"], "left_anti")
         links = links.union(linked(pairs.select(*tested.columns)))
     classes = classes_of(links)
     label = copies.join(classes, copies["first"] == classes["v"], "left").select(

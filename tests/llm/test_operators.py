@@ -336,6 +336,55 @@ def test_hyperminhash_estimates(spark):
         assert abs(np.mean(errors)) < 0.03 and np.max(np.abs(errors)) < neardup.SLACK
 
 
+def test_unlike_members_of_a_large_group_are_no_pairs(spark):
+    """Sets of one group that share most shingles, and some of the rarer ones, but too few to be linked; a few are linked."""
+    rng = np.random.default_rng(4)
+    values = np.unique(rng.integers(0, 2**64, 500, dtype=np.uint64))
+    base, pool, other = values[:110], values[110:310], values[310:]
+    sets = [np.concatenate([base, rng.permutation(pool)[:36]]) for _ in range(200)]
+    for k in range(6):
+        own = sets[k].copy()
+        own[rng.permutation(146)[:5]] = other[5 * k:5 * k + 5]
+        sets.append(own)
+    sets = [np.sort(x) for x in sets]
+    alike = lambda x, y: 100 * (c := len(np.intersect1d(x, y))) >= 75 * (len(x) + len(y) - c)
+    digests = [bytes([k // 256, k % 256]) for k in range(len(sets))]
+    want = {(digests[i], digests[k]) for k in range(len(sets)) for i in range(k) if alike(sets[i], sets[k])}
+    left = spark.createDataFrame([(k, bytearray(digests[k]), k, 146, k) for k in range(len(sets))], "number long, digest binary, first long, n long, c long")
+    members = spark.createDataFrame([(bytearray(d), bytearray(x.tobytes())) for d, x in zip(digests, sets)], "digest binary, members binary")
+    got = [(bytes(r.a), bytes(r.b)) for r in neardup._prefix_pairs(left, members).collect()]
+    assert len(want) >= 6 and want <= set(got) and len(got) == len(set(got))
+    assert len(got) < len(sets)
+
+
+def test_parity_bits_and_registers_bound_what_sets_do_not_share():
+    rng = np.random.default_rng(6)
+    for n in (1, 5, 60, 400, 3000):
+        values = rng.integers(0, 2**64, 2 * n, dtype=np.uint64)
+        for cut in (0, n // 10, n // 3, n):
+            a, b = np.unique(values[:n]), np.unique(values[cut:cut + n])
+            unlike = len(np.setxor1d(a, b))
+            x, y = neardup.parities([a, b])
+            assert sum(int(v).bit_count() for v in (x ^ y).view(np.uint64)) <= unlike
+            x, y = neardup.registers([a, b])
+            assert (x != y).sum() <= unlike
+
+
+def test_only_texts_of_likely_pairs_get_sets(spark):
+    """Short texts that are half alike are ruled out before their sets are made; texts are picked where they lie, not shuffled."""
+    words = [f"w{k}" for k in range(60)]
+    rows = [(1, " ".join(words[:30])), (2, " ".join(words[10:40])), (3, " ".join(words[:31])), (4, None), (None, "no id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sketch = neardup.sketches(docs).filter("n > 0 AND doc_id IS NOT NULL")
+    one, two = (sketch.select(F.col("digest").alias(d), F.col("doc_id").alias(v)) for d, v in (("a", "x"), ("b", "y")))
+    pairs = one.crossJoin(two).filter("x < y").select("a", "b", "x", "y")
+    assert [(r.x, r.y) for r in neardup._screened(pairs, sketch).collect()] == [(1, 3)]
+    wanted = sketch.filter("doc_id IN (1, 3)").select("digest", F.col("doc_id").alias("first"))
+    found = neardup._sets(docs, wanted)
+    assert sorted(len(r.members) // 8 for r in found.collect()) == [26, 27]
+    assert "hashpartitioning(doc_id" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_near_duplicates_on_odd_rows(odd, none):
     rows = neardup.near_duplicates(odd).collect()
     assert len(rows) == odd.count()
