@@ -29,6 +29,8 @@ from fathom.llm.shared import flat, pieces
 REMEMBERED = 400_000
 #: Least bytes of a word that the transducer holds at a time.
 BUFFER = 1024
+#: Bytes of text that a task encodes at once.
+PIECE = 2 << 20
 _SPACE, _LETTER, _NUMBER, _OTHER = 0, 1, 2, 3
 #: Endings that form a word of their own after an apostrophe (fixed values of the pattern).
 _ENDINGS = (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")
@@ -320,7 +322,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, doc_id: str = "doc_i
 
     def run(batches):
         known = transducer(path or vocabulary_path())
-        for piece in pieces(batches):
+        for piece in pieces(batches, limit=PIECE):
             ids, offsets = known.encode(piece.column("text"))
             digests, texts = [], []
             for low, high in zip(offsets[:-1].tolist(), offsets[1:].tolist()):

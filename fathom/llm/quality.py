@@ -18,6 +18,7 @@ judged alike; further columns pass through.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,6 +31,8 @@ from fathom.llm.shared import flat, pieces, stored, unused
 #: Most trusted ids, 8 bytes each, that are sent to the documents instead of being joined to them.
 MOST_SENT = 2_000_000
 QUANTILE = 0.998
+#: Bytes of text that a task takes apart at once: each character has some ten numbers of eight bytes for a while.
+PIECE = 1 << 20
 #: Parts of an octave to which perplexities are counted for the quantile.
 BINS = 4096
 PRIOR = 100
@@ -166,33 +169,35 @@ def _held_out() -> F.Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
 
 
+def _letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Code points of the texts, with counts."""
+    for piece in pieces(batches, limit=PIECE):
+        data, _ = flat(piece.column("text"))
+        points, n = np.unique(np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32), return_counts=True)
+        yield pa.RecordBatch.from_pydict({"point": pa.array(points.astype(np.int32)), "n": pa.array(n.astype(np.int64))})
+
+
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """n-grams of each piece of the texts, with counts."""
+    for piece in pieces(batches, limit=PIECE):
+        points, _, place = _code_points(piece.column("text"))
+        context, symbol = _windows(points, place, np.arange(len(points)))
+        order = np.lexsort((symbol, context))
+        context, symbol = context[order], symbol[order]
+        new = np.flatnonzero(np.concatenate([[True], (context[1:] != context[:-1]) | (symbol[1:] != symbol[:-1])])[:len(symbol)])
+        yield pa.RecordBatch.from_pydict({"context": pa.array(context[new]), "symbol": pa.array(symbol[new].astype(np.int32)),
+                                          "n": pa.array(np.diff(np.append(new, len(symbol))).astype(np.int64))})
+
+
 def train(sample: DataFrame) -> Model | None:
     """Fits the model to the four fifths of ``sample`` that are not held out."""
     sample = sample.filter(~_held_out()).select("text")
-
-    def letters(batches):
-        for piece in pieces(batches):
-            data, _ = flat(piece.column("text"))
-            points, n = np.unique(np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32), return_counts=True)
-            yield pa.RecordBatch.from_pydict({"point": pa.array(points.astype(np.int32)), "n": pa.array(n.astype(np.int64))})
-
-    found = stored(sample.mapInArrow(letters, "point int, n bigint").groupBy("point").agg(F.sum("n").alias("n")), "letters")
+    found = stored(sample.mapInArrow(_letters, "point int, n bigint").groupBy("point").agg(F.sum("n").alias("n")), "letters")
     known = [r["point"] for r in found.orderBy(F.desc("n"), "point").limit(_SYMBOLS - 2).collect()]
     if not known:
         return None
     size = max(_SYMBOLS, found.count() + 2)  # one for what stands before a text, one for any unseen character
-
-    def grams(batches):
-        for piece in pieces(batches):
-            points, _, place = _code_points(piece.column("text"))
-            context, symbol = _windows(points, place, np.arange(len(points)))
-            order = np.lexsort((symbol, context))
-            context, symbol = context[order], symbol[order]
-            new = np.flatnonzero(np.concatenate([[True], (context[1:] != context[:-1]) | (symbol[1:] != symbol[:-1])])[:len(symbol)])
-            yield pa.RecordBatch.from_pydict({"context": pa.array(context[new]), "symbol": pa.array(symbol[new].astype(np.int32)),
-                                              "n": pa.array(np.diff(np.append(new, len(symbol))).astype(np.int64))})
-
-    counts = stored(sample.mapInArrow(grams, "context bigint, symbol int, n bigint").groupBy("context", "symbol")
+    counts = stored(sample.mapInArrow(_grams, "context bigint, symbol int, n bigint").groupBy("context", "symbol")
                     .agg(F.sum("n").alias("n")), "kn-counts")
     terms, weights = {}, {}
     for k in range(ORDER, 0, -1):
@@ -228,7 +233,7 @@ def with_log_probability(docs: DataFrame, model: Model, text: str = "text", name
             _TABLES.clear()
             _TABLES[given.name] = _symbol_table(given.letters), given.log_table()
         symbols, logs = _TABLES[given.name]
-        for piece in pieces(batches, text):
+        for piece in pieces(batches, text, PIECE):
             each, bounds = _log_probabilities(piece.column(text), given, symbols, logs)
             sums = np.concatenate([[0.0], np.cumsum(each)])
             yield pa.RecordBatch.from_arrays(

@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -186,6 +187,19 @@ def test_quality_learns_from_all_trusted_rows(spark):
     assert len(by_text) == 2 and all(mean <= limit for _, mean, limit in by_text)
 
 
+def test_quality_takes_few_bytes_of_text_apart_at_once():
+    """A worker stays within 150 MB, whatever the size of a batch, and counts all characters of it."""
+    rng = np.random.default_rng(3)
+    texts = [bytes(rng.integers(97, 123, 20_000, dtype=np.uint8)).decode() for _ in range(300)]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts)})
+    for job in (quality._letters, quality._grams):
+        tracemalloc.start()
+        total = sum(sum(out.column("n").to_pylist()) for out in job(iter([batch])))
+        _, peak = tracemalloc.get_traced_memory()
+        tracemalloc.stop()
+        assert total == 6_000_000 and peak < 150e6
+
+
 def test_quality_on_odd_rows(spark, odd, none, docs):
     labels = table(spark, SF, "labels")
     labels = labels.select(F.col("doc_id") + 100, "quality", "toxic").toDF("doc_id", "quality", "toxic")
