@@ -428,6 +428,37 @@ def test_nearest_codes(spark):
         assert [got[q][k] for k in range(1, 8)] == want
 
 
+def test_nearest_codes_keeps_candidates_in_the_task(spark, monkeypatch):
+    rng, rows, own = random.Random(5), {}, hamming.stored
+    centres = [rng.getrandbits(64) for _ in range(4)]
+    for i in range(600):
+        code = rng.getrandbits(64) if i % 3 == 0 else centres[i % 4]
+        for b in rng.sample(range(64), i % 3 * 4):
+            code ^= 1 << b
+        rows[i] = code
+    written = []
+
+    def counted(df, name):
+        out = own(df, name)
+        written.append((name, out.count()))
+        return out
+
+    df = spark.createDataFrame([(i, c - (1 << 64) if c >> 63 else c) for i, c in rows.items()], "id long, code long")
+    monkeypatch.setattr(hamming, "stored", counted)
+    for chunk, group, lookup in ((150, 7, 0.01), (150, 7, 7), (1 << 20, 1 << 17, 0.01), (1 << 20, 1 << 17, 1e9)):
+        for name, value in (("CHUNK_CODES", chunk), ("GROUP_QUERIES", group), ("LOOKUP", lookup), ("STEP", 64)):
+            monkeypatch.setattr(hamming, name, value, raising=False)
+        written.clear()
+        got = defaultdict(dict)
+        for r in hamming.nearest(df, df.filter("id % 20 = 0"), 7).collect():
+            got[r.query_id][r["rank"]] = (r.distance, r.neighbour_id)
+        for q in range(0, 600, 20):
+            want = sorted((bin(rows[q] ^ c).count("1"), i) for i, c in rows.items() if i != q)[:7]
+            assert [got[q][k] for k in range(1, 8)] == want
+        # A row of each query and chunk, not of each candidate.
+        assert max(n for name, n in written) <= 600 and dict(written)["found"] <= 30 * 4
+
+
 def test_nearest_on_odd_rows(spark):
     df = spark.createDataFrame([(0, [1.0] * 64), (0, [1.0] * 64), (20, [1.0] * 63 + [None]), (None, [1.0] * 64), (40, None), (60, [0.5])],
                                "vec_id long, embedding array<float>").withColumn("code", F.lit(0))
