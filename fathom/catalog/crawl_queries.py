@@ -13,6 +13,7 @@ from fathom.operators import pages as pg
 from fathom.operators import accounting, extract, graph, robots, search, submissions
 from fathom.operators.index import build_postings
 from fathom.plans.lineage import checkpoint_folder
+from fathom.plans.packed import joined
 from fathom.sources import page_store, tables
 
 QUIET = "https://m.tionsh.example.net"  # its group for the crawler has a delay only, so the crawler may go anywhere
@@ -219,8 +220,8 @@ def s6(spark, sf):
     path = new_folder(spark, "index")
     page_store.write_index(build_postings(inp.doc_pages(spark, sf), fields=("title", "content"), main=True), path, buckets=8)
     ix = page_store.read_index(spark, path)
-    return ix.postings.select("field", "term", "doc", "tf", "field_len").join(
-        ix.dictionary.select("field", "term", "df", "total_tf"), ["field", "term"])
+    return joined(ix.postings.select("field", "term", "doc", "tf", "field_len"),
+                  ix.dictionary.select("field", "term", "df", "total_tf"), ["field", "term"])
 
 
 SUB_URL = "CASE WHEN event_id % 13 = 0 THEN 'no url' ELSE 'http://H' || (event_id % 50) || '.geek/x' END"

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from fathom.functions import text as tx
 from fathom.operators import analysis, graph, index, search
+from fathom.plans import packed
 from fathom.sources import page_store
 
 ODD = ["", "  ...", "wi-fi WiFi wi-fi a.b a.b", "x x X 1a2 _ __ 9", "don't Don't éaux-é ONE", None]
@@ -103,3 +104,42 @@ def test_phrase_keeps_places_in_arrays(spark):
     rows = spark.createDataFrame([(1, 1, 0, "x")], "query_id int, n int, i int, term string")
     stored = spark.createDataFrame([("content", "x", "a", [0])], "field string, term string, doc string, positions array<int>")
     assert "Generate" not in _plan(search.phrase(rows, stored))
+
+
+def test_packed_rows_come_back(spark, monkeypatch):
+    monkeypatch.setattr(packed, "PACK_BYTES", 200)
+    rows = [(i % 3, f, t, d, tf, n, places, start, [x + 3 for x in start] if start is not None else None, i % 2 == 0) for i, (f, t, d, tf, n, places, start) in enumerate([
+        ("a", "éaux", "u1", 1, 5, [4], [9]), ("a", "", "u2", 300, 70000, [], []), (None, "x", "u1", -1, 5, [7, 3, 3], [70000, 1, 2]), ("b", None, None, 2, 1, None, None),
+        ("b", "x", "u1", None, 5, [1], [2]), ("b", "x", "u3", 2**31 - 1, None, [1, 2**31 - 1], [-5, 0]), ("a", "x", "u9", 1, 1, [1, None], [0, 1])] * 5)]
+    df = spark.createDataFrame(rows, "k int, field string, term string, doc string, tf int, field_len int, positions array<int>, start array<int>, end array<int>, main boolean")
+    back = packed.unpacked(packed.packed(df, ["k"]), ["k"], df.schema)
+    assert back.schema == df.schema and sorted(map(repr, back.collect())) == sorted(map(repr, df.collect()))
+    numbered = df.filter("doc IS NOT NULL").select(F.substring("doc", 2, 1).cast("long").alias("doc"), "k", "field", "field_len", "tf")
+    back = packed.unpacked(packed.packed(numbered, ["k"]), ["k"], numbered.schema)
+    assert sorted(map(repr, back.collect())) == sorted(map(repr, numbered.collect()))
+
+
+def test_packed_join_is_a_join(spark):
+    left = spark.createDataFrame([("a", t, f"d{i}", i) for i in range(40) for t in ("x", "y", None, f"t{i % 7}")] + [("b", "x", "d", 0)],
+                                 "field string, term string, doc string, tf int")
+    right = spark.createDataFrame([("a", "x", 1), ("a", "t3", 2), ("b", "x", 3), ("b", "y", 4), ("a", None, 5)], "field string, term string, df int")
+    want, on, size = sorted(map(repr, left.join(right, ["field", "term"]).collect())), ["field", "term"], "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "-1")
+    try:
+        found = packed.joined(left, right, on)
+        assert "Join" not in _plan(found) and sorted(map(repr, found.collect())) == want and found.columns == left.join(right, on).columns
+    finally:
+        spark.conf.set(size, before)
+    assert sorted(map(repr, packed.joined(left, right, on).collect())) == want
+
+
+def test_builds_shuffle_packed_postings_and_leave_no_shuffle_files(spark, tmp_path, monkeypatch):
+    pages = spark.createDataFrame([(f"u{i}", f"w{i % 5} w{i % 7} and {i}") for i in range(50)], "url string, content string")
+    dealt, hint = [], type(pages).hint
+    monkeypatch.setattr(type(pages), "hint", lambda df, name, *a: (dealt.append(df.columns) if name == "rebalance" else None, hint(df, name, *a))[1])
+    files = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(
+        spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if "shuffle" in f.getName()}
+    there = files()
+    page_store.write_index(index.build_postings(pages, fields=("content",), main=True), f"{tmp_path}/i", buckets=2)
+    assert dealt[0] == ["term_bucket", "piece"] and files() <= there
