@@ -21,9 +21,10 @@ def idf_weight(boosts: dict[str, float]) -> Column:
     return boost * F.ln(1 + (n - df + 0.5) / (df + 0.5))
 
 
-def tf_weight() -> Column:
+def tf_weight(tf: str | Column = "tf", field_len: str | Column = "field_len") -> Column:
     """What its number in a document counts, for the length of the document's field."""
-    return F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("field_len") / F.col("avg_len")))
+    tf, field_len = (F.col(c) if isinstance(c, str) else c for c in (tf, field_len))
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * field_len / F.col("avg_len")))
 
 
 def bm25_weight(boosts: dict[str, float]) -> Column:

@@ -11,13 +11,18 @@ The results are those of scoring everything, ties by document included: a block
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from fathom.operators.index import BOOSTS, Index
 from fathom.operators.ranking import COORD, KEYS, bm25_weight, idf_weight, tf_weight
+from fathom.plans import packed
 from fathom.plans.lineage import cut_lineage
 
 #: Documents of a block, as a power of two.
@@ -26,6 +31,8 @@ BLOCK_BITS = 5
 FIRST_PER_RESULT = 1
 #: Bounds and scores are summed in different orders, and scores are rounded to 6 places.
 SLACK = 2e-6
+#: Postings that a task gathers into blocks at once, on average.
+GROUP_ROWS = 500_000
 POSTING = "array<struct<doc:string,tf:int,field_len:int>>"
 
 
@@ -47,19 +54,53 @@ def build_blocks(postings: DataFrame, stats: DataFrame, bucket: Callable[[str],
     ``postings`` and ``stats`` are those of an index. Weights depend on the average length of a field, so blocks belong to the
     index that they were built with. With ``bucket``, a store's number for a term, there is a column ``term_bucket`` too, and
     rows are dealt by it and slices of blocks, so that they can be written without another shuffle; a frequent term is
-    in many slices.
+    in many slices. Postings travel packed, to the numbers of their documents and to their slices.
     """
-    read = postings.select("field", "term", "doc", "tf", "field_len")
-    placed, keys = read.join(numbered(postings, bits), "doc"), ["field", "term", "block"]
-    if bucket is not None:
-        tasks = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        slices, keys = -(-4 * tasks // buckets), [*keys, "term_bucket", "slice"]
-        placed = placed.withColumns({"term_bucket": bucket("term"), "slice": F.pmod(F.xxhash64("block"), F.lit(slices))}).repartition(
-            "term_bucket", "slice")
-    weighed = placed.join(F.broadcast(stats), "field").withColumn("weight", tf_weight())
-    return weighed.groupBy(*keys).agg(
-        F.max("weight").alias("best"), F.count("*").cast("int").alias("n"),
-        F.sort_array(F.collect_list(F.struct("doc", "tf", "field_len"))).cast(POSTING).alias("postings")).drop("slice")
+    spark, read = postings.sparkSession, postings.select("field", "term", F.col("doc").cast("string").alias("doc"), "tf", "field_len")
+    own = read.withColumn("term_bucket", F.lit(0) if bucket is None else bucket("term"))
+    blocks = numbered(postings, bits).select(F.col("doc").cast("string").alias("doc"), "block")
+    rows, tasks = own.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    slices = max(-(-4 * tasks // buckets), -(-rows // (GROUP_ROWS * buckets)))
+    schemas = to_arrow_schema(own.schema), to_arrow_schema(blocks.schema)
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def sliced() -> Iterator[pa.RecordBatch]:
+            for table in packed.met(batches, *schemas, ["doc"]):
+                block = table.column("block").to_numpy().astype(np.uint64)
+                mixed = ((block + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+                yield from table.append_column("slice", pa.array((mixed % np.uint64(slices)).astype(np.int32))).combine_chunks().to_batches()
+        return packed.gathered(sliced(), ["term_bucket", "slice"])
+
+    pieces = packed.together(own, blocks, ["doc"], packed.parts_for(spark, rows)).mapInArrow(placed, "term_bucket int, slice int, piece binary")
+    kind = f"field string, term string, block long, term_bucket int, postings {POSTING}"
+    found = pieces.groupBy("term_bucket", "slice").applyInArrow(_gathered(packed.inner(own.withColumn("block", F.lit(0).cast("long")).schema, ["term_bucket"])), kind)
+    best = F.array_max(F.transform("postings", lambda p: tf_weight(p["tf"], p["field_len"])))
+    return found.join(F.broadcast(stats), "field").select(
+        "field", "term", "block", *([] if bucket is None else ["term_bucket"]), best.alias("best"), F.size("postings").alias("n"), "postings")
+
+
+def _gathered(schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From pieces of postings with one ``term_bucket`` to the rows of blocks."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, own = [], 0
+        for batch in batches:
+            found += [packed.rows_of(x.as_py(), schema) for x in batch.column("piece")]
+            own = batch.column("term_bucket")[0].as_py()
+        rows = pa.Table.from_batches(found).combine_chunks()
+        rows = rows.take(pc.sort_indices(rows, [(c, "ascending") for c in ("field", "term", "block", "doc", "tf", "field_len")]))
+        same = np.ones(max(len(rows) - 1, 0), bool)
+        for c in ("field", "term", "block"):
+            column = rows.column(c).combine_chunks()
+            same &= pc.equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+        heads = np.flatnonzero(np.append(True, ~same))
+        inside = pa.StructArray.from_arrays([rows.column(c).combine_chunks() for c in ("doc", "tf", "field_len")], ["doc", "tf", "field_len"])
+        first = rows.select(["field", "term", "block"]).take(pa.array(heads)).combine_chunks()
+        lists = pa.ListArray.from_arrays(pa.array(np.append(heads, len(rows)).astype(np.int32)), inside)
+        yield from packed.handed_on(pa.RecordBatch.from_arrays([
+            *[first.column(c).combine_chunks() for c in ("field", "term", "block")], pa.array(np.full(len(heads), own, np.int32)), lists],
+            names=["field", "term", "block", "term_bucket", "postings"]))
+
+    return run
 
 
 def weighed_terms(terms: DataFrame, dictionary: DataFrame, stats: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from fathom.functions import text as tx
-from fathom.operators import analysis, graph, index, search
+from fathom.operators import analysis, graph, index, search, top_blocks
 from fathom.plans import packed
 from fathom.sources import page_store
 
@@ -143,3 +143,8 @@ def test_builds_shuffle_packed_postings_and_leave_no_shuffle_files(spark, tmp_pa
     there = files()
     page_store.write_index(index.build_postings(pages, fields=("content",), main=True), f"{tmp_path}/i", buckets=2)
     assert dealt[0] == ["term_bucket", "piece"] and files() <= there
+    stored = page_store.read_index(spark, f"{tmp_path}/i")
+    blocks = top_blocks.build_blocks(stored.postings, stored.stats, lambda term: page_store.bucket(2, term), 2)
+    plan = blocks._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc" not in plan and "SortMergeJoin" not in plan
+    assert sum(r.n for r in blocks.collect()) == stored.postings.count()
